@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, mixing, quality_rules, simhash, url_filter, warc
+from . import bpe, chat, classifier, embeddings, mixing, quality_rules, simhash, url_filter, warc
 from .common import table
 
 
@@ -40,9 +40,17 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op10_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_quality_rules, op4_url_filter, op5_byte_bpe, op6_warc, op7_simhash, op8_quality_classifier)}
+    return {f.__name__: f for f in (op1_mixing, op3_quality_rules, op4_url_filter, op5_byte_bpe, op6_warc, op7_simhash, op8_quality_classifier, op9_chat_perspectives, op10_embedding_forest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op4_url_filter": url_filter.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op4_url_filter": url_filter.ORACLE, "op9_chat_perspectives": chat.ORACLE}
