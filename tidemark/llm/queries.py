@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, classifier, embeddings, mixing, quality_rules, simhash, url_filter, warc
+from . import bpe, chat, classifier, embeddings, licenses, mixing, quality_rules, simhash, url_filter, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_quality_rules, op4_url_filter, op5_byte_bpe, op6_warc, op7_simhash, op8_quality_classifier, op9_chat_perspectives, op10_embedding_forest)}
+    return {f.__name__: f for f in (op1_mixing, op2_license_scan, op3_quality_rules, op4_url_filter, op5_byte_bpe, op6_warc, op7_simhash, op8_quality_classifier, op9_chat_perspectives, op10_embedding_forest)}
 
 
 def oracle_sql() -> dict[str, str]:
