@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,39 +140,36 @@ def near_duplicates(vectors: DataFrame, *, vec_col: str = "vec_id", embedding_co
 
 def _forest_edges(classes: DataFrame, threshold: float, trees: int) -> DataFrame:
     """Edges (u, v) between classes that leaves of the forest join."""
-    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    top = sizes.agg(F.max("n"), F.max("dim"), F.sum("n"), F.count_distinct("dim")).first()
-    levels = max(0, int(np.ceil(np.log2(max(1, top[0] or 0) / GROUP))))
-    routes = None
-    if levels and top[3] == 1:
-        share = min(1.0, SAMPLE / top[2])
-        rows = classes.where(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").collect()
-        sample = unit_rows(np.array([r.v for r in rows]))
-        routes = classes.sparkSession.sparkContext.broadcast(_upper_trees(sample, levels, trees, threshold))  # 2**levels directions a tree
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    routes = {}  # lengths of vectors with a label of over GROUP: as many at most as GROUP goes into the classes
+    for dim, most, n in sizes.where(F.col("most") > GROUP).collect():
+        levels = int(np.ceil(np.log2(most / GROUP)))
+        some = F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))
+        sample = unit_rows(np.array([r.v for r in classes.where((F.col("dim") == dim) & some).select("v").collect()]).reshape(-1, dim))
+        routes[dim] = levels, _upper_trees(sample, levels, trees, threshold)
+    routes = classes.sparkSession.sparkContext.broadcast(routes)  # 2**levels directions a tree and length
 
     def deal(batches):
         for b in batches:
-            x = unit_rows(_matrix(b.column(2))) if routes is not None and b.num_rows else None
-            row, tree, cell = [], [], []
-            for t in range(trees):
-                if x is None:
-                    row.append(np.arange(b.num_rows))
-                    cell.append(np.zeros(b.num_rows, np.int64))
-                else:
-                    at, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-                    spill = _spill(x.shape[1], threshold)
+            lengths = pc.list_value_length(b.column(2)).to_numpy()
+            for dim in np.unique(lengths):
+                part = b.take(pa.array(np.flatnonzero(lengths == dim)))
+                levels, nodes = routes.value.get(int(dim), (0, None))
+                x = unit_rows(_matrix(part.column(2))) if levels else None
+                rows, cells = [], []
+                for t in range(trees):
+                    at, cell = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64)
                     for level in range(levels):
-                        nodes = routes.value[t]
-                        r = np.stack([n[0] for n in nodes[2**level - 1 : 2 ** (level + 1) - 1]])
-                        m = np.array([n[1] for n in nodes[2**level - 1 : 2 ** (level + 1) - 1]])
-                        p = (x[at] * r[node]).sum(1) - m[node]
+                        here = nodes[t][2**level - 1 : 2 ** (level + 1) - 1]
+                        r, m = np.stack([n[0] for n in here]), np.array([n[1] for n in here])
+                        p, spill = (x[at] * r[cell]).sum(1) - m[cell], _spill(int(dim), threshold)
                         low, high = p <= spill, p > -spill
-                        at, node = np.concatenate([at[low], at[high]]), np.concatenate([2 * node[low], 2 * node[high] + 1])
-                    row.append(at)
-                    cell.append(node)
-                tree.append(np.full(len(row[-1]), t))
-            rows = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(np.concatenate(tree).astype(np.int32)), pa.array(np.concatenate(cell)), b.column(2).take(rows)], names=["cls", "group_key", "tree", "cell", "v"])
+                        at, cell = np.concatenate([at[low], at[high]]), np.concatenate([2 * cell[low], 2 * cell[high] + 1])
+                    rows.append(at)
+                    cells.append(cell)
+                tree = np.repeat(np.arange(trees, dtype=np.int32), list(map(len, rows)))
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(tree), pa.array(np.concatenate(cells)), part.column(2).take(take)], names=["cls", "group_key", "tree", "cell", "v"])
 
     def split(group: pa.Table) -> pa.Table:
         ids = group.column("cls").to_numpy()
