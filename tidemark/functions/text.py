@@ -195,7 +195,8 @@ def compact_name(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    return squeeze(F.translate(filled(c), " ", " "))
+    """Words with single spaces; a no-break space is a space."""
+    return squeeze(F.translate(filled(c), "\u00a0", " "))
 
 
 def country_code(c: Column) -> Column:

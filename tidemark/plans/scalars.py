@@ -52,7 +52,7 @@ expected("year_parse", "long", [("03/2019", 2019), ("'19", None)], N.parse_year)
 expected("engine_heuristic", "string", [("Range Rover Sport D300 3.0 dynamic", "d300"), ("520d xDrive", "520d"), ("A4 40 TFSI quattro", "40 tfsi"), ("AVANTGARDE", None), ("1.2 allure", None), ("Volvo V60 2.4", None), ("1.0 TSI Life", "1.0 tsi"), ("4.0 V8 biturbo", "4.0 v8"), ("S65 V12", "v12")], C.engine_heuristic)
 expected("country_normalize", "string", [("uk", "GB"), (" es ", "ES"), ("DE", "DE")], X.country_code)
 expected("chat_markdown", "string", [("### Title", "<b>Title</b>"), ("a **b** <c>", "a <b>b</b> &lt;c&gt;")], X.chat_markdown)
-expected("text_clean", "string", [("a b   c", "a b c")], X.clean_text)
+expected("text_clean", "string", [("a\u00a0b   c", "a b c")], X.clean_text)
 
 
 @query(f"SELECT n_nationkey, a AS price, CAST(b AS DOUBLE) AS result FROM nation, (VALUES (0.0, NULL), (5.0, 5000.0), (9.5, 9.5), (50.0, 50000.0), (99.5, 99.5), (500.0, 500.0), (1e9, 1e9), (1000000001.0, NULL)) v(a, b) WHERE n_nationkey < 3")
