@@ -22,3 +22,12 @@ def test_cards_and_labels(spark):
     cards = {r.page_id: r for r in P.cards(rows).collect()}
     assert cards[1].next_url == "http://x.example/list?page=3" and cards[1].n_external == 1 and cards[2].n_links == 0
     assert {(r.label, r.value) for r in P.labels(rows).collect()} >= {("year", "2019")}
+
+
+def test_outbound_links():
+    base = "https://www.portal.example/list"
+    assert P.outbound("/tools/I9.html", base, "other.example") == "https://www.portal.example/tools/I9.html"
+    assert P.outbound("/tools/I9.html", base, "portal.example") is None
+    assert P.outbound("https://seller.example/", base, "portal.example") is None
+    assert P.outbound("https://seller.example/?id=1#x", base, "portal.example") == "https://seller.example/?id=1"
+    assert P.outbound("javascript:void(0)", base, "x.example") is None and P.outbound("#", base, "x.example") is None and P.outbound(None, base, "x") is None

@@ -36,3 +36,26 @@ def next_opening(local: Column, days: Column, start: Column, end: Column) -> Col
 
 def business_hours(local: Column) -> Column:
     return (iso_weekday(local) <= 5) & F.hour(local).between(8, 20)
+
+
+# Hours at which a delivery window may start and end, intervals in hours, and the defaults.
+START_HOURS, END_HOURS, INTERVALS = (7, 8, 9, 10, 11, 12), (19, 20, 21, 22, 23), (1, 2, 3, 4)
+DEFAULT_START, DEFAULT_END, DEFAULT_INTERVAL = 8, 21, 2
+
+
+def nearest(hour: Column, allowed: tuple[int, ...]) -> Column:
+    """The allowed hour nearest to hour, the earlier of two."""
+    return F.array_min(F.transform(F.array(*map(F.lit, allowed)), lambda h: F.struct(F.abs(h - hour), h.alias("h"))))["h"]
+
+
+def clamped_preferences(days: Column, start: Column, end: Column, interval: Column) -> Column:
+    """struct(days, start, end, interval) with what can't be replaced: no valid day means all days, null hours mean the
+    defaults, others go to the nearest allowed ones."""
+    valid = F.array_sort(F.array_distinct(F.filter(F.coalesce(days, F.array().cast("array<int>")), lambda d: d.between(1, 7))))
+    first = nearest(F.coalesce(start, F.lit(DEFAULT_START)), START_HOURS)
+    return F.struct(
+        F.when(F.size(valid) == 0, F.array(*map(F.lit, range(1, 8)))).otherwise(valid).alias("days"),
+        first.alias("start"),
+        nearest(F.coalesce(end, F.lit(DEFAULT_END)), END_HOURS).alias("end"),
+        F.when(interval.isin(*INTERVALS), interval).otherwise(DEFAULT_INTERVAL).alias("interval"),
+    )

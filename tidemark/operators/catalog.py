@@ -14,13 +14,41 @@ ALL_FAMILIES = FAMILIES + "|boosterjet|skyactiv|multijet|firefly|twinpower|boxer
 CODES = r"\b((?:a|c|e|gla|glb|glc|gle)\s?\d{2,3}\s?d?|[1-8]\d{2}[di]|[dptbm]\d{2,3})\b"
 PLAIN_CODES = r"\b((?:a|c|e|gla|glb|glc|gle)\s?\d{2,3}\s?d?|[1-8]\d{2}[di])\b"
 CUES = r"\b(?:diesel|petrol|gasoline|hybrid|mhev|phev|hev|cdi|dci|tdi|tfsi|tsi|tce|gdi|crdi|hdi|bluehdi|turbo|boxer|v-?6|v-?8|v-?10|v-?12|w-?12|w-?16|[dptbm]\d{2,3})\b"
-# Families that a brand prefers for a displacement that several engines share, best first.
+# A marketing number with its family, a displacement that a cue makes an engine, cylinders in V and in W.
+MARKETING = r"\b([1-9]\d)\s*(tfsi|tdi|tsi|etsi)\b"
+CUED_SIZE, V_ENGINE, W_ENGINE = r"\b([1-9]\.\d)\b", r"\bv-?(6|8|10|12)\b", r"\bw-?(12|16)\b"
+# Families that a brand prefers for a displacement that several engines share, best first; then any brand's.
 BRAND_FAMILIES = {
-    "audi": "tfsi tdi tsi", "volkswagen": "tsi tdi etsi mpi", "seat": "tsi tdi mpi", "cupra": "etsi tsi tdi", "skoda": "tsi tdi mpi",
-    "peugeot": "puretech bluehdi hdi", "citroen": "puretech bluehdi hdi", "renault": "tce sce dci e-tech hybrid", "dacia": "tce sce dci",
-    "ford": "ecoboost ecoblue tdci", "toyota": "hybrid vvt-i", "hyundai": "t-gdi gdi crdi hybrid", "kia": "t-gdi gdi crdi hybrid",
-}
-DEFAULT_FAMILIES = "tfsi tsi etsi ecoboost puretech tce t-gdi turbo hybrid tdi dci bluehdi ecoblue tdci mpi sce"
+    "audi": ("tfsi", "tdi", "tsi"),
+    "volkswagen": ("tsi", "tdi", "etsi", "mpi"),
+    "seat": ("tsi", "tdi", "mpi"),
+    "cupra": ("etsi", "tsi", "tdi"),
+    "skoda": ("tsi", "tdi", "mpi"),
+    "peugeot": ("puretech", "bluehdi", "hdi"),
+    "citroen": ("puretech", "bluehdi", "hdi"),
+    "ds automobiles": ("puretech", "bluehdi", "hdi"),
+    "opel": ("turbo", "diesel"),
+    "vauxhall": ("turbo", "diesel"),
+    "renault": ("tce", "sce", "dci", "e-tech", "hybrid"),
+    "dacia": ("tce", "sce", "dci"),
+    "ford": ("ecoboost", "ecoblue", "tdci"),
+    "toyota": ("hybrid", "vvt-i"),
+    "lexus": ("hybrid",),
+    "honda": ("vtec", "hybrid"),
+    "hyundai": ("t-gdi", "gdi", "crdi", "hybrid"),
+    "kia": ("t-gdi", "gdi", "crdi", "hybrid"),
+    "nissan": ("dig-t", "dci", "e-power", "hybrid"),
+    "mazda": ("skyactiv-g", "skyactiv-d", "skyactiv"),
+    "fiat": ("firefly", "multijet", "hybrid", "t-jet"),
+    "alfa romeo": ("hybrid", "multijet", "turbo"),
+    "jeep": ("turbo", "multijet"),
+    "suzuki": ("boosterjet", "dualjet", "hybrid"),
+    "mitsubishi": ("turbo", "hybrid", "diesel"),
+    "volvo": ("b3", "b4", "b5", "t5", "t6", "d4"),
+    "mini": ("twinpower",),
+    "porsche": ("turbo",),
+}
+DEFAULT_FAMILIES = ("tfsi", "tsi", "etsi", "ecoboost", "puretech", "tce", "t-gdi", "turbo", "hybrid", "tdi", "dci", "bluehdi", "ecoblue", "tdci", "mpi", "sce")
 
 #: A small catalog of our own: brand, model, engine, aliases, typical power; trims by brand and model.
 ENGINES = (
@@ -75,10 +103,9 @@ def engine_heuristic(version: Column) -> Column:
     def group(pattern: str, k: int = 1) -> Column:
         return F.regexp_extract(hay, pattern, k)
 
-    size, family = rf"\b(\d\.\d)\s*({FAMILIES})\b", r"\b([1-9]\d)\s*(tfsi|tdi|tsi|etsi)\b"
+    size, family = rf"\b(\d\.\d)\s*({FAMILIES})\b", MARKETING
     code = F.trim(F.regexp_replace(group(CODES), r"\s+", " "))
-    bare = group(r"\b([1-9]\.\d)\b")
-    v, w = group(r"\bv-?(6|8|10|12)\b"), group(r"\bw-?(12|16)\b")
+    bare, v, w = group(CUED_SIZE), group(V_ENGINE), group(W_ENGINE)
     cylinders = F.when(v != "", F.concat(F.lit(" v"), v)).when(w != "", F.concat(F.lit(" w"), w)).otherwise("")
     return (
         F.when(group(size) != "", F.concat_ws(" ", group(size), group(size, 2)))
@@ -98,8 +125,8 @@ def bare_displacement(version: Column) -> Column:
 
 def _family_rank(brand: Column, engine: Column) -> Column:
     """Place of the first preferred family in an engine's key; null if none occurs."""
-    prefs = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in BRAND_FAMILIES.items() for x in pair]), brand), F.lit(""))
-    order = F.filter(F.split(F.concat(prefs, F.lit(" "), F.lit(DEFAULT_FAMILIES)), " "), lambda f: f != "")
+    own = F.create_map(*[x for name, families in BRAND_FAMILIES.items() for x in (F.lit(name), F.array(*map(F.lit, families)))])
+    order = F.concat(F.coalesce(F.element_at(own, brand), F.array().cast("array<string>")), F.array(*map(F.lit, DEFAULT_FAMILIES)))
     return F.array_min(F.transform(order, lambda f, i: F.when(engine.contains(f), i)))
 
 

@@ -12,7 +12,8 @@ BRAND_ALIASES = {
     "vw": "volkswagen", "volk": "volkswagen", "volks": "volkswagen", "merc": "mercedes-benz", "benz": "mercedes-benz", "mb": "mercedes-benz",
     "chevy": "chevrolet", "alfa": "alfa romeo", "aston": "aston martin", "land": "land rover", "landrover": "land rover", "rover": "land rover",
     "range rover": "land rover", "rangerover": "land rover", "rolls": "rolls-royce", "rr": "rolls-royce", "citroen": "citroen",
-    "ds": "ds automobiles", "dsautomobiles": "ds automobiles", "mini": "mini", "bmw": "bmw",
+    "ds": "ds automobiles", "dsautomobiles": "ds automobiles", "lynk": "lynk & co", "lynk co": "lynk & co", "ssangyong": "ssangyong / kgm",
+    "kgm": "ssangyong / kgm", "gwm": "ora (gwm)", "ora": "ora (gwm)", "mini": "mini", "bmw": "bmw",
 }
 ACCEPT = 60
 

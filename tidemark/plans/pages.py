@@ -18,6 +18,11 @@ def html_kv_extract(d: Data):
     return P.labels(d.table("pages"))
 
 
+@query()
+def html_outbound_links(d: Data):
+    return P.outbound_links(d.table("pages"), "example.org")
+
+
 @query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS raw_title FROM pages")
 def html_title(d: Data):
     return d.table("pages").select("page_id", F.trim(F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), r"\s+", " ")).alias("raw_title"))

@@ -181,3 +181,12 @@ def next_opening(d: Data):
 @query("SELECT event_id, hour(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Madrid')::BIGINT AS hour FROM events")
 def madrid_hour(d: Data):
     return d.table("events").select("event_id", F.hour(W.wall_clock(F.col("ts").cast("timestamp"))).cast("long").alias("hour"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '1234567' ELSE array_to_string(list_sort(list_distinct([(1 + c_custkey % 6)::INT, 3])), '') END || ' ' || CASE WHEN c_custkey % 30 < 7 THEN 7 WHEN c_custkey % 30 > 12 THEN 12 ELSE c_custkey % 30 END
+  || '-' || CASE WHEN c_custkey % 5 = 0 THEN 21 ELSE 19 END || '/' || CASE WHEN c_custkey % 10 IN (1, 2, 3, 4) THEN c_custkey % 10 ELSE 2 END AS prefs FROM customer""")
+def schedule_clamp(d: Data):
+    k = F.col("c_custkey")
+    days = F.when(k % 7 == 0, F.array(F.lit(0), F.lit(9))).otherwise(F.array((1 + k % 6).cast("int"), F.lit(3), F.lit(8), F.lit(3)))
+    p = W.clamped_preferences(days, k % 30, F.when(k % 5 != 0, k % 18), k % 10)
+    return d.table("customer").select("c_custkey", p.alias("p")).select("c_custkey", F.concat(F.array_join(F.transform("p.days", lambda x: x.cast("string")), ""), F.lit(" "), F.col("p.start").cast("string"), F.lit("-"), F.col("p.end").cast("string"), F.lit("/"), F.col("p.interval").cast("string")).alias("prefs"))

@@ -89,3 +89,31 @@ def labels(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "label", "value"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, label string, value string")
+
+
+def outbound(href: str | None, base: str, own: str) -> str | None:
+    """A link to an advert elsewhere, absolute and without its fragment; None for the portal's own pages (domain own),
+    other schemes and bare home pages."""
+    raw = (href or "").strip()
+    if not raw or raw == "#":
+        return None
+    try:
+        to = urlsplit(urljoin(base, raw))
+        host = (to.hostname or "").lower()
+    except ValueError:
+        return None
+    if to.scheme not in ("http", "https") or len(host) < 3 or host == own or host.endswith(f".{own}"):
+        return None
+    if not to.path.strip("/") and not to.query:
+        return None
+    return f"{to.scheme}://{to.netloc}{to.path}{'?' + to.query if to.query else ''}"
+
+
+def outbound_links(pages: DataFrame, own: str) -> DataFrame:
+    """page_id, link of every outbound link of a page, in order and as often as it stands there."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(page_id, link) for page_id, url, html in zip(b.page_id, b.url, b.html, strict=True) for href in parse(html).links if (link := outbound(href, url or "", own))]
+            yield pd.DataFrame(rows, columns=["page_id", "link"])
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, link string")
