@@ -67,8 +67,7 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: list[Column] | Non
     def count(kept_out: str) -> Column:
         return F.length(F.regexp_replace("_q_text", kept_out, "")).cast("long")
 
-    return w.select(
-        *[c for c in w.columns if not c.startswith("_q_")],
+    found = F.struct(
         n.cast("long").alias("n_words"),
         count(SPACE).alias("word_chars"),
         count(r"[^#*$%&|<>]+").alias("n_symbols"),
@@ -79,6 +78,9 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: list[Column] | Non
         count(r"[^A-Z]+").alias("n_upper"),
         count(r"[^!|]+").alias("n_marks"),
     )
+    # A generator between the counts and what is made of them: a filter on them is not pushed below, where each of its
+    # uses of a count would compute the count anew.
+    return w.select(*[c for c in w.columns if not c.startswith("_q_")], F.inline(F.array(found)))
 
 
 def base_failed() -> Column:
