@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import small_side
-from .predicate import pair_matches
+from .predicate import pair_matches, with_soft
 
 DIGEST, HISTORY = 3, 40
 NEAR_KM = 2000
@@ -37,7 +37,7 @@ def candidates(listings: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def matches(listings: DataFrame, alerts: DataFrame) -> DataFrame:
-    return candidates(listings, alerts).where(pair_matches())
+    return candidates(with_soft(listings), alerts).where(pair_matches()).drop("_fuel", "_power")
 
 
 def unsent(matched: DataFrame, sent: DataFrame) -> DataFrame:

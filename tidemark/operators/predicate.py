@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -99,10 +99,14 @@ def _all(tests: list[Column]) -> Column:
     return out
 
 
+def with_soft(listings: DataFrame) -> DataFrame:
+    """listings with _fuel and _power, filled once per advert before it meets any alert."""
+    return listings.withColumns({"_fuel": F.lower(soft_fuel(F.col("fuel_type"), F.col("version"))), "_power": effective_power(F.col("power_hp"), F.col("version"))})
+
+
 def pair_matches() -> Column:
-    """The residual test of a joined pair of an advert (fuel_type, version, power_hp, price, year) and an alert (a_*)."""
-    fuel = F.lower(soft_fuel(F.col("fuel_type"), F.col("version")))
+    """The residual test of a joined pair of an advert (with_soft; price, year) and an alert (a_*)."""
     fuels = F.filter(F.split("a_fuel_csv", ","), lambda f: f != "")
-    fuel_ok = (F.size(fuels) == 0) | F.coalesce(F.exists(fuels, lambda f: fuel.contains(F.lower(f))), F.lit(False))
-    power_ok = F.col("a_min_power_hp").isNull() | F.coalesce(effective_power(F.col("power_hp"), F.col("version")) >= F.col("a_min_power_hp"), F.lit(False))
+    fuel_ok = (F.size(fuels) == 0) | F.coalesce(F.exists(fuels, lambda f: F.col("_fuel").contains(F.lower(f))), F.lit(False))
+    power_ok = F.col("a_min_power_hp").isNull() | F.coalesce(F.col("_power") >= F.col("a_min_power_hp"), F.lit(False))
     return fuel_ok & power_ok & (F.col("a_max_price").isNull() | (F.col("price") <= F.col("a_max_price"))) & (F.col("a_min_year").isNull() | (F.col("year") >= F.col("a_min_year")))
