@@ -171,11 +171,11 @@ def schedule_window(d: Data):
 
 
 @query("""SELECT event_id, strftime(CASE WHEN isodow(ts) IN (1, 3) AND hour(ts) >= 9 AND hour(ts) < 21 THEN ts ELSE
-  (SELECT min(h) FROM (SELECT date_trunc('hour', ts) + to_hours(k) AS h FROM range(1, 337) r(k)) WHERE isodow(h) IN (1, 3) AND hour(h) >= 9 AND hour(h) < 21) END, '%Y-%m-%d %H:%M:%S') AS opens FROM events WHERE event_id < 3000""")
+  (SELECT min(h) FROM (SELECT date_trunc('hour', ts) + to_hours(k) AS h FROM range(1, 337) r(k)) WHERE isodow(h) IN (1, 3) AND hour(h) >= 9 AND hour(h) < 21) END, '%Y-%m-%d %H:%M:%S') AS opens FROM events""")
 def next_opening(d: Data):
     ts = F.col("ts").cast("timestamp")
     opens = W.next_opening(ts, F.array(F.lit(1), F.lit(3)), F.lit(9), F.lit(21))
-    return d.table("events").where("event_id < 3000").select("event_id", F.date_format(opens, "yyyy-MM-dd HH:mm:ss").alias("opens"))
+    return d.table("events").select("event_id", F.date_format(opens, "yyyy-MM-dd HH:mm:ss").alias("opens"))
 
 
 @query("SELECT event_id, hour(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Madrid')::BIGINT AS hour FROM events")
