@@ -1,10 +1,43 @@
 """Queries over small tables that earlier subsets left out, against brute force."""
 
+import random
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
+import pytest
+
+from tidemark.operators import dedup, matching
 from tidemark.plans import scalars
 
+CARS = "portal_id string, brand string, model string, version string, brand_norm string, model_norm string, year int, mileage_km int, price double, country string, updated_at timestamp, url_verified_at timestamp, url string"
+DAY = datetime(2024, 1, 1)
+
+
+def cars(spark, seed, n):
+    """Adverts of a few blocks, many of them near each other, with the rows as tuples."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        day = DAY + timedelta(days=rng.randrange(40))
+        rows.append((f"p{i:03}", "B", "M", "V", "b", f"m{rng.randrange(2)}", 2020 + rng.randrange(2), rng.randrange(0, 4000, 300), 10_000.0 * 1.012 ** rng.randrange(10), "ES", day, day if rng.random() < 0.8 else None, f"u{rng.randrange(3 * n)}" if i % 3 else ""))
+    return rows, spark.createDataFrame(rows, CARS)
+
+
+def near(a, b):
+    return a[4:7] == b[4:7] and abs(a[7] - b[7]) <= 1000 and abs(a[8] - b[8]) / max((a[8] + b[8]) / 2, 1) <= 0.05
+
+
+def newest(rows):
+    return sorted(rows, key=lambda r: (-r[10].timestamp(), r[0]))
+
+
+def first_distinct(rows, n=3):
+    kept = []
+    for r in rows:
+        if len(kept) < n and not any(near(k, r) for k in kept):
+            kept.append(r)
+    return [r[0] for r in kept]
+
 
 def test_every_event_has_its_next_opening(spark):
     start = datetime(2024, 2, 26, 0, 30, 15)
@@ -21,3 +54,67 @@ def test_every_event_has_its_next_opening(spark):
     got = scalars.next_opening(SimpleNamespace(table=lambda name: table)).collect()
     assert {r.event_id: r.opens for r in got} == {k: opens(t) for k, t in events}
     assert len(got) == len(events) and max(k for k, _ in events) > 3000
+
+
+def batched(rows):
+    """The reference's fold, as it stands."""
+    kept, ids, urls = [], set(), set()
+    for r in newest(rows):
+        if r[0] in ids or r[12] and r[12] in urls:
+            continue
+        at = next((i for i, k in enumerate(kept) if near(k, r)), None)
+        if at is None:
+            kept.append(r)
+        elif r[8] < kept[at][8]:
+            ids.discard(kept[at][0])
+            urls.discard(kept[at][12])
+            kept[at] = r
+        else:
+            continue
+        ids.add(r[0])
+        urls.add(r[12])
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_cheaper_advert_replaces_a_near_one_in_a_batch(spark, seed):
+    rows, table = cars(spark, seed, 120)
+    rows = [(*r[:12], f"{r[5]}/{r[6]}/{r[12]}" if r[12] else "") for r in rows]  # a URL is of one block
+    got = dedup.batch(spark.createDataFrame(rows + rows[:20], CARS)).collect()
+    want = batched(rows + rows[:20])
+    assert sorted(r.portal_id for r in got) == sorted(r[0] for r in want) and len(want) < len(rows) - 10
+    assert dedup.batch(table.drop("url")).count() == len(batched([(*r[:12], "") for r in rows]))
+
+
+def matched(spark, table, users=(1, 2, 3)):
+    return table.crossJoin(spark.createDataFrame([(u, 10 * u + k) for u in users for k in range(u)], "a_user_id long, a_id long"))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_adverts_take_one_place_of_a_digest(spark, seed):
+    rows, table = cars(spark, seed, 60)
+    got = matching.top_per_user(matched(spark, table)).collect()
+    want = first_distinct(newest(r for r in rows if r[11]))
+    assert {(r.a_user_id, r.rank, r.portal_id) for r in got} == {(u, k + 1, p) for u in (1, 2, 3) for k, p in enumerate(want)}
+    assert len(got) == 3 * len(want)
+
+
+def test_a_digest_of_copies_alone_is_shorter(spark):
+    rows = [(f"p{i}", "B", "M", "V", "b", "m", 2020, 100 * i, 10_000.0, "ES", DAY + timedelta(days=i), DAY, "") for i in range(9)] + [("q", "B", "M", "V", "b", "n", 2020, 0, 9_000.0, "ES", DAY, DAY, "")]
+    got = matching.top_per_user(matched(spark, spark.createDataFrame(rows, CARS), [1])).collect()
+    assert sorted((r.rank, r.portal_id) for r in got) == [(1, "p8"), (2, "q")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_refill_skips_what_is_like_a_sent_advert(spark, seed):
+    rows, table = cars(spark, seed, 60)
+    sent = [(u, r[0], DAY + timedelta(hours=7 * j)) for u in (1, 2) for j, r in enumerate(random.Random(seed).sample(rows, 8 * u))]
+    got = matching.refill(matched(spark, table), spark.createDataFrame(sent, "user_id long, listing_id string, sent_at timestamp"), table).collect()
+    by = {r[0]: r for r in rows}
+    want = set()
+    for u in (1, 2, 3):
+        last = {p: t for v, p, t in sent if v == u}
+        fresh = [r for r in newest(rows) if r[11] and not any(by[p][4:7] == r[4:7] and abs(by[p][7] - r[7]) <= 2000 for p in last) and r[0] not in last]
+        again = sorted((r for r in rows if r[11] and r[0] in last), key=lambda r: last[r[0]])
+        want |= {(u, k + 1, p, 2 if p in last else 1) for k, p in enumerate(first_distinct(fresh + again))}
+    assert {(r.a_user_id, r.rank, r.portal_id, r["pass"]) for r in got} == want and len(got) == len(want)

@@ -79,6 +79,48 @@ def greedy(listings: DataFrame) -> DataFrame:
     return slim.groupBy(*BLOCK).applyInPandas(fold, "portal_id string, kept_id string")
 
 
+def batch(listings: DataFrame) -> DataFrame:
+    """The adverts of a batch that are left when, newest first, one that is near a kept one is dropped, or takes its place
+    if it is cheaper; so is one whose portal_id (or url, if there is such a column) is that of a kept one, and dropped.
+
+    Of several near ones the first counts, and the place of a replaced advert stays its own. As with greedy, a block is
+    folded by one task. Both keys are unique in a stock, so that adverts of different blocks share none.
+    """
+    url = F.coalesce(F.col("url"), F.lit("")) if "url" in listings.columns else F.lit("")
+    order = Window.partitionBy(*BLOCK).orderBy(F.desc("updated_at"), "portal_id", "price", "mileage_km")
+    ranked = listings.withColumn("_rank", F.row_number().over(order))
+    slim = ranked.select("portal_id", *BLOCK, "mileage_km", "price", url.alias("url"), "_rank")
+
+    def fold(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("_rank")
+        cells: dict[int, dict[int, tuple[int, float]]] = {}
+        kept: list[tuple] = []
+        ids, urls = set(), set()
+        for pid, km, price, page, rank in zip(block.portal_id, block.mileage_km, block.price, block.url, block._rank, strict=True):
+            if pid in ids or page and page in urls:
+                continue
+            cell = km // KM
+            same = min((i for c in (cell - 1, cell, cell + 1) for i, (k, p) in cells.get(c, {}).items() if abs(k - km) <= KM and abs(p - price) / max((p + price) / 2, 1) <= PRICE), default=None)
+            if same is not None:
+                old = kept[same]
+                if not price < old[2]:
+                    continue
+                ids.discard(old[0])
+                urls.discard(old[3])
+                del cells[old[1] // KM][same]
+                kept[same] = (pid, km, price, page, rank)
+            else:
+                same = len(kept)
+                kept.append((pid, km, price, page, rank))
+            cells.setdefault(cell, {})[same] = (km, price)
+            ids.add(pid)
+            urls.add(page)
+        return pd.DataFrame({"portal_id": [k[0] for k in kept], "_rank": [k[4] for k in kept]})
+
+    left = slim.groupBy(*BLOCK).applyInPandas(fold, "portal_id string, _rank int")
+    return ranked.join(left, ["portal_id", "_rank"], "left_semi").drop("_rank")
+
+
 def write_actions(new: DataFrame, target: DataFrame) -> DataFrame:
     """What the guarded insert does with each new advert: skipped_url without a URL, updated where its id is known,
     skipped_url where its URL is, skipped_near where the same car is, else created. Set-based: three joins."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import small_side
+from . import dedup as D
 from .predicate import pair_matches, with_soft
 
 DIGEST, HISTORY = 3, 40
@@ -63,18 +64,47 @@ def unsent_near(matched: DataFrame, sent: DataFrame, listings: DataFrame) -> Dat
     return unsent(matched, sent).join(had, like, "left_anti")
 
 
+def _distinct_first(matched: DataFrame, order: Column, n: int) -> DataFrame:
+    """The first n adverts of each user, with their rank, less each that is near one taken before it (D.near).
+
+    Adverts of different blocks are never near, so none behind the first advert of a user's n-th block can be taken: that
+    bound prunes before the shuffle. What is left of a user is sorted once, and the adverts taken so far are carried along.
+    """
+    ordered = matched.withColumn("_order", order)
+    per_block = Window.partitionBy("a_user_id", *D.BLOCK).orderBy("_order")
+    user = Window.partitionBy("a_user_id").orderBy("_order")
+    firsts = ordered.select("a_user_id", *D.BLOCK, "_order").withColumn("_first", F.row_number().over(per_block)).where("_first = 1")
+    bound = firsts.withColumn("_block", F.row_number().over(user)).where(F.col("_block") <= n).where(F.col("_block") == n)
+    bound = bound.select(F.col("a_user_id").alias("_user"), F.col("_order").alias("_last"))
+    out = ordered.join(small_side(bound.persist()), F.col("a_user_id") == F.col("_user"), "left").where(F.col("_last").isNull() | (F.col("_order") <= F.col("_last"))).drop("_user", "_last")
+    out = out.withColumn("_me", F.struct("portal_id", *D.BLOCK, "mileage_km", "price", "_order"))
+    rank, free = F.lit(None).cast("int"), F.lit(True)
+    for k in range(1, n + 1):
+        out = out.withColumn(f"_p{k}", F.first(F.when(free, F.col("_me")), ignorenulls=True).over(user))
+        rank = F.coalesce(rank, F.when(F.col("_order") == F.col(f"_p{k}._order"), k))
+        same = D.near(f"_p{k}", "_me")
+        for c in D.BLOCK:
+            same &= F.col(f"_p{k}.{c}") == F.col(f"_me.{c}")
+        free &= ~F.coalesce(same | (F.col(f"_p{k}.portal_id") == F.col("portal_id")), F.lit(False))
+    return out.withColumn("rank", rank).where("rank is not null").drop("_me", "_order", *[f"_p{k}" for k in range(1, n + 1)])
+
+
 def top_per_user(matched: DataFrame, n: int = DIGEST) -> DataFrame:
-    """The n newest verified matches of each user, ids last; a rank of at most n prunes before the shuffle."""
-    newest = Window.partitionBy("a_user_id").orderBy(F.desc("updated_at"), "portal_id")
-    return matched.where("url_verified_at is not null").withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= n)
+    """The n newest verified matches of each user, ids last, no two of them near."""
+    order = F.struct((-F.unix_micros("updated_at")).alias("new"), F.col("portal_id"), F.col("a_id"))
+    return _distinct_first(matched.where("url_verified_at is not null"), order, n)
 
 
-def refill(matched: DataFrame, sent: DataFrame, n: int = DIGEST) -> DataFrame:
-    """Up to n adverts of each user: unsent ones, newest first, then those sent longest ago."""
+def refill(matched: DataFrame, sent: DataFrame, listings: DataFrame, n: int = DIGEST) -> DataFrame:
+    """Up to n adverts of each user, no two of them near: unsent ones that are not like a sent one (unsent_near), newest
+    first, then those sent longest ago."""
+    verified = matched.where("url_verified_at is not null")
     last = sent.groupBy(F.col("user_id").alias("s_user"), F.col("listing_id").alias("s_listing")).agg(F.max("sent_at").alias("sent_at"))
-    both = matched.where("url_verified_at is not null").join(last, (F.col("a_user_id") == F.col("s_user")) & (F.col("portal_id") == F.col("s_listing")), "left")
-    order = Window.partitionBy("a_user_id").orderBy(F.col("sent_at").isNotNull(), F.col("sent_at"), F.desc("updated_at"), "portal_id")
-    return both.withColumn("pass", F.when(F.col("sent_at").isNull(), 1).otherwise(2)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    again = verified.join(last, (F.col("a_user_id") == F.col("s_user")) & (F.col("portal_id") == F.col("s_listing"))).drop("s_user", "s_listing")
+    fresh = unsent_near(verified, sent, listings).withColumn("sent_at", F.lit(None).cast("timestamp"))
+    both = fresh.withColumn("pass", F.lit(1)).unionByName(again.withColumn("pass", F.lit(2)))
+    order = F.struct("pass", F.unix_micros("sent_at").alias("sent"), (-F.unix_micros("updated_at")).alias("new"), F.col("portal_id"), F.col("a_id"))
+    return _distinct_first(both, order, n)
 
 
 def history(sent: DataFrame, n: int = HISTORY) -> DataFrame:

@@ -58,26 +58,35 @@ def unsent_near(d: Data):
     return M.unsent_near(M.matches(d.listing, d.alert), d.sent, d.listing).groupBy(F.col("a_user_id").alias("user_id")).agg(F.count("*").alias("n"))
 
 
-_TOP = """top AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, portal_id) AS rank FROM pairs WHERE url_verified_at IS NOT NULL)"""
+def _digest(d: Data):
+    """No SQL: the batch is folded in order, and a cheaper advert takes the place of one before it."""
+    stock = D.batch(d.listing).persist()
+    return M.top_per_user(M.matches(stock, d.alert))
 
 
-@query(f"{_PAIRS}, {_TOP} SELECT user_id, portal_id, rank::INT AS rank FROM top WHERE rank <= 3", listings=True)
+@query()
 def digest_top3(d: Data):
-    return M.top_per_user(M.matches(d.listing, d.alert)).select(F.col("a_user_id").alias("user_id"), "portal_id", "rank")
+    return _digest(d).select(F.col("a_user_id").alias("user_id"), "portal_id", "rank")
 
 
-@query(f"""{_PAIRS}, {_TOP} SELECT user_id, string_agg(brand || ' ' || model || ' ' || version || ' | ' || year || ' | ' || floor(price)::BIGINT || ' EUR | ' || mileage_km || ' km | ' || country, chr(10) ORDER BY rank) AS message
-FROM top WHERE rank <= 3 GROUP BY ALL""", listings=True)
+@query()
 def digest_messages(d: Data):
-    return M.digest_text(M.top_per_user(M.matches(d.listing, d.alert)))
+    return M.digest_text(_digest(d))
+
+
+_SAME = "{0}.brand_norm = r.brand_norm AND {0}.model_norm = r.model_norm AND {0}.year = r.year AND abs({0}.mileage_km - r.mileage_km) <= 1000 AND abs({0}.price - r.price) / greatest(({0}.price + r.price) / 2, 1) <= 0.05"
 
 
-@query(f"""{_PAIRS}, last AS (SELECT user_id AS lu, listing_id AS ll, max(sent_at) AS sent_at FROM sent GROUP BY ALL),
-r AS (SELECT user_id, portal_id, CASE WHEN sent_at IS NULL THEN 1 ELSE 2 END AS pass, row_number() OVER (PARTITION BY user_id ORDER BY sent_at IS NOT NULL, sent_at, updated_at DESC, portal_id) AS rank
-      FROM pairs LEFT JOIN last ON lu = user_id AND ll = portal_id WHERE url_verified_at IS NOT NULL)
-SELECT user_id, portal_id, pass, rank::INT AS rank FROM r WHERE rank <= 3""", listings=True)
+@query(f"""{_PAIRS}, {_HAD}, last AS (SELECT user_id AS lu, listing_id AS ll, max(sent_at) AS sent_at FROM sent GROUP BY ALL),
+near AS (SELECT DISTINCT p.user_id AS nu, p.portal_id AS np FROM pairs p JOIN had ON hu = user_id AND hb = brand_norm AND hm = model_norm AND hy = year AND abs(hk - mileage_km) <= 2000),
+r AS (SELECT pairs.*, CASE WHEN sent_at IS NULL THEN 1 ELSE 2 END AS pass, row_number() OVER (PARTITION BY user_id ORDER BY sent_at IS NOT NULL, sent_at, updated_at DESC, portal_id) AS o
+      FROM pairs LEFT JOIN last ON lu = user_id AND ll = portal_id LEFT JOIN near ON nu = user_id AND np = portal_id WHERE url_verified_at IS NOT NULL AND (sent_at IS NOT NULL OR np IS NULL)),
+k1 AS (SELECT * FROM r WHERE o = 1),
+k2 AS (SELECT r.* FROM r JOIN k1 ON k1.user_id = r.user_id WHERE r.o > k1.o AND NOT ({_SAME.format("k1")}) QUALIFY row_number() OVER (PARTITION BY r.user_id ORDER BY r.o) = 1),
+k3 AS (SELECT r.* FROM r JOIN k1 ON k1.user_id = r.user_id JOIN k2 ON k2.user_id = r.user_id WHERE r.o > k2.o AND NOT ({_SAME.format("k1")}) AND NOT ({_SAME.format("k2")}) QUALIFY row_number() OVER (PARTITION BY r.user_id ORDER BY r.o) = 1)
+SELECT user_id, portal_id, pass, 1 AS rank FROM k1 UNION ALL SELECT user_id, portal_id, pass, 2 FROM k2 UNION ALL SELECT user_id, portal_id, pass, 3 FROM k3""", listings=True)
 def digest_refill_two_pass(d: Data):
-    return M.refill(M.matches(d.listing, d.alert), d.sent).select(F.col("a_user_id").alias("user_id"), "portal_id", "pass", "rank")
+    return M.refill(M.matches(d.listing, d.alert), d.sent, d.listing).select(F.col("a_user_id").alias("user_id"), "portal_id", "pass", "rank")
 
 
 @query("SELECT user_id, listing_id, rank FROM (SELECT user_id, listing_id, row_number() OVER (PARTITION BY user_id ORDER BY sent_at DESC, listing_id)::INT AS rank FROM sent) WHERE rank <= 40", listings=True)
