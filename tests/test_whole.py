@@ -1,12 +1,15 @@
 """Queries over small tables that earlier subsets left out, against brute force."""
 
+import math
 import random
+import statistics
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
 import pytest
 
 from tidemark.operators import dedup, matching
+from tidemark.plans import matching as plans
 from tidemark.plans import scalars
 
 CARS = "portal_id string, brand string, model string, version string, brand_norm string, model_norm string, year int, mileage_km int, price double, country string, updated_at timestamp, url_verified_at timestamp, url string"
@@ -118,3 +121,21 @@ def test_refill_skips_what_is_like_a_sent_advert(spark, seed):
         again = sorted((r for r in rows if r[11] and r[0] in last), key=lambda r: last[r[0]])
         want |= {(u, k + 1, p, 2 if p in last else 1) for k, p in enumerate(first_distinct(fresh + again))}
     assert {(r.a_user_id, r.rank, r.portal_id, r["pass"]) for r in got} == want and len(got) == len(want)
+
+
+def test_cheap_cars_have_a_score(spark):
+    rng = random.Random(5)
+    rows = [(f"p{i:03}", "b", f"m{rng.randrange(3)}", 2018 + rng.randrange(4), rng.randrange(0, 200_000, 20_000), float(rng.randrange(2_000, 90_000))) for i in range(200)]
+    rows += [("few", "b", "rare", 2020, 0, 50_000.0), ("free", "b", "m0", 2020, 0, 0.0)]
+    table = spark.createDataFrame(rows, "portal_id string, brand_norm string, model_norm string, year int, mileage_km int, price double")
+    want = set()
+    for p, _, m, y, k, c in rows:
+        like = [(r[4], r[5]) for r in rows if r[2] == m and abs(r[3] - y) <= 1 and r[5] > 0]
+        band = [x for x in like if abs(x[0] - k) <= max(20_000, k * 0.25)]
+        used = [x[1] for x in (band if len(band) >= 6 else like)]
+        if c > 0 and len(like) >= 6:
+            mid = statistics.median(used)
+            want.add((p, len(used), mid, math.floor((mid - c) / mid * 100 + 0.5)))
+    got = plans.deal_score(SimpleNamespace(listing=table)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 190
+    assert {r.c_id for r in plans.deal_score_labels(SimpleNamespace(listing=table)).collect()} == {w[0] for w in want}

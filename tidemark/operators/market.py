@@ -12,21 +12,25 @@ BAND_KM, BAND_SHARE = 20_000, 0.25
 
 
 def comparables(cars: DataFrame, listings: DataFrame) -> DataFrame:
-    """Each car (c_id, c_brand, c_model, c_year, c_km, c_price) with the priced adverts of its model within a year."""
-    around = cars.where("c_price > 0").withColumn("near_year", F.explode(F.array(F.col("c_year") - 1, F.col("c_year"), F.col("c_year") + 1)))
+    """Each car (c_brand, c_model, c_year, c_km) with the priced adverts of its model within a year."""
+    around = cars.withColumn("near_year", F.explode(F.array(F.col("c_year") - 1, F.col("c_year"), F.col("c_year") + 1)))
     stock = listings.where("price > 0").select("brand_norm", "model_norm", "year", "mileage_km", "price")
     return around.join(stock, (F.col("c_brand") == F.col("brand_norm")) & (F.col("c_model") == F.col("model_norm")) & (F.col("near_year") == F.col("year")))
 
 
 def deal_scores(cars: DataFrame, listings: DataFrame) -> DataFrame:
     """c_id, sample, median, pct: the exact median of comparables in the mileage band if there are enough, else of all;
-    cars with too few comparables have no score."""
+    cars with too few comparables have no score. Cars of one model, year and mileage have the same comparables, which are
+    gathered once for all of them."""
+    key = ["c_brand", "c_model", "c_year", "c_km"]
+    priced = cars.where("c_price > 0")
     band = F.abs(F.col("mileage_km") - F.col("c_km")) <= F.greatest(F.lit(float(BAND_KM)), F.col("c_km") * BAND_SHARE)
     inside = F.when(band, F.col("price"))
-    grouped = comparables(cars, listings).groupBy("c_id", "c_price").agg(F.count("*").alias("n"), F.count(inside).alias("n_band"), F.median("price").alias("all_median"), F.median(inside).alias("band_median"))
+    grouped = comparables(priced.select(*key).distinct(), listings).groupBy(*key).agg(F.count("*").alias("n"), F.count(inside).alias("n_band"), F.median("price").alias("all_median"), F.median(inside).alias("band_median"))
     enough = F.col("n_band") >= LEAST_SAMPLE
-    scored = grouped.where(F.col("n") >= LEAST_SAMPLE).select("c_id", "c_price", F.when(enough, F.col("n_band")).otherwise(F.col("n")).alias("sample"), F.when(enough, F.col("band_median")).otherwise(F.col("all_median")).alias("median"))
-    return scored.where("median > 0").withColumn("pct", js_round((F.col("median") - F.col("c_price")) / F.col("median") * 100).cast("int")).drop("c_price")
+    scored = grouped.where(F.col("n") >= LEAST_SAMPLE).select(*[F.col(c).alias(f"_{c}") for c in key], F.when(enough, F.col("n_band")).otherwise(F.col("n")).alias("sample"), F.when(enough, F.col("band_median")).otherwise(F.col("all_median")).alias("median"))
+    found = priced.join(scored.where("median > 0"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    return found.select("c_id", "sample", "median", js_round((F.col("median") - F.col("c_price")) / F.col("median") * 100).cast("int").alias("pct"))
 
 
 def deal_badge(pct: Column, sample: Column) -> Column:

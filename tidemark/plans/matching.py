@@ -167,12 +167,12 @@ def insert_skip_duplicates(d: Data):
 
 
 def _cars(d: Data):
-    return d.listing.where("price > 60000").select(F.col("portal_id").alias("c_id"), F.col("brand_norm").alias("c_brand"), F.col("model_norm").alias("c_model"), F.col("year").alias("c_year"), F.col("mileage_km").alias("c_km"), F.col("price").alias("c_price"))
+    return d.listing.select(F.col("portal_id").alias("c_id"), F.col("brand_norm").alias("c_brand"), F.col("model_norm").alias("c_model"), F.col("year").alias("c_year"), F.col("mileage_km").alias("c_km"), F.col("price").alias("c_price"))
 
 
 _DEAL = """g AS (SELECT c.portal_id AS c_id, c.price AS p, count(*) AS n, count(*) FILTER (abs(s.mileage_km - c.mileage_km) <= greatest(20000, c.mileage_km * 0.25)) AS nb, median(s.price) AS ma,
   median(s.price) FILTER (abs(s.mileage_km - c.mileage_km) <= greatest(20000, c.mileage_km * 0.25)) AS mb
-  FROM listing c JOIN listing s ON s.brand_norm = c.brand_norm AND s.model_norm = c.model_norm AND s.year BETWEEN c.year - 1 AND c.year + 1 WHERE c.price > 60000 AND s.price > 0 GROUP BY ALL),
+  FROM listing c JOIN listing s ON s.brand_norm = c.brand_norm AND s.model_norm = c.model_norm AND s.year BETWEEN c.year - 1 AND c.year + 1 WHERE c.price > 0 AND s.price > 0 GROUP BY ALL),
 s AS (SELECT c_id, CASE WHEN nb >= 6 THEN nb ELSE n END AS sample, CASE WHEN nb >= 6 THEN mb ELSE ma END AS median, p FROM g WHERE n >= 6),
 deal AS (SELECT c_id, sample, median, floor((median - p) / median * 100 + 0.5)::INT AS pct FROM s)"""
 
