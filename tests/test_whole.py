@@ -139,3 +139,10 @@ def test_cheap_cars_have_a_score(spark):
     got = plans.deal_score(SimpleNamespace(listing=table)).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 190
     assert {r.c_id for r in plans.deal_score_labels(SimpleNamespace(listing=table)).collect()} == {w[0] for w in want}
+
+
+def test_dear_adverts_are_written_and_met(spark):
+    rows = [("new", "src1", "m", 1_000, 90_000.0), ("dear", "src0", "n", 1_000, 80_000.0), ("near", "src1", "m", 20_000, 50_000.0), ("like", "src0", "m", 20_500, 51_000.0), ("made", "src1", "m", 40_000, 70_000.0), ("had", "src1", "m", 30_000, 70_000.0), ("none", "src1", "m", 7_000, 70_000.0), ("cheap", "src1", "o", 1_000, 9_000.0)]
+    table = spark.createDataFrame([(p, s, "b", m, 2020, k, c) for p, s, m, k, c in rows], "portal_id string, source_portal string, brand_norm string, model_norm string, year int, mileage_km int, price double")
+    got = {r.portal_id: r.action for r in plans.write_actions(SimpleNamespace(listing=table)).collect()}
+    assert got == {"new": "skipped_url", "near": "skipped_near", "made": "created", "had": "updated", "none": "skipped_url", "cheap": "skipped_url"}

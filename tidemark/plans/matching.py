@@ -141,11 +141,11 @@ def dedup_greedy(d: Data):
 def _new_and_target(d: Data):
     url = F.when(F.hash("portal_id") % 1 == 0, F.concat_ws("/", F.lit("http://x"), "brand_norm", "year", "mileage_km"))
     rows = d.listing.withColumn("url", F.when(F.col("mileage_km") % 7000 != 0, url).otherwise(""))
-    return rows.where("source_portal = 'src1' and price < 30000"), rows.where("(source_portal = 'src0' or mileage_km % 3000 = 0) and price < 40000")
+    return rows.where("source_portal = 'src1'"), rows.where("source_portal = 'src0' or mileage_km % 3000 = 0")
 
 
 @query(f"""x AS (SELECT *, CASE WHEN mileage_km % 7000 <> 0 THEN 'http://x/' || brand_norm || '/' || year || '/' || mileage_km ELSE '' END AS url FROM listing),
-n AS (SELECT * FROM x WHERE source_portal = 'src1' AND price < 30000), t AS (SELECT * FROM x WHERE (source_portal = 'src0' OR mileage_km % 3000 = 0) AND price < 40000),
+n AS (SELECT * FROM x WHERE source_portal = 'src1'), t AS (SELECT * FROM x WHERE source_portal = 'src0' OR mileage_km % 3000 = 0),
 near AS (SELECT DISTINCT a.portal_id AS np FROM n a JOIN t b ON {_NEAR})
 SELECT portal_id, CASE WHEN url = '' THEN 'skipped_url' WHEN portal_id IN (SELECT portal_id FROM t) THEN 'updated' WHEN url IN (SELECT url FROM t WHERE url <> '') THEN 'skipped_url'
   WHEN portal_id IN (SELECT np FROM near) THEN 'skipped_near' ELSE 'created' END AS action FROM n""", listings=True)
