@@ -9,6 +9,7 @@ from types import SimpleNamespace
 import pytest
 
 from tidemark.operators import dedup, matching
+from tidemark.plans import inventory
 from tidemark.plans import matching as plans
 from tidemark.plans import scalars
 
@@ -146,3 +147,10 @@ def test_dear_adverts_are_written_and_met(spark):
     table = spark.createDataFrame([(p, s, "b", m, 2020, k, c) for p, s, m, k, c in rows], "portal_id string, source_portal string, brand_norm string, model_norm string, year int, mileage_km int, price double")
     got = {r.portal_id: r.action for r in plans.write_actions(SimpleNamespace(listing=table)).collect()}
     assert got == {"new": "skipped_url", "near": "skipped_near", "made": "created", "had": "updated", "none": "skipped_url", "cheap": "skipped_url"}
+
+
+def test_catalogs_of_whole_sources_are_compared(spark):
+    rows = [("src0", "both", 95_000.0), ("src1", "both", 9_000.0), ("src0", "cheap a", 5_000.0), ("src1", "cheap b", 90_000.0), ("src1", "dear b", 99_000.0), ("src2", "other", 99_000.0)]
+    table = spark.createDataFrame(rows, "source_portal string, model string, price double")
+    got = {(r.model, r.side) for r in inventory.catalog_parity(SimpleNamespace(listing=table)).collect()}
+    assert got == {("cheap a", "only_a"), ("cheap b", "only_b"), ("dear b", "only_b")}

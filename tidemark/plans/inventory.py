@@ -210,10 +210,10 @@ def facet_prune_selected(d: Data):
     return d.listing.where("price < 20000").groupBy("brand_norm", "model_norm").agg(F.array_join(have, ",").alias("available"), F.array_join(F.array_intersect(wanted, have), ",").alias("kept"))
 
 
-@query("""a AS (SELECT DISTINCT model FROM listing WHERE source_portal = 'src0' AND price > 90000), b AS (SELECT DISTINCT model FROM listing WHERE source_portal = 'src1' AND price > 90000)
+@query("""a AS (SELECT DISTINCT model FROM listing WHERE source_portal = 'src0'), b AS (SELECT DISTINCT model FROM listing WHERE source_portal = 'src1')
 SELECT model, 'only_a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT model, 'only_b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""", listings=True)
 def catalog_parity(d: Data):
-    a, b = (d.listing.where((F.col("source_portal") == s) & (F.col("price") > 90_000)).select("model").distinct() for s in ("src0", "src1"))
+    a, b = (d.listing.where(F.col("source_portal") == s).select("model").distinct() for s in ("src0", "src1"))
     return a.exceptAll(b).withColumn("side", F.lit("only_a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("only_b")))
 
 
