@@ -154,3 +154,9 @@ def test_catalogs_of_whole_sources_are_compared(spark):
     table = spark.createDataFrame(rows, "source_portal string, model string, price double")
     got = {(r.model, r.side) for r in inventory.catalog_parity(SimpleNamespace(listing=table)).collect()}
     assert got == {("cheap a", "only_a"), ("cheap b", "only_b"), ("dear b", "only_b")}
+
+
+def test_every_old_dump_is_pruned(spark):
+    table = spark.createDataFrame([(k, DAY + timedelta(days=k)) for k in range(1, 30)], "event_id long, ts timestamp_ntz")
+    got = {r.path for r in plans.backup_prune(SimpleNamespace(table=lambda name: table)).collect()}
+    assert got == {f"dump-{k}" for k in range(1, 22)}

@@ -252,9 +252,9 @@ def privacy_purge(d: Data):
     return L.purge(d.alert, users, NOW).select("id")
 
 
-@query(f"SELECT path FROM (SELECT 'dump-' || event_id AS path, ts, max(struct_pack(ts, p := 'dump-' || event_id)) OVER () AS newest FROM events WHERE event_id % 50 = 0) WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY AND path <> newest.p")
+@query(f"SELECT path FROM (SELECT 'dump-' || event_id AS path, ts, max(struct_pack(ts, p := 'dump-' || event_id)) OVER () AS newest FROM events) WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY AND path <> newest.p")
 def backup_prune(d: Data):
-    files = d.table("events").where("event_id % 50 = 0").select(F.concat(F.lit("dump-"), "event_id").alias("path"), F.col("ts").cast("timestamp").alias("modificationTime"))
+    files = d.table("events").select(F.concat(F.lit("dump-"), "event_id").alias("path"), F.col("ts").cast("timestamp").alias("modificationTime"))
     now = d.table("events").agg(F.max("ts")).first()[0]
     return L.expired_files(files, now).select("path")
 
