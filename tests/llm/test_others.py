@@ -113,9 +113,8 @@ def vectors(spark):
     return rows, spark.createDataFrame([(*r, 1, "r", 2) for r in rows], "vec_id long, embedding array<double>, label int, cls int, root string, m int").repartition(5)
 
 
-@pytest.mark.parametrize("group", [20_000, 100])
-def test_embedding_forest(spark, monkeypatch, group):
-    monkeypatch.setattr(embeddings, "GROUP", group)
+@pytest.mark.parametrize("leaf", [2000, 200, 60])
+def test_embedding_forest(spark, leaf):
     rows, frame = vectors(spark)
     ok = [i for i, r in enumerate(rows) if r[1] and r[2] is not None and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
     parent, degree = list(range(len(rows))), Counter()
@@ -134,7 +133,7 @@ def test_embedding_forest(spark, monkeypatch, group):
             degree[ids[b]] += 1
             p, q = find(ids[a]), find(ids[b])
             parent[max(p, q)] = min(p, q)
-    got = embeddings.near_duplicates(frame).collect()
+    got = embeddings.near_duplicates(frame, leaf=leaf).collect()
     assert Counter(r.vec_id for r in got) == Counter(r[0] for r in rows)
     true, found = sum(degree.values()), sum(r.n_links for r in got)
     assert 0.97 * true <= found <= true
@@ -148,6 +147,37 @@ def test_embedding_forest(spark, monkeypatch, group):
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("noise", [0.02, 0.08, 0.12])
+def test_a_dense_cluster_is_neither_copied_nor_lost(spark, noise):
+    """A third of a label are near copies of one vector: well inside a core, about a core's edge, about the threshold."""
+    rng = np.random.default_rng(3)
+    n, dim = 9000, 64
+    x = rng.standard_normal((n, dim))
+    x[: n // 3] = x[0] + noise * rng.standard_normal((n // 3, dim))
+    x[n // 3 : n // 3 + 2000 : 2] = x[n // 3 + 1 : n // 3 + 2001 : 2] + 0.05 * rng.standard_normal((1000, dim))
+    frame = spark.createDataFrame([(i, [float(c) for c in v], 7) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(frame, leaf=128).collect()}
+    unit = embeddings.unit_rows(x)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    found = sum(r.n_links for r in got.values())
+    assert 0.99 * near.sum() <= found <= near.sum()
+    assert all(r.n_links <= near[r.vec_id].sum() for r in got.values())
+    root = np.arange(n)
+    while True:
+        new = np.minimum(root, np.where(near, root[None, :], n).min(1))
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    assert np.mean([got[i].component_id == root[i] for i in range(n)]) >= 0.99
+
+
+def test_unit_rows_of_huge_and_tiny_vectors():
+    x = embeddings.unit_rows(np.array([[1e200, 1e200], [2e200, 2e200], [1e-200, 1e-200], [3e-320, 3e-320]]))
+    assert np.allclose(x, np.sqrt(0.5))
+
+
 def test_embeddings_empty(spark):
     _, frame = vectors(spark)
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
