@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 import os
+import re
 from collections import Counter
 
 import duckdb
@@ -21,7 +22,7 @@ PAGES = "page_id long, url string, html string, host string, key string, sha1 st
 def pages(spark, small):
     rows = [
         (1, "https://A.Example.com/en/7x?q=1#f", "<p>one</p>"), (2, None, "<p>one</p>"), (3, "no scheme /en/", None), (None, "http://x.org/es/1", "<p>one</p>"), (4, "http://COM/en/", ""),
-        (4, "http://COM/en/", ""), (5, "http://example.com?x=/en/", "ü" * 100_000), (6, "http://my.doubleclick.net/x", "a"), (7, "http://notexample.com/en/7", "a"), (8, "http://b.example.net/de/8#", "b"), (9, "http://", "\x1f\x8b\x08"),
+        (4, "http://COM/en/", ""), (5, "http://example.com?x=/en/", "ü" * 100_000), (6, "http://my.free-bets.net/x", "a"), (60, "http://my.free-bets.net/de/x", "a"), (61, "https://www.adult-x.org/p/?utm_source=a&b=2&a=1#t", "a"), (62, "http://ads.com/q", "a"), (7, "http://notexample.com/en/7", "a"), (8, "http://b.example.net/de/8#", "b"), (9, "http://", "\x1f\x8b\x08"),
     ]
     odd = spark.createDataFrame([(*r, "h", "k", "s", 0, "v") for r in rows], PAGES)
     return odd.unionByName(spark.read.parquet(f"{small}/pages.parquet"), allowMissingColumns=True)
@@ -35,16 +36,20 @@ def plain_verdict(url):
     host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
     path = rest[cut:].split("?")[0].split("#")[0]
     best = None
-    for verdict, rule, named in [(v, r, r) for v, r in url_filter.RULES] + [("block", r, None) for r in url_filter.LISTED]:
+    for verdict, rule in url_filter.RULES:
         h, _, p = rule.partition("/")
         if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > best[0]):
-            best = (len(rule), named, verdict)
-    return host, path, best and best[1], best[2] if best else "allow"
+            best = (len(rule), rule, verdict)
+    unwanted = re.search(url_filter.NAMES, host)
+    return host, path, best and best[1], best[2] if best else "block" if unwanted else "allow"
 
 
-def test_url_filter(spark, pages):
-    got = url_filter.judge(pages, url_filter.rule_list(spark)).collect()
-    assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == Counter((r.page_id, *plain_verdict(r.url)) for r in pages.select("page_id", "url").collect())
+@pytest.mark.parametrize("most_blocks", [url_filter.MOST_BLOCKS, 0])
+def test_url_filter(spark, pages, most_blocks):
+    got = url_filter.judge(pages, url_filter.production_list(pages), most_blocks=most_blocks).collect()
+    want = Counter((r.page_id, *plain_verdict(r.url)) for r in pages.select("page_id", "url").collect())
+    assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == want
+    assert sum(n for k, n in want.items() if k[3] is None and k[4] == "block") >= 4
     assert url_filter.judge(pages.limit(0), url_filter.rule_list(spark)).count() == 0
     assert {r.verdict for r in url_filter.judge(pages, url_filter.rule_list(spark).limit(0)).collect()} == {"allow"}
 
@@ -58,6 +63,23 @@ def test_url_filter_with_a_list_of_pages(spark, pages):
     assert blocked == {p for p, k in keys.items() if k in bad}
 
 
+def test_url_filter_with_rules_of_very_many_shapes(spark):
+    rules = [("block", f"a.example.com/{'x' * n}") for n in range(0, 700, 2)] + [("allow", f"example.com/{'x' * 401}")]
+    urls = spark.createDataFrame([(n, f"http://b.a.example.com/{'x' * n}y") for n in range(0, 720, 7)] + [(None, None)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(urls, url_filter.rule_list(spark, rules)).collect()}
+    for n in range(0, 720, 7):
+        best = max((r for _, r in rules if f"b.a.example.com/{'x' * n}y".partition("/")[2].startswith(r.partition("/")[2])), key=len)
+        assert got[n] == (best, dict((r, v) for v, r in rules)[best])
+    assert got[None] == (None, "allow")
+
+
+def test_the_filter_as_a_table_passes_what_the_array_passes(spark):
+    listed = spark.range(3000).selectExpr("cast(id as string) as key")
+    keys = spark.range(50_000).selectExpr("'u' as url", "cast(id as string) as key")
+    passed = [sorted(r.key for r in url_filter.possible(keys, listed, most).collect()) for most in (1 << 21, 0)]
+    assert passed[0] == passed[1] and set(map(str, range(3000))) <= set(passed[0]) and len(passed[0]) < 3500
+
+
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(20_000).selectExpr("cast(id as string) as key")
     bloom = url_filter.build(keys)

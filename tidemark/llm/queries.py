@@ -23,7 +23,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_list(spark))
+    return url_filter.judge(pages := table(spark, sf_dir, "pages"), url_filter.production_list(pages))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
