@@ -56,7 +56,8 @@ TEXT = r"""
 3|0.99|apache-1.0|apache|apache (?:software )?licen[sc]e (?:version |v )?1 0
 3|0.98|apache-2.0|apache|apache 2 0(?: licen[sc]e)?
 3|0.98|apache-2.0|apache|licen[sc]ed under apache 2
-3|0.98|apache-2.0|asl|asl 2 0
+3|0.98|apache-2.0|asl|(?:licen[sc]e|licen[sc]ed under(?: the)?) asl 2 0
+3|0.98|apache-2.0|asl|asl 2 0 licen[sc]e
 2|0.95|apache|apache|apache (?:software )?licen[sc]e
 2|0.9|apache|apache|licen[sc]ed (?:to you )?under (?:the )?apache
 3|0.97|apache-2.0|apache|www apache org licenses license 2 0
@@ -67,7 +68,8 @@ TEXT = r"""
 3|0.96|mit|opensource|opensource org licenses mit
 1|0.9|mit|permission|permission is hereby granted free of charge to any person obtaining a copy
 3|0.98|mit-0|mit|mit no attribution licen[sc]e
-3|0.98|mit-0|mit|mit 0
+3|0.98|mit-0|mit|(?:licen[sc]e(?: identifier)?|licen[sc]ed under(?: the)?) mit 0
+3|0.98|mit-0|mit|mit 0 licen[sc]e
 2|0.8|x11|x11|x11 licen[sc]e
 3|0.99|bsd-3-clause|bsd|bsd 3 clause(?: licen[sc]e)?
 3|0.99|bsd-3-clause|bsd|(?:new|revised|modified) bsd licen[sc]e
@@ -104,7 +106,8 @@ TEXT = r"""
 3|0.99|epl-2.0|eclipse|eclipse public licen[sc]e (?:version |v )?2 0
 3|0.99|epl-1.0|eclipse|eclipse public licen[sc]e (?:version |v )?1 0
 2|0.95|epl|eclipse|eclipse public licen[sc]e
-3|0.97|epl-2.0|epl|epl 2 0
+3|0.97|epl-2.0|epl|(?:licen[sc]e(?: identifier)?|licen[sc]ed under(?: the)?) epl 2 0
+3|0.97|epl-2.0|epl|epl 2 0 licen[sc]e
 3|0.98|edl-1.0|eclipse|eclipse distribution licen[sc]e (?:version |v )?1 0
 3|0.99|cddl-1.1|common|common development and distribution licen[sc]e (?:version |v )?1 1
 3|0.99|cddl-1.0|common|common development and distribution licen[sc]e (?:version |v )?1 0
