@@ -24,8 +24,10 @@ from .common import bound_batches, text_or_empty
 #: A space between two white-space characters (or before the end) is where words can't be cut off by themselves.
 _RUN = re.compile(r"\s (?:\s|\Z)")
 
-#: Entries of a worker's memory of units, about; it starts anew when full, so a worker's memory is bounded.
-MEMORY = 600_000
+#: Patterns whose pre-tokens have a space only in front, or are white space altogether. Fixed value: the pattern as published.
+SPACED = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
+#: Bytes of a worker's memory of units, about; it starts anew when full. Longer units are not remembered.
+MEMORY, LONGEST = 128 << 20, 64
 #: Texts whose new units are encoded together.
 BLOCK = 256
 
@@ -83,49 +85,59 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
 class Codec:
     """Encodes texts to ids and decodes ids to bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, model: bytes | None = None):
         import regex
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model or model_bytes(ranks))
+        self.ranks, self.find, self.spaced = ranks, regex.compile(pattern).findall, pattern in SPACED
         self.to_chars = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
         back = {c: b for b, c in enumerate(byte_characters())}
         self.id_bytes = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(ranks))]
         self.id_names = [str(i) for i in range(len(ranks))]
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def units(self, text: str) -> list[str]:
-        """text in pieces that are cut into pre-tokens without regard to what stands around them. A pre-token has a
-        space only in front, or is white space altogether; so a single space with something else on either side
-        starts a new one, and a word can be taken with the space before it."""
-        if _RUN.search(text):
+        """text in pieces that are cut into pre-tokens without regard to what stands around them. With a SPACED pattern
+        a single space with something else on either side starts a new pre-token, and a word can be taken with the
+        space before it; with any other each pre-token is a piece."""
+        if not self.spaced or _RUN.search(text):
             return self.find(text)
         first, *rest = text.split(" ")
         return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
 
-    def learn(self, units: list[str]) -> None:
-        """Ids of new units; sentencepiece gets all their new pre-tokens in one call."""
-        tokens = {u: [u] if u[1:].isalpha() and (u[0] == " " or u[0].isalpha()) else self.find(u) for u in units}
+    def _tokens(self, unit: str) -> list[str]:
+        if not self.spaced or (unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha())):
+            return [unit]
+        return self.find(unit)
+
+    def learn(self, units: list[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of new units; sentencepiece gets all their new pre-tokens in one call. Short ones are remembered."""
+        tokens = {u: self._tokens(u) for u in units}
         raw = {t: t.encode("utf-8") for t in set(chain.from_iterable(tokens.values()))}
         ids = {t: (self.ranks[b],) if b in self.ranks else None for t, b in raw.items()}
         rest = [t for t, found in ids.items() if found is None]
         pieces = self.model.encode([raw[t].decode("latin-1").translate(self.to_chars) for t in rest], num_threads=1)
         ids |= dict(zip(rest, map(tuple, pieces), strict=True))
-        for u, ts in tokens.items():
-            self.known[u] = ids[ts[0]] if len(ts) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, ts)))
+        found = {u: ids[ts[0]] if len(ts) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, ts))) for u, ts in tokens.items()}
+        short = {u: x for u, x in found.items() if len(u) <= LONGEST}
+        more = sum(4 * len(u) + 8 * len(x) for u, x in short.items()) + 160 * len(short)
+        if self.held + more > MEMORY:
+            self.known, self.held = {}, 0
+        self.known |= short
+        self.held += more
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text."""
         for at in range(0, len(texts), BLOCK):
             units = list(map(self.units, texts[at : at + BLOCK]))
-            here = set().union(*units)
-            if len(self.known) + len(here) > MEMORY:
-                self.known.clear()
-            if new := [u for u in here if u not in self.known]:
-                self.learn(new)
+            here = {u: self.known.get(u) for u in set().union(*units)}
+            if new := [u for u, ids in here.items() if ids is None]:
+                here |= self.learn(new)
             for of_text in units:
-                yield list(chain.from_iterable(map(self.known.__getitem__, of_text)))
+                yield list(chain.from_iterable(map(here.__getitem__, of_text)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.id_bytes.__getitem__, ids))
@@ -136,10 +148,12 @@ class Codec:
 
 def _coded(docs: DataFrame, ranks_path: str, pattern: str, doc_col: str, text_col: str, schema: str, columns) -> DataFrame:
     bound_batches(docs.sparkSession)
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # the size of the vocabulary
+    ranks = read_ranks(ranks_path)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, model_bytes(ranks)))  # the size of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern)
+        ranks, model = shared.value
+        codec = Codec(ranks, pattern, model)
         for batch in batches:
             ids = codec.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns(codec, ids)], names=[x.split()[0] for x in schema.split(", ")])
