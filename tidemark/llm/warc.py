@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ from .common import bound_batches, cut, shared_dir, small_side
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range that one task scans, and of one read.
 RANGE, READ = 8 << 20, 1 << 18
+#: Bytes from which on a task begins another archive, and tasks of a reader at most.
+ARCHIVE, MOST_TASKS = 1 << 30, 200_000
 #: What is decoded of a candidate before it counts as a record.
 PROBE = b"WARC/1."
 
@@ -69,7 +72,7 @@ def revisits(pages: DataFrame, *, page_col: str = "page_id", html_col: str = "ht
     return slim.where(F.col("n") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("sha1", "first")
 
 
-def write(pages: DataFrame, folder: str, *, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
+def write(pages: DataFrame, folder: str, *, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, archive_bytes: int = ARCHIVE) -> DataFrame:
     """Write a record per row under folder; returns the manifest (path, bytes), materialised.
 
     Every attempt of a task writes a file of its own and the manifest names the files of those that succeeded, so lost
@@ -84,13 +87,22 @@ def write(pages: DataFrame, folder: str, *, page_col: str = "page_id", url_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        path, size = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
-        with store.open_output_stream(path, compression=None) as out:
-            for b in batches:
-                for page_id, url, html, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    again = first is not None and page_id != first
-                    size += out.write(member := record(page_id, url, html, digest(html), first, again)) or len(member)
-        yield pa.RecordBatch.from_pydict({"path": [path], "bytes": [size]})
+        out, path, size = None, "", 0
+        for b in batches:
+            for page_id, url, html, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if out is None:
+                    path, size = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
+                    out = store.open_output_stream(path, compression=None)
+                member = record(page_id, url, html, digest(html), first, first is not None and page_id != first)
+                out.write(member)
+                size += len(member)
+                if size >= archive_bytes:
+                    out.close()
+                    out = None
+                    yield pa.RecordBatch.from_pydict({"path": [path], "bytes": [size]})
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"path": [path], "bytes": [size]})
 
     return cut(rows.mapInArrow(run, "path string, bytes long"))
 
@@ -99,7 +111,7 @@ class _Window:
     """Reads of a file from a moving offset; what lies before the offset is let go."""
 
     def __init__(self, file, at: int):
-        self.file, self.at, self.bytes = file, at, b""
+        self.file, self.at, self.bytes = file, at, bytearray()
         file.seek(at)
 
     def more(self) -> bool:
@@ -108,7 +120,8 @@ class _Window:
         return bool(got)
 
     def skip(self, n: int) -> None:
-        self.bytes, self.at = self.bytes[n:], self.at + n
+        del self.bytes[:n]
+        self.at += n
 
 
 def _member(window: _Window) -> tuple[bytes, int] | None:
@@ -133,7 +146,18 @@ def _member(window: _Window) -> tuple[bytes, int] | None:
             seen += part[: len(PROBE)]
             if not PROBE.startswith(seen[: len(PROBE)]):
                 return None
-    return b"".join(out), fed - len(unpack.unused_data)
+    raw, length = b"".join(out), fed - len(unpack.unused_data)
+    while len(window.bytes) < length + len(MAGIC) and window.more():
+        pass
+    after = window.bytes[length : length + len(MAGIC)]
+    return (raw, length) if _is_record(raw) and MAGIC.startswith(bytes(after)) else None
+
+
+def _is_record(raw: bytes) -> bool:
+    """Whether a decoded member is one record of the length that its header states."""
+    head, blank, rest = raw.partition(b"\r\n\r\n")
+    stated = re.search(rb"\r\ncontent-length:\s*(\d+)\s*(?:\r\n|$)", head, re.IGNORECASE)
+    return bool(blank and stated) and len(rest) == int(stated[1]) + 4 and rest.endswith(b"\r\n\r\n")
 
 
 def records(file, start: int, end: int) -> Iterator[bytes]:
@@ -172,15 +196,16 @@ def _page(uri: str | None) -> int | None:
 
 
 def ranges(manifest: DataFrame, size: int = RANGE) -> DataFrame:
-    """(path, start, end) of byte ranges, dealt to as many tasks as there are ranges, up to the shuffle's partitions."""
+    """(path, start, end) of byte ranges."""
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(size).cast("long")))
     return manifest.where("bytes > 0").select("path", "bytes", cuts.alias("start")).select("path", "start", F.least(F.col("start") + size, F.col("bytes")).alias("end"))
 
 
 def read(manifest: DataFrame, folder: str, *, range_bytes: int = RANGE) -> DataFrame:
     """SCHEMA and payload (binary, null for revisits) of every record of the archives in the manifest."""
-    split = ranges(manifest, range_bytes)
-    spread = split.repartition(F.col("path"), F.col("start"))
+    n = manifest.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    # Rows are small and stand for much work: a stated number of partitions is one that Spark leaves as it is.
+    spread = ranges(manifest, range_bytes).repartition(min(int(n), MOST_TASKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
