@@ -13,8 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bound_batches, small_side, text_or_empty
 
@@ -128,10 +129,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_col: str = "doc_id", text_col
     """
     bound_batches(docs.sparkSession)
     usable = labels.where(F.col(doc_col).isNotNull() & F.col(quality_col).isin(0, 1) & (fold(doc_col) != HELD_OUT))
-    usable = usable.groupBy(F.col(doc_col).alias("_c_doc")).agg(F.min(quality_col).alias("_c_good"))
+    usable = usable.groupBy(F.col(doc_col).alias("labelled")).agg(F.min(quality_col).alias("good"))
     share = min(1.0, sample / max(1, usable.count()))
-    taken = usable.where(F.pmod(F.xxhash64("_c_doc", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = docs.join(small_side(taken, 2 * sample), F.col(doc_col) == F.col("_c_doc")).select(text_or_empty(text_col).cast("binary"), F.col("_c_good").cast("int"))
+    taken = usable.where(F.pmod(F.xxhash64("labelled", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    slim = docs.select(F.col(doc_col).alias("doc"), text_or_empty(text_col).cast("binary").alias("text"))
+    rows = slim.join(small_side(taken, 2 * sample), F.col("doc") == F.col("labelled")).select("text", F.col("good").cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,37 +146,39 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_col: str = "doc_id", text_col
     return train(x, np.array([r.y for r in found], float))
 
 
-def _scored(docs: DataFrame, trees: Trees, keep: list[str], text_col: str) -> DataFrame:
+def _scored(docs: DataFrame, trees: Trees, keep: Column, text_col: str) -> DataFrame:
+    """(kept, score): a column of docs and the score of the row's text."""
     bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((trees.feature, trees.threshold, trees.value, trees.prior))  # some 30 kB
-    source = docs.select(*keep, text_or_empty(text_col).cast("binary").alias("_c_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
+    source = docs.select(keep.alias("kept"), text_or_empty(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = Trees(*model.value)
         for b in batches:
-            x = np.array([statistics(t) for t in b.column(len(keep)).to_pylist()]).reshape(b.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(trees.score(x))], names=[*keep, "_c_score"])
+            x = np.array([statistics(t) for t in b.column(1).to_pylist()]).reshape(b.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(trees.score(x))], names=["kept", "score"])
 
-    return source.mapInArrow(run, f"{schema}, _c_score double")
+    return source.mapInArrow(run, StructType([source.schema["kept"], StructField("score", DoubleType())]))
 
 
 def score(docs: DataFrame, labels: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from the threshold on), one row per row of docs.
 
     Null texts count as empty and are scored as well; a null id is in no fold, so held_out is false; an empty table
-    gives an empty result, and without labels the score is 0.5 throughout.
+    gives an empty result, and without labels the score is 0.5 throughout; other columns are ignored.
     """
     trees = fit(docs, labels, doc_col=doc_col, text_col=text_col, quality_col=quality_col, sample=sample)
-    return _scored(docs, trees, [doc_col], text_col).select(
-        F.col(doc_col).alias("doc_id"),
-        F.coalesce(fold(doc_col) == HELD_OUT, F.lit(False)).alias("held_out"),
-        F.col("_c_score").alias("score"),
-        (F.col("_c_score") >= threshold).cast("int").alias("predicted"),
+    return _scored(docs, trees, F.col(doc_col), text_col).select(
+        F.col("kept").alias("doc_id"),
+        F.coalesce(fold("kept") == HELD_OUT, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier accepts, with their own columns; texts are read once more and not shuffled."""
+    """The rows of docs that the classifier accepts, with their own columns, of any names; texts are read once more and
+    not shuffled."""
     trees = fit(docs, labels, doc_col=doc_col, text_col=text_col, quality_col=quality_col, sample=sample)
-    return _scored(docs, trees, docs.columns, text_col).where(F.col("_c_score") >= threshold).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return _scored(docs, trees, row, text_col).where(F.col("score") >= threshold).select("kept.*")
