@@ -14,10 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, small_side, text_or_empty, word_count
+from .common import cut, small_side, text_or_empty, word_count
 
 #: Documents in a bucket, about: what one task sorts.
 BUCKET_ROWS = 4096
+#: Copies of a row that are made at once.
+COPIES = 65_536
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
@@ -53,9 +55,11 @@ def sort_key(seed: str, doc_col: str, text_col: str) -> Column:
 
 
 def positions(docs: DataFrame, weights: Sequence[float], max_repeat: int, seed: str, doc_col: str, text_col: str, source_col: str, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with `before`, the words ahead of them in their source's order, and the sources with their budgets."""
-    rows = cut(docs.select(F.col(doc_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"), sort_key(seed, doc_col, text_col).alias("key")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
+    """Documents with `before`, the words ahead of them in their source's order, and the sources with their budgets.
+    Equal rows are one row with their number n, so a document repeated any number of times is no bucket of its own."""
+    slim = docs.select(F.col(doc_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"), sort_key(seed, doc_col, text_col).alias("key"))
+    rows = cut(slim.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("n")))
+    sizes = rows.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.count("*").alias("n_rows"))
     sources = cut(
         source_targets(sizes, weights, max_repeat)
         .withColumn("budget", F.round("target").cast("long"))
@@ -67,11 +71,12 @@ def positions(docs: DataFrame, weights: Sequence[float], max_repeat: int, seed:
     rows = rows.join(small_side(sources), F.col("source").eqNullSafe(F.col("of_source"))).withColumn(
         "bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("n_buckets") / F.lit(1 << 32))
     )
-    sums = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("bucket_size"))
+    sums = rows.groupBy("rank", "bucket").agg(F.sum(F.col("n") * F.col("size")).alias("bucket_size"))
     ahead = F.sum("bucket_size").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("bucket_size")
     offsets = sums.select("rank", "bucket", ahead.alias("offset"))
+    words = F.col("n") * F.col("size")
     inside = Window.partitionBy("rank", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.join(offsets, ["rank", "bucket"]).withColumn("before", F.col("offset") + F.sum("size").over(inside) - F.col("size")), sources
+    return rows.join(offsets, ["rank", "bucket"]).withColumn("before", F.col("offset") + F.sum(words).over(inside) - words), sources
 
 
 def mix(docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), max_repeat: int = 3, seed: str = "mix", doc_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -82,7 +87,9 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), max_repeat: in
     table gives an empty result; other columns are ignored.
     """
     rows, _ = positions(docs, weights, max_repeat, seed, doc_col, text_col, source_col, bucket_rows)
-    part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("before")))
+    some = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long")))
+    rows = rows.select("*", some.alias("first")).select("*", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + COPIES, F.col("n")) - 1)).alias("copy"))
+    part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("before") - F.col("copy") * F.col("size")))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
 
 
@@ -92,24 +99,20 @@ def mixed_documents(docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), ma
     The one document of a source at which its budget ends stays whole if at least half of it is within the budget.
     Texts are not shuffled: a source's place in its order at which the budget ends is one row, and each document
     compares its own key with it. Documents without words are in no mix. Rows that repeat an id and a text count at
-    the same place in the order, so at the end of a budget they stay or go together.
+    the same place in the order, so at the end of a budget they stay or go together. Columns of any names are carried along.
     """
     rows, sources = positions(docs, weights, max_repeat, seed, doc_col, text_col, source_col, bucket_rows)
-    at_end = (F.col("size") > 0) & (F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") >= F.col("rest"))
+    at_end = (F.col("size") > 0) & (F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") * F.col("size") >= F.col("rest"))
     ends = rows.where(at_end).groupBy("rank").agg(
-        F.min(F.struct("key", "size", (2 * (F.col("rest") - F.col("before")) >= F.col("size")).alias("stays"))).alias("end")
-    )
-    budgets = cut(sources.join(ends, "rank", "left").select(F.col("of_source").alias("_mix_source"), F.col("epochs").alias("_mix_epochs"), F.col("end").alias("_mix_end")))
-    place = F.struct(sort_key(seed, doc_col, text_col), word_count(text_or_empty(text_col)))
-    end = F.struct(F.col("_mix_end.key"), F.col("_mix_end.size"))
-    copies = F.col("_mix_epochs") + F.when(F.col("_mix_end").isNull(), 0).when(place < end, 1).when((place == end) & F.col("_mix_end.stays"), 1).otherwise(0)
-    return (
-        docs.join(small_side(budgets), F.col(source_col).eqNullSafe(F.col("_mix_source")))
-        .withColumn("_mix_copies", F.when(F.length(F.regexp_replace(text_or_empty(text_col), SPACE, "")) > 0, copies).otherwise(0).cast("int"))
-        .where("_mix_copies > 0")
-        .withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies"))))
-        .select(*docs.columns)
+        F.min(F.struct("key", "size", (2 * (F.col("rest") - F.col("before")) >= F.col("n") * F.col("size")).alias("stays"))).alias("end")
     )
+    budgets = cut(sources.join(ends, "rank", "left").select("of_source", "epochs", "end"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(row.alias("row"), F.col(source_col).alias("source"), sort_key(seed, doc_col, text_col).alias("key"), word_count(text_or_empty(text_col)).alias("size"))
+    place, end = F.struct("key", "size"), F.struct("end.key", "end.size")
+    copies = F.col("epochs") + F.when(F.col("end").isNull(), 0).when(place < end, 1).when((place == end) & F.col("end.stays"), 1).otherwise(0)
+    placed = own.where("size > 0").join(small_side(budgets), F.col("source").eqNullSafe(F.col("of_source")))
+    return placed.select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("row.*")
 
 
 ORACLE = r"""
