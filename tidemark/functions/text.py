@@ -162,6 +162,42 @@ def fuel_type(c: Column) -> Column:
     return out.otherwise("Unknown")
 
 
+def labelled_fuel(c: Column) -> Column:
+    """The fuel that a portal's label stands for, commas aside; null if it names none."""
+    found = fuel_type(F.replace(filled(c), F.lit(","), F.lit("")))
+    return F.when(found != "Unknown", found)
+
+
+# Whole labels that a list portal gives fuels; a label that only contains hybrid is one, too.
+LIST_LABELS = {
+    "Diesel": ("diesel", "diésel", "gasóleo", "gasoleo", "gasoil"),
+    "Petrol": ("petrol", "gasoline", "gasolina", "benzin", "benzine", "essence", "nafta"),
+    "Hybrid": ("hybrid", "híbrid", "híbrido", "hibrid", "hibrido", "phev", "plug-in", "plugin"),
+    "Electric": ("electric", "eléctric", "electrico", "eléctrico", "electrica", "eléctrica", "elektro", "elektrisch", "ev", "bev"),
+    "LPG": ("lpg", "gpl", "autogas", "cng", "gnc"),
+}
+
+
+def list_label_fuel(c: Column) -> Column:
+    """The fuel of a list portal's label, which must be the whole of it; null for any other."""
+    t = F.trim(F.lower(filled(c)))
+    out = F
+    for name, labels in LIST_LABELS.items():
+        out = out.when(t.isin(*labels) | (t.contains("hybrid") if name == "Hybrid" else F.lit(False)), name)
+    return out.otherwise(None)
+
+
+def lookup_keys(c: Column) -> Column:
+    """Spellings under which a catalog may have a model, in the order in which they are tried: as written, canonical, aliases."""
+    soft = soft_model(c)
+    return F.filter(F.array_distinct(F.concat(F.array(soft, canonical_model(soft)), model_aliases(c))), lambda k: k != "")
+
+
+def resolved_tokens(stored: Column, version: Column) -> Column:
+    """The stored tokens if there are any, else those of the version text."""
+    return F.when(F.size(stored) > 0, stored).otherwise(version_tokens(version))
+
+
 def transmission(c: Column) -> Column:
     t = F.trim(F.lower(filled(c)))
     out = F.when(t == "", "Unknown")

@@ -13,14 +13,19 @@ from ..operators import stats as S
 from .registry import Data, query
 from .scalars import expected
 
-expected("hint_price", "long", [("around 70.000 please", 70000), ("€ 12500", 12500), ("12,5k for it", 12500), ("about 900", None), ("a red car", None), ("20.000 euros", 20000)], T.hinted_price)
+expected("hint_price", "long", [("around 70.000 please", 70000), ("€ 12500", 12500), ("12,5k for it", 12500), ("about 900", None), ("a red car", None), ("20.000 euros", 20000), ("80.000 km, about 15.500", 15500), ("~ 70k", 70000), ("unos 9.900,", 9900), ("2018 Golf 18k", 18000), ("600.000 €", None)], T.hinted_price)
 expected("hint_year", "long", [("from 2018 or so", 2018), ("an old 1999", 1999), ("car 20", None)], T.hinted_year)
-expected("hint_km", "long", [("with 85.000 km", 85000), ("120000 kilometers", 120000), ("900000 km", None), ("km", None)], T.hinted_km)
-expected("intent_again", "long", [("send it again", 1), ("otra vez por favor", 1), ("a new one", 0)], lambda c: T.wants_again(c).cast("long"))
-expected("intent_broken", "long", [("the link is broken", 1), ("el anuncio no funciona", 1), ("dead url", 1), ("nice link", 0)], lambda c: T.reports_broken(c).cast("long"))
-expected("country_detect", "string", [("Autohaus Berlin", "DE"), ("Madrid centro", "ES"), ("somewhere", "EU")], T.country_of_text)
+expected("hint_km", "long", [("with 85.000 km", 85000), ("120000 kilometers", 120000), ("900000 km", None), ("km", None), ("0 km", None), ("12 500 kilometros", 500)], T.hinted_km)
+expected("intent_again", "long", [("send it again", 1), ("otra vez por favor", 1), ("a new one", 0), ("please re-send it", 1), ("the same car as before", 1), ("I lost the link", 1), ("Mándame el enlace", 1), ("reenvíalo", 0), ("reenvía eso", 1), ("perdí el link", 1), ("against", 0), ("same colour", 0), ("send me a link", 0)], lambda c: T.wants_again(c).cast("long"))
+expected("intent_broken", "long", [("the link is broken", 1), ("el anuncio no funciona", 1), ("dead url", 1), ("nice link", 0), ("the listing doesn't work", 1), ("El enlace está caído", 1), ("404 on that ad", 1), ("not working as a dealer, nice ad", 0), ("roto el anuncio", 1), ("broken car", 0)], lambda c: T.reports_broken(c).cast("long"))
+expected("country_detect", "string", [("Autohaus Berlin", "DE"), ("Madrid centro", "ES"), ("somewhere", "EU"), ("Suède", "SE"), ("Bruxelles, Belgique", "BE"), ("pt", "PT"), ("Czech Republic", "CZ"), ("Royaume-Uni", "GB"), ("", "EU")], T.country_of_text)
 expected("spec_match", "long", [("2.0 TFSI,Italy,BE", 1), ("S-Line", 1), ("diesel", 0), ("quattro sport", 0), ("", 1)], lambda c: T.has_specs(F.lit("TT 2.0 TFSI quattro s line"), F.split(c, ",")).cast("long"))
-expected("engine_fuel_compatible", "long", [("2.0 tdi", 1), ("1.0 tsi", 0), ("e-tron", 0), ("2.0", 0)], lambda c: T.engine_fits_fuel(c, ("Diesel",)).cast("long"))
+expected("engine_fuel_compatible", "long", [("2.0 tdi", 1), ("1.0 tsi", 0), ("e-tron", 0), ("2.0", 0), ("2.0 BlueHDi 150", 1), ("1.5 dCi", 1), ("tdix", 0)], lambda c: T.engine_fits_fuel(c, ("Diesel",)).cast("long"))
+expected("engine_petrol_compatible", "long", [("2.0 tdi", 0), ("1.0 tsi", 1), ("1.8 hybrid", 1), ("e-tron 50", 0), ("3.2 v6", 1), ("1.5 etsi", 1), ("hybrid diesel", 1)], lambda c: T.engine_fits_fuel(c, ("Gasolina",)).cast("long"))
+expected("fuel_labels", "string", [("Diésel", "Diesel"), ("Plug-in", "Hybrid"), ("Mild hybrid petrol", "Hybrid"), ("eléctrica", "Electric"), ("LPG", "LPG"), ("2.0 diesel", None), ("", None), ("EV", "Electric")], X.list_label_fuel)
+expected("portal_fuel_labels", "string", [("Diésel, gasóleo", "Diesel"), ("2.0 diesel", "Diesel"), ("Benzin", "Petrol"), ("Autogas", "LPG"), ("", None), ("?", None)], X.labelled_fuel)
+expected("model_lookup_keys", "string", [("4 Series", "4 series,serie 4,series 4,4er,4 er"), ("Golf", "golf"), ("G-Wagon", "g wagon,clase g,g class,g klasse,class g,gwagen,g wagen")], lambda c: F.array_join(X.lookup_keys(c), ","))
+expected("stored_tokens_first", "string", [("2.0 tdi", "2.0,tdi,2.0 tdi"), ("s line|2.0 TDI", "s line")], lambda c: F.array_join(X.resolved_tokens(F.when(c.contains("|"), F.array(F.substring_index(c, "|", 1))).otherwise(F.array().cast("array<string>")), c), ","))
 
 
 @query("SELECT portal_id, price FROM (SELECT portal_id, CASE WHEN price BETWEEN 1 AND 9 OR price BETWEEN 10 AND 99 THEN price * 1000 ELSE price END AS price, mileage_km, year FROM listing WHERE portal_id NOT LIKE '%-7') WHERE price > 0 AND price <= 1e9 AND mileage_km > 0 AND year > 0", listings=True)

@@ -24,13 +24,13 @@ def values(*rows) -> str:
 
 def expected(name: str, schema: str, rows: list[tuple], f) -> None:
     """Register a query over literal inputs whose results are known: rows are (input, result), f makes result of input.
-    The inputs meet a few nations, so that the expression runs over table rows and is not folded away."""
+    The inputs meet all nations, so that the expression runs over table rows and is not folded away."""
     kind = "VARCHAR" if schema == "string" else "BIGINT"
 
-    @query(f"SELECT n_nationkey, a AS input, CAST(b AS {kind}) AS result FROM nation, (VALUES {values(*rows)}) v(a, b) WHERE n_nationkey < 3", name=name)
+    @query(f"SELECT n_nationkey, a AS input, CAST(b AS {kind}) AS result FROM nation, (VALUES {values(*rows)}) v(a, b)", name=name)
     def run(d: Data):
         inputs = d.rows([(r[0],) for r in rows], "input string")
-        nations = d.table("nation").where("n_nationkey < 3").select("n_nationkey")
+        nations = d.table("nation").select("n_nationkey")
         return nations.crossJoin(F.broadcast(inputs)).withColumn("result", f(F.col("input")).cast("string" if schema == "string" else "long"))
 
 
@@ -55,10 +55,10 @@ expected("chat_markdown", "string", [("### Title", "<b>Title</b>"), ("a **b** <c
 expected("text_clean", "string", [("a\u00a0b   c", "a b c")], X.clean_text)
 
 
-@query(f"SELECT n_nationkey, a AS price, CAST(b AS DOUBLE) AS result FROM nation, (VALUES (0.0, NULL), (5.0, 5000.0), (9.5, 9.5), (50.0, 50000.0), (99.5, 99.5), (500.0, 500.0), (1e9, 1e9), (1000000001.0, NULL)) v(a, b) WHERE n_nationkey < 3")
+@query(f"SELECT n_nationkey, a AS price, CAST(b AS DOUBLE) AS result FROM nation, (VALUES (0.0, NULL), (5.0, 5000.0), (9.5, 9.5), (50.0, 50000.0), (99.5, 99.5), (500.0, 500.0), (1e9, 1e9), (1000000001.0, NULL)) v(a, b)")
 def price_sanitize(d: Data):
     prices = d.rows([(x,) for x in (0.0, 5.0, 9.5, 50.0, 99.5, 500.0, 1e9, 1000000001.0)], "price double")
-    return d.table("nation").where("n_nationkey < 3").select("n_nationkey").crossJoin(F.broadcast(prices)).withColumn("result", N.sanitize_price(F.col("price")))
+    return d.table("nation").select("n_nationkey").crossJoin(F.broadcast(prices)).withColumn("result", N.sanitize_price(F.col("price")))
 
 
 _FOLD = "translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
@@ -113,10 +113,10 @@ BRANDS = ["volkswagen", "mercedes-benz", "alfa romeo", "land rover", "audi", "bm
 TYPED = [("Volkwagen", "volkswagen"), ("Mercdes", "mercedes-benz"), ("mercedez", "mercedes-benz"), ("Alfa", "alfa romeo"), ("Landrover", "land rover"), ("VW", "volkswagen"), ("merc", "mercedes-benz"), ("chevy", "chevrolet"), ("Audi", "audi"), ("Pegueot", "peugeot"), ("xyzzy", None)]
 
 
-@query(f"SELECT c_custkey, a AS typed, b AS best FROM customer, (VALUES {values(*TYPED)}) v(a, b) WHERE c_custkey <= 5")
+@query(f"SELECT c_custkey, a AS typed, b AS best FROM customer, (VALUES {values(*TYPED)}) v(a, b)")
 def fuzzy_brand_resolve(d: Data):
     typed = d.rows([(t,) for t, _ in TYPED], "typed string")
-    inputs = d.table("customer").where("c_custkey <= 5").select("c_custkey").crossJoin(F.broadcast(typed))
+    inputs = d.table("customer").select("c_custkey").crossJoin(F.broadcast(typed))
     return Z.resolve(inputs, d.rows([(b,) for b in BRANDS], "brand string"), "typed", "brand", Z.brand_score).select("c_custkey", "typed", "best")
 
 
@@ -124,20 +124,20 @@ MODELS = ["golf", "golf gti", "leon", "serie 4", "clase a", "a4", "208", "duster
 TYPED_MODELS = [("Golff", "golf"), ("4 Series", "serie 4"), ("A Klasse", "clase a"), ("Leon FR", "leon"), ("Dustre", "duster"), ("zzz", None), ("Range Rover Sprt", "range rover sport")]
 
 
-@query(f"SELECT c_custkey, a AS typed, b AS best FROM customer, (VALUES {values(*TYPED_MODELS)}) v(a, b) WHERE c_custkey <= 5")
+@query(f"SELECT c_custkey, a AS typed, b AS best FROM customer, (VALUES {values(*TYPED_MODELS)}) v(a, b)")
 def fuzzy_model_resolve(d: Data):
     typed = d.rows([(t,) for t, _ in TYPED_MODELS], "typed string")
-    inputs = d.table("customer").where("c_custkey <= 5").select("c_custkey").crossJoin(F.broadcast(typed))
+    inputs = d.table("customer").select("c_custkey").crossJoin(F.broadcast(typed))
     return Z.resolve(inputs, d.rows([(m,) for m in MODELS], "model string"), "typed", "model", Z.model_score).select("c_custkey", "typed", "best")
 
 
 LOOSE = [("Leon FR", "leon", 1), ("golf gti", "golf", 1), ("Audi", "bmw", 0), ("range rover", "rover range", 1), ("megane", "megan", 1), ("a4", "a5", 0)]
 
 
-@query(f"SELECT n_nationkey, a, b, c::BIGINT AS fits FROM nation, (VALUES {values(*LOOSE)}) v(a, b, c) WHERE n_nationkey < 2")
+@query(f"SELECT n_nationkey, a, b, c::BIGINT AS fits FROM nation, (VALUES {values(*LOOSE)}) v(a, b, c)")
 def loose_name_match(d: Data):
     pairs = d.rows([(a, b) for a, b, _ in LOOSE], "a string, b string")
-    return d.table("nation").where("n_nationkey < 2").select("n_nationkey").crossJoin(F.broadcast(pairs)).withColumn("fits", Z.loosely(F.col("a"), F.col("b")).cast("long"))
+    return d.table("nation").select("n_nationkey").crossJoin(F.broadcast(pairs)).withColumn("fits", Z.loosely(F.col("a"), F.col("b")).cast("long"))
 
 
 _RECOVER = """sc AS (SELECT *, CASE WHEN abs(price - 40000) / 40000 > 0.35 OR abs(year - 1995) > 2 OR abs(mileage_km - 20000) / 20000.0 > 0.55 THEN -1 ELSE
