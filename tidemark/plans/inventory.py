@@ -17,6 +17,7 @@ _ROLLUP = """count(*) AS n, min(price) AS min_price, max(price) AS max_price, su
   coalesce(max(CASE WHEN power_hp > 0 THEN power_hp END), 0) AS max_power,
   coalesce(avg(CASE WHEN power_hp > 0 THEN power_hp END), 0) AS avg_power"""
 _FUELS = "coalesce(string_agg(DISTINCT fuel_type, ',' ORDER BY fuel_type), '') AS fuels"
+_ENGINES = "string_agg(DISTINCT version, ',' ORDER BY version) AS engines"
 #: Versions here are two plain lower-case words: tokens are the words and the pair.
 _TOKENS = """tok AS (SELECT l.*, unnest(list_distinct(list_filter(string_split(version, ' '), lambda w: length(w) >= 2)
                       || CASE WHEN contains(version, ' ') AND length(version) <= 24 THEN [version] ELSE [] END)) AS token FROM listing l)"""
@@ -28,18 +29,18 @@ def listing_projection(d: Data):
     return d.listing.select("portal_id", "source_portal", "brand_norm", "model_norm", "version", "year", "mileage_km", "price", "fuel_type", "power_hp", "country")
 
 
-@query(f"SELECT brand_norm, model_norm, {_ROLLUP}, {_FUELS}, string_agg(DISTINCT version, ',' ORDER BY version) AS engines FROM listing WHERE {_USABLE} GROUP BY ALL", listings=True)
+@query(f"SELECT brand_norm, model_norm, {_ROLLUP}, {_FUELS}, {_ENGINES} FROM listing WHERE {_USABLE} GROUP BY ALL", listings=True)
 def inventory_stats_base(d: Data):
     return S.base_rollup(d.listing)
 
 
-@query(f"{_TOKENS} SELECT brand_norm, model_norm, token, {_ROLLUP}, {_FUELS} FROM tok WHERE {_USABLE} GROUP BY ALL HAVING count(*) >= 3", listings=True)
+@query(f"{_TOKENS} SELECT brand_norm, model_norm, token, {_ROLLUP}, {_FUELS}, {_ENGINES} FROM tok WHERE {_USABLE} GROUP BY ALL HAVING count(*) >= 3", listings=True)
 def inventory_stats_tokens(d: Data):
     return S.token_rollup(d.listing)
 
 
-@query(f"""{_TOKENS} SELECT brand_norm, model_norm, token, {_ROLLUP}, {_FUELS} FROM tok WHERE {_USABLE} GROUP BY ALL HAVING count(*) >= 3
-  UNION ALL SELECT brand_norm, model_norm, '' AS token, {_ROLLUP}, {_FUELS} FROM listing WHERE {_USABLE} GROUP BY ALL""", listings=True)
+@query(f"""{_TOKENS} SELECT brand_norm, model_norm, token, {_ROLLUP}, {_FUELS}, {_ENGINES} FROM tok WHERE {_USABLE} GROUP BY ALL HAVING count(*) >= 3
+  UNION ALL SELECT brand_norm, model_norm, '' AS token, {_ROLLUP}, {_FUELS}, {_ENGINES} FROM listing WHERE {_USABLE} GROUP BY ALL""", listings=True)
 def inventory_stats_all(d: Data):
     return S.full_rollup(d.listing)
 
@@ -86,8 +87,7 @@ def fuel_slice_counts(d: Data):
 
 @query(f"{_TOKENS} SELECT token, count(*) AS n FROM tok GROUP BY ALL ORDER BY n DESC, token LIMIT 80", listings=True)
 def version_top80(d: Data):
-    tokens = d.listing.select(F.explode(X.version_tokens(F.col("version"))).alias("token"))
-    return tokens.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(80)
+    return S.top_tokens(d.listing, 80)
 
 
 SCOPE = Scope(brand="brand#12", fuels=("Diesel", "Hybrid"), max_price=60_000.0, min_year=1993, max_km=40_000, min_power=60)
@@ -115,7 +115,7 @@ def facet_cascade_reset(d: Data):
     return d.listing.where(SCOPE.after("fuels", ("Petrol",)).matches()).agg(F.count("*").alias("n"))
 
 
-_PARTS = "p AS (SELECT brand_norm, model_norm, " + _ROLLUP + " FROM listing GROUP BY ALL)"
+_PARTS = f"p AS (SELECT brand_norm, model_norm, {_ROLLUP}, {_FUELS}, {_ENGINES} FROM listing GROUP BY ALL)"
 
 
 @query(f"""SELECT brand_norm, {_ROLLUP.replace(", coalesce(min(CASE WHEN power_hp > 0 THEN power_hp END), 0) AS min_power", "").replace("coalesce(max(CASE WHEN power_hp > 0 THEN power_hp END), 0) AS max_power,", "")} FROM listing GROUP BY ALL""", listings=True)
@@ -125,11 +125,11 @@ def brand_summary(d: Data):
 
 @query(f"""{_PARTS} SELECT brand_norm, sum(n)::BIGINT AS n, min(min_price) AS min_price, max(max_price) AS max_price, sum((avg_price * n)::DECIMAL(18,4))::DOUBLE / sum(n) AS avg_price,
   min(min_year) AS min_year, max(max_year) AS max_year, sum((avg_year * n)::DECIMAL(18,4))::DOUBLE / sum(n) AS avg_year, min(min_km) AS min_km, max(max_km) AS max_km,
-  sum((avg_km * n)::DECIMAL(18,4))::DOUBLE / sum(n) AS avg_km, coalesce(sum(CASE WHEN avg_power > 0 THEN (avg_power * n)::DECIMAL(18,4) END)::DOUBLE / sum(CASE WHEN avg_power > 0 THEN n END), 0) AS avg_power
+  sum((avg_km * n)::DECIMAL(18,4))::DOUBLE / sum(n) AS avg_km, coalesce(sum(CASE WHEN avg_power > 0 THEN (avg_power * n)::DECIMAL(18,4) END)::DOUBLE / sum(CASE WHEN avg_power > 0 THEN n END), 0) AS avg_power, coalesce(min(CASE WHEN min_power > 0 THEN min_power END), 0) AS min_power, max(max_power) AS max_power,
+  array_to_string(list_sort(list_distinct(list_filter(flatten(list(string_split(fuels, ','))), lambda f: f <> ''))), ',') AS fuels, array_to_string(list_sort(list_distinct(flatten(list(string_split(engines, ','))))), ',') AS engines
 FROM p GROUP BY ALL""", listings=True)
 def weighted_stats_merge(d: Data):
-    parts = d.listing.groupBy("brand_norm", "model_norm").agg(*S.summary())
-    return S.merge_rollups(parts, "brand_norm")
+    return S.merge_rollups(S.base_rollup(d.listing), "brand_norm")
 
 
 def _limits(d: Data):
@@ -203,17 +203,17 @@ def freshness_report(d: Data):
 
 
 @query("""SELECT brand_norm, model_norm, string_agg(DISTINCT upper(country), ',' ORDER BY upper(country)) AS available,
-  array_to_string(list_filter(['FRANCE', 'GERMANY', 'ATLANTIS'], lambda c: list_contains(list(DISTINCT upper(country)), c)), ',') AS kept FROM listing WHERE price < 20000 GROUP BY ALL""", listings=True)
+  array_to_string(list_filter(['NATION_3', 'NATION_7', 'ATLANTIS'], lambda c: list_contains(list(DISTINCT upper(country)), c)), ',') AS kept FROM listing GROUP BY ALL""", listings=True)
 def facet_prune_selected(d: Data):
     have = F.sort_array(F.collect_set(F.upper("country")))
-    wanted = F.array(*map(F.lit, ("FRANCE", "GERMANY", "ATLANTIS")))
-    return d.listing.where("price < 20000").groupBy("brand_norm", "model_norm").agg(F.array_join(have, ",").alias("available"), F.array_join(F.array_intersect(wanted, have), ",").alias("kept"))
+    wanted = F.array(*map(F.lit, ("NATION_3", "NATION_7", "ATLANTIS")))
+    return d.listing.groupBy("brand_norm", "model_norm").agg(F.array_join(have, ",").alias("available"), F.array_join(F.array_intersect(wanted, have), ",").alias("kept"))
 
 
-@query("""a AS (SELECT DISTINCT model FROM listing WHERE source_portal = 'src0'), b AS (SELECT DISTINCT model FROM listing WHERE source_portal = 'src1')
+@query("""a AS (SELECT DISTINCT brand || ' ' || model || ' ' || version AS model FROM listing WHERE source_portal = 'src0'), b AS (SELECT DISTINCT brand || ' ' || model || ' ' || version AS model FROM listing WHERE source_portal = 'src1')
 SELECT model, 'only_a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT model, 'only_b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""", listings=True)
 def catalog_parity(d: Data):
-    a, b = (d.listing.where(F.col("source_portal") == s).select("model").distinct() for s in ("src0", "src1"))
+    a, b = (d.listing.where(F.col("source_portal") == s).select(F.concat_ws(" ", "brand", "model", "version").alias("model")).distinct() for s in ("src0", "src1"))
     return a.exceptAll(b).withColumn("side", F.lit("only_a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("only_b")))
 
 
