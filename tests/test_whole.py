@@ -113,7 +113,10 @@ def test_a_digest_of_copies_alone_is_shorter(spark):
 def test_refill_skips_what_is_like_a_sent_advert(spark, seed):
     rows, table = cars(spark, seed, 60)
     sent = [(u, r[0], DAY + timedelta(hours=7 * j)) for u in (1, 2) for j, r in enumerate(random.Random(seed).sample(rows, 8 * u))]
-    got = matching.refill(matched(spark, table), spark.createDataFrame(sent, "user_id long, listing_id string, sent_at timestamp"), table).collect()
+    alerts = spark.createDataFrame([(u, 10 * u + k) for u in (1, 2, 3) for k in range(u)], "user_id long, id long")
+    deliveries = spark.createDataFrame(sent, "user_id long, listing_id string, sent_at timestamp")
+    had = matching.had_before(table.withColumns({"fuel_type": F.lit(None).cast("string"), "power_hp": F.lit(0)}), alerts, deliveries)
+    got = matching.refill(matched(spark, table), had, deliveries).collect()
     by = {r[0]: r for r in rows}
     want = set()
     for u in (1, 2, 3):
@@ -151,8 +154,8 @@ def test_dear_adverts_are_written_and_met(spark):
 
 def test_catalogs_of_whole_sources_are_compared(spark):
     rows = [("src0", "both", 95_000.0), ("src1", "both", 9_000.0), ("src0", "cheap a", 5_000.0), ("src1", "cheap b", 90_000.0), ("src1", "dear b", 99_000.0), ("src2", "other", 99_000.0)]
-    table = spark.createDataFrame(rows, "source_portal string, model string, price double")
-    got = {(r.model, r.side) for r in inventory.catalog_parity(SimpleNamespace(listing=table)).collect()}
+    table = spark.createDataFrame([(s, "B", m, "V", p) for s, m, p in rows], "source_portal string, brand string, model string, version string, price double")
+    got = {(r.model.removeprefix("B ").removesuffix(" V"), r.side) for r in inventory.catalog_parity(SimpleNamespace(listing=table)).collect()}
     assert got == {("cheap a", "only_a"), ("cheap b", "only_b"), ("dear b", "only_b")}
 
 

@@ -2,82 +2,116 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import small_side
 from . import dedup as D
-from .predicate import pair_matches, with_soft
+from .predicate import WANTS, pair_matches, with_soft, with_wants
+from .stats import exact_sum
 
 DIGEST, HISTORY = 3, 40
 NEAR_KM = 2000
+#: Years that have keys of their own.
+YEARS = (1950, 2050)
 
 
 def _prefixed(alerts: DataFrame) -> DataFrame:
     return alerts.select(*[F.col(c).alias(f"a_{c}") for c in alerts.columns])
 
 
-def candidates(listings: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Pairs whose brand and model fit: null or '' in an alert is any. Each kind of alert is an equi-join of its own
-    (brand and model, brand, model), so none becomes a nested loop; alerts for anything are paired with a checked
-    broadcast, or, if there are too many, over salted buckets."""
-    a = _prefixed(alerts)
-    brand, model = F.coalesce(F.col("a_brand_norm"), F.lit("")) != "", F.coalesce(F.col("a_model_norm"), F.lit("")) != ""
-    kinds = [
-        (brand & model, ["brand_norm", "model_norm"]),
-        (brand & ~model, ["brand_norm"]),
-        (~brand & model, ["model_norm"]),
-    ]
-    out = None
-    for test, keys in kinds:
-        some = a.where(test)
-        on = [F.col(k) == F.col(f"a_{k}") for k in keys]
-        pairs = listings.join(some, on)
-        out = pairs if out is None else out.unionByName(pairs)
-    return out.unionByName(listings.join(small_side(a.where(~brand & ~model)), F.lit(True)))
-
-
-def matches(listings: DataFrame, alerts: DataFrame) -> DataFrame:
-    return candidates(with_soft(listings), alerts).where(pair_matches()).drop("_fuel", "_power")
-
-
-def unsent(matched: DataFrame, sent: DataFrame) -> DataFrame:
-    """Matches whose very advert the user has not got yet."""
-    got = sent.select(F.col("user_id").alias("s_user"), F.col("listing_id").alias("s_listing")).distinct()
-    return matched.join(got, (F.col("a_user_id") == F.col("s_user")) & (F.col("portal_id") == F.col("s_listing")), "left_anti")
-
+def _key(kind: int, *parts: Column) -> Column:
+    return F.xxhash64(F.lit(kind), *parts)
 
-def unsent_near(matched: DataFrame, sent: DataFrame, listings: DataFrame) -> DataFrame:
-    """unsent, less adverts like one the user has got: same model and year, mileage within NEAR_KM. The range is an
-    equi-join on cells of mileage."""
-    had = sent.join(listings.select(F.col("portal_id").alias("listing_id"), "brand_norm", "model_norm", "year", "mileage_km"), "listing_id")
-    around = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("mileage_km") / NEAR_KM) + d)
-    had = had.select(F.col("user_id").alias("s_user"), F.col("brand_norm").alias("s_brand"), F.col("model_norm").alias("s_model"), F.col("year").alias("s_year"), F.col("mileage_km").alias("s_km"), F.explode(around).alias("s_cell")).distinct()
-    like = (
-        (F.col("a_user_id") == F.col("s_user"))
-        & (F.col("brand_norm") == F.col("s_brand"))
-        & (F.col("model_norm") == F.col("s_model"))
-        & (F.col("year") == F.col("s_year"))
-        & (F.floor(F.col("mileage_km") / NEAR_KM) == F.col("s_cell"))
-        & (F.abs(F.col("mileage_km") - F.col("s_km")) <= NEAR_KM)
-    )
-    return unsent(matched, sent).join(had, like, "left_anti")
 
+def candidates(listings: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Pairs of with_soft adverts and with_wants alerts whose canonical brand and model fit: null or '' in an alert is any.
 
-def _distinct_first(matched: DataFrame, order: Column, n: int) -> DataFrame:
-    """The first n adverts of each user, with their rank, less each that is near one taken before it (D.near).
+    One equi-join for all kinds of alerts: an alert has a key by brand and model, by brand, by model, or, if it is for
+    anything, one for each year that it admits (years before and after YEARS share the end keys; the residual test tells
+    them apart), and an advert has its four. Alerts are broadcast after a check of their number, else both sides are shuffled.
+    """
+    a = _prefixed(alerts)
+    brand, model = F.col("a_brand_key") != "", F.col("a_model_key") != ""
+    low, high = YEARS
+    from_year = F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce("a_least_year", F.lit(low))))
+    years = F.transform(F.sequence(from_year, F.lit(high)), lambda y: _key(4, y))
+    no_year = F.when(F.col("a_least_year").isNull(), F.array(_key(4, F.lit(None).cast("int")))).otherwise(F.array().cast("array<bigint>"))
+    b, m = F.col("a_brand_key"), F.col("a_model_key")
+    keys = F.when(brand & model, F.array(_key(1, b, m))).when(brand, F.array(_key(2, b))).when(model, F.array(_key(3, m))).otherwise(F.concat(years, no_year))
+    asked = a.withColumn("a_key", F.explode(keys))
+    year = F.greatest(F.lit(low), F.least(F.lit(high), F.col("year")))
+    own = F.array(_key(1, F.col("_brand"), F.col("_model")), _key(2, F.col("_brand")), _key(3, F.col("_model")), _key(4, F.when(F.col("year").isNotNull(), year.cast("int"))))
+    fits = (~brand | (F.col("_brand") == b)) & (~model | (F.col("_model") == m))
+    return listings.withColumn("_key", F.explode(own)).join(small_side(asked), (F.col("_key") == F.col("a_key")) & fits).drop("_key", "a_key")
+
+
+def matches(listings: DataFrame, alerts: DataFrame, trims: DataFrame | None = None) -> DataFrame:
+    """Adverts with the alerts (a_*) that they match: a row per pair."""
+    pairs = candidates(with_soft(listings, trims), with_wants(alerts)).where(pair_matches())
+    return pairs.select(*listings.columns, *[f"a_{c}" for c in alerts.columns])
+
+
+def questions(alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct questions (q, WANTS), each asked once however many alerts ask it, and who asks them (q, id, user_id)."""
+    wants = [c for c in WANTS if c in alerts.columns]
+    keyed = alerts.withColumn("q", F.md5(F.to_json(F.struct(*wants))))
+    return keyed.groupBy("q").agg(*[F.first(c).alias(c) for c in wants]), keyed.select("q", "id", "user_id")
+
+
+def totals(listings: DataFrame, alerts: DataFrame, trims: DataFrame | None = None) -> DataFrame:
+    """id, user_id, n, least_id, total: how many adverts each alert matches, the least id, the sum of prices."""
+    asked, who = questions(alerts)
+    of_question = matches(listings, asked, trims).groupBy(F.col("a_q").alias("q")).agg(F.count("*").alias("n"), F.min("portal_id").alias("least_id"), exact_sum(F.col("price")).alias("total"))
+    return who.join(of_question, "q").drop("q")
+
+
+def had_before(listings: DataFrame, alerts: DataFrame, sent: DataFrame, trims: DataFrame | None = None, near_km: int | None = NEAR_KM) -> DataFrame:
+    """a_id, portal_id, exact: matches that the user has got already, or, with near_km, that are like one: of the same model
+    and year, their mileage within near_km. It starts from what was sent, which is little beside all matches, and ranges
+    of mileage are cells of an equi-join."""
+    soft, wants = with_soft(listings, trims), _prefixed(with_wants(alerts))
+    fits = ((F.col("a_brand_key") == "") | (F.col("a_brand_key") == F.col("_brand"))) & ((F.col("a_model_key") == "") | (F.col("a_model_key") == F.col("_model")))
+    got = sent.select(F.col("user_id").alias("s_user"), F.col("listing_id").alias("s_listing")).distinct()
+    owned = got.join(soft, F.col("s_listing") == F.col("portal_id")).join(wants, F.col("s_user") == F.col("a_user_id")).where(fits)
+    exact = owned.where(pair_matches()).select("a_id", "portal_id", F.lit(True).alias("exact"))
+    if near_km is None:
+        return exact
+    cell = F.floor(F.col("mileage_km") / near_km)
+    keys = ("brand_norm", "model_norm", "year")
+    of_alert = [c for c in wants.columns]
+    had = owned.where(F.col("a_least_year").isNull() | (F.col("year") >= F.col("a_least_year")))
+    had = had.select(*of_alert, *[F.col(c).alias(f"s_{c}") for c in keys], F.col("mileage_km").alias("s_km"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("s_cell"))
+    had = had.dropDuplicates(["a_id", *[f"s_{c}" for c in keys], "s_km", "s_cell"])
+    same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"s_{c}") for c in keys])
+    near = soft.withColumn("cell", cell).join(had, same & (F.col("cell") == F.col("s_cell")) & (F.abs(F.col("mileage_km") - F.col("s_km")) <= near_km)).where(pair_matches())
+    return exact.union(near.select("a_id", "portal_id", F.lit(False))).groupBy("a_id", "portal_id").agg(F.max("exact").alias("exact"))
+
+
+def unsent_counts(listings: DataFrame, alerts: DataFrame, sent: DataFrame, trims: DataFrame | None = None, near_km: int | None = None) -> DataFrame:
+    """user_id, n: each user's matches less those that they have got (had_before); users without any left have no row."""
+    gone = had_before(listings, alerts, sent, trims, near_km).groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("gone"))
+    left = totals(listings, alerts, trims).join(gone, "id", "left").select("user_id", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("n"))
+    return left.groupBy("user_id").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def _distinct_first(matched: DataFrame, order: Column, lead: Column, n: int, who: str = "a_user_id") -> DataFrame:
+    """The first n adverts of each user, with their rank, less each that is near one taken before it (D.near). lead is a
+    number that the order goes by first.
 
     Adverts of different blocks are never near, so none behind the first advert of a user's n-th block can be taken: that
-    bound prunes before the shuffle. What is left of a user is sorted once, and the adverts taken so far are carried along.
+    bound, from aggregates of a number per block, prunes before the shuffle. What is left of a user is sorted once, and
+    the adverts taken so far are carried along.
     """
-    ordered = matched.withColumn("_order", order)
-    per_block = Window.partitionBy("a_user_id", *D.BLOCK).orderBy("_order")
-    user = Window.partitionBy("a_user_id").orderBy("_order")
-    firsts = ordered.select("a_user_id", *D.BLOCK, "_order").withColumn("_first", F.row_number().over(per_block)).where("_first = 1")
-    bound = firsts.withColumn("_block", F.row_number().over(user)).where(F.col("_block") <= n).where(F.col("_block") == n)
-    bound = bound.select(F.col("a_user_id").alias("_user"), F.col("_order").alias("_last"))
-    out = ordered.join(small_side(bound.persist()), F.col("a_user_id") == F.col("_user"), "left").where(F.col("_last").isNull() | (F.col("_order") <= F.col("_last"))).drop("_user", "_last")
-    out = out.withColumn("_me", F.struct("portal_id", *D.BLOCK, "mileage_km", "price", "_order"))
+    ordered = matched.withColumn("_lead", lead)
+    user = Window.partitionBy(who).orderBy("_order")
+    firsts = ordered.groupBy(who, *D.BLOCK).agg(F.min("_lead").alias("_lead"))
+    bound = firsts.withColumn("_block", F.row_number().over(Window.partitionBy(who).orderBy("_lead"))).where(F.col("_block") <= n).where(F.col("_block") == n)
+    bound = bound.select(F.col(who).alias("_user"), F.col("_lead").alias("_last"))
+    out = ordered.join(small_side(bound.persist()), F.col(who) == F.col("_user"), "left").where(F.col("_last").isNull() | (F.col("_lead") <= F.col("_last"))).drop("_user", "_last", "_lead")
+    out = out.withColumn("_order", order).withColumn("_me", F.struct("portal_id", *D.BLOCK, "mileage_km", "price", "_order"))
     rank, free = F.lit(None).cast("int"), F.lit(True)
     for k in range(1, n + 1):
         out = out.withColumn(f"_p{k}", F.first(F.when(free, F.col("_me")), ignorenulls=True).over(user))
@@ -91,20 +125,33 @@ def _distinct_first(matched: DataFrame, order: Column, n: int) -> DataFrame:
 
 def top_per_user(matched: DataFrame, n: int = DIGEST) -> DataFrame:
     """The n newest verified matches of each user, ids last, no two of them near."""
-    order = F.struct((-F.unix_micros("updated_at")).alias("new"), F.col("portal_id"), F.col("a_id"))
-    return _distinct_first(matched.where("url_verified_at is not null"), order, n)
+    new = -F.unix_micros("updated_at")
+    return _distinct_first(matched.where("url_verified_at is not null"), F.struct(new.alias("new"), F.col("portal_id"), F.col("a_id")), new, n)
+
+
+def top_digests(listings: DataFrame, alerts: DataFrame, trims: DataFrame | None = None, n: int = DIGEST) -> DataFrame:
+    """top_per_user of all matches. Users who ask the same questions get the same adverts, so they are found once for each
+    set of questions and then handed to its users."""
+    asked, who = questions(alerts)
+    sets = who.groupBy("user_id").agg(F.array_sort(F.collect_set("q")).alias("qs")).withColumn("of_set", F.md5(F.array_join("qs", ",")))
+    parts = sets.select("of_set", F.explode("qs").alias("set_q")).distinct()
+    matched = matches(listings.where("url_verified_at is not null"), asked, trims).join(small_side(parts), F.col("a_q") == F.col("set_q"))
+    new = -F.unix_micros("updated_at")
+    best = _distinct_first(matched, F.struct(new.alias("new"), F.col("portal_id"), F.col("a_q")), new, n, who="of_set")
+    return best.select(*listings.columns, "of_set", "rank").join(sets.select(F.col("user_id").alias("a_user_id"), "of_set"), "of_set").drop("of_set")
 
 
-def refill(matched: DataFrame, sent: DataFrame, listings: DataFrame, n: int = DIGEST) -> DataFrame:
-    """Up to n adverts of each user, no two of them near: unsent ones that are not like a sent one (unsent_near), newest
-    first, then those sent longest ago."""
+def refill(matched: DataFrame, had: DataFrame, sent: DataFrame, n: int = DIGEST) -> DataFrame:
+    """Up to n adverts of each user, no two of them near: matches that are neither sent nor like a sent one (had: had_before),
+    newest first, then those sent longest ago."""
     verified = matched.where("url_verified_at is not null")
     last = sent.groupBy(F.col("user_id").alias("s_user"), F.col("listing_id").alias("s_listing")).agg(F.max("sent_at").alias("sent_at"))
     again = verified.join(last, (F.col("a_user_id") == F.col("s_user")) & (F.col("portal_id") == F.col("s_listing"))).drop("s_user", "s_listing")
-    fresh = unsent_near(verified, sent, listings).withColumn("sent_at", F.lit(None).cast("timestamp"))
+    fresh = verified.join(small_side(had.select("a_id", "portal_id").persist(), 1_000_000), ["a_id", "portal_id"], "left_anti").withColumn("sent_at", F.lit(None).cast("timestamp"))
     both = fresh.withColumn("pass", F.lit(1)).unionByName(again.withColumn("pass", F.lit(2)))
-    order = F.struct("pass", F.unix_micros("sent_at").alias("sent"), (-F.unix_micros("updated_at")).alias("new"), F.col("portal_id"), F.col("a_id"))
-    return _distinct_first(both, order, n)
+    new, when = -F.unix_micros("updated_at"), F.unix_micros("sent_at")
+    order = F.struct("pass", when.alias("sent"), new.alias("new"), F.col("portal_id"), F.col("a_id"))
+    return _distinct_first(both, order, F.when(F.col("pass") == 1, new).otherwise(F.lit(1 << 62) + when), n)
 
 
 def history(sent: DataFrame, n: int = HISTORY) -> DataFrame:

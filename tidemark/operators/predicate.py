@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
+from ..sources.tables import small_side
+from . import catalog as C
 
+#: Distinct version texts up to which facts about them are broadcast, some hundred bytes each.
+VERSIONS = 100_000
 #: A mileage cap from which on there is none.
 ANY_KM = 9_999_999
 
@@ -64,7 +69,7 @@ class Scope:
         if self.brand:
             tests.append(F.col("brand_norm") == self.brand)
         if self.model:
-            tests.append(F.col("model_norm") == self.model)
+            tests.append(X.normalize_model(F.col("model_norm")) == X.normalize_model(F.lit(self.model)))
         if self.countries:
             tests.append(F.upper("country").isin(*[c.upper() for c in self.countries]))
         if self.max_price is not None:
@@ -99,14 +104,100 @@ def _all(tests: list[Column]) -> Column:
     return out
 
 
-def with_soft(listings: DataFrame) -> DataFrame:
-    """listings with _fuel and _power, filled once per advert before it meets any alert."""
-    return listings.withColumns({"_fuel": F.lower(soft_fuel(F.col("fuel_type"), F.col("version"))), "_power": effective_power(F.col("power_hp"), F.col("version"))})
+def _given(frame: DataFrame, name: str, kind: str = "string") -> Column:
+    """A column of frame, null if it has none of that name."""
+    return F.col(name) if name in frame.columns else F.lit(None).cast(kind)
+
+
+def _version_facts(version: Column) -> dict[str, Column]:
+    """What a version text says by itself, and the forms in which trims are looked for in it."""
+    hay, named = X.norm_text(version), X.fuel_type(version)
+    return {
+        "_v_fuel": F.when(named != "Unknown", named), "_v_power": N.power_cv(version, allow_bare=True), "_v_engine": F.coalesce(C.engine_heuristic(version), F.lit("")),
+        "_hay": hay, "_close": F.regexp_replace(hay, r"[\s\-]+", ""), "_alone": F.concat(F.lit(" "), F.regexp_replace(hay, "[^a-z0-9]", " "), F.lit(" ")),
+    }
+
+
+def with_version_facts(listings: DataFrame, facts: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """listings with facts of their version. Texts repeat, so the expressions, chains of patterns, are worked out once for
+    each distinct one if there are few enough of them to broadcast, else row by row."""
+    distinct = listings.select(F.col("version").alias("_of")).distinct()
+    if distinct.limit(VERSIONS + 1).count() > VERSIONS:
+        return listings.withColumns(facts(F.col("version")))
+    known = distinct.withColumns(facts(F.col("_of")))
+    return listings.join(F.broadcast(known), F.col("version").eqNullSafe(F.col("_of")), "left").drop("_of")
+
+
+def with_soft(listings: DataFrame, trims: DataFrame | None = None) -> DataFrame:
+    """listings with what alerts are tested against, made once per advert: canonical keys, fuel and power filled from the
+    version, the stored engine or the one that the version names, and the version's text in the forms in which trims are
+    looked for. trims (brand, model, trim) is the catalog: `_base` says that the version names none of its model's."""
+    stored = X.engine_key(_given(listings, "engine_norm"))
+    known = F.nullif(F.trim(X.filled(F.col("fuel_type"))), F.lit(""))
+    out = with_version_facts(listings, _version_facts).withColumns(
+        {
+            "_brand": X.normalize_brand(F.col("brand_norm")), "_model": X.normalize_model(F.col("model_norm")), "_country": F.upper("country"),
+            "_fuel": F.lower(F.coalesce(F.when(F.lower(known) != "unknown", known), F.col("_v_fuel"))), "_power": F.coalesce(F.when(F.col("power_hp") > 0, F.col("power_hp")), F.col("_v_power")),
+            "_engine": F.when(stored != "", stored).otherwise(F.col("_v_engine")),
+        }
+    ).drop("_v_fuel", "_v_power", "_v_engine")
+    if trims is None:
+        return out.withColumn("_base", F.lit(False))
+    names = F.filter(F.collect_set(X.norm_text(F.col("trim"))), lambda t: (t != "base") & (t != ""))
+    known = trims.groupBy(X.normalize_brand(F.col("brand")).alias("_t_brand"), X.normalize_model(F.col("model")).alias("_t_model")).agg(F.transform(names, _needle).alias("_t_names"))
+    met = out.join(small_side(known), (F.col("_brand") == F.col("_t_brand")) & (F.col("_model") == F.col("_t_model")), "left")
+    return met.withColumn("_base", F.coalesce(~F.exists("_t_names", _named), F.lit(False))).drop("_t_brand", "_t_model", "_t_names")
+
+
+def _needle(trim: Column) -> Column:
+    """A trim in the forms in which it is looked for; trim is normalised text."""
+    return F.struct(trim.alias("name"), F.regexp_replace(trim, r"[\s\-]+", "").alias("close"))
+
+
+def _named(t: Column) -> Column:
+    """Whether the version of a with_soft row names a trim: short names alone, others anywhere, spaces and hyphens aside."""
+    alone = F.col("_alone").contains(F.concat(F.lit(" "), t["name"], F.lit(" ")))
+    anywhere = F.col("_hay").contains(t["name"]) | ((F.length(t["close"]) >= 3) & F.col("_close").contains(t["close"]))
+    return (F.col("_hay") != "") & F.when(F.length(t["name"]) <= 2, alone).otherwise(anywhere)
+
+
+#: What an alert asks for: alerts that agree in these columns are one question.
+WANTS = ("brand_norm", "model_norm", "max_price", "min_year", "min_power_hp", "max_km", "fuel_csv", "country_csv", "engine_csv", "trim_csv")
+
+
+def with_wants(alerts: DataFrame) -> DataFrame:
+    """alerts with their lists split and put into canonical form once, before they meet any advert; '' or null is any."""
+    def listed(name: str) -> Column:
+        return F.filter(F.transform(F.split(X.filled(_given(alerts, name)), ","), F.trim), lambda x: x != "")
+
+    trims = F.filter(F.transform(listed("trim_csv"), X.norm_text), lambda t: t != "")
+    return alerts.withColumns(
+        {
+            "brand_key": X.normalize_brand(_given(alerts, "brand_norm")), "model_key": X.normalize_model(_given(alerts, "model_norm")), "fuels": F.transform(listed("fuel_csv"), F.lower), "countries": F.transform(listed("country_csv"), F.upper),
+            "engines": F.filter(F.transform(listed("engine_csv"), X.engine_key), lambda e: e != ""), "trims": F.transform(trims, _needle), "wants_base": F.array_contains(trims, "base"),
+            "least_power": F.when(_given(alerts, "min_power_hp", "int") > 0, _given(alerts, "min_power_hp", "int")), "most_price": _given(alerts, "max_price", "double"),
+            "least_year": _given(alerts, "min_year", "int"), "most_km": F.when(_given(alerts, "max_km", "int") < ANY_KM, _given(alerts, "max_km", "int")),
+        }
+    )
 
 
 def pair_matches() -> Column:
-    """The residual test of a joined pair of an advert (with_soft; price, year) and an alert (a_*)."""
-    fuels = F.filter(F.split("a_fuel_csv", ","), lambda f: f != "")
-    fuel_ok = (F.size(fuels) == 0) | F.coalesce(F.exists(fuels, lambda f: F.col("_fuel").contains(F.lower(f))), F.lit(False))
-    power_ok = F.col("a_min_power_hp").isNull() | F.coalesce(F.col("_power") >= F.col("a_min_power_hp"), F.lit(False))
-    return fuel_ok & power_ok & (F.col("a_max_price").isNull() | (F.col("price") <= F.col("a_max_price"))) & (F.col("a_min_year").isNull() | (F.col("year") >= F.col("a_min_year")))
+    """The test of a joined pair of an advert (with_soft) and an alert (with_wants, its columns behind a_) whose brand and
+    model fit. Numbers first; a bound that is set is not met by null. Lists are looked at only where there are any."""
+    def bound(limit: str, test: Column) -> Column:
+        return F.col(limit).isNull() | F.coalesce(test, F.lit(False))
+
+    def any_of(names: str, test: Column) -> Column:
+        return F.when(F.size(names) == 0, True).otherwise(F.coalesce(test, F.lit(False)))
+
+    numbers = [
+        bound("a_most_price", F.col("price") <= F.col("a_most_price")), bound("a_least_year", F.col("year") >= F.col("a_least_year")),
+        bound("a_most_km", F.col("mileage_km") <= F.col("a_most_km")), bound("a_least_power", F.col("_power") >= F.col("a_least_power")),
+    ]
+    lists = [
+        any_of("a_countries", F.array_contains("a_countries", F.col("_country"))),
+        any_of("a_fuels", F.exists("a_fuels", lambda f: F.col("_fuel").contains(f))),
+        any_of("a_engines", (F.col("_engine") != "") & F.exists("a_engines", lambda e: F.col("_engine").contains(e) | e.contains(F.col("_engine")))),
+        any_of("a_trims", (F.col("a_wants_base") & F.col("_base")) | F.exists("a_trims", _named)),
+    ]
+    return _all(numbers + lists)

@@ -16,26 +16,60 @@ from ..operators import matching as M
 from ..operators.stats import exact_sum
 from .registry import Data, query
 
-_FITS = """coalesce(l.price <= a.max_price, true) AND l.year >= a.min_year AND (a.min_power_hp IS NULL OR l.power_hp >= a.min_power_hp)
-  AND (a.fuel_csv = '' OR (l.fuel_type IS NOT NULL AND list_bool_or(list_transform(string_split(a.fuel_csv, ','), lambda f: contains(lower(l.fuel_type), lower(f))))))"""
+_NAMED = "(contains(l.version, '{0}') OR contains(replace(l.version, ' ', ''), '{0}'))"
+_FITS = f"""(a.max_price IS NULL OR l.price <= a.max_price) AND l.year >= a.min_year AND (a.min_power_hp IS NULL OR l.power_hp >= a.min_power_hp) AND (a.max_km IS NULL OR a.max_km >= 9999999 OR l.mileage_km <= a.max_km)
+  AND (a.fuel_csv = '' OR (l.fuel_type IS NOT NULL AND list_bool_or(list_transform(string_split(a.fuel_csv, ','), lambda f: contains(lower(l.fuel_type), lower(f))))))
+  AND (a.country_csv = '' OR list_contains(string_split(upper(a.country_csv), ','), upper(l.country)))
+  AND (a.engine_csv = '' OR (l.source_portal <> 'src0' AND list_bool_or(list_transform(string_split(a.engine_csv, ','), lambda e: contains(l.version, e) OR contains(e, l.version)))))
+  AND CASE WHEN a.trim_csv = '' THEN true WHEN a.trim_csv = 'Hot,Ring' THEN {_NAMED.format("hot")} OR {_NAMED.format("ring")}
+      ELSE {_NAMED.format("red")} OR (l.model_norm IN ('promo', 'small') AND NOT ({" OR ".join(_NAMED.format(t) for t in ("red", "hot", "new"))})) END"""
 _PAIRS = f"""pairs AS (SELECT a.user_id, l.* FROM listing l JOIN alert a ON (a.brand_norm IS NULL OR a.brand_norm = l.brand_norm)
   AND (a.model_norm IS NULL OR a.model_norm = l.model_norm) AND {_FITS})"""
 
 
+def _stock(d: Data):
+    """Adverts with a stored engine, but for those of one source."""
+    return d.listing.withColumn("engine_norm", F.when(F.col("source_portal") != "src0", F.col("version")))
+
+
+def _trims(d: Data):
+    """A catalog of trims of two model names, for all brands."""
+    models = d.table("part").where("p_type in ('PROMO', 'SMALL')").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("model")).distinct()
+    return models.crossJoin(F.broadcast(d.rows([("Base",), ("Red",), ("Hot",), ("New",)], "trim string")))  # four rows
+
+
 @query(f"{_PAIRS} SELECT user_id, count(*) AS n, min(portal_id) AS least_id, sum(price::DECIMAL(18,4))::DOUBLE AS total FROM pairs GROUP BY ALL", listings=True)
 def alert_match_pairs(d: Data):
-    return M.matches(d.listing, d.alert).groupBy(F.col("a_user_id").alias("user_id")).agg(F.count("*").alias("n"), F.min("portal_id").alias("least_id"), exact_sum(F.col("price")).alias("total"))
+    found = M.totals(_stock(d), d.alert, _trims(d))
+    return found.groupBy("user_id").agg(F.sum("n").alias("n"), F.min("least_id").alias("least_id"), exact_sum(F.col("total")).alias("total"))
+
+
+#: Alerts of one fuel, engine and power over adverts whose stored fuel, power and engine are blank: all comes from texts.
+_TEXTS = ("2.0 TDI 150 CV", "1.5 dCi 115 CV", "1.0 TSI Life", "S line quattro", "e-tron 300 kW", "20 TDI", "hybrid 1.8")
+_TEXT_FACTS = "('2.0 TDI 150 CV', 'diesel', 150, '2.0 tdi'), ('1.5 dCi 115 CV', 'diesel', 115, '1.5 dci'), ('1.0 TSI Life', NULL, NULL, '1.0 tsi'), ('S line quattro', NULL, NULL, ''), ('e-tron 300 kW', NULL, 408, ''), ('20 TDI', 'diesel', NULL, '20 tdi'), ('hybrid 1.8', 'hybrid', NULL, '1.8')"
+
+
+@query(f"""f(version, fuel, power, engine) AS (VALUES {_TEXT_FACTS}), l AS (SELECT portal_id, brand_norm, price, f.* FROM (SELECT *, [{", ".join(f"'{t}'" for t in _TEXTS)}][mileage_km // 1000 % 7 + 1] AS text FROM listing) JOIN f ON text = f.version),
+a AS (SELECT id, brand_norm, CASE id % 3 WHEN 0 THEN 'diesel' WHEN 1 THEN 'hybrid' END AS fuel, CASE id % 4 WHEN 0 THEN 116 WHEN 1 THEN 100 END AS power, CASE WHEN id % 5 = 0 THEN 'tdi' END AS engine FROM alert WHERE brand_norm IS NOT NULL)
+SELECT a.id, count(*) AS n FROM l JOIN a ON l.brand_norm = a.brand_norm WHERE (a.fuel IS NULL OR coalesce(contains(l.fuel, a.fuel), false)) AND (a.power IS NULL OR coalesce(l.power >= a.power, false)) AND (a.engine IS NULL OR contains(l.engine, a.engine)) GROUP BY ALL""", listings=True)
+def alert_match_soft(d: Data):
+    text = F.element_at(F.array(*map(F.lit, _TEXTS)), (F.floor(F.col("mileage_km") / 1000) % 7 + 1).cast("int"))
+    blank = d.listing.withColumns({"version": text, "fuel_type": F.when(F.col("price") > 30_000, "Unknown"), "power_hp": F.lit(0), "engine_norm": F.lit("")})
+    k = F.col("id")
+    soft = d.alert.where("brand_norm is not null").select("id", "user_id", "brand_norm", F.when(k % 3 == 0, "Diesel").when(k % 3 == 1, "Hybrid").alias("fuel_csv"), F.when(k % 4 == 0, 116).when(k % 4 == 1, 100).alias("min_power_hp"), F.when(k % 5 == 0, "TDI").alias("engine_csv"))
+    return M.totals(blank, soft).select("id", "n")
 
 
 @query(f"{_PAIRS} SELECT brand_norm, model_norm, count(*) AS n, count(DISTINCT user_id) AS users FROM pairs GROUP BY ALL", listings=True)
 def match_counts_by_model(d: Data):
-    return M.matches(d.listing, d.alert).groupBy("brand_norm", "model_norm").agg(F.count("*").alias("n"), F.count_distinct("a_user_id").alias("users"))
+    asked, who = M.questions(d.alert)
+    of_question = M.matches(_stock(d), asked, _trims(d)).groupBy("a_q", "brand_norm", "model_norm").agg(F.count("*").alias("n"))
+    return of_question.join(who, F.col("a_q") == F.col("q")).groupBy("brand_norm", "model_norm").agg(F.sum("n").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
 @query(f"""SELECT a.id, count(l.portal_id) AS n FROM alert a LEFT JOIN listing l ON {_FITS} WHERE a.brand_norm IS NULL AND a.model_norm IS NULL GROUP BY ALL HAVING count(l.portal_id) > 0""", listings=True)
 def catch_all_alerts(d: Data):
-    anything = d.alert.where("brand_norm is null and model_norm is null")
-    return M.matches(d.listing, anything).groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n"))
+    return M.totals(_stock(d), d.alert.where("brand_norm is null and model_norm is null"), _trims(d)).select("id", "n")
 
 
 @query("SELECT id, (brand_norm IS NULL) AS any_brand, (model_norm IS NULL) AS any_model, fuel_csv = '' AS any_fuel, min_power_hp IS NULL AS any_power FROM alert", listings=True)
@@ -45,7 +79,7 @@ def alert_any_dims(d: Data):
 
 @query(f"{_PAIRS} SELECT user_id, count(*) AS n FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM sent s WHERE s.user_id = p.user_id AND s.listing_id = p.portal_id) GROUP BY ALL", listings=True)
 def unsent_exact(d: Data):
-    return M.unsent(M.matches(d.listing, d.alert), d.sent).groupBy(F.col("a_user_id").alias("user_id")).agg(F.count("*").alias("n"))
+    return M.unsent_counts(_stock(d), d.alert, d.sent, _trims(d))
 
 
 _HAD = "had AS (SELECT DISTINCT s.user_id AS hu, l.brand_norm AS hb, l.model_norm AS hm, l.year AS hy, l.mileage_km AS hk FROM sent s JOIN listing l ON l.portal_id = s.listing_id)"
@@ -55,13 +89,13 @@ _HAD = "had AS (SELECT DISTINCT s.user_id AS hu, l.brand_norm AS hb, l.model_nor
 near AS (SELECT DISTINCT p.user_id AS nu, p.portal_id AS np FROM pairs p JOIN had ON hu = user_id AND hb = brand_norm AND hm = model_norm AND hy = year AND abs(hk - mileage_km) <= 2000)
 SELECT user_id, count(*) AS n FROM pairs LEFT JOIN got ON gu = user_id AND gl = portal_id LEFT JOIN near ON nu = user_id AND np = portal_id WHERE gl IS NULL AND np IS NULL GROUP BY ALL""", listings=True)
 def unsent_near(d: Data):
-    return M.unsent_near(M.matches(d.listing, d.alert), d.sent, d.listing).groupBy(F.col("a_user_id").alias("user_id")).agg(F.count("*").alias("n"))
+    return M.unsent_counts(_stock(d), d.alert, d.sent, _trims(d), M.NEAR_KM)
 
 
 def _digest(d: Data):
     """No SQL: the batch is folded in order, and a cheaper advert takes the place of one before it."""
     stock = D.batch(d.listing).persist()
-    return M.top_per_user(M.matches(stock, d.alert))
+    return M.top_digests(stock.withColumn("engine_norm", F.when(F.col("source_portal") != "src0", F.col("version"))), d.alert, _trims(d))
 
 
 @query()
@@ -86,7 +120,8 @@ k2 AS (SELECT r.* FROM r JOIN k1 ON k1.user_id = r.user_id WHERE r.o > k1.o AND
 k3 AS (SELECT r.* FROM r JOIN k1 ON k1.user_id = r.user_id JOIN k2 ON k2.user_id = r.user_id WHERE r.o > k2.o AND NOT ({_SAME.format("k1")}) AND NOT ({_SAME.format("k2")}) QUALIFY row_number() OVER (PARTITION BY r.user_id ORDER BY r.o) = 1)
 SELECT user_id, portal_id, pass, 1 AS rank FROM k1 UNION ALL SELECT user_id, portal_id, pass, 2 FROM k2 UNION ALL SELECT user_id, portal_id, pass, 3 FROM k3""", listings=True)
 def digest_refill_two_pass(d: Data):
-    return M.refill(M.matches(d.listing, d.alert), d.sent, d.listing).select(F.col("a_user_id").alias("user_id"), "portal_id", "pass", "rank")
+    stock, trims = _stock(d), _trims(d)
+    return M.refill(M.matches(stock, d.alert, trims), M.had_before(stock, d.alert, d.sent, trims), d.sent).select(F.col("a_user_id").alias("user_id"), "portal_id", "pass", "rank")
 
 
 @query("SELECT user_id, listing_id, rank FROM (SELECT user_id, listing_id, row_number() OVER (PARTITION BY user_id ORDER BY sent_at DESC, listing_id)::INT AS rank FROM sent) WHERE rank <= 40", listings=True)
@@ -139,7 +174,7 @@ def dedup_greedy(d: Data):
 
 
 def _new_and_target(d: Data):
-    url = F.when(F.hash("portal_id") % 1 == 0, F.concat_ws("/", F.lit("http://x"), "brand_norm", "year", "mileage_km"))
+    url = F.concat_ws("/", F.lit("http://x"), "brand_norm", "year", "mileage_km")
     rows = d.listing.withColumn("url", F.when(F.col("mileage_km") % 7000 != 0, url).otherwise(""))
     return rows.where("source_portal = 'src1'"), rows.where("source_portal = 'src0' or mileage_km % 3000 = 0")
 
@@ -255,8 +290,8 @@ def privacy_purge(d: Data):
 @query(f"SELECT path FROM (SELECT 'dump-' || event_id AS path, ts, max(struct_pack(ts, p := 'dump-' || event_id)) OVER () AS newest FROM events) WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY AND path <> newest.p")
 def backup_prune(d: Data):
     files = d.table("events").select(F.concat(F.lit("dump-"), "event_id").alias("path"), F.col("ts").cast("timestamp").alias("modificationTime"))
-    now = d.table("events").agg(F.max("ts")).first()[0]
-    return L.expired_files(files, now).select("path")
+    newest = files.agg(F.max("modificationTime").alias("now"))  # one row
+    return L.expired_files(files.crossJoin(F.broadcast(newest)), F.col("now")).select("path")
 
 
 @query("SELECT c_mktsegment, count(*) AS n, CASE WHEN count(*) <= 200 THEN 1 WHEN count(*) <= 500 THEN 2 ELSE 3 END AS tier FROM customer GROUP BY ALL")

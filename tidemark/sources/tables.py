@@ -52,7 +52,7 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A saved alert per customer; fuel_csv is a list, '' for any."""
+    """A saved alert per customer; columns with csv are lists, '' for any."""
     key = F.col("c_custkey")
     size = key % 7
     return (
@@ -67,6 +67,10 @@ def alert(spark: SparkSession, sf_dir: str) -> DataFrame:
             (1995 + key % 6).cast("int").alias("min_year"),
             F.when(key % 4 == 0, 40 + key % 100).cast("int").alias("min_power_hp"),
             F.when(key % 3 == 1, "Diesel").when(key % 3 == 2, "Petrol,Hybrid").otherwise("").alias("fuel_csv"),
+            F.when(key % 6 == 1, 30_000).when(key % 6 == 2, 9_999_999).cast("int").alias("max_km"),
+            F.when(key % 14 == 0, "nation_3,NATION_7,Nation_11,nation_20").otherwise("").alias("country_csv"),
+            F.when(key % 15 == 0, "anvil,new bolt v").otherwise("").alias("engine_csv"),
+            F.when(key % 20 == 1, "Base,Re-d").when(key % 20 == 2, "Hot,Ring").otherwise("").alias("trim_csv"),
         )
     )
 
@@ -97,7 +101,11 @@ alert AS (
               WHEN 5 THEN 'standard' WHEN 6 THEN 'large' END AS model_norm,
          (20000 + (c_custkey % 8) * 10000)::DOUBLE AS max_price, (1995 + c_custkey % 6)::INT AS min_year,
          CASE WHEN c_custkey % 4 = 0 THEN (40 + c_custkey % 100)::INT END AS min_power_hp,
-         CASE c_custkey % 3 WHEN 1 THEN 'Diesel' WHEN 2 THEN 'Petrol,Hybrid' ELSE '' END AS fuel_csv
+         CASE c_custkey % 3 WHEN 1 THEN 'Diesel' WHEN 2 THEN 'Petrol,Hybrid' ELSE '' END AS fuel_csv,
+         CASE c_custkey % 6 WHEN 1 THEN 30000 WHEN 2 THEN 9999999 END AS max_km,
+         CASE WHEN c_custkey % 14 = 0 THEN 'nation_3,NATION_7,Nation_11,nation_20' ELSE '' END AS country_csv,
+         CASE WHEN c_custkey % 15 = 0 THEN 'anvil,new bolt v' ELSE '' END AS engine_csv,
+         CASE c_custkey % 20 WHEN 1 THEN 'Base,Re-d' WHEN 2 THEN 'Hot,Ring' ELSE '' END AS trim_csv
   FROM customer WHERE c_mktsegment <> 'MACHINERY'),
 sent AS (
   SELECT o_custkey AS user_id,
