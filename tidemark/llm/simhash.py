@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints, and a binary trie self-join under a Hamming budget.
 
 Equal fingerprints are one node each, so copies cost nothing beyond an aggregate. The distinct fingerprints form a binary
-trie. Its upper levels are dealt out: one group per pair of prefixes that differ in few enough bits. In a group two
-subtrees are traversed together, a level at a time: each pair of nodes carries the bits in which it differs so far, goes
+trie. Its upper levels are dealt out: prefixes are deepened where many fingerprints share one, until each has few enough,
+and there is one group per pair of prefixes that differ in few enough bits. In a group two subtrees are traversed together, a level at a time: each pair of nodes carries the bits in which it differs so far, goes
 on to its pairs of children, and is dropped when the budget is exceeded. What a group links it joins in a union-find,
 and it gives out one edge per fingerprint at most, never all pairs; a pair of nodes whose leaves are joined already is
 dropped as well. Edges of all groups meet in distributed components.
@@ -12,11 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, cut, text_or_empty
@@ -24,8 +23,9 @@ from .components import components
 
 BITS, SHINGLE, BUDGET, SEED = 64, 3, 3, 42
 
-#: Bits of the prefixes that are dealt out, at least, and fingerprints of a prefix, about, from which there are more.
-DEPTH, BUCKET = 6, 1 << 18
+#: Bits of the prefixes that are dealt out at first, bits that a full prefix gets besides, fingerprints from which on one is
+#: full, and prefixes, about, at most: with more fingerprints prefixes hold more.
+DEPTH, DEEPER, BUCKET, MOST_PREFIXES = 4, 2, 1 << 18, 1 << 11
 #: Node pairs that are expanded at once.
 BLOCK = 1 << 20
 #: Pairs of leaves below a node pair that are compared one by one instead of splitting further.
@@ -49,16 +49,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, keep: list[str], text_col: str = "text") -> DataFrame:
-    """`keep` columns and fp (a signed long with the fingerprint's bits). Null texts count as empty: fingerprint zero."""
+def fingerprints(docs: DataFrame, keep: list[Column], text_col: str = "text") -> DataFrame:
+    """`keep` and fp (a signed long with the fingerprint's bits). Null texts count as empty: fingerprint zero."""
     bound_batches(docs.sparkSession)
-    source = docs.select(*keep, text_or_empty(text_col).cast("binary").alias("_s_text"))
+    source = docs.select(*keep, text_or_empty(text_col).cast("binary"))
+    names = source.columns[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(len(keep)).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], names=[*keep, "fp"])
+            fps = np.array([fingerprint(t) for t in batch.column(len(names)).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], names=[*names, "fp"])
 
     return source.mapInArrow(run, f"{schema}, fp long")
 
@@ -145,25 +146,76 @@ def _compare(fps: np.ndarray, union: _Union, al, ah, bl, bh, most: int) -> None:
         union.link(i[hit], j[hit])
 
 
-def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
+def prefixes(distinct: DataFrame, bucket: int = BUCKET) -> tuple[np.ndarray, np.ndarray]:
+    """Depths and values (bits from the top) of prefixes that cover all fingerprints, none with over about `bucket` of
+    them: the full ones are counted anew with more bits, round by round."""
+    depth, full, out = DEPTH, None, []
+    while True:
+        value = F.shiftrightunsigned("fp", BITS - depth)
+        some = distinct if full is None else distinct.where(F.shiftrightunsigned("fp", BITS - depth + DEEPER).isin(full))
+        counts = {r[0]: r[1] for r in some.groupBy(value).count().collect()}
+        if full is None:
+            bucket = max(bucket, sum(counts.values()) // MOST_PREFIXES)
+        full = [p for p, n in counts.items() if n > bucket and depth < BITS - DEEPER]
+        out += [(depth, p) for p in counts if p not in set(full)]
+        if not full:
+            break
+        depth += DEEPER
+    out.sort()
+    return np.array([d for d, _ in out], np.int64), np.array([p for _, p in out], np.uint64)
+
+
+def prefix_pairs(depths: np.ndarray, values: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i <= j, of prefixes whose common length differs in at most budget bits; the others are pruned here."""
+    first, second = [], []
+    for i, (d, p) in enumerate(zip(depths, values, strict=True)):
+        common = np.minimum(d, depths[i:])
+        apart = (p >> (d - common).astype(np.uint64)) ^ (values[i:] >> (depths[i:] - common).astype(np.uint64))
+        j = i + np.flatnonzero(np.bitwise_count(apart) <= budget)
+        first.append(np.full(len(j), i))
+        second.append(j)
+    return (np.concatenate(first), np.concatenate(second)) if first else (np.zeros(0, int), np.zeros(0, int))
+
+
+def links(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> DataFrame:
     """Distinct fingerprints (fp) -> edges (u, v) that join all within the budget and nothing else."""
-    depth = max(DEPTH, int(np.ceil(np.log2(max(1, distinct.count()) / BUCKET))))
-    masks = [sum(1 << b for b in bits) for k in range(min(budget, depth) + 1) for bits in combinations(range(depth), k)]
-    prefix = F.shiftrightunsigned("fp", BITS - depth)
-    pairs = distinct.select("fp", prefix.alias("p")).select("fp", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.least(F.col("p"), F.col("p").bitwiseXOR(m)) * (1 << depth) + F.greatest(F.col("p"), F.col("p").bitwiseXOR(m)))).alias("pair"))
+    depths, values = prefixes(distinct, bucket)
+    first, second = prefix_pairs(depths, values, budget)
+    order = np.argsort(np.concatenate([first, second]), kind="stable")
+    keep = order[(order < len(first)) | (first[order - len(first)] != second[order - len(first)])]  # a pair of one with itself once
+    of, pair, side = np.concatenate([first, second])[keep], keep % max(1, len(first)), keep // max(1, len(first))
+    starts = np.searchsorted(of, np.arange(len(depths) + 1))
+    shared = distinct.sparkSession.sparkContext.broadcast((depths, values, first, second, pair, side, starts))  # MOST_PREFIXES prefixes, some hundred pairs each
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        depths, values, _, _, pair, side, starts = shared.value
+        for batch in batches:
+            fps = batch.column(0).to_numpy().view(np.uint64)
+            at = np.full(len(fps), -1)
+            for depth in np.unique(depths):
+                here = np.flatnonzero(depths == depth)
+                top = fps >> np.uint64(BITS - depth)
+                k = np.minimum(np.searchsorted(values[here], top), len(here) - 1)
+                at = np.where(values[here][k] == top, here[k], at)
+            many = starts[at + 1] - starts[at]
+            for lo in range(0, len(fps), 4096):  # what is handed on at once stays small
+                n = many[lo : lo + 4096]
+                row = np.repeat(np.arange(lo, lo + len(n)), n)
+                k = starts[at[row]] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([pa.array(fps[row].view(np.int64)), pa.array(pair[k]), pa.array(side[k])], names=["fp", "pair", "side"])
 
     def join(group: pa.Table) -> pa.Table:
-        fps = np.sort(group.column("fp").to_numpy().view(np.uint64))
-        tops = fps >> np.uint64(BITS - depth)
+        depths, _, first, second, *_ = shared.value
         key = int(group.column("pair")[0].as_py())
-        if key >> depth == key & ((1 << depth) - 1):
-            u, v = trie_links(fps, None, depth, budget)
+        fps, right = group.column("fp").to_numpy().view(np.uint64), group.column("side").to_numpy() == 1
+        level = int(min(depths[first[key]], depths[second[key]]))
+        if first[key] == second[key]:
+            u, v = trie_links(np.sort(fps), None, level, budget)
         else:
-            first = tops == tops[0]
-            u, v = trie_links(fps[first], fps[~first], depth, budget) if not first.all() else (fps[:0], fps[:0])
+            u, v = trie_links(np.sort(fps[~right]), np.sort(fps[right]), level, budget) if right.any() and not right.all() else (fps[:0], fps[:0])
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return pairs.groupBy("pair").applyInArrow(join, "u long, v long")
+    return distinct.select("fp").mapInArrow(deal, "fp long, pair long, side long").groupBy("pair").applyInArrow(join, "u long, v long")
 
 
 def _classes(fps: DataFrame, budget: int) -> DataFrame:
@@ -177,9 +229,10 @@ def near_duplicates(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str =
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links), one row per row of docs.
 
     Null and empty texts have fingerprint zero, linked like any other. A null id is never the least; a component of
-    null ids alone has a null component_id. Repeated rows are rows of their own; an empty table gives an empty result.
+    null ids alone has a null component_id. Repeated rows are rows of their own; an empty table gives an empty result;
+    other columns are ignored.
     """
-    fps = cut(fingerprints(docs.withColumnRenamed(doc_col, "doc_id"), keep=["doc_id"], text_col=text_col))
+    fps = cut(fingerprints(docs, [F.col(doc_col).alias("doc_id")], text_col))
     firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = cut(_classes(firsts, budget).join(firsts, "fp"))
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -189,12 +242,13 @@ def near_duplicates(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
     """One document of each component, the one with the least id (null last, then by its text's hash); docs' columns.
 
-    Of rows that repeat an id and a text one stays. Whole rows are shuffled once, by a hash of id and text.
+    Of rows that repeat an id and a text one stays. Whole rows are shuffled once, by 128 bits of hashes of id and text.
+    Columns of any names are carried along as they are.
     """
-    identity = F.xxhash64(F.col(doc_col), text_or_empty(text_col))
-    marked = docs.withColumn("_s_id", F.col(doc_col)).withColumn("_s_row", identity)
-    fps = cut(fingerprints(marked, keep=["_s_id", "_s_row"], text_col=text_col))
-    best = F.min(F.struct(F.col("_s_id").isNull().alias("none"), F.col("_s_id").alias("id"), F.col("_s_row").alias("row")))
+    identity = [F.xxhash64(doc_col, text_or_empty(text_col)).alias("h1"), F.xxhash64(F.lit(1), F.col(doc_col), text_or_empty(text_col)).alias("h2")]
+    fps = cut(fingerprints(docs, [F.col(doc_col).alias("id"), *identity], text_col))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2"))
     firsts = fps.groupBy("fp").agg(best.alias("first"))
-    kept = cut(_classes(firsts, budget).join(firsts, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_s_row")))
-    return marked.join(kept, "_s_row", "left_semi").dropDuplicates(["_s_row"]).select(*docs.columns)
+    kept = cut(_classes(firsts, budget).join(firsts, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.h1", "first.h2"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *identity)
+    return rows.join(kept, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("row.*")
