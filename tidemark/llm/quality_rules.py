@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, cut, text_or_empty
+from .common import SPACE, WORD, cut, stored, text_or_empty
 
 #: Words in a repeated window.
 WINDOW = 8
@@ -179,13 +179,14 @@ def score(docs: DataFrame, labels: DataFrame, *, doc_col: str = "doc_id", text_c
     rows that repeat an id are judged one by one; an empty table gives an empty result.
     """
     stats = cut(statistics(docs, text_col, [F.col(doc_col).alias("doc_id"), F.col(lang_col).alias("lang")]))
-    cuts = thresholds(_with_labels(stats, labels.withColumnRenamed(doc_col, "doc_id"), "doc_id", quality_col), alpha=alpha, delta=delta)
+    cuts = thresholds(_with_labels(stats, labels.select(F.col(doc_col).alias("doc_id"), quality_col), "doc_id", quality_col), alpha=alpha, delta=delta)
     return judged(stats, cuts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of docs that the rules keep, with their own columns. Texts are read twice and never shuffled."""
-    slim = cut(statistics(docs, text_col, [F.col(doc_col).alias("doc_id"), F.col(lang_col).alias("lang")]))
-    cuts = cut(thresholds(_with_labels(slim, labels.withColumnRenamed(doc_col, "doc_id"), "doc_id", quality_col), alpha=alpha, delta=delta))
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    return judged(statistics(docs, text_col, [row, F.col(lang_col).alias("_lang")]), cuts, "_lang").where("kept").select("_row.*")
+    """The rows of docs that the rules keep, with their own columns, of any names. Texts are read once: rows are stored
+    with their counts, thresholds are made from the counts alone, and then the rows are judged."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    counted = stored(statistics(docs, text_col, [row, F.col(doc_col).alias("doc_id"), F.col(lang_col).alias("lang")]))
+    cuts = cut(thresholds(_with_labels(counted.drop("row"), labels.select(F.col(doc_col).alias("doc_id"), quality_col), "doc_id", quality_col), alpha=alpha, delta=delta))
+    return judged(counted, cuts).where("kept").select("row.*")
