@@ -1,6 +1,6 @@
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, key string, fp long, root string, kept string, label string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, key string, fp long, root string, kept string, label string, row string, h1 long, score double, of_source string, epochs long, `end` string, n long, copy long, `a b:c` string"
 
 
 @pytest.fixture(scope="session")
@@ -23,7 +23,7 @@ def odd(spark):
         (10, "  double  spaces   and \n\n lines \n ", "es", "é"),
     ]
     rows += [(100 + i, " ".join(f"w{(i * 7 + k * k) % 97}" for k in range(60)), "en", "hot") for i in range(30)]
-    return spark.createDataFrame([(*r, len(r[1] or ""), 1, "k", 2, "r", "no", "x") for r in rows], DOCS)
+    return spark.createDataFrame([(*r, len(r[1] or ""), 1, "k", 2, "r", "no", "x", "w", i, 0.5, "o", 3, "e", 4, 5, "y") for i, r in enumerate(rows)], DOCS)
 
 
 @pytest.fixture(scope="session")

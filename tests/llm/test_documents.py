@@ -108,13 +108,19 @@ def detections(text):
 
 
 def test_licenses(spark, odd, small):
-    more = spark.createDataFrame([(-1, "MIT License mit license. CC BY-NC 4.0 CC BY cc-by GNU General Public License, version 3; apache license, Apache License 2.0"), (-2, "cc byİ cc by " * 50), (-3, "permission is hereby granted, free of charge, to any person obtaining a copy. All rights reserved")], "doc_id long, text string")
+    more = spark.createDataFrame([(-1, "MIT License mit license. CC BY-NC 4.0 CC BY cc-by GNU General Public License, version 3; apache license, Apache License 2.0"), (-2, "cc byİ cc by " * 50), (-3, "permission is hereby granted, free of charge, to any person obtaining a copy. All rights reserved"), (-4, "SPDX-License-Identifier: MIT-0. EPL 2.0 license")], "doc_id long, text string")
     docs = both(spark, odd, small).unionByName(more, allowMissingColumns=True)
     names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     assert pairs(licenses.scan(docs).collect(), "doc_id", *names) == Counter((r.doc_id, *detections(r.text)) for r in docs.select("doc_id", "text").collect())
     assert len(rules()) > 200
 
 
+def test_license_scan_leaves_plain_prose_alone(spark):
+    prose = ["Er gewann mit 0 Punkten.", "EPL 2-0 win for the hosts", "ASL 2, 0 errors", "we commit to a license to operate, and apache helicopters", "ein Glas mit 2 Litern", "la clause de la loi, version 2.0", "the general public"]
+    docs = spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string")
+    assert {r.labels for r in licenses.scan(docs).collect()} == {""}
+
+
 # Quality rules
 
 
@@ -151,6 +157,61 @@ def test_quality_bound_is_exact(spark):
         assert got == best
 
 
+def plain_ratios(text):
+    n_words, chars, symbols, dup_lines, repeated, failed = counts(text)
+    text = text or ""
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    w, c = max(1, n_words), max(1, chars)
+    ratios = {
+        "symbols": symbols / c, "dup_lines": dup_lines / max(1, len(lines)), "repeat_words": repeated / w, "adjacent": sum(a == b for a, b in zip(words, words[1:], strict=False)) / w,
+        "upper": sum("A" <= x <= "Z" for x in text) / c, "marks": sum(x in "!|" for x in text) / c, "long_words": min(1.0, max(0.0, (chars / w - 5) / 25)),
+    }
+    return failed, {k: int(min(r, 1.0) * quality_rules.GRID) for k, r in ratios.items()}
+
+
+def plain_kept(docs, quality, alpha=quality_rules.ALPHA, delta=quality_rules.DELTA):
+    """Which of (doc_id, text, lang) are kept: thresholds from labelled rows by exact sums of binomial terms."""
+    from math import comb
+
+    judged = [(i, lang if re.fullmatch("[a-z]{2}", lang or "") else "other", *plain_ratios(text)) for i, text, lang in docs]
+    held = [(stratum, bins, quality[i]) for i, stratum, failed, bins in judged if not failed and quality.get(i) in (0, 1)]
+    strata, rules_ = {s for s, _, _ in held}, list(quality_rules.ratios())
+    level, a = delta / (len(strata) * len(rules_) * quality_rules.GRID) if strata else 0, alpha / len(rules_)
+    cut = {}
+    for s in strata:
+        good, bad = [b for x, b, q in held if x == s and q == 1], [b for x, b, q in held if x == s and q == 0]
+        cdf, most = 0.0, -1
+        for k in range(int(len(good) * a) + 1):
+            cdf += comb(len(good), k) * a**k * (1 - a) ** (len(good) - k)
+            most = k if cdf <= level else most
+        for r in rules_:
+            options = []
+            for b in sorted({x[r] for x in good + bad} - {0}):
+                lost, caught = sum(x[r] >= b for x in good), sum(x[r] >= b for x in bad)
+                if lost <= most and caught > lost:
+                    options.append((caught - lost, b))
+            if options:
+                cut[s, r] = max(options)[1]
+    return [(i, not failed and not any((s, r) in cut and bins[r] >= cut[s, r] for r in rules_)) for i, s, failed, bins in judged]
+
+
+def test_op3_quality_rules_verdicts_match_brute_force(spark):
+    """op3_quality_rules: `kept` of every row against thresholds from plain loops, where some strata have enough labels."""
+    rng = np.random.default_rng(1)
+    rows, quality = [], {}
+    for i in range(5200):
+        good, lang = i % 13 != 0, "en" if i % 26 < 22 else "de" if i % 2 else None
+        extra = rng.choice(["", "", "", "#", "!", "UP", "same same", "veryverylongwordindeedlongerthananyother"], 60, p=[0.3, 0.3, 0.3, *([0.02] * 5)] if good else [0.1, 0.1, 0.1, *([0.14] * 5)])
+        rows.append((i, " ".join(f"w{x} {e}".strip() for x, e in zip(rng.integers(0, 5000, 60), extra, strict=True)), lang))
+        if i % 10:
+            quality[i] = int(good)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    marks = spark.createDataFrame(list(quality.items()), "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in quality_rules.score(docs, marks).collect()}
+    want = dict(plain_kept(rows, quality))
+    assert got == want and 100 < sum(not k for k in want.values()) < 1000
+
+
 def test_quality_rules_catch_bad_and_keep_good(spark):
     rng = np.random.default_rng(0)
     good = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 60)), "en", 1) for i in range(2500)]
@@ -195,6 +256,18 @@ def test_bpe_on_odd_white_space(tokens):
         assert codec.decode(ids) == text.encode()
 
 
+def test_bpe_by_another_pattern_and_with_little_memory(tokens, monkeypatch):
+    path, _ = tokens
+    ranks = bpe.read_ranks(path)
+    texts = ["one  two three", "日本語" * 400, "x" * 3000 + " y", "", "a b c d e f g"] * 3
+    for pattern in (r"\S+|\s+", r"\w+ |.|\n", public_tokenizers.PATTERN):
+        library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        monkeypatch.setattr(bpe, "MEMORY", 500)
+        codec = bpe.Codec(ranks, pattern)
+        assert list(codec.encode(texts)) == [library.encode_ordinary(t) for t in texts]
+        assert codec.held <= 20_000 and all(len(u) <= bpe.LONGEST for u in codec.known)
+
+
 # SimHash
 
 
@@ -256,6 +329,27 @@ def test_simhash_trie_joins_everything_within_the_budget():
         assert roots(fps[i], fps[j]) == roots(*simhash.trie_links(fps, None, 0))
 
 
+def test_prefixes_that_many_share_are_deepened(spark):
+    rng = np.random.default_rng(2)
+    hot = rng.integers(0, 1 << 40, 1500, dtype=np.uint64) | np.uint64(0xABCDEF << 40)
+    spread = rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2)
+    near = np.concatenate([rng.choice(hot, 200), rng.choice(spread, 100)]) ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64))
+    fps = np.unique(np.concatenate([hot, spread, near]))
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    depths, values = simhash.prefixes(frame, bucket=64)
+    of = [[k for k in range(len(depths)) if int(f) >> (64 - int(depths[k])) == int(values[k])] for f in fps]
+    assert all(len(x) == 1 for x in of) and max(Counter(x[0] for x in of).values()) <= 64 and depths.max() > 24
+    found = {r.node: r.root for r in simhash.components(simhash.links(frame, bucket=64)).collect()}
+    near_to = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    root = np.arange(len(fps))
+    while (new := np.where(near_to, root[None, :], len(fps)).min(1)).tolist() != root.tolist():
+        root = new
+    groups = {}
+    for f, r in zip(fps.view(np.int64).tolist(), root.tolist(), strict=True):
+        groups.setdefault(r, set()).add(found.get(f, f))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
 # Classifier
 
 
@@ -285,6 +379,110 @@ def test_trees_fit_a_step():
     assert classifier.train(x, np.ones(3000)).score(x).min() > 0.9
 
 
+def plain_statistics(text):
+    """The classifier's features, a character and a word at a time."""
+    data = (text or "").encode()
+    words = [w for w in re.split(rb"[\t\n\r\x0b\x0c ]+", data) if w]
+    if not words:
+        return [0.0] * len(classifier.FEATURES)
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    size, n = len(data), len(words)
+
+    def share(test):
+        return sum(map(test, data)) / size
+
+    letters = [[c for c in w if chr(c).isalpha() and c < 128] for w in words]
+    tails = [w[-1] for w in words]
+    return [
+        np.log1p(size), np.log1p(n), sum(map(len, words)) / n, len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(lambda c: c in b" \t\n\r\x0b\x0c"), share(lambda c: c in b"#*$%&<>@^~=+"), share(lambda c: c in b"!?"),
+        data.count(b"|") / n, (data.count(b".") + data.count(b",")) / n, size / len(lines), len(set(lines)) / len(lines), sum(len(w) <= 2 for w in words) / n,
+        sum(bool(x) and all(65 <= c <= 90 for c in x) for x in letters) / n, sum(not (chr(c).isalnum() and c < 128) and c not in b".,;:" and c < 128 for c in tails) / n,
+        len(zlib.compress(data, 1)) / size, sum(c == 46 for c in tails) / n, share(lambda c: c >= 128),
+    ]
+
+
+def test_statistics_match_a_plain_loop(odd, spark, small):
+    texts = [r.text for r in both(spark, odd, small).select("text").collect()]
+    for text in texts:
+        got, want = classifier.statistics((text or "").encode()), plain_statistics(text)
+        assert np.allclose(np.delete(got, 17), np.delete(want, 17)), text[:80]
+        assert abs(got[17] - want[17]) < 0.02  # the compressor is fed in parts
+
+
+def plain_trees(x, y, trees, depth, bins, rate, l2=classifier.L2):
+    """Boosted trees by trying every cut of every feature in every node, one row at a time."""
+    from math import exp, log
+
+    good = (sum(y) + 0.5) / (len(y) + 1)
+    prior = log(good / (1 - good))
+    cuts = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1]))) for j in range(x.shape[1])]
+    raw, model = [prior] * len(y), []
+    for _ in range(trees):
+        p = [1 / (1 + exp(-r)) for r in raw]
+        nodes, at = {}, [0] * len(y)
+        for level in range(depth):
+            for node in range(2**level - 1, 2 ** (level + 1) - 1):
+                rows = [i for i in range(len(y)) if at[i] == node]
+                best = (1e-6, 0, float("inf"))
+                gt, ht = sum(p[i] - y[i] for i in rows), sum(p[i] * (1 - p[i]) for i in rows)
+                for j in range(x.shape[1]):
+                    for c in cuts[j]:
+                        gl, hl = sum(p[i] - y[i] for i in rows if x[i, j] <= c), sum(p[i] * (1 - p[i]) for i in rows if x[i, j] <= c)
+                        gain = gl**2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt**2 / (ht + l2)
+                        if min(hl, ht - hl) >= classifier.LEAST_HESSIAN and gain > best[0] + 1e-9:
+                            best = (gain, j, c)
+                nodes[node] = best[1:]
+                for i in rows:
+                    at[i] = 2 * node + 1 + (x[i, best[1]] > best[2])
+        leaves = {leaf: -rate * sum(p[i] - y[i] for i in range(len(y)) if at[i] == leaf) / (sum(p[i] * (1 - p[i]) for i in range(len(y)) if at[i] == leaf) + l2) for leaf in range(2**depth - 1, 2 ** (depth + 1) - 1)}
+        raw = [r + leaves[a] for r, a in zip(raw, at, strict=True)]
+        model.append((nodes, leaves))
+    return prior, model
+
+
+def plain_score(prior, model, row, depth):
+    raw = prior
+    for nodes, leaves in model:
+        node = 0
+        for _ in range(depth):
+            j, c = nodes[node]
+            node = 2 * node + 1 + (row[j] > c)
+        raw += leaves[node]
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_trees_match_a_plain_loop():
+    rng = np.random.default_rng(4)
+    x = rng.random((220, 4))
+    y = 0.8 * ((x[:, 0] + 0.3 * rng.random(220) > 0.6) ^ (x[:, 2] > 0.8)) + 0.2 * rng.random(220)  # no two cuts equally good by chance
+    got = classifier.train(x, y, trees=4, depth=3, bins=12, rate=0.3)
+    prior, model = plain_trees(x, y, 4, 3, 12, 0.3)
+    # On the rows learnt from: between two of them cuts are equally good, and either may be taken.
+    assert np.allclose(got.score(x), [plain_score(prior, model, row, 3) for row in x])
+
+
+def test_op8_quality_classifier_scores_match_a_plain_loop(spark, small):
+    """op8_quality_classifier: every score against the plain features walked down the fitted trees one node at a time."""
+    docs, marks = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    trees = classifier.fit(docs, marks)
+    depth = int(np.log2(trees.value.shape[1]))
+    model = [({k: (f[k], t[k]) for k in range(len(f))}, {len(f) + k: leaf for k, leaf in enumerate(v)}) for f, t, v in zip(trees.feature, trees.threshold, trees.value, strict=True)]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in classifier.score(docs, marks).collect():
+        assert abs(r.score - plain_score(trees.prior, model, classifier.statistics((texts[r.doc_id] or "").encode()), depth)) < 1e-12
+
+
+# Columns of any names
+
+
+def test_columns_of_any_names_are_carried_along(spark, odd, labels):
+    given = {tuple(r) for r in odd.collect()}
+    for out in (classifier.keep_good(odd, labels), quality_rules.keep_good(odd, labels), simhash.keep_one(odd), mixing.mixed_documents(odd)):
+        rows = [tuple(r) for r in out.collect()]
+        assert out.columns == odd.columns and rows and set(rows) <= given
+
+
 # Empty tables
 
 

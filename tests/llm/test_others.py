@@ -10,11 +10,17 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 
-from tidemark.llm import chat, embeddings, url_filter, warc
+from pyspark.sql import functions as F
+
+from tidemark.llm import chat, classifier, embeddings, url_filter, warc
 from tidemark.llm.components import components
 
+from test_documents import WORD, plain_fingerprint, plain_kept
+
 PAGES = "page_id long, url string, html string, host string, key string, sha1 string, first long, verdict string"
 
 
@@ -104,6 +110,13 @@ def test_warc_round_trip(spark, pages):
         payload, f = (r.html or "").encode(), first.get(r.html or "")
         again = f is not None and r.page_id != f
         expected[(r.page_id, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "revisit" if again else "response", f if again else None)] += 1
+    small_archives = warc.write(pages, folder, archive_bytes=5000)
+    assert small_archives.count() > manifest.count()
+    assert warc.read(small_archives, folder).count() == len(rows)
+    # Ranges stay apart, whatever their rows' bytes: as many partitions as ranges, which adaptive execution leaves alone.
+    n = sum(-(-r.bytes // 997) for r in manifest.collect())
+    per = warc.ranges(manifest, 997).repartition(n).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(per) > n * 0.6 and max(r[1] for r in per) <= 4
     for size in (997, 50_000, 1 << 30):
         got = warc.read(manifest, folder, range_bytes=size).collect()
         assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == expected
@@ -119,6 +132,15 @@ def test_warc_ranges_own_what_starts_in_them():
         assert found == [f"<urn:x-page:{i}>" for i in range(20)]
 
 
+def test_warc_reader_takes_only_whole_records():
+    good = [warc.record(i, "http://x", b"body %d" % i, "D", None, False) for i in range(3)]
+    broken = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nshort\r\n\r\n")
+    other = gzip.compress(b"no record")
+    data = good[0] + broken + good[1] + other + good[2]
+    found = [warc.parse(r)[0]["warc-record-id"] for r in warc.records(io.BytesIO(data), 0, len(data))]
+    assert found == [f"<urn:x-page:{i}>" for i in range(3)]
+
+
 def vectors(spark):
     rng = np.random.default_rng(5)
     rows, n = [], 0
@@ -262,15 +284,80 @@ def test_chat_odd_rows(spark, block, most):
     assert chat.perspectives(frame.limit(0)).count() == 0
 
 
+def groups_of(fps):
+    """Groups of positions whose fingerprints are linked by chains of at most 3 differing bits."""
+    parent = list(range(len(fps)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(fps))]
+
+
+def plain_mix(rows):
+    """Rows (doc_id, text, source) as often as the mix takes them: budgets by repeated sharing, md5 order, whole documents."""
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(WORD.findall(text or ""))
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight, target, open_, left = {s: i % 3 + 1 for i, s in enumerate(order)}, {}, set(order), sum(sizes.values())
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] >= 3 * sizes[s]}
+        if not over:
+            target |= share
+            break
+        target |= {s: 3 * sizes[s] for s in over}
+        left -= sum(3 * sizes[s] for s in over)
+        open_ -= over
+    out = Counter()
+    for s in order:
+        epochs, rest = divmod(int(target[s] + 0.5), sizes[s]) if sizes[s] else (0, 0)
+        mine = sorted((hashlib.md5(f"mix:{i}".encode()).hexdigest(), len(WORD.findall(t or "")), i) for i, t, x in rows if x == s)
+        at = 0
+        for _, n, i in mine:
+            whole = at + n < rest or (at < rest and 2 * (rest - at) >= n)
+            if n:
+                out[i] += epochs + whole
+            at += n
+    return +out
+
+
 def test_pipeline(spark, odd, small):
+    """Every stage against brute force over the smallest tables; then the odd rows pass through all of them."""
     import corpus_pipeline as P
 
     assert [name for name, _ in P.STAGES] == ["quality classifier", "quality rules", "simhash near-dedup", "source mixing", "byte bpe"]
-    out = P.run(spark, small).collect()
-    assert out and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out[0].asDict())
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    by_id = {hashlib.sha256(r.text.encode()).hexdigest() for r in docs.collect()}
-    assert all(r.decoded_sha256 in by_id for r in out)
+    docs, marks = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    rows = {r.doc_id: (r.doc_id, r.text, r.source, r.lang) for r in docs.collect()}
+    good = {r.doc_id for r in classifier.score(docs, marks).collect() if r.score >= 0.3}  # scores have a test of their own
+    kept = {i for i, ok in plain_kept([(i, rows[i][1], rows[i][3]) for i in sorted(good)], {r.doc_id: r.quality for r in marks.collect()}) if ok}
+    ids = sorted(kept)
+    first = {}
+    for i, g in zip(ids, groups_of([plain_fingerprint(rows[i][1]) for i in ids]), strict=True):
+        first.setdefault(g, i)
+    single = set(first.values())
+    taken = plain_mix([rows[i][:3] for i in sorted(single)])
+    want = [good, kept, single, taken]
+    frame = docs
+    for (_, stage), expected in zip(P.STAGES[:-1], want, strict=True):
+        frame = spark.createDataFrame(stage(spark, frame, small).collect(), docs.schema)
+        assert Counter(r.doc_id for r in frame.collect()) == Counter(expected)
+        assert all((r.doc_id, r.text, r.source, r.lang) == rows[r.doc_id] for r in frame.collect())
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coded = Counter()
+    for i, n in taken.items():
+        tokens = library.encode_ordinary(rows[i][1])
+        coded[i, len(tokens), hashlib.sha256(" ".join(map(str, tokens)).encode()).hexdigest(), hashlib.sha256(rows[i][1].encode()).hexdigest()] += n
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in P.run(spark, small).collect()) == coded
     frame = odd.select(docs.columns)
     for _, stage in P.STAGES[:-1]:
         frame = stage(spark, frame, small)
