@@ -58,11 +58,14 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 def greedy(listings: DataFrame) -> DataFrame:
     """(portal_id, kept_id): in order of preference an advert is kept unless one kept before it is near.
 
-    The result depends on the order, so a block is folded by one task; it holds ids, mileages and prices only, kept rows
-    are looked up by cells of mileage.
+    The result depends on the order, so adverts that may be linked are folded by one task: a run of a block's mileages
+    without a gap of over KM. It holds ids, mileages and prices only; kept rows are looked up by cells of mileage.
     """
     ranked = listings.select("portal_id", *BLOCK, "mileage_km", "price", F.struct(source_rank(F.col("source_portal")), ~F.coalesce(F.col("power_hp") > 0, F.lit(False)), "price", -F.unix_seconds("updated_at"), "portal_id").alias("order"))
-    slim = ranked.select("portal_id", *BLOCK, "mileage_km", "price", F.row_number().over(Window.partitionBy(*BLOCK).orderBy("order")).alias("rank"))
+    slim = ranked.select("portal_id", *BLOCK, "mileage_km", "price", "order")
+    gap = F.coalesce(F.col("mileage_km") - F.lag("mileage_km").over(Window.partitionBy(*BLOCK).orderBy("mileage_km")) > KM, F.lit(False))
+    slim = slim.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(Window.partitionBy(*BLOCK).orderBy("mileage_km")))
+    slim = slim.withColumn("rank", F.row_number().over(Window.partitionBy(*BLOCK, "run").orderBy("order"))).drop("gap", "order")
 
     def fold(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("rank")
@@ -76,7 +79,7 @@ def greedy(listings: DataFrame) -> DataFrame:
             kept.append(same or pid)
         return pd.DataFrame({"portal_id": block.portal_id, "kept_id": kept})
 
-    return slim.groupBy(*BLOCK).applyInPandas(fold, "portal_id string, kept_id string")
+    return slim.groupBy(*BLOCK, "run").applyInPandas(fold, "portal_id string, kept_id string")
 
 
 def batch(listings: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.tables import small_side
 
 # Short names of brands.
 BRAND_ALIASES = {
@@ -92,11 +93,13 @@ def model_score(query: Column, model: Column) -> Column:
 
 
 def resolve(inputs: DataFrame, dimension: DataFrame, query: str, name: str, score) -> DataFrame:
-    """inputs with best and score: the name of the dimension (broadcast: a catalog of some hundred names) that fits best,
-    the first in order of equal ones; null under the accepted score."""
-    scored = inputs.select(query).distinct().join(F.broadcast(dimension.select(name)), score(F.col(query), F.col(name)) >= ACCEPT).withColumn("score", score(F.col(query), F.col(name)))
-    best = scored.withColumn("_rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), name))).where("_rank = 1")
-    return inputs.join(best.select(query, F.col(name).alias("best"), "score"), query, "left")
+    """inputs with best and score: the name of the dimension that fits best, the first in order of equal ones; null under
+    the accepted score. Each distinct typed name meets each name of the dimension once, in a loop over the smaller, broadcast
+    side; both are catalogs and spellings, not rows."""
+    typed, names = inputs.select(query).distinct(), dimension.select(name).distinct()
+    scored = typed.join(small_side(names), F.lit(True)).withColumn("score", score(F.col(query), F.col(name))).where(F.col("score") >= ACCEPT)
+    best = scored.groupBy(query).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(name).alias("name"))).alias("b")).select(F.col(query).alias("_typed"), F.col("b.name").alias("best"), (-F.col("b.s")).alias("score"))
+    return inputs.join(small_side(best), F.col(query) == F.col("_typed"), "left").drop("_typed")
 
 
 def recovery_score(price: Column, year: Column, km: Column, hint_price: float | None, hint_year: int | None, hint_km: int | None) -> Column:

@@ -79,11 +79,14 @@ def context_defaults(d: Data):
     return limits.select("brand_norm", F.col("max_price_default").alias("max_price"), F.col("min_year_default").alias("min_year"), F.col("max_km_default").alias("max_km"))
 
 
-@query("WITH c AS (SELECT page_id AS id, split_part(url, '?', 1) AS url FROM pages WHERE contains(url, '?')) SELECT id FROM c WHERE EXISTS (SELECT 1 FROM pages p WHERE p.url = c.url AND p.page_id <> c.id)")
+@query("""WITH p AS (SELECT page_id AS id, CASE WHEN page_id % 4 = 0 THEN array_to_string(string_split(url, '/')[1:3], '/') ELSE url END AS url, array_to_string(string_split(url, '/')[1:3], '/') AS repaired FROM pages)
+SELECT id FROM p c WHERE id % 4 <> 0 AND EXISTS (SELECT 1 FROM p WHERE p.url = c.repaired AND p.id <> c.id)""")
 def url_repair_clash(d: Data):
-    pages = d.table("pages")
-    changes = pages.where(F.col("url").contains("?")).select(F.col("page_id").alias("id"), F.substring_index("url", "?", 1).alias("url"))
-    return I.url_clash(changes, pages.select(F.col("page_id").alias("id"), "url")).select("id")
+    """Stored URLs, a quarter of them cut to scheme and host already; the others are to be cut as well."""
+    cut = F.substring_index("url", "/", 3)
+    pages = d.table("pages").select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 4 == 0, cut).otherwise(F.col("url")).alias("url"))
+    changes = d.table("pages").where("page_id % 4 <> 0").select(F.col("page_id").alias("id"), cut.alias("url"))
+    return I.url_clash(changes, pages).select("id")
 
 
 @query("SELECT id FROM alert WHERE user_id IN (SELECT user_id FROM sent) AND max_price > 30000", listings=True)

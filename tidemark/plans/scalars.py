@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions import timewin as W
 from ..operators import catalog as C
 from ..operators import fuzzy as Z
+from ..operators import search as R
 from .registry import Data, query
 
 
@@ -154,12 +155,30 @@ def recover_best_match(d: Data):
     return keep_first(scored, ["brand_norm"], [F.desc("score"), F.desc("updated_at"), F.col("portal_id")]).select("brand_norm", "portal_id", "score")
 
 
-@query(f"""{_RECOVER} SELECT portal_id, score FROM sc WHERE brand_norm = 'brand#12' AND model_norm = 'promo' AND contains(version, 'red') AND score >= 0
-  AND portal_id NOT IN (SELECT listing_id FROM sent WHERE user_id % 10 = 1) ORDER BY score DESC, updated_at DESC, portal_id LIMIT 1""", listings=True)
+#: Models as typed, and what they mean in the stock: exact, misspelt, in the wrong case, and nothing.
+TYPED_STOCK = [("PROMO", "promo"), ("promoo", "promo"), ("Standart", "standard"), (" small ", "small"), ("xyzzy", None)]
+
+
+@query(f"""t(k, model) AS (VALUES {", ".join(f"({k}, {repr(m) if m else 'NULL'})" for k, (_, m) in enumerate(TYPED_STOCK))}),
+q AS (SELECT c_custkey AS id, 'brand#' || (1 + c_custkey % 25) AS brand, t.model, 20000.0 + (c_custkey % 8) * 10000 AS hp, CASE WHEN c_custkey % 4 <> 0 THEN 1993 + c_custkey % 6 END AS hy,
+  CASE WHEN c_custkey % 9 <> 0 THEN 5000 * (c_custkey % 9) END AS hk, c_custkey % 2 = 0 AS again, CASE WHEN c_custkey % 3 = 0 THEN 'red' ELSE '' END AS word FROM customer JOIN t ON t.k = c_custkey % {len(TYPED_STOCK)}),
+c AS (SELECT q.id, q.again, q.id AS uid, l.*, abs(price - hp) / hp AS dp, abs(year - hy) AS dy, abs(mileage_km - hk) / hk::DOUBLE AS dk FROM q JOIN listing l ON l.brand_norm = q.brand AND l.model_norm = q.model
+  AND (hy IS NULL OR abs(year - hy) <= 2) AND price BETWEEN floor(hp * 0.75 + 0.5) AND floor(hp * 1.25 + 0.5) AND contains(version, word)),
+s AS (SELECT *, CASE WHEN dp > 0.35 OR coalesce(dy > 2, false) OR coalesce(dk > 0.55, false) THEN -1 ELSE CASE WHEN dp <= 0.08 THEN 120 WHEN dp <= 0.15 THEN 80 WHEN dp <= 0.25 THEN 40 ELSE 5 END
+  + CASE dy WHEN 0 THEN 100 WHEN 1 THEN 70 WHEN 2 THEN 25 ELSE 0 END + CASE WHEN dk IS NULL THEN 0 WHEN dk <= 0.15 THEN 40 WHEN dk <= 0.3 THEN 20 WHEN dk <= 0.45 THEN 5 ELSE 0 END END AS score FROM c),
+had AS (SELECT DISTINCT user_id AS hu, o.brand_norm AS hb, o.model_norm AS hm, o.year AS hyr, o.mileage_km AS hkm, o.price AS hpr FROM sent JOIN listing o ON o.portal_id = sent.listing_id),
+gone AS (SELECT DISTINCT id AS gi, portal_id AS gp FROM s JOIN had ON hu = uid AND hb = brand_norm AND hm = model_norm AND hyr = year AND abs(hkm - mileage_km) <= 1000 AND abs(hpr - price) / greatest((hpr + price) / 2, 1) <= 0.05 WHERE NOT again)
+SELECT id AS request_id, portal_id, score FROM s LEFT JOIN gone ON gi = id AND gp = portal_id WHERE score >= 0 AND gi IS NULL
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, updated_at DESC, portal_id) = 1""", listings=True)
 def inventory_search(d: Data):
-    scored = d.listing.where((F.col("brand_norm") == "brand#12") & (F.col("model_norm") == "promo") & C.trim_in_text(F.lit("red"), F.col("version"))).withColumn("score", Z.recovery_score(F.col("price"), F.col("year"), F.col("mileage_km"), 40_000, 1995, 20_000))
-    seen = d.sent.where("user_id % 10 = 1").select(F.col("listing_id").alias("portal_id"))
-    return scored.where("score >= 0").join(seen, "portal_id", "left_anti").orderBy(F.desc("score"), F.desc("updated_at"), "portal_id").limit(1).select("portal_id", "score")
+    k = F.col("c_custkey")
+    model = F.element_at(F.array(*[F.lit(m) for m, _ in TYPED_STOCK]), (k % len(TYPED_STOCK) + 1).cast("int"))
+    requests = d.table("customer").select(
+        k.alias("request_id"), k.alias("user_id"), F.concat(F.lit(" Brand#"), (1 + k % 25).cast("string")).alias("brand"), model.alias("model"), F.when(k % 3 == 0, F.array(F.lit("Red"), F.lit("Italy"))).alias("specs"),
+        (20000.0 + (k % 8) * 10000).alias("price"), F.when(k % 4 != 0, 1993 + k % 6).alias("year"), F.when(k % 9 != 0, 5000 * (k % 9)).alias("km"), (k % 2 == 0).alias("again"),
+    )
+    models = d.table("part").select(F.lower("p_brand").alias("brand"), F.lower("p_type").alias("model")).distinct()
+    return R.search(requests, d.listing, models, d.sent)
 
 
 @query("""SELECT event_id, isodow(ts)::INT AS weekday, hour(ts)::BIGINT AS hour, (isodow(ts) <= 5 AND hour(ts) BETWEEN 8 AND 20) AS business,

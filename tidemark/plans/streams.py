@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..streaming import batch as B
+from ..streaming import delivery as L
 from .registry import Data, query
 
 
@@ -37,9 +38,12 @@ def session_activity(d: Data):
     return B.sessions(_events(d), "6 hours")
 
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND value < 50 GROUP BY ALL")
+@query("""WITH events AS (SELECT event_id, event_type, CASE WHEN event_id % 11 = 0 THEN ts - INTERVAL 5 DAY ELSE ts END AS ts FROM events), b AS (SELECT event_id // 1000 AS batch, max(ts) AS top FROM events GROUP BY ALL), m AS (SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 3 DAY AS mark FROM b)
+SELECT event_type, count(*) AS n, count(*) FILTER (ts < mark) AS late FROM events JOIN m ON batch = event_id // 1000 GROUP BY ALL""")
 def late_data_drop(d: Data):
-    return _events(d).where((F.col("ts") >= F.lit("2024-01-10").cast("timestamp")) & (F.col("value") < 50)).groupBy("event_type").agg(F.count("*").alias("n"))
+    """Every eleventh event is five days old when it arrives."""
+    events = _events(d).withColumn("ts", F.when(F.col("event_id") % 11 == 0, F.col("ts") - F.expr("interval 5 days")).otherwise(F.col("ts")))
+    return L.on_time(events, 1000, "3 days").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("late").alias("late"))
 
 
 @query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY ts::DATE, event_type ORDER BY ts, event_id) AS own FROM events WHERE event_type IN ('click', 'error')),
@@ -59,11 +63,38 @@ def quota_gap_reset(d: Data):
     return B.gap_reset(_events(d), 1)
 
 
-@query("""SELECT user_id, CASE max(struct_pack(ts, event_id, event_type)).event_type WHEN 'signup' THEN 'vip' WHEN 'purchase' THEN 'vip' ELSE 'free' END AS state
-FROM events WHERE event_type IN ('signup', 'purchase', 'error') GROUP BY ALL""")
+_ROLES = {"signup": "checkout", "error": "cancel", "purchase": "resume", "view": "delete"}
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, CASE event_type WHEN 'signup' THEN 'checkout' WHEN 'error' THEN 'cancel' WHEN 'purchase' THEN 'resume' ELSE 'delete' END AS kind,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('signup', 'error', 'purchase', 'view')),
+s AS (SELECT user_id, 0::BIGINT AS k, 'unknown' AS state, 0::BIGINT AS applied, 0::BIGINT AS ignored FROM (SELECT DISTINCT user_id FROM e) UNION ALL
+  SELECT s.user_id, e.k, CASE WHEN kind = 'checkout' THEN 'vip' WHEN state = 'unknown' THEN 'unknown' WHEN kind = 'delete' THEN 'free' WHEN kind = 'cancel' THEN 'cancelling' WHEN state = 'cancelling' THEN 'vip' ELSE state END,
+    applied + (kind = 'checkout' OR (state <> 'unknown' AND (kind = 'delete' OR (kind = 'cancel' AND state <> 'cancelling') OR (kind = 'resume' AND state = 'cancelling'))))::BIGINT,
+    ignored + (NOT (kind = 'checkout' OR (state <> 'unknown' AND (kind = 'delete' OR (kind = 'cancel' AND state <> 'cancelling') OR (kind = 'resume' AND state = 'cancelling')))))::BIGINT
+  FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
+SELECT user_id, CASE state WHEN 'unknown' THEN 'free' ELSE state END AS state, applied, ignored FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""")
 def subscription_state(d: Data):
-    last = _events(d).where(F.col("event_type").isin("signup", "purchase", "error")).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
-    return last.select("user_id", F.when(F.col("last").isin("signup", "purchase"), "vip").otherwise("free").alias("state"))
+    roles = F.create_map(*[F.lit(x) for pair in _ROLES.items() for x in pair])
+    return L.subscriptions(_events(d).where(F.col("event_type").isin(*_ROLES)).withColumn("event_type", roles[F.col("event_type")]))
+
+
+def delivery_events(events):
+    """Events as a delivery stream: clicks are matches, views are ticks (every seventh with an advert from stock), sign-ups
+    new filters, purchases other intervals."""
+    kinds = F.create_map(*[F.lit(x) for pair in {"click": "match", "view": "tick", "signup": "filter", "purchase": "interval"}.items() for x in pair])
+    value = F.when(F.col("event_type") == "purchase", F.col("event_id") % 8 + 1).when((F.col("event_type") == "view") & (F.col("event_id") % 7 != 0), 0).otherwise(F.col("event_id"))
+    return events.where("event_type <> 'error'").select("user_id", "event_id", F.unix_seconds("ts").alias("at"), kinds[F.col("event_type")].alias("kind"), value.alias("value"))
+
+
+@query()
+def digest_delivery(d: Data):
+    return L.digests(delivery_events(_events(d)))
+
+
+@query("SELECT event_id FROM events WHERE NOT EXISTS (SELECT 1 FROM sent WHERE sent.user_id = events.user_id) AND event_type = 'click'", listings=True)
+def unseen_clicks(d: Data):
+    return L.unseen(_events(d).where("event_type = 'click'"), d.sent, ("user_id",)).select("event_id")
 
 
 @query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, (value * 100)::BIGINT % 50 ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
