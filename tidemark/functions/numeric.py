@@ -100,3 +100,9 @@ def power_options(least: Column, avg: Column, most: Column) -> Column:
 
     values = [ten(low), ten(low) - 20, ten(mid), ten(mid) - 20, ten(most), ten(most) - 20, F.greatest(F.lit(50), ten(low) - 10)]
     return _options(values, lambda v: (v >= 40) & (v <= 800) & (v <= most))
+
+
+def clamp_page(page: Column, n_items: Column, per_page: int) -> Column:
+    """A page number, from 0, that exists: the last one if it is beyond, the first if it is before or missing."""
+    last = F.greatest(F.lit(0), F.ceil(n_items / per_page) - 1)
+    return F.greatest(F.lit(0), F.least(F.coalesce(page, F.lit(0)), last)).cast("long")

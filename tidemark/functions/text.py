@@ -254,3 +254,8 @@ def chat_markdown(c: Column) -> Column:
     t = F.regexp_replace(escape_html(c), r"(?m)^#{1,6}\s*(.+)$", "<b>$1</b>")
     t = F.regexp_replace(t, r"\*\*(.+?)\*\*", "<b>$1</b>")
     return F.regexp_replace(t, r"(?m)^\s*[-*]\s+", "• ")
+
+
+def promoted(c: Column) -> Column:
+    """A scalar as a list: of one, or empty for '' and null."""
+    return F.when(F.coalesce(c, F.lit("")) != "", F.array(c)).otherwise(F.array().cast("array<string>"))

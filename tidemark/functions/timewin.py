@@ -59,3 +59,8 @@ def clamped_preferences(days: Column, start: Column, end: Column, interval: Colu
         nearest(F.coalesce(end, F.lit(DEFAULT_END)), END_HOURS).alias("end"),
         F.when(interval.isin(*INTERVALS), interval).otherwise(DEFAULT_INTERVAL).alias("interval"),
     )
+
+
+def preferences_fingerprint(p: Column) -> Column:
+    """A text that changes if and only if clamped preferences do."""
+    return F.to_json(F.struct(F.array_sort(p["days"]).alias("days"), p["start"].alias("start"), p["end"].alias("end"), p["interval"].alias("interval")))

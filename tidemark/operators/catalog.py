@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
+from ..sources.tables import small_side
 
 # Engine families beside a displacement.
 FAMILIES = "tfsi|tdi|tsi|tdci|dci|hdi|bluehdi|ecoboost|ecoblue|puretech|tce|sce|gdi|mpi|vvt-?i|hybrid|etsi"
@@ -78,7 +79,7 @@ def trim_in_text(trim: Column, text: Column) -> Column:
 def trims_of(listings: DataFrame, trims: DataFrame) -> DataFrame:
     """portal_id, trims: those of the model's catalog (brand, model, trim) that the version names, longest first; Base
     if it names none and the model has a Base."""
-    hits = listings.join(F.broadcast(trims), (F.col("brand_norm") == F.col("brand")) & (F.col("model_norm") == F.col("model")))
+    hits = listings.join(small_side(trims), (F.col("brand_norm") == F.col("brand")) & (F.col("model_norm") == F.col("model")))
     base = X.norm_text(F.col("trim")) == "base"
     named = F.when(~base & trim_in_text(F.col("trim"), F.col("version")), F.struct(-F.length("trim"), F.col("trim").alias("trim")))
     found = F.transform(F.array_sort(F.collect_list(named)), lambda x: x["trim"])
@@ -135,9 +136,9 @@ def resolve_engines(listings: DataFrame, catalog: DataFrame) -> DataFrame:
 
     First the longest alias or name of the model's catalog that the version contains; then, for a bare displacement,
     the catalog's engines of that size: a single one, the nearest in power, or the brand's preferred family; where none
-    decides only the power is known. Without such engines the heuristic names it. The catalog is a broadcast dimension.
+    decides only the power is known. Without such engines the heuristic names it. The catalog is broadcast if it is small.
     """
-    c = F.broadcast(catalog.select(F.col("brand").alias("c_brand"), F.col("model").alias("c_model"), "ordinal", "engine_norm", "aliases", F.col("power").alias("c_power")))
+    c = small_side(catalog.select(F.col("brand").alias("c_brand"), F.col("model").alias("c_model"), "ordinal", "engine_norm", "aliases", F.col("power").alias("c_power")))
     base = listings.select("portal_id", "brand_norm", "model_norm", "version", X.norm_text(F.col("version")).alias("hay"), bare_displacement(F.col("version")).alias("bare"), F.coalesce(F.when(F.col("power_hp") > 20, F.col("power_hp")), N.power_cv(F.col("version"))).alias("hint"))
     rows = base.join(c, (F.col("brand_norm") == F.col("c_brand")) & (F.col("model_norm") == F.col("c_model")), "left")
     names = F.filter(F.array_append("aliases", F.col("engine_norm")), lambda a: (F.length(a) >= 2) & ~a.rlike(r"^\d\.\d$"))
@@ -162,6 +163,23 @@ def resolve_engines(listings: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
+def catalog_models(names: DataFrame, catalog: DataFrame) -> DataFrame:
+    """names (brand, model as stored) with found: the catalog's model (brand, model) that it means. Lookup keys are tried in
+    order, the first that the catalog has wins; else the longest catalog model that the name starts with, at a word's end."""
+    asked = names.select(X.normalize_brand(F.col("brand")).alias("q_brand"), F.col("model").alias("q_model")).distinct()
+    known = catalog.select(X.normalize_brand(F.col("brand")).alias("c_brand"), X.soft_model(F.col("model")).alias("c_key"), F.col("model").alias("c_model")).distinct()
+    tried = asked.select("q_brand", "q_model", F.posexplode(X.lookup_keys(F.col("q_model"))).alias("place", "key"))
+    exact = tried.join(small_side(known), (F.col("q_brand") == F.col("c_brand")) & (F.col("key") == F.col("c_key")))
+    exact = exact.groupBy("q_brand", "q_model").agg(F.min_by("c_model", F.struct("place", "c_model")).alias("by_key"))
+    # Beginnings of a name, word by word, are keys of an equi-join, too.
+    words = F.split(X.soft_model(F.col("q_model")), " ")
+    starts = asked.select("q_brand", "q_model", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))).alias("key"))
+    prefix = starts.join(small_side(known), (F.col("q_brand") == F.col("c_brand")) & (F.col("key") == F.col("c_key")))
+    prefix = prefix.groupBy("q_brand", "q_model").agg(F.min_by("c_model", F.struct(-F.length("key"), "c_model")).alias("by_prefix"))
+    found = exact.join(prefix, ["q_brand", "q_model"], "full").select("q_brand", "q_model", F.coalesce("by_key", "by_prefix").alias("found"))
+    return names.join(small_side(found), (X.normalize_brand(F.col("brand")) == F.col("q_brand")) & (F.col("model") == F.col("q_model")), "left").drop("q_brand", "q_model")
+
+
 def enriched(listings: DataFrame, catalog: DataFrame) -> DataFrame:
     """listings with engine_norm and power_hp filled where blank; what is stored is never overwritten, but for a bogus
     leading zero of an engine."""

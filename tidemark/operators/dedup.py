@@ -21,16 +21,32 @@ def near(a: str, b: str) -> Column:
 def near_pairs(listings: DataFrame) -> DataFrame:
     """(a_id, b_id) with a_id < b_id of near duplicates. Mileage and price are cut into cells as wide as the tolerance;
     one side looks into its own and the neighbouring cells, so a popular model is many small equi-joins."""
+    probe, cells = _probe(listings), _cells(listings)
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*BLOCK, "km_cell", "price_cell")]
+    return probe.join(cells.alias("b"), [*on, F.col("a.portal_id") < F.col("b.portal_id"), near("a", "b")]).select(F.col("a.portal_id").alias("a_id"), F.col("b.portal_id").alias("b_id"))
+
+
+def near_sources(cars: DataFrame, listings: DataFrame) -> DataFrame:
+    """portal_id, n_portals for those of cars that have near duplicates: how many other sources they are from."""
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*BLOCK, "km_cell", "price_cell")]
+    met = _probe(cars, "source_portal").join(_cells(listings, "source_portal").alias("b"), [*on, F.col("a.source_portal") != F.col("b.source_portal"), near("a", "b")])
+    return met.groupBy(F.col("a.portal_id").alias("portal_id")).agg(F.count_distinct("b.source_portal").alias("n_portals"))
+
+
+def _cells(listings: DataFrame, *more: str) -> DataFrame:
     width = F.log(F.lit((1 + PRICE / 2) / (1 - PRICE / 2)))
-    cells = listings.select("portal_id", *BLOCK, "mileage_km", "price").withColumn("km_cell", F.floor(F.col("mileage_km") / KM)).withColumn("price_cell", F.floor(F.log(F.greatest("price", F.lit(20.0))) / width))
+    return listings.select("portal_id", *BLOCK, "mileage_km", "price", *more).withColumn("km_cell", F.floor(F.col("mileage_km") / KM)).withColumn("price_cell", F.floor(F.log(F.greatest("price", F.lit(20.0))) / width))
+
+
+def _probe(listings: DataFrame, *more: str) -> DataFrame:
+    """Each advert in its own and the neighbouring cells."""
+    cells = _cells(listings, *more)
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    probe = (
+    return (
         cells.withColumn("km_cell", F.explode(F.transform(around, lambda d: F.col("km_cell") + d)))
         .withColumn("price_cell", F.explode(F.transform(around, lambda d: F.col("price_cell") + d)))
         .alias("a")
     )
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*BLOCK, "km_cell", "price_cell")]
-    return probe.join(cells.alias("b"), [*on, F.col("a.portal_id") < F.col("b.portal_id"), near("a", "b")]).select(F.col("a.portal_id").alias("a_id"), F.col("b.portal_id").alias("b_id"))
 
 
 def near_portals(listings: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import js_round
+from ..sources.tables import small_side
 
 # Countries that pay in euros; currencies of others; plausible prices; least local prices.
 EURO = ("AT", "BE", "BG", "CY", "DE", "EE", "ES", "FI", "FR", "GR", "HR", "IE", "IT", "LT", "LU", "LV", "MT", "NL", "PT", "SI", "SK", "AD", "MC", "SM", "VA")
@@ -52,7 +53,7 @@ def repaired(rows: DataFrame, rates: DataFrame) -> DataFrame:
     without a native amount are then converted, marked as euros, skipped (no currency) or failed (no rate). rates
     (currency, rate) is one row per currency, some 150.
     """
-    r = rows.withColumn("ccy", currency_of(F.col("country"))).join(F.broadcast(rates.select(F.col("currency").alias("ccy"), "rate")), "ccy", "left")
+    r = rows.withColumn("ccy", currency_of(F.col("country"))).join(small_side(rates.select(F.col("currency").alias("ccy"), "rate")), "ccy", "left")
     native, price = F.col("price_native"), F.col("price")
     foreign = F.col("ccy").isNotNull()
     broken = foreign & native.isNotNull() & (F.coalesce("price_currency", F.lit("")) != "EUR") & (price < LEAST_EUR) & native.between(LEAST_EUR, MOST_EUR)
@@ -75,3 +76,14 @@ def repaired(rows: DataFrame, rates: DataFrame) -> DataFrame:
         F.when(changed == "repaired", js_round(native).cast("double")).when(changed.isin("already_eur", "converted"), price).otherwise(native).alias("new_native"),
         F.when(changed.isin("repaired", "already_eur"), "EUR").when(changed == "converted", F.col("ccy")).otherwise(F.col("price_currency")).alias("new_currency"),
     )
+
+
+def latest_rates(fetched: DataFrame, now: Column, fallback: DataFrame, stale_days: int = 7) -> DataFrame:
+    """currency, rate, source from payloads (fetched_at, rates: map of currency to units for a euro): each currency's rate in
+    the last payload that has it, unless that is too old; then, and for currencies in none, that of fallback (currency, rate)."""
+    each = fetched.select("fetched_at", F.explode("rates").alias("currency", "rate")).where(F.col("rate") > 0)
+    last = each.groupBy("currency").agg(F.max_by("rate", "fetched_at").alias("fetched"), F.max("fetched_at").alias("at"))
+    both = last.join(fallback.select("currency", F.col("rate").alias("spare")), "currency", "full")
+    fresh = F.coalesce(F.col("at") >= now - F.expr(f"interval {stale_days} days"), F.lit(False))
+    rate = F.when(fresh, F.col("fetched")).otherwise(F.coalesce("spare", "fetched"))
+    return both.select("currency", rate.alias("rate"), F.when(fresh, "fetched").when(F.col("spare").isNotNull(), "fallback").otherwise("stale").alias("source"))

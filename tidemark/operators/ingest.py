@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
+from ..sources.tables import small_side
 
 
 def validated(raw: DataFrame) -> DataFrame:
@@ -53,9 +54,9 @@ def fuel_decision(stored: Column, found: Column, fetched: Column, keep_on_fail:
 def generated_catalog(models: DataFrame, curated: DataFrame, model_rules: DataFrame, brand_defaults: DataFrame, generic: str) -> DataFrame:
     """brand, model, engines, level: curated engines go before a rule of the model, before a default of the brand,
     before the generic ones. All sides are catalog tables of some hundred rows."""
-    out = models.join(F.broadcast(curated.withColumnRenamed("engines", "c")), ["brand", "model"], "left")
-    out = out.join(F.broadcast(model_rules.withColumnRenamed("engines", "r")), ["brand", "model"], "left")
-    out = out.join(F.broadcast(brand_defaults.withColumnRenamed("engines", "d")), "brand", "left")
+    out = models.join(small_side(curated.withColumnRenamed("engines", "c")), ["brand", "model"], "left")
+    out = out.join(small_side(model_rules.withColumnRenamed("engines", "r")), ["brand", "model"], "left")
+    out = out.join(small_side(brand_defaults.withColumnRenamed("engines", "d")), "brand", "left")
     level = F.when(F.col("c").isNotNull(), "curated").when(F.col("r").isNotNull(), "model").when(F.col("d").isNotNull(), "brand").otherwise("generic")
     return out.select("brand", "model", F.coalesce("c", "r", "d", F.lit(generic)).alias("engines"), level.alias("level"))
 

@@ -52,3 +52,8 @@ def expired_files(files: DataFrame, now: datetime, days: int = BACKUP_DAYS) -> D
     """Files (path, modificationTime) that a prune removes: older than that many days, but never the newest one."""
     newest = files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("newest"))
     return files.where(F.col("modificationTime") < F.lit(now) - F.expr(f"interval {days} days")).join(F.broadcast(newest), F.col("path") == F.col("newest"), "left_anti")
+
+
+def drop_stale(rollup: DataFrame, watermark: Column, ts: str = "refreshed_at") -> DataFrame:
+    """A rollup without the rows that its last refresh did not write: what is written over it."""
+    return rollup.where(F.col(ts) >= watermark)

@@ -159,7 +159,14 @@ def history(sent: DataFrame, n: int = HISTORY) -> DataFrame:
     return sent.withColumn("rank", F.row_number().over(latest)).where(F.col("rank") <= n)
 
 
-def digest_text(top: DataFrame) -> DataFrame:
-    """One message per user: its adverts' blocks in order."""
-    block = F.concat_ws(" | ", F.concat_ws(" ", "brand", "model", "version"), F.col("year").cast("string"), F.concat(F.floor("price").cast("string"), F.lit(" EUR")), F.concat(F.col("mileage_km").cast("string"), F.lit(" km")), "country")
-    return top.groupBy(F.col("a_user_id").alias("user_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda x: x["block"]), "\n").alias("message"))
+def digest_text(top: DataFrame, badges: DataFrame, copies: DataFrame) -> DataFrame:
+    """One message per user: a header, and its adverts' blocks in order. A block has the car, its numbers and country, its
+    price's badge (badges: portal_id, badge), other sources of the same car (copies: portal_id, n_portals), and its link."""
+    cars = top.join(badges.select(F.col("portal_id").alias("_b"), "badge"), F.col("portal_id") == F.col("_b"), "left").join(copies.select(F.col("portal_id").alias("_c"), "n_portals"), F.col("portal_id") == F.col("_c"), "left")
+    also = F.when(F.col("n_portals") > 0, F.concat(F.lit("also on "), F.col("n_portals").cast("string"), F.when(F.col("n_portals") > 1, " other portals").otherwise(" other portal")))
+    title = F.concat(F.lit("#"), F.col("rank").cast("string"), F.lit(": "), F.concat_ws(" ", "brand", "model", "version"))
+    block = F.concat_ws(" | ", title, F.col("year").cast("string"), F.concat(F.floor("price").cast("string"), F.lit(" EUR")), F.concat(F.col("mileage_km").cast("string"), F.lit(" km")), "country", "badge", also, F.concat(F.lit("link "), F.col("portal_id")))
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda x: x["block"])
+    n = F.count("*")
+    header = F.concat(n.cast("string"), F.when(n == 1, " new match").otherwise(" new matches"))
+    return cars.groupBy(F.col("a_user_id").alias("user_id")).agg(F.array_join(F.array_prepend(blocks, header), "\n").alias("message"))

@@ -7,8 +7,12 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import freetext as T
+from ..functions import numeric as N
 from ..functions import text as X
+from ..functions import timewin as W
+from ..operators import catalog as C
 from ..operators import ingest as I
+from ..operators import lifecycle as L
 from ..operators import stats as S
 from .registry import Data, query
 from .scalars import expected
@@ -111,3 +115,39 @@ def schedule_labels(d: Data):
     k = F.col("c_custkey")
     days = F.array_sort(F.array((1 + k % 7).cast("int"), F.lit(3), F.lit(5)))
     return d.table("customer").select("c_custkey", F.concat(F.lit("days "), F.array_join(F.transform(days, lambda x: x.cast("string")), ""), F.lit(", "), F.lpad((8 + k % 3).cast("string"), 2, "0"), F.lit("-"), (19 + k % 4).cast("string"), F.lit("h, every "), (1 + k % 4).cast("string"), F.lit("h")).alias("label"))
+
+
+@query("""SELECT c_custkey, '{"days":[' || array_to_string(list_sort(list_distinct([(1 + c_custkey % 6)::INT, 3])), ',') || '],"start":' || CASE WHEN c_custkey % 30 < 7 THEN 7 WHEN c_custkey % 30 > 12 THEN 12 ELSE c_custkey % 30 END
+  || ',"end":' || 21 || ',"interval":' || CASE WHEN c_custkey % 10 IN (1, 2, 3, 4) THEN c_custkey % 10 ELSE 2 END || '}' AS fingerprint FROM customer""")
+def schedule_fingerprint(d: Data):
+    k = F.col("c_custkey")
+    p = W.clamped_preferences(F.array((1 + k % 6).cast("int"), F.lit(3)), k % 30, F.lit(None).cast("long"), k % 10)
+    return d.table("customer").select("c_custkey", p.alias("p")).select("c_custkey", W.preferences_fingerprint(F.col("p")).alias("fingerprint"))
+
+
+@query("WITH r AS (SELECT o_custkey, max(o_orderdate) AS refreshed_at, count(*) AS n FROM orders GROUP BY ALL) SELECT o_custkey, n FROM r WHERE refreshed_at >= (SELECT max(refreshed_at) FROM r) - INTERVAL 90 DAY")
+def rollup_stale_rows(d: Data):
+    rollup = d.table("orders").groupBy("o_custkey").agg(F.max(F.col("o_orderdate").cast("timestamp")).alias("refreshed_at"), F.count("*").alias("n"))
+    last = rollup.agg(F.max("refreshed_at").alias("last"))  # one row
+    return L.drop_stale(rollup.crossJoin(F.broadcast(last)), F.col("last") - F.expr("interval 90 days")).select("o_custkey", "n")
+
+
+@query("SELECT c_custkey, greatest(0, least(c_custkey % 40 - 5, greatest(0, ceil((c_custkey % 500) / 18.0) - 1)))::BIGINT AS page FROM customer")
+def page_clamp(d: Data):
+    k = F.col("c_custkey")
+    return d.table("customer").select("c_custkey", N.clamp_page(k % 40 - 5, k % 500, 18).alias("page"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN c_mktsegment ELSE c_mktsegment || '+x' END AS stored FROM customer")
+def array_promotion(d: Data):
+    """Scalars become lists of one, '' the empty list, and lists that were scalars are joined to what is new."""
+    k, seg = F.col("c_custkey"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).otherwise("")
+    stored = X.promoted(seg)
+    return d.table("customer").select("c_custkey", F.array_join(F.when(k % 3 == 2, F.array_append(stored, F.lit("x"))).otherwise(stored), "+").alias("stored"))
+
+
+@query("""SELECT DISTINCT p_brand AS brand, p_type || s AS model, CASE WHEN s = 'ish' OR (p_brand = 'Brand#1' AND p_type = 'PROMO') THEN NULL ELSE p_type END AS found FROM part, (VALUES (''), (' Sport Line'), ('ish'), ('-x')) v(s)""")
+def catalog_model_lookup(d: Data):
+    models = d.table("part").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("model")).distinct()
+    names = models.crossJoin(F.broadcast(d.rows([("",), (" Sport Line",), ("ish",), ("-x",)], "s string"))).select("brand", F.concat("model", "s").alias("model"))
+    return C.catalog_models(names, models.where("not (brand = 'Brand#1' and model = 'PROMO')"))

@@ -105,7 +105,11 @@ def digest_top3(d: Data):
 
 @query()
 def digest_messages(d: Data):
-    return M.digest_text(_digest(d))
+    top = _digest(d).persist()
+    cars = top.dropDuplicates(["portal_id"])
+    asked = cars.select(F.col("portal_id").alias("c_id"), F.col("brand_norm").alias("c_brand"), F.col("model_norm").alias("c_model"), F.col("year").alias("c_year"), F.col("mileage_km").alias("c_km"), F.col("price").alias("c_price"))
+    badges = market.deal_scores(asked, d.listing).select(F.col("c_id").alias("portal_id"), market.deal_badge(F.col("pct"), F.col("sample")).alias("badge"))
+    return M.digest_text(top, badges, D.near_sources(cars, d.listing))
 
 
 _SAME = "{0}.brand_norm = r.brand_norm AND {0}.model_norm = r.model_norm AND {0}.year = r.year AND abs({0}.mileage_km - r.mileage_km) <= 1000 AND abs({0}.price - r.price) / greatest(({0}.price + r.price) / 2, 1) <= 0.05"
@@ -249,6 +253,18 @@ act AS (SELECT *, CASE WHEN ccy IS NOT NULL AND native IS NOT NULL AND coalesce(
   WHEN coalesce(price < floor_, false) OR eur < 800 OR eur > 800000 OR (floor_ IS NOT NULL AND price BETWEEN 800 AND 800000 AND eur < price * 0.35) THEN 'already_eur' ELSE 'converted' END AS action FROM j)"""
 
 
+@query("""WITH f AS (SELECT event_id, ts, 'C' || (event_id % 7) AS a, 'D' || (event_id % 3) AS b, 1 + value AS r FROM events WHERE event_type = 'view'), e AS (SELECT event_id, ts, a AS c, r FROM f UNION ALL SELECT event_id, ts, b, 2 * r FROM f),
+l AS (SELECT c, max(struct_pack(ts, event_id, r)).r AS r, max(ts) AS seen FROM e WHERE c <> 'C5' OR ts < TIMESTAMP '2024-01-15' GROUP BY c), s(c, spare) AS (VALUES ('C5', 5.5), ('X', 1.5), ('C1', 9.9))
+SELECT coalesce(l.c, s.c) AS currency, CASE WHEN seen >= TIMESTAMP '2024-01-25' THEN l.r ELSE spare::DOUBLE END AS rate, CASE WHEN seen >= TIMESTAMP '2024-01-25' THEN 'fetched' ELSE 'fallback' END AS source FROM l FULL JOIN s USING (c)""")
+def fx_latest_rates(d: Data):
+    """Payloads of rates: each view names two currencies; C5 is no longer fetched from some day on."""
+    views, k = d.table("events").where("event_type = 'view'").withColumn("ts", F.col("ts").cast("timestamp")), F.col("event_id")
+    gone = (k % 7 == 5) & (F.col("ts") >= F.lit("2024-01-15").cast("timestamp"))
+    first = F.concat(F.lit("C"), (k % 7).cast("string"))
+    rates = F.create_map(F.when(gone, "none").otherwise(first), F.when(gone, 0.0).otherwise(1 + F.col("value")), F.concat(F.lit("D"), (k % 3).cast("string")), 2 * (1 + F.col("value")))
+    return fx.latest_rates(views.select(F.col("ts").alias("fetched_at"), rates.alias("rates")), F.lit("2024-02-01").cast("timestamp"), d.rows([("C5", 5.5), ("X", 1.5), ("C1", 9.9)], "currency string, rate double"))
+
+
 @query(f"WITH {_FX} SELECT id, country, action FROM act")
 def fx_classify(d: Data):
     return fx.repaired(_priced(d), d.rows(RATES, "currency string, rate double")).select("id", "country", "action")
