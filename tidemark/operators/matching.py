@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import small_side
 from . import dedup as D
-from .predicate import WANTS, pair_matches, with_soft, with_wants
+from .predicate import WANTS, has_short_lists, pair_matches, with_soft, with_wants
 from .stats import exact_sum
 
 DIGEST, HISTORY = 3, 40
@@ -26,14 +26,15 @@ def _key(kind: int, *parts: Column) -> Column:
     return F.xxhash64(F.lit(kind), *parts)
 
 
-def candidates(listings: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Pairs of with_soft adverts and with_wants alerts whose canonical brand and model fit: null or '' in an alert is any.
+def candidates(listings: DataFrame, alerts: DataFrame, which: Column | None = None) -> DataFrame:
+    """Pairs of with_soft adverts and with_wants alerts (those that meet `which`) whose canonical brand and model fit: null or
+    '' in an alert is any.
 
     One equi-join for all kinds of alerts: an alert has a key by brand and model, by brand, by model, or, if it is for
     anything, one for each year that it admits (years before and after YEARS share the end keys; the residual test tells
     them apart), and an advert has its four. Alerts are broadcast after a check of their number, else both sides are shuffled.
     """
-    a = _prefixed(alerts)
+    a = _prefixed(alerts) if which is None else _prefixed(alerts).where(which)
     brand, model = F.col("a_brand_key") != "", F.col("a_model_key") != ""
     low, high = YEARS
     from_year = F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce("a_least_year", F.lit(low))))
@@ -50,7 +51,10 @@ def candidates(listings: DataFrame, alerts: DataFrame) -> DataFrame:
 
 def matches(listings: DataFrame, alerts: DataFrame, trims: DataFrame | None = None) -> DataFrame:
     """Adverts with the alerts (a_*) that they match: a row per pair."""
-    pairs = candidates(with_soft(listings, trims), with_wants(alerts)).where(pair_matches())
+    soft, wants = with_soft(listings, trims), with_wants(alerts)
+    pairs = candidates(soft, wants, has_short_lists()).where(pair_matches(short=True))
+    if not _prefixed(wants).where(~has_short_lists()).isEmpty():
+        pairs = pairs.unionByName(candidates(soft, wants, ~has_short_lists()).where(pair_matches()))
     return pairs.select(*listings.columns, *[f"a_{c}" for c in alerts.columns])
 
 

@@ -15,6 +15,8 @@ from . import catalog as C
 
 #: Distinct version texts up to which facts about them are broadcast, some hundred bytes each.
 VERSIONS = 100_000
+#: Elements up to which a list is short.
+SHORT = 3
 #: A mileage cap from which on there is none.
 ANY_KM = 9_999_999
 
@@ -109,38 +111,40 @@ def _given(frame: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in frame.columns else F.lit(None).cast(kind)
 
 
-def _version_facts(version: Column) -> dict[str, Column]:
-    """What a version text says by itself, and the forms in which trims are looked for in it."""
-    hay, named = X.norm_text(version), X.fuel_type(version)
+def _text_facts(version: Column, engine: Column) -> dict[str, Column]:
+    """What a version text says by itself, the stored engine or else the text's, and the forms in which trims are looked for."""
+    hay, named, stored = X.norm_text(version), X.fuel_type(version), X.engine_key(engine)
     return {
-        "_v_fuel": F.when(named != "Unknown", named), "_v_power": N.power_cv(version, allow_bare=True), "_v_engine": F.coalesce(C.engine_heuristic(version), F.lit("")),
+        "_v_fuel": F.when(named != "Unknown", named), "_v_power": N.power_cv(version, allow_bare=True), "_engine": F.when(stored != "", stored).otherwise(F.coalesce(C.engine_heuristic(version), F.lit(""))),
         "_hay": hay, "_close": F.regexp_replace(hay, r"[\s\-]+", ""), "_alone": F.concat(F.lit(" "), F.regexp_replace(hay, "[^a-z0-9]", " "), F.lit(" ")),
     }
 
 
-def with_version_facts(listings: DataFrame, facts: Callable[[Column], dict[str, Column]]) -> DataFrame:
-    """listings with facts of their version. Texts repeat, so the expressions, chains of patterns, are worked out once for
-    each distinct one if there are few enough of them to broadcast, else row by row."""
-    distinct = listings.select(F.col("version").alias("_of")).distinct()
+def with_facts(rows: DataFrame, keys: list[str], facts: Callable[..., dict[str, Column]]) -> DataFrame:
+    """rows with facts of some columns. Texts repeat, so the expressions, chains of patterns, are worked out once for each
+    distinct combination if there are few enough of them to broadcast, else row by row."""
+    distinct = rows.select(*[F.col(k).alias(f"_of_{k}") for k in keys]).distinct()
     if distinct.limit(VERSIONS + 1).count() > VERSIONS:
-        return listings.withColumns(facts(F.col("version")))
-    known = distinct.withColumns(facts(F.col("_of")))
-    return listings.join(F.broadcast(known), F.col("version").eqNullSafe(F.col("_of")), "left").drop("_of")
+        return rows.withColumns(facts(*map(F.col, keys)))
+    known = distinct.withColumns(facts(*[F.col(f"_of_{k}") for k in keys]))
+    same = _all([F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return rows.join(F.broadcast(known), same, "left").drop(*[f"_of_{k}" for k in keys])
 
 
 def with_soft(listings: DataFrame, trims: DataFrame | None = None) -> DataFrame:
     """listings with what alerts are tested against, made once per advert: canonical keys, fuel and power filled from the
     version, the stored engine or the one that the version names, and the version's text in the forms in which trims are
     looked for. trims (brand, model, trim) is the catalog: `_base` says that the version names none of its model's."""
-    stored = X.engine_key(_given(listings, "engine_norm"))
     known = F.nullif(F.trim(X.filled(F.col("fuel_type"))), F.lit(""))
-    out = with_version_facts(listings, _version_facts).withColumns(
+    out = listings if "engine_norm" in listings.columns else listings.withColumn("engine_norm", F.lit(None).cast("string"))
+    out = with_facts(out, ["version", "engine_norm"], _text_facts)
+    out = with_facts(out, ["brand_norm", "model_norm"], lambda brand, model: {"_brand": X.normalize_brand(brand), "_model": X.normalize_model(model)})
+    out = out.withColumns(
         {
-            "_brand": X.normalize_brand(F.col("brand_norm")), "_model": X.normalize_model(F.col("model_norm")), "_country": F.upper("country"),
-            "_fuel": F.lower(F.coalesce(F.when(F.lower(known) != "unknown", known), F.col("_v_fuel"))), "_power": F.coalesce(F.when(F.col("power_hp") > 0, F.col("power_hp")), F.col("_v_power")),
-            "_engine": F.when(stored != "", stored).otherwise(F.col("_v_engine")),
+            "_country": F.upper("country"), "_fuel": F.lower(F.coalesce(F.when(F.lower(known) != "unknown", known), F.col("_v_fuel"))),
+            "_power": F.coalesce(F.when(F.col("power_hp") > 0, F.col("power_hp")), F.col("_v_power")),
         }
-    ).drop("_v_fuel", "_v_power", "_v_engine")
+    ).drop("_v_fuel", "_v_power")
     if trims is None:
         return out.withColumn("_base", F.lit(False))
     names = F.filter(F.collect_set(X.norm_text(F.col("trim"))), lambda t: (t != "base") & (t != ""))
@@ -181,12 +185,21 @@ def with_wants(alerts: DataFrame) -> DataFrame:
     )
 
 
-def pair_matches() -> Column:
+def has_short_lists() -> Column:
+    """Whether an alert's (a_*) lists have at most SHORT elements each, as nearly all have."""
+    return _all([F.size(c) <= SHORT for c in ("a_fuels", "a_engines", "a_trims")])
+
+
+def pair_matches(short: bool = False) -> Column:
     """The test of a joined pair of an advert (with_soft) and an alert (with_wants, its columns behind a_) whose brand and
-    model fit. Numbers first; a bound that is set is not met by null. Lists are looked at only where there are any."""
+    model fit. Numbers first; a bound that is set is not met by null. With short lists elements are tested one by one, which
+    stays in generated code; a function over a list's elements would take the whole join out of it."""
     def bound(limit: str, test: Column) -> Column:
         return F.col(limit).isNull() | F.coalesce(test, F.lit(False))
 
+    def some(names: str, test: Callable[[Column], Column]) -> Column:
+        return X.any_of([F.coalesce(test(F.get(names, F.lit(k))), F.lit(False)) for k in range(SHORT)]) if short else F.exists(names, test)
+
     def any_of(names: str, test: Column) -> Column:
         return F.when(F.size(names) == 0, True).otherwise(F.coalesce(test, F.lit(False)))
 
@@ -196,8 +209,8 @@ def pair_matches() -> Column:
     ]
     lists = [
         any_of("a_countries", F.array_contains("a_countries", F.col("_country"))),
-        any_of("a_fuels", F.exists("a_fuels", lambda f: F.col("_fuel").contains(f))),
-        any_of("a_engines", (F.col("_engine") != "") & F.exists("a_engines", lambda e: F.col("_engine").contains(e) | e.contains(F.col("_engine")))),
-        any_of("a_trims", (F.col("a_wants_base") & F.col("_base")) | F.exists("a_trims", _named)),
+        any_of("a_fuels", some("a_fuels", lambda f: F.col("_fuel").contains(f))),
+        any_of("a_engines", (F.col("_engine") != "") & some("a_engines", lambda e: F.col("_engine").contains(e) | e.contains(F.col("_engine")))),
+        any_of("a_trims", (F.col("a_wants_base") & F.col("_base")) | some("a_trims", _named)),
     ]
     return _all(numbers + lists)
