@@ -52,7 +52,7 @@ def slice_medians(km: np.ndarray, price: np.ndarray, many: np.ndarray, asked: np
     low, high, size = np.append(low, 0), np.append(high, len(km)), np.append(in_band, n)
     middle = [ranged_values(ranks, many, low, high, np.maximum(0, k)) for k in ((size - 1) // 2, size // 2)]
     lower, upper = (values[np.minimum(m, len(values) - 1)] for m in middle)
-    medians = lower + (upper - lower) * 0.5
+    medians = 0.5 * lower + 0.5 * upper
     return {"n": np.full(len(asked), n), "n_band": in_band, "all_median": np.full(len(asked), medians[-1]), "band_median": medians[:-1]}
 
 
