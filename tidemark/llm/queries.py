@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, classifier, embeddings, licenses, mixing, quality_rules, simhash, url_filter, warc
+from . import bpe, chat, classifier, embeddings, licenses, main_text, mixing, quality_rules, runs, simhash, spelling, url_filter, warc
 from .common import table
 
 
@@ -52,8 +52,26 @@ def op10_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), typos=True))
+
+
+ALL = (
+    op1_mixing, op2_license_scan, op3_quality_rules, op4_url_filter, op5_byte_bpe, op6_warc, op7_simhash, op8_quality_classifier, op9_chat_perspectives,
+    op10_embedding_forest, op11_periodic_runs, op12_html_extraction, op13_spelling_variants,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_license_scan, op3_quality_rules, op4_url_filter, op5_byte_bpe, op6_warc, op7_simhash, op8_quality_classifier, op9_chat_perspectives, op10_embedding_forest)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
