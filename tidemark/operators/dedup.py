@@ -1,11 +1,16 @@
-"""Duplicates of adverts: exact by URL, near by a range join, and greedy elimination; the guarded insert."""
+"""Duplicates of adverts: exact by URL, near by a range join, greedy elimination by rounds; the guarded insert."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import normalize_url
+from ..sources.shared import cut
+
 KM, PRICE = 1000, 0.05
 BLOCK = ("brand_norm", "model_norm", "year")
 #: Sources in order of preference; unknown ones come last.
@@ -18,29 +23,45 @@ def near(a: str, b: str) -> Column:
     return (F.abs(F.col(f"{a}.mileage_km") - F.col(f"{b}.mileage_km")) <= KM) & (F.abs(p - q) / F.greatest((p + q) / 2, F.lit(1.0)) <= PRICE)
 
 
-def near_pairs(listings: DataFrame) -> DataFrame:
-    """(a_id, b_id) with a_id < b_id of near duplicates. Mileage and price are cut into cells as wide as the tolerance;
-    one side looks into its own and the neighbouring cells, so a popular model is many small equi-joins."""
-    probe, cells = _probe(listings), _cells(listings)
+#: Cells around one that have not looked at it themselves: with its own, half of its neighbourhood.
+FORWARD = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
+
+
+def close_pairs(cars: DataFrame, key: str, *more: str) -> DataFrame:
+    """Each near pair of cars once, as a.* and b.* with key, BLOCK, mileage_km, price and more, in no certain order.
+
+    Mileage and price are cut into cells as wide as the tolerance. One side looks into its own cell and into four of the
+    eight around it, so a popular model is many small equi-joins and a pair meets in one cell only."""
+    cells = _cells(cars, key, *more)
+    looks = cells.withColumn("_look", F.explode(F.array(*[F.struct(F.lit(k).alias("km"), F.lit(p).alias("price")) for k, p in FORWARD])))
+    looks = looks.withColumns({"own": (F.col("_look.km") == 0) & (F.col("_look.price") == 0), "km_cell": F.col("km_cell") + F.col("_look.km"), "price_cell": F.col("price_cell") + F.col("_look.price")})
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*BLOCK, "km_cell", "price_cell")]
-    return probe.join(cells.alias("b"), [*on, F.col("a.portal_id") < F.col("b.portal_id"), near("a", "b")]).select(F.col("a.portal_id").alias("a_id"), F.col("b.portal_id").alias("b_id"))
+    once = ~F.col("a.own") | (F.col(f"a.{key}") < F.col(f"b.{key}"))
+    return looks.drop("_look").alias("a").join(cells.alias("b"), [*on, once, near("a", "b")])
+
+
+def near_pairs(listings: DataFrame) -> DataFrame:
+    """(a_id, b_id) with a_id < b_id of near duplicates."""
+    a, b = F.col("a.portal_id"), F.col("b.portal_id")
+    return close_pairs(listings, "portal_id").where(a != b).select(F.least(a, b).alias("a_id"), F.greatest(a, b).alias("b_id"))
 
 
 def near_sources(cars: DataFrame, listings: DataFrame) -> DataFrame:
     """portal_id, n_portals for those of cars that have near duplicates: how many other sources they are from."""
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*BLOCK, "km_cell", "price_cell")]
-    met = _probe(cars, "source_portal").join(_cells(listings, "source_portal").alias("b"), [*on, F.col("a.source_portal") != F.col("b.source_portal"), near("a", "b")])
+    met = _probe(cars, "source_portal").join(_cells(listings, "portal_id", "source_portal").alias("b"), [*on, F.col("a.source_portal") != F.col("b.source_portal"), near("a", "b")])
     return met.groupBy(F.col("a.portal_id").alias("portal_id")).agg(F.count_distinct("b.source_portal").alias("n_portals"))
 
 
 def _cells(listings: DataFrame, *more: str) -> DataFrame:
     width = F.log(F.lit((1 + PRICE / 2) / (1 - PRICE / 2)))
-    return listings.select("portal_id", *BLOCK, "mileage_km", "price", *more).withColumn("km_cell", F.floor(F.col("mileage_km") / KM)).withColumn("price_cell", F.floor(F.log(F.greatest("price", F.lit(20.0))) / width))
+    slim = listings.select(*BLOCK, "mileage_km", "price", *more)
+    return slim.withColumn("km_cell", F.floor(F.col("mileage_km") / KM)).withColumn("price_cell", F.floor(F.log(F.greatest("price", F.lit(20.0))) / width))
 
 
 def _probe(listings: DataFrame, *more: str) -> DataFrame:
     """Each advert in its own and the neighbouring cells."""
-    cells = _cells(listings, *more)
+    cells = _cells(listings, "portal_id", *more)
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     return (
         cells.withColumn("km_cell", F.explode(F.transform(around, lambda d: F.col("km_cell") + d)))
@@ -71,73 +92,222 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
+def _order() -> Column:
+    return F.struct(source_rank(F.col("source_portal")).alias("s"), (~F.coalesce(F.col("power_hp") > 0, F.lit(False))).alias("p"), F.col("price").alias("c"), (-F.unix_micros("updated_at")).alias("t"), F.col("portal_id").alias("id"))
+
+
+def first_independent(edges: DataFrame) -> tuple[DataFrame, int]:
+    """edges (first, then): two nodes that exclude each other, the better one as first -> the nodes (then) that are dropped
+    when, in order, each node is kept unless one kept before it excludes it; and the rounds that it took.
+
+    This is the lexicographically first maximal independent set. In a round each node without a better undecided neighbour
+    is kept, and its neighbours are dropped; the rest goes on. Rounds grow with the longest chain of nodes that wait for
+    each other, which for orders unrelated to the edges is about the logarithm of the nodes; each is cut from its lineage.
+    """
+    left, dropped, rounds = cut(edges.select("first", "then").distinct()), [], 0
+    while not left.isEmpty():
+        free = left.select("first").distinct().join(left.select(F.col("then").alias("first")).distinct(), "first", "left_anti")
+        gone = cut(left.join(free, "first", "left_semi").select("then").distinct())
+        left = left.join(gone, "then", "left_anti").join(gone.select(F.col("then").alias("first")), "first", "left_anti")
+        left = cut(left.join(free, "first", "left_anti"))
+        dropped.append(gone)
+        rounds += 1
+    none = edges.select("then").limit(0)
+    return reduce(DataFrame.unionByName, dropped, none), rounds
+
+
 def greedy(listings: DataFrame) -> DataFrame:
-    """(portal_id, kept_id): in order of preference an advert is kept unless one kept before it is near.
+    """(portal_id, kept_id): in order of preference an advert is kept unless one kept before it is near; kept_id is the first
+    kept one that is near, or itself. A portal_id that is repeated counts once, as its best row.
 
-    The result depends on the order, so adverts that may be linked are folded by one task: a run of a block's mileages
-    without a gap of over KM. It holds ids, mileages and prices only; kept rows are looked up by cells of mileage.
+    Adverts of equal block, mileage and price share their fate, so the best of them stands for all; one that lacks any of
+    these is near nothing and kept. The others are decided
+    by rounds of joins over the near pairs (first_independent); no task holds a block.
     """
-    ranked = listings.select("portal_id", *BLOCK, "mileage_km", "price", F.struct(source_rank(F.col("source_portal")), ~F.coalesce(F.col("power_hp") > 0, F.lit(False)), "price", -F.unix_seconds("updated_at"), "portal_id").alias("order"))
-    slim = ranked.select("portal_id", *BLOCK, "mileage_km", "price", "order")
-    gap = F.coalesce(F.col("mileage_km") - F.lag("mileage_km").over(Window.partitionBy(*BLOCK).orderBy("mileage_km")) > KM, F.lit(False))
-    slim = slim.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(Window.partitionBy(*BLOCK).orderBy("mileage_km")))
-    slim = slim.withColumn("rank", F.row_number().over(Window.partitionBy(*BLOCK, "run").orderBy("order"))).drop("gap", "order")
-
-    def fold(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("rank")
-        cells: dict[int, list[tuple[str, int, float]]] = {}
-        kept = []
-        for pid, km, price in zip(block.portal_id, block.mileage_km, block.price, strict=True):
-            cell = km // KM
-            same = next((i for c in (cell - 1, cell, cell + 1) for i, k, p in cells.get(c, ()) if abs(k - km) <= KM and abs(p - price) / max((p + price) / 2, 1) <= PRICE), None)
-            if same is None:
-                cells.setdefault(cell, []).append((pid, km, price))
-            kept.append(same or pid)
-        return pd.DataFrame({"portal_id": block.portal_id, "kept_id": kept})
-
-    return slim.groupBy(*BLOCK, "run").applyInPandas(fold, "portal_id string, kept_id string")
-
-
-def batch(listings: DataFrame) -> DataFrame:
-    """The adverts of a batch that are left when, newest first, one that is near a kept one is dropped, or takes its place
-    if it is cheaper; so is one whose portal_id (or url, if there is such a column) is that of a kept one, and dropped.
-
-    Of several near ones the first counts, and the place of a replaced advert stays its own. As with greedy, a block is
-    folded by one task. Both keys are unique in a stock, so that adverts of different blocks share none.
+    place = (*BLOCK, "mileage_km", "price")
+    rows = listings.select("portal_id", *place, _order().alias("o"))
+    rows = cut(rows.groupBy("portal_id").agg(F.min_by(F.struct(*place, "o"), "o").alias("r")).select("portal_id", "r.*"))
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in place])
+    points = rows.where(whole).groupBy(*place).agg(F.min("o").alias("o")).withColumn("node", F.col("o.id"))
+    better = F.col("a.o") < F.col("b.o")
+    edges = close_pairs(points, "node", "o").select(
+        F.when(better, F.col("a.node")).otherwise(F.col("b.node")).alias("first"), F.when(better, F.col("b.node")).otherwise(F.col("a.node")).alias("then"), F.least("a.o", "b.o").alias("o")
+    )
+    edges = cut(edges)
+    dropped = cut(first_independent(edges)[0])
+    kept = edges.join(dropped, "then", "left_semi").join(dropped.select(F.col("then").alias("first")), "first", "left_anti")
+    kept = kept.groupBy(F.col("then").alias("node")).agg(F.min("o").alias("k")).select("node", F.col("k.id").alias("k"))
+    same = [F.col(f"r.{c}") == F.col(f"p.{c}") for c in place]
+    of_place = points.join(kept, "node", "left").select(*place, F.coalesce("k", "node").alias("kept_id")).alias("p")
+    return rows.alias("r").join(of_place, reduce(Column.__and__, same), "left").select("r.portal_id", F.coalesce("p.kept_id", "r.portal_id").alias("kept_id"))
+
+
+def clean_up(listings: DataFrame) -> DataFrame:
+    """What the clean-up of a stock does with each advert (portal_id): copy_of_url (another row with its canonical URL is
+    preferred), near_duplicate (greedy, over what is left), or keep, with the advert that is kept in its stead (kept_id).
+
+    listings need a column url; null and empty URLs are copies of nothing.
     """
-    url = F.coalesce(F.col("url"), F.lit("")) if "url" in listings.columns else F.lit("")
-    order = Window.partitionBy(*BLOCK).orderBy(F.desc("updated_at"), "portal_id", "price", "mileage_km")
-    ranked = listings.withColumn("_rank", F.row_number().over(order))
-    slim = ranked.select("portal_id", *BLOCK, "mileage_km", "price", url.alias("url"), "_rank")
-
-    def fold(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("_rank")
-        cells: dict[int, dict[int, tuple[int, float]]] = {}
-        kept: list[tuple] = []
-        ids, urls = set(), set()
-        for pid, km, price, page, rank in zip(block.portal_id, block.mileage_km, block.price, block.url, block._rank, strict=True):
-            if pid in ids or page and page in urls:
+    url = normalize_url(F.col("url"))
+    rows = cut(listings.withColumn("_url", F.when(url != "", url)))
+    best = rows.where("_url is not null").groupBy("_url").agg(F.min(_order()).alias("o")).select(F.col("_url").alias("_best_url"), F.col("o.id").alias("_best"))
+    rows = rows.join(best, F.col("_url") == F.col("_best_url"), "left")
+    copy = F.coalesce(F.col("_best") != F.col("portal_id"), F.lit(False))
+    decided = greedy(rows.where(~copy))
+    copies = rows.where(copy).select("portal_id", F.lit("copy_of_url").alias("action"), F.col("_best").alias("kept_id"))
+    left = decided.select("portal_id", F.when(F.col("portal_id") == F.col("kept_id"), "keep").otherwise("near_duplicate").alias("action"), "kept_id")
+    return copies.unionByName(left)
+
+
+#: Rows, about, that a task of batch folds at once.
+FOLD = 50_000
+_FATE = "key string, bucket long, entered boolean, slot string, gone string, took string"
+
+
+def _fold(rows: pd.DataFrame) -> pd.DataFrame:
+    """Adverts of one bucket in their order, with what is known so far of adverts elsewhere that could meet them.
+
+    A slot is a place among the kept; slot is the key of the advert that opened it, gone the key of the advert that took
+    an advert's place, took the key of the advert whose place it took. held_id and held_url are the stretches of keys
+    during which a kept advert of another bucket has the same id or URL.
+    """
+    rows = rows.sort_values("key", kind="stable")
+    slots: dict[str, tuple] = {}
+    place: dict[str, str] = {}
+    cells: dict[tuple, set] = {}
+    ids, urls, fates = set(), set(), {}
+
+    def leave(slot: str) -> tuple:
+        old = slots.pop(slot)
+        place.pop(old[0], None)
+        cells[old[1], old[2] // KM].discard(slot)
+        if old[6]:
+            ids.discard(old[4])
+            urls.discard(old[5])
+        return old
+
+    def enter(slot: str, car: tuple) -> None:
+        slots[slot] = car
+        place[car[0]] = slot
+        cells.setdefault((car[1], car[2] // KM), set()).add(slot)
+        if car[6]:
+            ids.add(car[4])
+            urls.add(car[5])
+
+    for key, block, km, price, pid, url, own, held_id, held_url, entered, slot, gone, took in rows[["key", "block", "mileage_km", "price", "portal_id", "url", "own", "held_id", "held_url", "entered", "slot", "gone", "took"]].itertuples(index=False):
+        known = km == km and price == price and km is not None and price is not None
+        if not own:
+            if entered and known:
+                if took in place:
+                    old = leave(place[took])
+                    if old[6]:
+                        fates[took][2] = key
+                if slot in slots and slots[slot][7] is not None and slots[slot][7] <= key:
+                    leave(slot)
+                if slot not in slots:
+                    enter(slot, (key, block, km, price, pid, url, False, gone))
+            continue
+        fate = fates[key] = [False, None, None, None]
+        held = [h for x in (held_id, held_url) if x is not None for h in x]
+        if pid and pid in ids or url and url in urls or any(h["since"] < key and (h["until"] is None or key <= h["until"]) for h in held):
+            continue
+        near_by = []
+        if known:
+            cell = int(km // KM)
+            for c in (cell - 1, cell, cell + 1):
+                for s in list(cells.get((block, c), ())):
+                    other = slots[s]
+                    if other[7] is not None and other[7] < key:
+                        leave(s)
+                    elif abs(other[2] - km) <= KM and abs(other[3] - price) / max((other[3] + price) / 2, 1) <= PRICE:
+                        near_by.append(s)
+        if near_by:
+            at = min(near_by)
+            if not price < slots[at][3]:
                 continue
-            cell = km // KM
-            same = min((i for c in (cell - 1, cell, cell + 1) for i, (k, p) in cells.get(c, {}).items() if abs(k - km) <= KM and abs(p - price) / max((p + price) / 2, 1) <= PRICE), default=None)
-            if same is not None:
-                old = kept[same]
-                if not price < old[2]:
-                    continue
-                ids.discard(old[0])
-                urls.discard(old[3])
-                del cells[old[1] // KM][same]
-                kept[same] = (pid, km, price, page, rank)
-            else:
-                same = len(kept)
-                kept.append((pid, km, price, page, rank))
-            cells.setdefault(cell, {})[same] = (km, price)
+            old = leave(at)
+            if old[6]:
+                fates[old[0]][2] = key
+            fate[3] = old[0]
+        else:
+            at = key
+        fate[0], fate[1] = True, at
+        if known:
+            enter(at, (key, block, km, price, pid, url, True, None))
+        else:
             ids.add(pid)
-            urls.add(page)
-        return pd.DataFrame({"portal_id": [k[0] for k in kept], "_rank": [k[4] for k in kept]})
-
-    left = slim.groupBy(*BLOCK).applyInPandas(fold, "portal_id string, _rank int")
-    return ranked.join(left, ["portal_id", "_rank"], "left_semi").drop("_rank")
+            urls.add(url)
+    bucket = rows["bucket"].iloc[0]
+    return pd.DataFrame([(k, bucket, *f) for k, f in fates.items()], columns=["key", "bucket", "entered", "slot", "gone", "took"])
+
+
+def _shared(cars: DataFrame, column: str) -> DataFrame:
+    """key, bucket and column of adverts whose id or URL occurs in several buckets."""
+    buckets = cars.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy(column).agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
+    return cut(cars.join(buckets.where("a <> b").select(column), column, "left_semi").select("key", "bucket", column))
+
+
+def _held(shared: DataFrame, fates: DataFrame, column: str) -> DataFrame:
+    """key, held_<column>: when kept adverts of other buckets have an advert's id or URL. Nothing after the first that stays
+    for good matters, so there is little of it however often a value occurs."""
+    kept = shared.join(fates.where("entered").select("key", "gone"), "key")
+    stays = kept.where("gone is null").groupBy(column, "bucket").agg(F.min("key").alias("stays"))
+    # one bucket's own stay says nothing to itself, so the first of another bucket bounds what is needed
+    second = stays.groupBy(column).agg(F.get(F.array_sort(F.collect_list("stays")), F.lit(1)).alias("second"))
+    spans = kept.join(second, column, "left").where(F.col("second").isNull() | (F.col("key") <= F.col("second")))
+    spans = spans.groupBy(column).agg(F.collect_list(F.struct(F.col("key").alias("since"), F.col("gone").alias("until"), "bucket")).alias("spans"))
+    return shared.join(spans, column).select("key", F.filter("spans", lambda s: s["bucket"] != F.col("bucket")).alias(f"held_{column}"))
+
+
+def batch(listings: DataFrame, fold: int = FOLD) -> DataFrame:
+    """The adverts of a batch that are left when, newest first (then by id, price, mileage), one that is near a kept one is
+    dropped, or takes its place if it is cheaper; so is one whose portal_id (or url, if there is such a column) is that
+    of a kept one at the time, and dropped.
+
+    Of several near ones the first counts, and the place of a replaced advert stays its own. The order matters, so buckets of
+    about `fold` adverts are folded by tasks: whole (brand, model, year) blocks, or stretches of mileage of a block that has
+    more than that. What adverts of other buckets do (the same id or URL in another block, or a neighbour across the end
+    of a stretch) is put in from the round before, until nothing changes: who depends on whom follows the order, so this
+    ends in the one right result, after a round or two unless long chains cross buckets. Null and empty ids and URLs are
+    equal to nothing, null mileages and prices near nothing.
+    """
+    url = F.coalesce(F.col("url"), F.lit("")) if "url" in listings.columns else F.lit("")
+    key = F.concat_ws("\x01", F.lpad(F.lit(1 << 62) - F.unix_micros(F.coalesce("updated_at", F.lit("1970-01-01").cast("timestamp"))), 20, "0"), F.coalesce("portal_id", F.lit("")), F.format_string("%024.6f", F.coalesce("price", F.lit(0.0))), F.lpad(F.coalesce("mileage_km", F.lit(0)).cast("string"), 12, "0"), F.hex(F.xxhash64(*BLOCK, url)))
+    keyed = listings.withColumn("_key", key)
+    slim = cut(keyed.select(F.col("_key").alias("key"), F.xxhash64(*BLOCK).alias("block"), "mileage_km", "price", "portal_id", url.alias("url")).dropDuplicates(["key"]))
+    large = slim.groupBy("block").count().where(F.col("count") > fold).select(F.col("block").alias("_b"), F.ceil(F.col("count") / fold).alias("_n"))
+    buckets = max(1, slim.count() // fold)
+    ends = cut(slim.join(large, F.col("block") == F.col("_b")).groupBy("block", "_n").agg(F.min("mileage_km").alias("_low"), F.max("mileage_km").alias("_high"))).withColumnRenamed("block", "_b")
+    width = F.greatest(F.lit(2 * KM), F.ceil((F.col("_high") - F.col("_low") + 1) / F.col("_n")))
+    stretch = F.floor((F.col("mileage_km") - F.col("_low")) / width)
+    cars = slim.join(ends, F.col("block") == F.col("_b"), "left").withColumn("_at", F.coalesce(stretch, F.lit(0)))
+    cars = cut(cars.withColumn("bucket", F.when(F.col("_b").isNull(), F.pmod("block", F.lit(buckets))).otherwise(-1 - F.pmod(F.xxhash64("block", "_at"), F.lit(1 << 40)))).withColumn("_width", width))
+    beyond = [(cars["_at"] + d, cars["mileage_km"] - (cars["_low"] + (cars["_at"] + (1 if d > 0 else 0)) * cars["_width"])) for d in (-1, 1)]
+    across = reduce(DataFrame.unionByName, [cars.where(cars["_b"].isNotNull() & (F.abs(gap) <= KM)).withColumn("bucket", -1 - F.pmod(F.xxhash64("block", at), F.lit(1 << 40))) for at, gap in beyond])
+    across = across.select("key", "block", "mileage_km", "price", "portal_id", "url", F.col("bucket").alias("to"))
+    cars = cars.select("key", "bucket", "block", "mileage_km", "price", "portal_id", "url")
+    span = "array<struct<since:string,until:string,bucket:bigint>>"
+    blank = {"held_portal_id": span, "held_url": span, "entered": "boolean", "slot": "string", "gone": "string", "took": "string"}
+    start = cars.withColumns({c: F.lit(None).cast(t) for c, t in blank.items()}).withColumn("own", F.lit(True))
+
+    def folded(rows: DataFrame) -> DataFrame:
+        return cut(rows.withColumnsRenamed({"held_portal_id": "held_id"}).groupBy("bucket").applyInPandas(_fold, _FATE))
+
+    fates = folded(start)
+    shared = {c: _shared(cars, c) for c in ("portal_id", "url")}
+    linked = cut(reduce(DataFrame.unionByName, [x.select("bucket") for x in shared.values()], across.select(F.col("to").alias("bucket"))).distinct())
+    while not linked.isEmpty():
+        held = reduce(DataFrame.unionByName, [_held(x, fates, c).withColumn(o, F.lit(None).cast(span)).select("key", *map("held_{}".format, shared)) for (c, x), o in zip(shared.items(), ("held_url", "held_portal_id"), strict=True)])
+        held = held.groupBy("key").agg(*[F.first(f"held_{c}", ignorenulls=True).alias(f"held_{c}") for c in shared])
+        beside = across.join(fates.where("entered").drop("bucket"), "key").withColumnRenamed("to", "bucket")
+        beside = beside.withColumns({"own": F.lit(False), **{f"held_{c}": F.lit(None).cast(span) for c in shared}})
+        own = start.drop("held_portal_id", "held_url").join(linked, "bucket", "left_semi").join(held, "key", "left")
+        renewed = cut(fates.join(linked, "bucket", "left_anti").unionByName(folded(own.unionByName(beside))))
+        done, fates = renewed.select(*fates.columns).exceptAll(fates).isEmpty(), renewed
+        if done:
+            break
+    left = fates.where("entered and gone is null").select(F.col("key").alias("_key"))
+    return keyed.join(left, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def write_actions(new: DataFrame, target: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def unsent_near(d: Data):
 
 def _digest(d: Data):
     """No SQL: the batch is folded in order, and a cheaper advert takes the place of one before it."""
-    stock = D.batch(d.listing).persist()
+    stock = D.batch(d.listing)
     return M.top_digests(stock.withColumn("engine_norm", F.when(F.col("source_portal") != "src0", F.col("version"))), d.alert, _trims(d))
 
 
@@ -177,6 +177,18 @@ def dedup_greedy(d: Data):
     return D.greedy(d.listing)
 
 
+def with_url(listings):
+    """Adverts with a URL by order and line, which a few of them share, written in different ways by different sources."""
+    order = F.substring_index("portal_id", "-", 2)
+    plain, tracked = F.concat(F.lit("https://shop.example/ad/"), order), F.concat(F.lit("HTTPS://Shop.Example/ad/"), order, F.lit("/?utm_source=x#top"))
+    return listings.withColumn("url", F.when(F.col("source_portal") == "src0", plain).otherwise(tracked))
+
+
+@query()
+def dedup_job(d: Data):
+    return D.clean_up(with_url(d.listing))
+
+
 def _new_and_target(d: Data):
     url = F.concat_ws("/", F.lit("http://x"), "brand_norm", "year", "mileage_km")
     rows = d.listing.withColumn("url", F.when(F.col("mileage_km") % 7000 != 0, url).otherwise(""))
