@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -160,7 +161,9 @@ def clean_up(listings: DataFrame) -> DataFrame:
 
 
 #: Rows, about, that a task of batch folds at once.
-FOLD = 50_000
+FOLD = 20_000
+_WIDTH = log((1 + PRICE / 2) / (1 - PRICE / 2))
+_AROUND = [(k, p) for k in (-1, 0, 1) for p in (-1, 0, 1)]
 _FATE = "key string, bucket long, entered boolean, slot string, gone string, took string"
 
 
@@ -180,7 +183,7 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
     def leave(slot: str) -> tuple:
         old = slots.pop(slot)
         place.pop(old[0], None)
-        cells[old[1], old[2] // KM].discard(slot)
+        cells[old[8]].remove(slot)
         if old[6]:
             ids.discard(old[4])
             urls.discard(old[5])
@@ -189,13 +192,14 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
     def enter(slot: str, car: tuple) -> None:
         slots[slot] = car
         place[car[0]] = slot
-        cells.setdefault((car[1], car[2] // KM), set()).add(slot)
+        cells.setdefault(car[8], []).append(slot)
         if car[6]:
             ids.add(car[4])
             urls.add(car[5])
 
     for key, block, km, price, pid, url, own, held_id, held_url, entered, slot, gone, took in rows[["key", "block", "mileage_km", "price", "portal_id", "url", "own", "held_id", "held_url", "entered", "slot", "gone", "took"]].itertuples(index=False):
-        known = km == km and price == price and km is not None and price is not None
+        known = km is not None and price is not None and km == km and price == price
+        cell = (block, int(km // KM), int(log(max(price, 20.0)) / _WIDTH)) if known else None
         if not own:
             if entered and known:
                 if took in place:
@@ -205,7 +209,7 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
                 if slot in slots and slots[slot][7] is not None and slots[slot][7] <= key:
                     leave(slot)
                 if slot not in slots:
-                    enter(slot, (key, block, km, price, pid, url, False, gone))
+                    enter(slot, (key, block, km, price, pid, url, False, gone, cell))
             continue
         fate = fates[key] = [False, None, None, None]
         held = [h for x in (held_id, held_url) if x is not None for h in x]
@@ -213,9 +217,8 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
             continue
         near_by = []
         if known:
-            cell = int(km // KM)
-            for c in (cell - 1, cell, cell + 1):
-                for s in list(cells.get((block, c), ())):
+            for around in _AROUND:
+                for s in tuple(cells.get((block, cell[1] + around[0], cell[2] + around[1]), ())):
                     other = slots[s]
                     if other[7] is not None and other[7] < key:
                         leave(s)
@@ -233,7 +236,7 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
             at = key
         fate[0], fate[1] = True, at
         if known:
-            enter(at, (key, block, km, price, pid, url, True, None))
+            enter(at, (key, block, km, price, pid, url, True, None, cell))
         else:
             ids.add(pid)
             urls.add(url)
@@ -274,7 +277,8 @@ def batch(listings: DataFrame, fold: int = FOLD) -> DataFrame:
     url = F.coalesce(F.col("url"), F.lit("")) if "url" in listings.columns else F.lit("")
     key = F.concat_ws("\x01", F.lpad(F.lit(1 << 62) - F.unix_micros(F.coalesce("updated_at", F.lit("1970-01-01").cast("timestamp"))), 20, "0"), F.coalesce("portal_id", F.lit("")), F.format_string("%024.6f", F.coalesce("price", F.lit(0.0))), F.lpad(F.coalesce("mileage_km", F.lit(0)).cast("string"), 12, "0"), F.hex(F.xxhash64(*BLOCK, url)))
     keyed = listings.withColumn("_key", key)
-    slim = cut(keyed.select(F.col("_key").alias("key"), F.xxhash64(*BLOCK).alias("block"), "mileage_km", "price", "portal_id", url.alias("url")).dropDuplicates(["key"]))
+    slim = cut(keyed.select(F.col("_key").alias("key"), F.xxhash64(*BLOCK).alias("block"), "mileage_km", "price", "portal_id", url.alias("url")).groupBy("key").agg(*[F.first(c).alias(c) for c in ("block", "mileage_km", "price", "portal_id", "url")], F.count("*").alias("copies")))
+    repeated = slim.agg(F.max("copies")).first()[0] or 0
     large = slim.groupBy("block").count().where(F.col("count") > fold).select(F.col("block").alias("_b"), F.ceil(F.col("count") / fold).alias("_n"))
     buckets = max(1, slim.count() // fold)
     ends = cut(slim.join(large, F.col("block") == F.col("_b")).groupBy("block", "_n").agg(F.min("mileage_km").alias("_low"), F.max("mileage_km").alias("_high"))).withColumnRenamed("block", "_b")
@@ -291,7 +295,8 @@ def batch(listings: DataFrame, fold: int = FOLD) -> DataFrame:
     start = cars.withColumns({c: F.lit(None).cast(t) for c, t in blank.items()}).withColumn("own", F.lit(True))
 
     def folded(rows: DataFrame) -> DataFrame:
-        return cut(rows.withColumnsRenamed({"held_portal_id": "held_id"}).groupBy("bucket").applyInPandas(_fold, _FATE))
+        # the number is given, or adaptive execution would join buckets that are small in bytes into a few tasks
+        return cut(rows.withColumnsRenamed({"held_portal_id": "held_id"}).repartition(min(2 * buckets, 10_000), "bucket").groupBy("bucket").applyInPandas(_fold, _FATE))
 
     fates = folded(start)
     shared = {c: _shared(cars, c) for c in ("portal_id", "url")}
@@ -307,7 +312,8 @@ def batch(listings: DataFrame, fold: int = FOLD) -> DataFrame:
         if done:
             break
     left = fates.where("entered and gone is null").select(F.col("key").alias("_key"))
-    return keyed.join(left, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    kept = keyed.join(left, "_key", "left_semi")
+    return (kept.dropDuplicates(["_key"]) if repeated > 1 else kept).drop("_key")
 
 
 def write_actions(new: DataFrame, target: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import lifecycle as L
 from ..operators import market
 from ..operators import matching as M
 from ..operators.stats import exact_sum
+from ..sources.shared import cut
 from .registry import Data, query
 
 _NAMED = "(contains(l.version, '{0}') OR contains(replace(l.version, ' ', ''), '{0}'))"
@@ -94,7 +95,7 @@ def unsent_near(d: Data):
 
 def _digest(d: Data):
     """No SQL: the batch is folded in order, and a cheaper advert takes the place of one before it."""
-    stock = D.batch(d.listing)
+    stock = cut(D.batch(d.listing))
     return M.top_digests(stock.withColumn("engine_norm", F.when(F.col("source_portal") != "src0", F.col("version"))), d.alert, _trims(d))
 
 
@@ -105,7 +106,7 @@ def digest_top3(d: Data):
 
 @query()
 def digest_messages(d: Data):
-    top = _digest(d).persist()
+    top = cut(_digest(d))
     cars = top.dropDuplicates(["portal_id"])
     asked = cars.select(F.col("portal_id").alias("c_id"), F.col("brand_norm").alias("c_brand"), F.col("model_norm").alias("c_model"), F.col("year").alias("c_year"), F.col("mileage_km").alias("c_km"), F.col("price").alias("c_price"))
     badges = market.deal_scores(asked, d.listing).select(F.col("c_id").alias("portal_id"), market.deal_badge(F.col("pct"), F.col("sample")).alias("badge"))
