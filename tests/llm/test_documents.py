@@ -500,3 +500,14 @@ def test_mixing_matches_sql(spark, small):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
     expected = Counter(con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.ORACLE})").fetchall())
     assert pairs(mixing.mix(spark.read.parquet(f"{small}/documents.parquet")).collect(), "doc_id", "size", "source_size", "target", "taken") == expected
+
+
+def test_a_repeated_document_is_one_training_row(spark, monkeypatch):
+    """SAMPLE bounds rows, however often a labelled id occurs."""
+    seen = []
+    monkeypatch.setattr(classifier, "train", lambda x, y: seen.append(len(x)) or classifier.Trees(np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)), 0.0))
+    docs = spark.range(3_000).selectExpr("if(id < 2900, 2, id) as doc_id", "concat('text ', id) as text")
+    labels = spark.createDataFrame([(k, k % 2) for k in (2, *range(2_900, 3_000))], "doc_id long, quality int")
+    classifier.fit(docs, labels)
+    kept = [k for k in (2, *range(2_900, 3_000)) if zlib.crc32(str(k).encode()) % 5]
+    assert seen == [len(kept)] and 2 in kept

@@ -363,3 +363,19 @@ def test_pipeline(spark, odd, small):
         frame = stage(spark, frame, small)
         assert frame.columns == docs.columns
         frame = spark.createDataFrame(frame.collect(), docs.schema)
+
+
+def test_a_long_dialogue_of_turns_without_numbers_is_many_rows(spark):
+    turns = spark.range(3_000).selectExpr("1L as conv_id", "cast(null as int) as turn", "if(id % 2 = 0, 'a', 'b') as role", "repeat('word ', 20) as text")
+    parts = chat.dialogues(chat.perspectives(turns)).collect()
+    assert len(parts) > 8 and max(len(r.text) for r in parts) < chat.PART + 1_000
+    assert sum(len(r.spans) for r in parts) == 3_000
+
+
+def test_subtrees_are_put_in_together():
+    forest = embeddings.Forest()
+    leaf = tuple(np.array([x]) for x in (0, 0.0, -1, -1))
+    tree = (np.array([7, 0, 0]), np.array([0.5, 0.0, 0.0]), np.array([1, -1, -1]), np.array([2, -1, -1]))
+    assert forest.add([(leaf, None)] * 3) == [0, 1, 2]
+    assert forest.add([(tree, 0), (leaf, 1), (tree, 2)]) == [0, 1, 2]
+    assert forest.low.tolist() == [3, -1, 5, -1, -1, -1, -1] and forest.high.tolist() == [4, -1, 6, -1, -1, -1, -1] and forest.seed.tolist() == [7, 0, 7, 0, 0, 0, 0]

@@ -84,10 +84,15 @@ def perspectives(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     )
 
 
-def dialogues(segments: DataFrame) -> DataFrame:
-    """Segments of perspectives() -> conv_id, perspective, part, text, spans: the dialogue put together, a part for each
-    block of turns, so that a row stays bounded for any length of a conversation; spans are trained, in part's characters."""
-    part = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).alias("part")
+#: Characters of a dialogue from which on a new part begins.
+PART = 1 << 16
+
+
+def dialogues(segments: DataFrame, part: int = PART) -> DataFrame:
+    """Segments of perspectives() -> conv_id, perspective, part, text, spans: the dialogue put together, a part for the
+    segments that begin within the same `part` characters of it, so that a row stays bounded for any number of turns;
+    spans are trained, in part's characters."""
+    part = F.floor(F.col("char_start") / part).alias("part")
     grouped = segments.groupBy("conv_id", "perspective", part).agg(F.array_sort(F.collect_list(F.struct("char_start", "segment", "mask_start", "mask_end"))).alias("s"))
     first = F.col("s")[0]["char_start"]
     return grouped.select(

@@ -125,7 +125,8 @@ def fold(doc_col: str):
 def fit(docs: DataFrame, labels: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", sample: int = SAMPLE) -> Trees:
     """Trees learnt from at most about `sample` labelled documents outside the held-out fold.
 
-    Labels without an id or a quality are left out; of several labels of a document the least counts.
+    Labels without an id or a quality are left out; of several labels of a document the least counts, of several rows of
+    a document the one with the least statistics, so `sample` bounds rows however often an id is repeated.
     """
     bound_batches(docs.sparkSession)
     usable = labels.where(F.col(doc_col).isNotNull() & F.col(quality_col).isin(0, 1) & (fold(doc_col) != HELD_OUT))
@@ -133,14 +134,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_col: str = "doc_id", text_col
     share = min(1.0, sample / max(1, usable.count()))
     taken = usable.where(F.pmod(F.xxhash64("labelled", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
     slim = docs.select(F.col(doc_col).alias("doc"), text_or_empty(text_col).cast("binary").alias("text"))
-    rows = slim.join(small_side(taken, 2 * sample), F.col("doc") == F.col("labelled")).select("text", F.col("good").cast("int"))
+    rows = slim.join(small_side(taken, 2 * sample), F.col("doc") == F.col("labelled")).select(F.col("doc").cast("string"), "text", F.col("good").cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [statistics(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
+            x = [statistics(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64())), b.column(2)], names=["doc", "x", "y"])
 
-    found = rows.mapInArrow(run, "x array<double>, y int").collect()
+    found = rows.mapInArrow(run, "doc string, x array<double>, y int").groupBy("doc").agg(F.min("x").alias("x"), F.min("y").alias("y")).collect()
     found.sort(key=lambda r: (r.x, r.y))  # the same trees whatever the order of tasks
     x = np.array([r.x for r in found]).reshape(len(found), len(FEATURES))
     return train(x, np.array([r.y for r in found], float))

@@ -42,6 +42,8 @@ CORES, ALL_CORES, CORE_SHARE = 16, 20_000, 0.02
 MOST_NODES = 4_000_000
 #: Rows of one comparison, and the core of a vector that links with nothing in any core.
 BLOCK, FAR = 1024, -2
+#: Bytes of directions that a worker keeps at hand.
+KNOWN = 64 << 20
 
 
 def _normal(seed: int, dim: int) -> np.ndarray:
@@ -138,18 +140,23 @@ class Forest:
         forest.seed, forest.cut, forest.low, forest.high, forest.roots = state
         return forest
 
-    def add(self, nodes: list[tuple[int, float, int, int]], at: int | None = None) -> int:
-        """Put a subtree's nodes in, its root in place of leaf `at` if there is one; returns the root's number."""
-        seed, cut_, low, high = (np.array(c) for c in zip(*nodes, strict=True))
-        first = len(self.seed) - (0 if at is None else 1)
-        low, high = (np.where(c >= 0, c + first, c).astype(np.int64) for c in (low, high))
-        keep = slice(0, None) if at is None else slice(1, None)
-        self.seed, self.cut = np.concatenate([self.seed, seed[keep].astype(np.int64)]), np.concatenate([self.cut, cut_[keep]])
-        self.low, self.high = np.concatenate([self.low, low[keep]]), np.concatenate([self.high, high[keep]])
-        if at is None:
-            return first
-        self.seed[at], self.cut[at], self.low[at], self.high[at] = seed[0], cut_[0], low[0], high[0]
-        return at
+    def add(self, subtrees: list[tuple[tuple[np.ndarray, ...], int | None]]) -> list[int]:
+        """Put subtrees in (seeds, cuts, low and high children of each node, its root first), each in place of a leaf if
+        that is given; returns the roots' numbers. Arrays are copied once, so give all subtrees of a round together."""
+        parts, roots, end = [], [], len(self.seed)
+        for (seed, cut_, low, high), at in subtrees:
+            first = end - (at is not None)
+            low, high = (np.where(c >= 0, c + first, c).astype(np.int64) for c in (low, high))
+            keep = slice(0 if at is None else 1, None)
+            parts.append((seed[keep].astype(np.int64), cut_[keep], low[keep], high[keep]))
+            roots.append((first, None) if at is None else (at, (seed[0], cut_[0], low[0], high[0])))
+            end += len(parts[-1][0])
+        old = (self.seed, self.cut, self.low, self.high)
+        self.seed, self.cut, self.low, self.high = (np.concatenate([c, *(p[k] for p in parts)]) for k, c in enumerate(old))
+        for at, root in roots:
+            if root is not None:
+                self.seed[at], self.cut[at], self.low[at], self.high[at] = root
+        return [at for at, _ in roots]
 
     def route(self, x: np.ndarray, keys: np.ndarray, threshold: float, known: dict) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of each leaf that each row of x (unit rows of one length) gets to, sorted by row and leaf."""
@@ -170,7 +177,7 @@ class Forest:
             if not len(row):
                 break
             distinct, of = np.unique(node, return_inverse=True)
-            if len(known) > 100_000:
+            if (len(known) + len(distinct)) * 8 * x.shape[1] > KNOWN:
                 known.clear()
             for n in distinct:
                 if (int(n), x.shape[1]) not in known:
@@ -355,8 +362,11 @@ def _grow(classes: DataFrame, large: dict[int, int], threshold: float, trees: in
     forest, spark = Forest(), classes.sparkSession
     pending: dict[int, int] = {}
     for key in sorted(large):
-        forest.roots[key] = [forest.add([(0, 0.0, -1, -1)]) for _ in range(trees)]
-        pending |= dict.fromkeys(forest.roots[key], large[key])
+        forest.roots[key] = []
+    leaf_of = lambda mark: tuple(np.array([x]) for x in (0, 0.0, mark, mark))
+    for key, root in zip([k for k in forest.roots for _ in range(trees)], forest.add([(leaf_of(-1), None)] * (trees * len(forest.roots))), strict=True):
+        forest.roots[key].append(root)
+        pending[root] = large[key]
     counts: dict[int, int] = {}
     while pending:
         shared = spark.sparkContext.broadcast((forest.state(), pending))
@@ -381,12 +391,13 @@ def _grow(classes: DataFrame, large: dict[int, int], threshold: float, trees: in
         place = F.pmod(F.xxhash64("label", "v", F.lit("place")), F.lit(1 << 30)) / float(1 << 30)
         v_type = classes.schema["v"].dataType.simpleString()
         some = classes.select("cls", "dim", "key", "v", place.alias("place")).mapInArrow(sampled, f"cls long, node long, v {v_type}")
-        subtrees = defaultdict(list)
-        for r in sorted(some.groupBy("node").applyInArrow(fit, "node long, k long, seed long, at double, low long, high long").collect()):
-            subtrees[r.node].append((r.seed, r.at, r.low, r.high))
+        grown = some.groupBy("node").applyInArrow(fit, "node long, k long, seed long, at double, low long, high long").toArrow()
+        columns = [grown.column(c).to_numpy() for c in ("node", "k", "seed", "at", "low", "high")]
+        columns = [c[np.lexsort([columns[1], columns[0]])] for c in columns]
+        names, starts = np.unique(columns[0], return_index=True)
+        found = {int(n): tuple(c[lo:hi] for c in columns[2:]) for n, lo, hi in zip(names, starts, np.append(starts[1:], len(columns[0])), strict=True)}
         before = len(forest.seed)
-        for node in sorted(pending):
-            forest.add(subtrees[node] if len(subtrees.get(node, ())) > 1 else [(0, 0.0, -2, -2)], node)
+        forest.add([(found[node] if node in found and len(found[node][0]) > 1 else leaf_of(-2), node) for node in sorted(pending)])
         counts |= {n: c for n, c in pending.items() if forest.low[n] < 0}
         counts = {n: c for n, c in counts.items() if forest.low[n] < 0} | _leaf_counts(classes, forest, before, threshold, leaf)
         pending = {n: c for n, c in counts.items() if forest.low[n] == -1 and c > 2 * leaf}
@@ -453,12 +464,14 @@ def compare_leaf(ids: np.ndarray, x: np.ndarray, m: np.ndarray, core: np.ndarray
     pairs of one core, which are counted elsewhere, and pairs that share a leaf of a lesser number."""
     two = own.min() != own.max()
     left, right = (np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())) if two else (np.arange(len(ids)), np.arange(len(ids)))
-    before, pairs = np.unique(np.concatenate([np.array([c for c in of if c < node], np.int64) for of in cells])), []
-    sharing = np.zeros((len(ids), len(before)), np.float32)
-    if len(before):
-        for i, of in enumerate(cells):
-            sharing[i, np.searchsorted(before, [c for c in of if c < node])] = 1
-        sharing = sharing[:, sharing.sum(0) > 1]
+    row = np.repeat(np.arange(len(ids)), [len(of) for of in cells])
+    earlier = np.concatenate([np.array(of, np.int64) for of in cells])
+    row, earlier = row[earlier < node], earlier[earlier < node]
+    before, at, members = np.unique(earlier, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(members > 1)  # only these are worth a column
+    sharing, pairs = np.zeros((len(ids), len(shared)), np.float32), []
+    several = members[at] > 1
+    sharing[row[several], np.searchsorted(shared, at[several])] = 1
     sums = np.zeros(len(ids), np.int64)
     for at in range(0, len(left), BLOCK):
         part = left[at : at + BLOCK]
