@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalog as C
+from tidemark.operators import matching
 
 CASES = [
     ("audi", "a4", "2.0 TDI S line", None, "2.0 tdi", 150, "catalog"),
@@ -33,3 +34,18 @@ def test_enrichment_never_overwrites(spark):
 @pytest.mark.parametrize(("trim", "text", "fits"), [("FR", "leon fr 1.5", True), ("FR", "frontline", False), ("S line", "2.0 tdi s-line", True), ("R-Line", "rline", True), ("GTI", "golf gti", True), ("", "x", False)])
 def test_trims(spark, trim, text, fits):
     assert spark.range(1).select(C.trim_in_text(F.lit(trim), F.lit(text))).first()[0] is fits
+
+
+def test_alerts_use_the_engines_and_typical_power_of_the_catalog(spark):
+    kind = "portal_id string, brand_norm string, model_norm string, version string, year int, mileage_km int, price double, fuel_type string, power_hp int, country string"
+    cars = spark.createDataFrame([("typical", "dacia", "duster", "1.5 dCi", 2020, 80_000, 15_000.0, None, None, "ES"), ("said", "dacia", "duster", "1.5 dCi 90 CV", 2020, 80_000, 15_000.0, None, 0, "ES"), ("bare", "dacia", "duster", "Duster 1.0", 2020, 80_000, 15_000.0, None, None, "ES")], kind)
+    alerts = spark.createDataFrame([(1, 1, "dacia", 110, ""), (2, 2, "dacia", None, "1.0 TCe")], "id long, user_id long, brand_norm string, min_power_hp int, engine_csv string")
+    engines = C.engine_catalog(spark)
+    assert {(r.a_id, r.portal_id) for r in matching.matches(cars, alerts, engines=engines).collect()} == {(1, "typical"), (2, "bare")}
+    assert matching.matches(cars, alerts).count() == 0
+
+
+def test_repeated_and_blank_adverts_keep_their_rows(spark):
+    rows = [("a", "audi", "a4", "2.0 TDI", None)] * 2 + [(None, None, None, None, None), ("b", "audi", None, "v8", 15)]
+    got = C.resolve_engines(spark.createDataFrame(rows, "portal_id string, brand_norm string, model_norm string, version string, power_hp int"), C.engine_catalog(spark)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("a", "2.0 tdi", 150, "catalog")] * 2 + [(None, "", None, None), ("b", "v8", None, "heuristic")], key=str)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,36 +133,50 @@ def _family_rank(brand: Column, engine: Column) -> Column:
     return F.array_min(F.transform(order, lambda f, i: F.when(engine.contains(f), i)))
 
 
-def resolve_engines(listings: DataFrame, catalog: DataFrame) -> DataFrame:
-    """listings (portal_id, brand_norm, model_norm, version, power_hp) -> portal_id, engine_norm, engine_power, engine_source.
+def with_engines(listings: DataFrame, catalog: DataFrame) -> DataFrame:
+    """listings (brand_norm, model_norm, version, power_hp) with found_engine, found_power, found_source.
 
     First the longest alias or name of the model's catalog that the version contains; then, for a bare displacement,
     the catalog's engines of that size: a single one, the nearest in power, or the brand's preferred family; where none
-    decides only the power is known. Without such engines the heuristic names it. The catalog is broadcast if it is small.
+    decides only the power is known. Without such engines the heuristic names it. Texts repeat, so all of this is done
+    once for each distinct model, version and known power, and handed back to the adverts by an equi-join; an alias is
+    looked for only in the versions of its model.
     """
-    c = small_side(catalog.select(F.col("brand").alias("c_brand"), F.col("model").alias("c_model"), "ordinal", "engine_norm", "aliases", F.col("power").alias("c_power")))
-    base = listings.select("portal_id", "brand_norm", "model_norm", "version", X.norm_text(F.col("version")).alias("hay"), bare_displacement(F.col("version")).alias("bare"), F.coalesce(F.when(F.col("power_hp") > 20, F.col("power_hp")), N.power_cv(F.col("version"))).alias("hint"))
+    c = catalog.select(F.col("brand").alias("c_brand"), F.col("model").alias("c_model"), "ordinal", "engine_norm", "aliases", F.col("power").alias("c_power"))
+    keys = ("brand_norm", "model_norm", "version", "_known")
+    asked = listings.withColumn("_known", F.when(F.col("power_hp") > 20, F.col("power_hp")))
+    version = F.col("version")
+    texts = asked.select("version").distinct().select(version.alias("_of"), X.norm_text(version).alias("hay"), bare_displacement(version).alias("bare"), N.power_cv(version).alias("_said"), engine_heuristic(version).alias("_guess"))
+    base = asked.select(*keys).distinct().join(texts, version.eqNullSafe(F.col("_of"))).drop("_of").withColumn("hint", F.coalesce("_known", "_said"))
     rows = base.join(c, (F.col("brand_norm") == F.col("c_brand")) & (F.col("model_norm") == F.col("c_model")), "left")
     names = F.filter(F.array_append("aliases", F.col("engine_norm")), lambda a: (F.length(a) >= 2) & ~a.rlike(r"^\d\.\d$"))
     alias = F.array_max(F.transform(F.filter(names, lambda a: F.col("hay").contains(a)), lambda a: F.length(a)))
     sized = F.exists(F.array_append("aliases", F.col("engine_norm")), lambda a: (a == F.col("bare")) | a.startswith(F.concat(F.col("bare"), F.lit(" "))))
     rows = rows.withColumn("alias_len", alias).withColumn("sized", F.coalesce(sized, F.lit(False)))
     entry = F.struct(F.col("engine_norm").alias("engine"), F.col("c_power").alias("power"))
-    best = rows.groupBy("portal_id", "version", "bare", "hint").agg(
+    rank = _family_rank(F.col("brand_norm"), F.col("engine_norm"))
+    best = rows.groupBy(*keys, "hint", "_guess").agg(
         F.max(F.when(F.col("alias_len").isNotNull(), F.struct("alias_len", -F.col("ordinal"), entry.alias("e")))).alias("alias"),
         F.count_if("sized").alias("n_sized"),
         F.min(F.when(F.col("sized"), F.struct(F.abs(F.coalesce("c_power", F.lit(0)) - F.col("hint")), "ordinal", entry.alias("e")))).alias("nearest"),
-        F.min(F.when(F.col("sized") & _family_rank(F.col("brand_norm"), F.col("engine_norm")).isNotNull(), F.struct(_family_rank(F.col("brand_norm"), F.col("engine_norm")), "ordinal", entry.alias("e")))).alias("preferred"),
+        F.min(F.when(F.col("sized") & rank.isNotNull(), F.struct(rank, "ordinal", entry.alias("e")))).alias("preferred"),
     )
     by_size = F.when((F.col("n_sized") == 1) | (F.col("hint") > 20), F.col("nearest.e")).otherwise(F.col("preferred.e"))
     found = F.coalesce(F.col("alias.e"), F.when(F.col("n_sized") > 0, by_size))
-    guess = F.when(F.col("n_sized") == 0, engine_heuristic(F.col("version")))
-    return best.select(
-        "portal_id",
-        F.coalesce(found["engine"], guess, F.lit("")).alias("engine_norm"),
-        F.coalesce("hint", found["power"]).alias("engine_power"),
-        F.when(found.isNotNull(), "catalog").when(guess.isNotNull() | F.col("hint").isNotNull(), "heuristic").alias("engine_source"),
+    guess = F.when(F.col("n_sized") == 0, F.col("_guess"))
+    facts = best.select(
+        *[F.col(k).alias(f"_q_{k}") for k in keys],
+        F.coalesce(found["engine"], guess, F.lit("")).alias("found_engine"),
+        F.coalesce("hint", found["power"]).alias("found_power"),
+        F.when(found.isNotNull(), "catalog").when(guess.isNotNull() | F.col("hint").isNotNull(), "heuristic").alias("found_source"),
     )
+    same = [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys]
+    return asked.join(facts, reduce(Column.__and__, same), "left").drop("_known", *[f"_q_{k}" for k in keys])
+
+
+def resolve_engines(listings: DataFrame, catalog: DataFrame) -> DataFrame:
+    """portal_id, engine_norm, engine_power, engine_source (see with_engines), one row per advert."""
+    return with_engines(listings, catalog).select("portal_id", F.col("found_engine").alias("engine_norm"), F.col("found_power").alias("engine_power"), F.col("found_source").alias("engine_source"))
 
 
 def catalog_models(names: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -183,6 +199,6 @@ def catalog_models(names: DataFrame, catalog: DataFrame) -> DataFrame:
 def enriched(listings: DataFrame, catalog: DataFrame) -> DataFrame:
     """listings with engine_norm and power_hp filled where blank; what is stored is never overwritten, but for a bogus
     leading zero of an engine."""
-    got = resolve_engines(listings, catalog).withColumnRenamed("engine_norm", "_engine")
     stored = X.engine_key(F.col("engine_norm"))
-    return listings.join(got, "portal_id").withColumn("engine_norm", F.when(stored != "", stored).otherwise(F.col("_engine"))).withColumn("power_hp", F.coalesce(F.when(F.col("power_hp") > 0, F.col("power_hp")), F.col("engine_power"))).drop("_engine", "engine_power", "engine_source")
+    filled = with_engines(listings, catalog).withColumn("engine_norm", F.when(stored != "", stored).otherwise(F.col("found_engine")))
+    return filled.withColumn("power_hp", F.coalesce(F.when(F.col("power_hp") > 0, F.col("power_hp")), F.col("found_power"))).drop("found_engine", "found_power", "found_source")

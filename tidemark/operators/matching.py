@@ -49,9 +49,9 @@ def candidates(listings: DataFrame, alerts: DataFrame, which: Column | None = No
     return listings.withColumn("_key", F.explode(own)).join(small_side(asked), (F.col("_key") == F.col("a_key")) & fits).drop("_key", "a_key")
 
 
-def matches(listings: DataFrame, alerts: DataFrame, trims: DataFrame | None = None) -> DataFrame:
-    """Adverts with the alerts (a_*) that they match: a row per pair."""
-    soft, wants = with_soft(listings, trims), with_wants(alerts)
+def matches(listings: DataFrame, alerts: DataFrame, trims: DataFrame | None = None, engines: DataFrame | None = None) -> DataFrame:
+    """Adverts with the alerts (a_*) that they match: a row per pair. Catalogs of trims and engines see with_soft."""
+    soft, wants = with_soft(listings, trims, engines), with_wants(alerts)
     pairs = candidates(soft, wants, has_short_lists()).where(pair_matches(short=True))
     if not _prefixed(wants).where(~has_short_lists()).isEmpty():
         pairs = pairs.unionByName(candidates(soft, wants, ~has_short_lists()).where(pair_matches()))
@@ -65,10 +65,10 @@ def questions(alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.groupBy("q").agg(*[F.first(c).alias(c) for c in wants]), keyed.select("q", "id", "user_id")
 
 
-def totals(listings: DataFrame, alerts: DataFrame, trims: DataFrame | None = None) -> DataFrame:
+def totals(listings: DataFrame, alerts: DataFrame, trims: DataFrame | None = None, engines: DataFrame | None = None) -> DataFrame:
     """id, user_id, n, least_id, total: how many adverts each alert matches, the least id, the sum of prices."""
     asked, who = questions(alerts)
-    of_question = matches(listings, asked, trims).groupBy(F.col("a_q").alias("q")).agg(F.count("*").alias("n"), F.min("portal_id").alias("least_id"), exact_sum(F.col("price")).alias("total"))
+    of_question = matches(listings, asked, trims, engines).groupBy(F.col("a_q").alias("q")).agg(F.count("*").alias("n"), F.min("portal_id").alias("least_id"), exact_sum(F.col("price")).alias("total"))
     return who.join(of_question, "q").drop("q")
 
 

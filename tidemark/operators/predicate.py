@@ -131,10 +131,11 @@ def with_facts(rows: DataFrame, keys: list[str], facts: Callable[..., dict[str,
     return rows.join(F.broadcast(known), same, "left").drop(*[f"_of_{k}" for k in keys])
 
 
-def with_soft(listings: DataFrame, trims: DataFrame | None = None) -> DataFrame:
+def with_soft(listings: DataFrame, trims: DataFrame | None = None, engines: DataFrame | None = None) -> DataFrame:
     """listings with what alerts are tested against, made once per advert: canonical keys, fuel and power filled from the
     version, the stored engine or the one that the version names, and the version's text in the forms in which trims are
-    looked for. trims (brand, model, trim) is the catalog: `_base` says that the version names none of its model's."""
+    looked for. trims (brand, model, trim) is the catalog: `_base` says that the version names none of its model's. With
+    a catalog of engines, blank engines are resolved by it, and power unknown to advert and text is that engine's typical one."""
     known = F.nullif(F.trim(X.filled(F.col("fuel_type"))), F.lit(""))
     out = listings if "engine_norm" in listings.columns else listings.withColumn("engine_norm", F.lit(None).cast("string"))
     out = with_facts(out, ["version", "engine_norm"], _text_facts)
@@ -145,6 +146,9 @@ def with_soft(listings: DataFrame, trims: DataFrame | None = None) -> DataFrame:
             "_power": F.coalesce(F.when(F.col("power_hp") > 0, F.col("power_hp")), F.col("_v_power")),
         }
     ).drop("_v_fuel", "_v_power")
+    if engines is not None:
+        out = C.with_engines(out, engines).withColumns({"_engine": F.when(X.engine_key(F.col("engine_norm")) != "", F.col("_engine")).otherwise(F.col("found_engine")), "_power": F.coalesce("_power", "found_power")})
+        out = out.drop("found_engine", "found_power", "found_source")
     if trims is None:
         return out.withColumn("_base", F.lit(False))
     names = F.filter(F.collect_set(X.norm_text(F.col("trim"))), lambda t: (t != "base") & (t != ""))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import freetext as T
 from ..functions import text as X
+from ..sources.shared import cut
 from ..sources.tables import small_side
 from . import dedup as D
 from . import fuzzy as Z
@@ -55,13 +56,13 @@ def resolved(requests: DataFrame, models: DataFrame) -> DataFrame:
     brands = models.select(F.col("brand").alias("brand_name")).distinct()
     typed = Z.resolve(requests.select(F.col("brand").alias("typed_brand"), F.col("model").alias("typed_model")).distinct(), brands, "typed_brand", "brand_name", Z.brand_score)
     typed = typed.select("typed_brand", "typed_model", F.col("best").alias("brand_best"))
-    score = Z.model_score(F.col("typed_model"), F.col("model_name"))
-    of_brand = small_side(models.select(F.col("brand").alias("of_brand"), F.col("model").alias("model_name")).distinct())
-    scored = typed.join(of_brand, F.col("brand_best") == F.col("of_brand")).withColumn("score", score).where(F.col("score") >= Z.ACCEPT)
+    of_brand = models.select(F.col("brand").alias("of_brand"), F.col("model").alias("model_name")).distinct()
+    pairs = Z.name_pairs(typed, of_brand, "typed_model", "model_name", Z.model_keys, ("brand_best", "of_brand"))
+    scored = pairs.withColumn("score", Z.model_score(F.col("typed_model"), F.col("model_name"))).where(F.col("score") >= Z.ACCEPT)
     best = scored.groupBy("typed_brand", "typed_model").agg(F.min_by("model_name", F.struct((-F.col("score")).alias("s"), "model_name")).alias("model_best"))
-    names = typed.join(best, ["typed_brand", "typed_model"], "left").withColumnsRenamed({"typed_brand": "t_brand", "typed_model": "t_model"}).persist()
+    names = typed.join(best, ["typed_brand", "typed_model"], "left").withColumnsRenamed({"typed_brand": "t_brand", "typed_model": "t_model"})
     same = F.col("brand").eqNullSafe(F.col("t_brand")) & F.col("model").eqNullSafe(F.col("t_model"))
-    return requests.join(small_side(names), same, "left").drop("t_brand", "t_model")
+    return requests.join(names, same, "left").drop("t_brand", "t_model")
 
 
 def search(requests: DataFrame, listings: DataFrame, models: DataFrame, sent: DataFrame) -> DataFrame:
@@ -72,18 +73,19 @@ def search(requests: DataFrame, listings: DataFrame, models: DataFrame, sent: Da
     model means the typed one loosely. Specs must occur in the version. Unless asked for again, what the user has got is left
     out, and so is what is near it. The best by hint_score, then the newest, then the least id.
     """
-    asked = resolved(requests, models).select("request_id", "user_id", F.col("brand").alias("q_brand"), F.col("model").alias("q_model"), "brand_best", "model_best", "specs", F.col("price").alias("q_price"), F.col("year").alias("q_year"), F.col("km").alias("q_km"), "again").persist()  # requests are few beside the stock
+    asked = resolved(requests, models).select("request_id", "user_id", F.col("brand").alias("q_brand"), F.col("model").alias("q_model"), "brand_best", "model_best", "specs", F.col("price").alias("q_price"), F.col("year").alias("q_year"), F.col("km").alias("q_km"), "again")
+    asked = cut(asked)  # requests are few beside the stock
     window = (F.col("q_year").isNull() | F.abs(F.col("year") - F.col("q_year")).between(0, YEARS)) & (F.col("q_price").isNull() | F.col("price").between(F.floor(F.col("q_price") * (1 - PRICE_SHARE) + 0.5), F.floor(F.col("q_price") * (1 + PRICE_SHARE) + 0.5)))
     score = hint_score(F.col("price"), F.col("year"), F.col("mileage_km"), F.col("q_price"), F.col("q_year"), F.col("q_km"))
     stock = listings.select("portal_id", "brand_norm", "model_norm", "version", "year", "mileage_km", "price", "updated_at")
     exact = stock.join(small_side(asked), (F.col("brand_norm") == F.col("brand_best")) & (F.col("model_norm") == F.col("model_best")) & window)
-    none = asked.join(exact.select("request_id").distinct(), "request_id", "left_anti").persist()
+    none = cut(asked.join(exact.select("request_id").distinct(), "request_id", "left_anti"))
     # Names are compared once each: spellings asked for against the models that the stock has of the brand.
     names = none.select("q_model", F.col("brand_best").alias("n_brand"), "model_best").distinct()
     held = stock.select(F.col("brand_norm").alias("held_brand"), F.col("model_norm").alias("held_model")).distinct()
     meant = names.join(held, F.col("n_brand") == F.col("held_brand")).where(model_fits(F.col("q_model"), F.col("model_best"), F.col("held_model"))).select(F.col("q_model").alias("n_model"), "n_brand", F.col("model_best").alias("n_best"), "held_model")
-    asks = none.join(small_side(meant), (F.col("q_model") == F.col("n_model")) & (F.col("brand_best") == F.col("n_brand")) & F.col("model_best").eqNullSafe(F.col("n_best")))
-    loose = stock.join(small_side(asks), (F.col("brand_norm") == F.col("brand_best")) & (F.col("model_norm") == F.col("held_model")) & window).select(*exact.columns)
+    asks = none.join(meant, (F.col("q_model") == F.col("n_model")) & (F.col("brand_best") == F.col("n_brand")) & F.col("model_best").eqNullSafe(F.col("n_best")))
+    loose = stock.join(small_side(cut(asks)), (F.col("brand_norm") == F.col("brand_best")) & (F.col("model_norm") == F.col("held_model")) & window).select(*exact.columns)
     specs = F.coalesce("specs", F.array().cast("array<string>"))
     fit = exact.unionByName(loose).where(F.when(F.size(specs) == 0, True).otherwise(T.has_specs(F.col("version"), specs))).withColumn("score", score).where("score >= 0")
     got = sent.select(F.col("user_id").alias("s_user"), F.col("listing_id").alias("s_listing")).distinct()

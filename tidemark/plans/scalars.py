@@ -84,26 +84,6 @@ def trim_base_default(d: Data):
     return d.table("part").select("p_partkey", C.matches_trims(F.col("p_name"), ["Base", "Gear"], ["Base", "Gear", "Widget"]).alias("fits"))
 
 
-VERSIONS = ["2.0 TDI S line", "20 TDI 190 CV", "A4 2.0", "1.0 TSI Life", "1.5 eTSI 150CV", "Style 1.0", "Duster 1.5 Blue dCi 115", "320d xDrive", "Allure 1.2", "GTI 245 CV", "quattro"]
-CARS = [("audi", "a4"), ("volkswagen", "golf"), ("dacia", "duster"), ("bmw", "serie 3"), ("peugeot", "208")]
-
-
-def _cars(d: Data):
-    rows = [(f"{b}:{m}:{v}", b, m, v, 130 if len(v) % 3 == 0 else None) for b, m in CARS for v in VERSIONS]
-    return d.rows(rows, "portal_id string, brand_norm string, model_norm string, version string, power_hp int")
-
-
-@query()
-def engine_resolve(d: Data):
-    return C.resolve_engines(_cars(d), C.engine_catalog(d.spark))
-
-
-@query()
-def engine_enrich(d: Data):
-    stored = F.when(F.length("version") % 2 == 0, "0 tfsi").otherwise("")
-    return C.enriched(_cars(d).withColumn("engine_norm", stored), C.engine_catalog(d.spark)).select("portal_id", "engine_norm", "power_hp")
-
-
 @query("SELECT p_partkey, b.word, levenshtein(split_part(p_name, ' ', 2), b.word) AS distance FROM part, (VALUES ('widget'), ('gear'), ('bolt')) b(word)")
 def edit_distance(d: Data):
     words = d.rows([("widget",), ("gear",), ("bolt",)], "word string")
@@ -132,6 +112,26 @@ def fuzzy_model_resolve(d: Data):
     return Z.resolve(inputs, d.rows([(m,) for m in MODELS], "model string"), "typed", "model", Z.model_score).select("c_custkey", "typed", "best")
 
 
+_ALLOWED = "CASE WHEN {0} <= 3 THEN 0 WHEN {0} <= 5 THEN 1 WHEN {0} <= 9 THEN 2 ELSE 3 END"
+_TWO = "least(length(x), length(y))"
+
+
+@query(f"""t AS (SELECT DISTINCT substr(p_name, 1, p_partkey % length(p_name)) || substr(p_name, p_partkey % length(p_name) + 2) AS typed FROM part),
+n AS (SELECT DISTINCT p_name AS name FROM part),
+w AS (SELECT typed, name, list_filter(string_split(trim(typed), ' '), lambda x: x <> '') AS a, string_split(name, ' ') AS b, replace(typed, ' ', '') AS q, replace(name, ' ', '') AS c FROM t, n),
+k AS (SELECT *, [[x = y OR ({_TWO} >= 3 AND (((starts_with(x, y) OR starts_with(y, x)) AND {_TWO} / greatest(length(x), length(y)) >= 0.7) OR levenshtein(x, y) <= {_ALLOWED.format(_TWO)})) FOR y IN b] FOR x IN a] AS m, levenshtein(q, c) AS d, {_ALLOWED.format("least(length(q), length(c))")} AS allowed FROM w),
+s AS (SELECT *, len(list_filter(m, lambda r: list_bool_or(r))) AS qn, len(list_filter(range(1, len(b) + 1), lambda j: list_bool_or(list_transform(m, lambda r: r[j])))) AS cn FROM k),
+z AS (SELECT typed, name, CASE WHEN trim(typed) = name THEN 100.0 WHEN q = c THEN 95.0
+   WHEN (least(length(q), length(c)) >= 4 AND d <= allowed) OR qn = len(a) OR cn = len(b) OR (qn >= 1 AND (qn >= least(len(a), len(b)) OR (len(a) >= 2 AND qn / len(a) >= 0.6))) THEN 80.0 - least(abs(length(q) - length(c)), 20)
+   WHEN least(length(q), length(c)) >= 3 AND d <= allowed THEN 70.0 - d ELSE -1.0 END AS score FROM s)
+SELECT typed, arg_min(name, struct_pack(s := -score, n := name)) FILTER (score >= 60) AS best, max(score) FILTER (score >= 60)::DOUBLE AS score FROM z GROUP BY typed""", listings=True)
+def name_resolve(d: Data):
+    """Names of the parts, each spelt without one of its letters, against all names."""
+    at = F.col("p_partkey") % F.length("p_name")
+    typed = d.table("part").select(F.concat(F.substr("p_name", F.lit(1), at.cast("int")), F.substr("p_name", (at + 2).cast("int"))).alias("typed")).distinct()
+    return Z.resolve(typed, d.table("part").select(F.col("p_name").alias("name")), "typed", "name", Z.model_score)
+
+
 LOOSE = [("Leon FR", "leon", 1), ("golf gti", "golf", 1), ("Audi", "bmw", 0), ("range rover", "rover range", 1), ("megane", "megan", 1), ("a4", "a5", 0)]
 
 
