@@ -120,13 +120,3 @@ def digest_stream(stream: DataFrame) -> DataFrame:
 def unseen(stream: DataFrame, sent: DataFrame, keys: tuple[str, ...] = ("user_id", "listing_id")) -> DataFrame:
     """Rows of a stream, or a table, that were not sent before: the seen-set is a table, so it needs no state."""
     return stream.join(sent.select(*keys).distinct(), list(keys), "left_anti")
-
-
-def on_time(events: DataFrame, batch_rows: int, delay: str) -> DataFrame:
-    """events with `late`: whether the watermark had passed them, as a stream in batches of batch_rows event ids sees it: the
-    latest time of all batches before, less the delay."""
-    batches = events.withColumn("batch", F.floor(F.col("event_id") / batch_rows))
-    latest = batches.groupBy("batch").agg(F.max("ts").alias("top"))
-    before = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)  # a row a batch
-    marks = latest.select("batch", (F.max("top").over(before) - F.expr(f"interval {delay}")).alias("mark"))
-    return batches.join(F.broadcast(marks), "batch").withColumn("late", F.coalesce(F.col("ts") < F.col("mark"), F.lit(False))).drop("batch", "mark")
