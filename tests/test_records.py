@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.sources import adverts as A
 from tidemark.sources import records as R
 
 
@@ -60,3 +61,29 @@ def test_resumed_crawls_as_a_loop(spark):
     stored = spark.createDataFrame([*cursors.items(), ("gone", 3)], "list_id string, page int")
     got = {r.list_id: tuple(r)[1:] for r in R.resumed(pages, stored, run=8, empty=3).collect()}
     assert got == {name: crawl(found, cursors.get(name, 1), 8, 3) for name, found in lists.items()}
+
+
+def test_adverts_out_of_odd_pages(spark):
+    pages = [
+        (1, '<div data-record="a" data-price="9500"><h2><span>Make</span> <span>Seat</span></h2><p>2019 | 45.000 km | Diesel | 150 CV | Manual<p>Precio: 9.000,00 €</div>'),
+        (2, "<table data-record=b><tr><td>Año</td><td>2015</td><tr><td>Mileage</td><td>100 miles</td></tr><tr><td>Puissance</td><td>100 kW</td></table><li>Fuel: ?<li>Fuel: Gasolina"),
+        (3, "<script>var x = '<li>Year: 2001</li>'</script><p>nothing</p>"),
+        (4, None),
+        (5, ""),
+    ]
+    got = {(r.page_id, r.record): tuple(r)[2:] for r in A.records(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    assert got == {
+        (1, "a"): ("Seat", None, None, 2019, 45_000, 9_500.0, "Diesel", "Manual", 150),
+        (2, "b"): (None, None, None, 2015, 161, None, None, None, 136),
+        (2, ""): (None, None, None, None, None, None, "Petrol", None, None),
+    }
+
+
+def test_details_go_before_cards(spark):
+    kind = "record string, " + ", ".join(f"{k} {v}" for k, v in A.FIELDS.items())
+    cards = spark.createDataFrame([("a", "Seat", "León", None, 2019, 1, 5.0, None, None, None), ("b", "Kia", None, None, None, None, None, None, None, None)], kind)
+    details = spark.createDataFrame([("a", None, "Leon", "FR", None, 2, None, "Petrol", None, None), ("z", "x", None, None, None, None, None, None, None, None)], kind)
+    got = {r.record: r for r in A.merged(cards, details).collect()}
+    assert set(got) == {"a", "b"} and got["b"].brand == "Kia" and got["b"].model_from is None
+    assert (got["a"].brand, got["a"].model, got["a"].version, got["a"].mileage_km, got["a"].fuel) == ("Seat", "Leon", "FR", 2, "Petrol")
+    assert (got["a"].brand_from, got["a"].model_from, got["a"].price_from, got["a"].power_hp_from) == ("card", "detail", "card", None)
