@@ -176,7 +176,7 @@ def plain_kept(docs, quality, alpha=quality_rules.ALPHA, delta=quality_rules.DEL
     judged = [(i, lang if re.fullmatch("[a-z]{2}", lang or "") else "other", *plain_ratios(text)) for i, text, lang in docs]
     held = [(stratum, bins, quality[i]) for i, stratum, failed, bins in judged if not failed and quality.get(i) in (0, 1)]
     strata, rules_ = {s for s, _, _ in held}, list(quality_rules.ratios())
-    level, a = delta / (len(strata) * len(rules_) * quality_rules.GRID) if strata else 0, alpha / len(rules_)
+    level, a = delta / (len(strata) * len(rules_)) if strata else 0, alpha / len(rules_)
     cut = {}
     for s in strata:
         good, bad = [b for x, b, q in held if x == s and q == 1], [b for x, b, q in held if x == s and q == 0]
@@ -212,6 +212,27 @@ def test_op3_quality_rules_verdicts_match_brute_force(spark):
     assert got == want and 100 < sum(not k for k in want.values()) < 1000
 
 
+def test_fixed_sequences_keep_their_promise():
+    """The strictest cut-off that passes in sequence, from samples of a known distribution: the share of samples where its true
+    rate is over the limit stays under the level."""
+    from math import comb
+
+    rng, n, a, level = np.random.default_rng(4), 400, 0.05, 0.1
+    cdf = np.cumsum([comb(n, k) * a**k * (1 - a) ** (n - k) for k in range(n + 1)])
+    most = int(np.searchsorted(cdf, level, "right")) - 1
+    true = 1 - np.arange(1, quality_rules.GRID + 1) / quality_rules.GRID  # a uniform ratio reaches cut-off b with this rate
+    wrong = 0
+    for _ in range(2000):
+        bins = np.floor(rng.random(n) * quality_rules.GRID)
+        chosen = 0.0
+        for b in range(quality_rules.GRID, 0, -1):
+            if (bins >= b).sum() > most:
+                break
+            chosen = true[b - 1]
+        wrong += chosen > a
+    assert 0 < wrong / 2000 <= level
+
+
 def test_quality_rules_catch_bad_and_keep_good(spark):
     rng = np.random.default_rng(0)
     good = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 60)), "en", 1) for i in range(2500)]

@@ -1,11 +1,13 @@
 """Quality rules with risk-controlled thresholds, with DataFrame operations only.
 
 Statistics of a text become ratios with a fixed grid of cut-offs. Labelled good documents are the holdout: for each
-stratum and each rule the strictest cut-off is chosen whose false rejections are provably few. The proof is an exact
+stratum and each rule only cut-offs are used whose false rejections are provably few. The proof is an exact
 binomial (Clopper-Pearson) test: with n good documents in a stratum, a cut-off that rejects k of them is safe if
-P(X <= k | n, alpha) <= delta / m, where m is the number of all cut-offs tested in all strata (Bonferroni), so with
-confidence 1 - delta every chosen cut-off at once has a false rejection rate under alpha. A rule's alpha is the overall
-one divided by the number of rules, as a document goes if any rule rejects it. Strata are two-letter languages and
+P(X <= k | n, alpha) <= delta / m, where m is the number of rules in all strata (Bonferroni). A rule's cut-offs are
+nested, so they are tested in a fixed sequence from the laxest one, each at that whole level, until one fails: an unsafe
+cut-off is only ever used if the first unsafe one of its sequence passes its test, so they need no correction among
+themselves. With confidence 1 - delta every chosen cut-off at once has a false rejection rate under alpha. A rule's
+alpha is the overall one divided by the number of rules, as a document goes if any rule rejects it. Strata are two-letter languages and
 'other' for the rest, at most 677, which bounds every table of thresholds.
 """
 
@@ -140,7 +142,7 @@ def thresholds(labelled: DataFrame, *, lang_col: str = "lang", quality_col: str
     counts = tall.groupBy("_q_stratum", "x.rule", "x.bin").agg(F.sum("good").alias("n_good"), F.sum(1 - F.col("good")).alias("n_bad"))
     of_rule, everything = Window.partitionBy("_q_stratum", "rule"), Window.partitionBy()
     down = of_rule.orderBy(F.desc("bin"))
-    tested = F.size(F.collect_set("_q_stratum").over(everything)) * len(rules) * GRID
+    tested = F.size(F.collect_set("_q_stratum").over(everything)) * len(rules)
     falls = counts.select(
         "_q_stratum",
         "rule",
