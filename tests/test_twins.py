@@ -48,6 +48,26 @@ def test_cooldown_suppression(spark, small, events):
     assert {(r.user_id, r.event_id) for r in QUERIES["cooldown_suppression"](spark, small).collect()} == want
 
 
+def test_coupled_quotas(spark, small, events):
+    """Each request against all admitted before it, counted anew."""
+    want = set()
+    for user, mine in events.items():
+        admitted = []  # (time, counts as lookup, counts as grace, number in its week)
+        for r in mine:
+            same_day = [a for a in admitted if a[0].date() == r.ts.date()] if admitted and admitted[-1][0].date() == r.ts.date() else []
+            in_week = admitted[-1][3] if admitted and r.ts - admitted[-1][0] <= 7 * DAY else 0
+            if len(same_day) >= 3 or in_week >= 9:
+                want.add((user, r.event_id, False, False))
+                continue
+            asks = r.event_type in ("purchase", "error")
+            lookup = asks and sum(a[1] for a in same_day) < 1
+            spared = not lookup and r.event_type == "error" and sum(a[2] for a in same_day) < 1
+            admitted.append((r.ts, lookup, spared, in_week + 1))
+            want.add((user, r.event_id, True, lookup or spared))
+    got = QUERIES["coupled_quotas"](spark, small).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and len({w[2:] for w in want}) == 3
+
+
 def test_bounded_queue(spark, small, events):
     want = set()
     for user, mine in events.items():

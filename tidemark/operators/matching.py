@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from ..sources.tables import small_side
 from . import dedup as D
 from .predicate import WANTS, has_short_lists, pair_matches, with_soft, with_wants
@@ -133,16 +134,32 @@ def top_per_user(matched: DataFrame, n: int = DIGEST) -> DataFrame:
     return _distinct_first(matched.where("url_verified_at is not null"), F.struct(new.alias("new"), F.col("portal_id"), F.col("a_id")), new, n)
 
 
-def top_digests(listings: DataFrame, alerts: DataFrame, trims: DataFrame | None = None, n: int = DIGEST) -> DataFrame:
+#: Shares of the stock, newest first, in which digests are looked for before the whole of it.
+NEWEST = (1 / 16,)
+
+
+def top_digests(listings: DataFrame, alerts: DataFrame, trims: DataFrame | None = None, n: int = DIGEST, newest: tuple[float, ...] = NEWEST) -> DataFrame:
     """top_per_user of all matches. Users who ask the same questions get the same adverts, so they are found once for each
-    set of questions and then handed to its users."""
+    set of questions and then handed to its users.
+
+    The newest come first, and what is taken depends on newer adverts only: a set that gets all its n adverts out of the
+    newest share of the stock is done, and the others go on with the whole stock. Each step is written once.
+    """
     asked, who = questions(alerts)
-    sets = who.groupBy("user_id").agg(F.array_sort(F.collect_set("q")).alias("qs")).withColumn("of_set", F.md5(F.array_join("qs", ",")))
-    parts = sets.select("of_set", F.explode("qs").alias("set_q")).distinct()
-    matched = matches(listings.where("url_verified_at is not null"), asked, trims).join(small_side(parts), F.col("a_q") == F.col("set_q"))
-    new = -F.unix_micros("updated_at")
-    best = _distinct_first(matched, F.struct(new.alias("new"), F.col("portal_id"), F.col("a_q")), new, n, who="of_set")
-    return best.select(*listings.columns, "of_set", "rank").join(sets.select(F.col("user_id").alias("a_user_id"), "of_set"), "of_set").drop("of_set")
+    sets = cut(who.groupBy("user_id").agg(F.array_sort(F.collect_set("q")).alias("qs")).withColumn("of_set", F.md5(F.array_join("qs", ","))))
+    parts = cut(sets.select("of_set", F.explode("qs").alias("set_q")).distinct())
+    verified, new, out = listings.where("url_verified_at is not null"), -F.unix_micros("updated_at"), []
+    cuts = verified.agg(F.percentile_approx("updated_at", F.array(*[F.lit(1 - x) for x in newest]))).first()[0] or ()
+    for since in (*cuts, None):
+        stock = verified if since is None else verified.where(F.col("updated_at") >= F.lit(since))
+        those = asked.join(small_side(parts.select(F.col("set_q").alias("q")).distinct()), "q", "left_semi")
+        matched = matches(stock, those, trims).join(small_side(parts), F.col("a_q") == F.col("set_q"))
+        best = cut(_distinct_first(matched, F.struct(new.alias("new"), F.col("portal_id"), F.col("a_q")), new, n, who="of_set").select(*listings.columns, "of_set", "rank"))
+        done = best.where(F.col("rank") == n).select("of_set")
+        out.append(best if since is None else best.join(done, "of_set", "left_semi"))
+        parts = cut(parts.join(done, "of_set", "left_anti"))
+    found = reduce(DataFrame.unionByName, out)
+    return found.join(sets.select(F.col("user_id").alias("a_user_id"), "of_set"), "of_set").drop("of_set")
 
 
 def refill(matched: DataFrame, had: DataFrame, sent: DataFrame, n: int = DIGEST) -> DataFrame:

@@ -158,3 +158,10 @@ def cooldown_suppression(d: Data):
 @query()
 def bounded_queue(d: Data):
     return B.bounded_queue(_events(d), 3)
+
+
+@query()
+def coupled_quotas(d: Data):
+    """Every event is a request; purchases look something up, errors report a broken link."""
+    kind = F.when(F.col("event_type") == "purchase", "lookup").when(F.col("event_type") == "error", "broken").otherwise("ask")
+    return B.request_quotas(_events(d).withColumn("event_type", kind), 3, 9, 1, 1)

@@ -26,6 +26,9 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return w.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
+_DAY_US = 86_400_000_000
+
+
 def budget(events: DataFrame, per_day: int, purposes: dict[str, int]) -> DataFrame:
     """Events that a daily budget admits: the first of each purpose up to its cap, and of those the first up to the
     day's. Counting per purpose first makes rollbacks needless."""
@@ -98,3 +101,33 @@ def gap_reset(events: DataFrame, gap_days: int) -> DataFrame:
     fresh = F.coalesce(F.col("ts") - F.lag("ts").over(by_user) > F.expr(f"interval {gap_days} days"), F.lit(True))
     marked = events.withColumn("period", F.sum(fresh.cast("int")).over(by_user))
     return marked.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id", "period").orderBy("ts", "event_id")).alias("used"))
+
+
+def request_quotas(events: DataFrame, per_day: int = 40, per_week: int = 280, lookups: int = 3, grace: int = 1) -> DataFrame:
+    """user_id, event_id, admitted, looked_up of requests (event_type ask, lookup or broken) under coupled quotas.
+
+    A request is refused if the day's or the week's count is full; a refused one counts for nothing. Counts of the day and its
+    lookups start over when the day differs from that of the last admitted request, the week's when that is over seven
+    days ago: a week of steady requests never starts over. An admitted lookup is carried out while the day has lookups
+    left, one for a broken link by the day's grace as well.
+    """
+    def f(g: pd.DataFrame) -> pd.DataFrame:
+        last, day, week, used, spared, out = None, 0, 0, 0, 0, []
+        for us, kind in zip(g.us, g.event_type, strict=True):
+            new_day, new_week = last is None or us // _DAY_US != last // _DAY_US, last is None or us - last > 7 * _DAY_US
+            today, this_week = 0 if new_day else day, 0 if new_week else week
+            if today >= per_day or this_week >= per_week:
+                out.append((False, False))
+                continue
+            if new_day:
+                used = spared = 0
+            last, day, week = us, today + 1, this_week + 1
+            looked = kind != "ask" and (used < lookups or (kind == "broken" and spared < grace))
+            if looked and used < lookups:
+                used += 1
+            elif looked:
+                spared += 1
+            out.append((True, looked))
+        return pd.DataFrame({"user_id": g.user_id, "event_id": g.event_id, "admitted": [a for a, _ in out], "looked_up": [b for _, b in out]})
+
+    return _fold(events, f, "user_id long, event_id long, admitted boolean, looked_up boolean")
