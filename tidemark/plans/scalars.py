@@ -171,14 +171,33 @@ gone AS (SELECT DISTINCT id AS gi, portal_id AS gp FROM s JOIN had ON hu = uid A
 SELECT id AS request_id, portal_id, score FROM s LEFT JOIN gone ON gi = id AND gp = portal_id WHERE score >= 0 AND gi IS NULL
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, updated_at DESC, portal_id) = 1""", listings=True)
 def inventory_search(d: Data):
+    return R.search(_requests(d), d.listing, _models(d), d.sent)
+
+
+def _models(d: Data):
+    return d.table("part").select(F.lower("p_brand").alias("brand"), F.lower("p_type").alias("model")).distinct()
+
+
+def _requests(d: Data):
+    """A described car for each customer."""
     k = F.col("c_custkey")
     model = F.element_at(F.array(*[F.lit(m) for m, _ in TYPED_STOCK]), (k % len(TYPED_STOCK) + 1).cast("int"))
-    requests = d.table("customer").select(
+    return d.table("customer").select(
         k.alias("request_id"), k.alias("user_id"), F.concat(F.lit(" Brand#"), (1 + k % 25).cast("string")).alias("brand"), model.alias("model"), F.when(k % 3 == 0, F.array(F.lit("Red"), F.lit("Italy"))).alias("specs"),
         (20000.0 + (k % 8) * 10000).alias("price"), F.when(k % 4 != 0, 1993 + k % 6).alias("year"), F.when(k % 9 != 0, 5000 * (k % 9)).alias("km"), (k % 2 == 0).alias("again"),
     )
-    models = d.table("part").select(F.lower("p_brand").alias("brand"), F.lower("p_type").alias("model")).distinct()
-    return R.search(requests, d.listing, models, d.sent)
+
+
+@query(f"""t(k, model) AS (VALUES {", ".join(f"({k}, {repr(m) if m else 'NULL'})" for k, (_, m) in enumerate(TYPED_STOCK))})
+SELECT c_custkey AS request_id, count(*) AS n FROM customer JOIN t ON t.k = c_custkey % {len(TYPED_STOCK)} JOIN sent ON user_id = c_custkey JOIN listing l ON portal_id = listing_id
+WHERE levenshtein('brand' || (1 + c_custkey % 25), replace(l.brand_norm, '#', '')) <= 2 AND l.model_norm = t.model AND (c_custkey % 3 <> 0 OR contains(l.version, 'red')) GROUP BY ALL""", listings=True)
+def same_car_gate(d: Data):
+    """How many of the adverts that a customer has got are the car that they describe."""
+    asked = R.resolved(_requests(d), _models(d)).select("request_id", F.col("user_id").alias("who"), F.col("brand").alias("q_brand"), F.col("model").alias("q_model"), "brand_best", "model_best", F.coalesce("specs", F.array().cast("array<string>")).alias("specs"))
+    stock = d.listing.select("portal_id", "brand_norm", "model_norm", "version")
+    got = d.sent.join(asked, F.col("user_id") == F.col("who")).join(stock, F.col("listing_id") == F.col("portal_id"))
+    same = R.is_same_car(F.col("q_brand"), F.col("brand_best"), F.col("q_model"), F.col("model_best"), F.col("specs"), F.col("brand_norm"), F.col("model_norm"), F.col("version"))
+    return got.where(same).groupBy("request_id").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_id, isodow(ts)::INT AS weekday, hour(ts)::BIGINT AS hour, (isodow(ts) <= 5 AND hour(ts) BETWEEN 8 AND 20) AS business,
