@@ -36,6 +36,9 @@ def newest(rows):
     return sorted(rows, key=lambda r: (-r[10].timestamp(), r[0]))
 
 
+newest_first = newest
+
+
 def first_distinct(rows, n=3):
     kept = []
     for r in rows:
@@ -164,3 +167,27 @@ def test_every_old_dump_is_pruned(spark):
     table = spark.createDataFrame([(k, DAY + timedelta(days=k)) for k in range(1, 30)], "event_id long, ts timestamp_ntz")
     got = {r.path for r in plans.backup_prune(SimpleNamespace(table=lambda name: table)).collect()}
     assert got == {f"dump-{k}" for k in range(1, 22)}
+
+
+def test_the_text_of_a_digest(spark):
+    kind = "a_user_id long, rank int, portal_id string, brand string, model string, version string, year int, price double, mileage_km int, country string"
+    top = spark.createDataFrame([(1, 2, "p2", "Seat", "León", None, 2019, 9_500.9, 80_000, "ES"), (1, 1, "p1", "Audi", "A4", "2.0 TDI", 2020, 20_000.0, 50_000, None), (2, 1, "p3", "Kia", "Rio", "1.2", None, 7_000.0, None, "PT")], kind)
+    badges = spark.createDataFrame([("p1", "10 % below the market")], "portal_id string, badge string")
+    copies = spark.createDataFrame([("p1", 2), ("p2", 1), ("p3", 0)], "portal_id string, n_portals long")
+    got = {r.user_id: r.message for r in matching.digest_text(top, badges, copies).collect()}
+    assert got[1] == "2 new matches\n#1: Audi A4 2.0 TDI | 2020 | 20000 EUR | 50000 km | 10 % below the market | also on 2 other portals | link p1\n#2: Seat León | 2019 | 9500 EUR | 80000 km | ES | also on 1 other portal | link p2"
+    assert got[2] == "1 new match\n#1: Kia Rio 1.2 | 7000 EUR | PT | link p3"
+
+
+@pytest.mark.parametrize("newest", [(), (1 / 16,), (1 / 50, 1 / 3)])
+def test_digests_out_of_the_newest_share_are_the_same(spark, newest):
+    rows, table = cars(spark, 5, 150)
+    table = table.withColumns({"fuel_type": F.lit(None).cast("string"), "power_hp": F.lit(0)})
+    alerts = spark.createDataFrame([(1, 1, "m0", None), (2, 1, "m1", 2021), (3, 2, "m0", None), (4, 3, "m1", 2022), (5, 4, None, 2021)], "id long, user_id long, model_norm string, min_year int").withColumn("brand_norm", F.lit("b"))
+    asks = {1: [("m0", 0), ("m1", 2021)], 2: [("m0", 0)], 3: [("m1", 2022)], 4: [(None, 2021)]}
+    want = set()
+    for user, wishes in asks.items():
+        fits = [r for r in newest_first(rows) if r[11] and any(m in (None, r[5]) and r[6] >= y for m, y in wishes)]
+        want |= {(user, k + 1, p) for k, p in enumerate(first_distinct(fits))}
+    got = matching.top_digests(table, alerts, newest=newest).collect()
+    assert {(r.a_user_id, r.rank, r.portal_id) for r in got} == want and len(got) == len(want) > 6
