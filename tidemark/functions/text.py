@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and their base letters, pair by pair.
-ACCENTED = "àáâãäåāăąçćčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaaacccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+
+@cache
+def _letters() -> tuple[str, str]:
+    """For translate: all letters whose canonical decomposition is one letter and marks, then all marks; the bare letters."""
+    marked, bare, marks = [], [], []
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))):
+        if unicodedata.category(c)[0] == "M":
+            marks.append(c)
+            continue
+        left = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M"]
+        if len(left) == 1 and left[0] != c:
+            marked.append(c)
+            bare += left
+    return "".join(marked + marks), "".join(bare)
+
 
 # Words of each fuel, in the order in which fuels are tried; then exact words.
 FUELS = (
@@ -50,8 +63,9 @@ def filled(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """c in lower case without the accents of Latin letters; ß, ø and ł stay."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """c in lower case without accents and other marks, whether composed or not; ß, ø and ł stay. One pass over the text.
+    Hangul syllables stay composed."""
+    return F.translate(F.lower(c), *_letters())
 
 
 def squeeze(c: Column) -> Column:
@@ -187,6 +201,17 @@ def list_label_fuel(c: Column) -> Column:
     return out.otherwise(None)
 
 
+def model_spellings(c: Column) -> list[Column]:
+    """model_aliases one by one and repeated where there are fewer; of a literal they fold to literals."""
+    soft = soft_model(c)
+    key = canonical_model(soft)
+    digit, letter = F.regexp_extract(key, r"^serie (\d)$", 1), F.regexp_extract(key, r"^clase ([a-z])$", 1)
+    series = [F.when(digit != "", F.concat(F.lit(a), digit, F.lit(b))).otherwise(key) for a, b in (("", " series"), ("series ", ""), ("", "er"), ("", " er"))]
+    classes = [F.when(letter != "", F.concat(F.lit(a), letter, F.lit(b))).otherwise(key) for a, b in (("", " class"), ("", " klasse"), ("class ", ""))]
+    wagons = [F.when(letter == "g", w).otherwise(key) for w in ("g wagon", "gwagen", "g wagen")]
+    return [key, soft, normalize_model(c), *series, *classes, *wagons]
+
+
 def lookup_keys(c: Column) -> Column:
     """Spellings under which a catalog may have a model, in the order in which they are tried: as written, canonical, aliases."""
     soft = soft_model(c)
@@ -240,6 +265,34 @@ def country_code(c: Column) -> Column:
     return F.when(k == "UK", "GB").otherwise(k)
 
 
+def iso_country(c: Column) -> Column:
+    """The code that a text consists of, two letters; null for anything else."""
+    k = country_code(c)
+    return F.when(k.rlike("^[A-Z]{2}$"), k)
+
+
+# Labels of country codes.
+COUNTRY_LABELS = {
+    "AT": "Austria", "BE": "Belgium", "BG": "Bulgaria", "CH": "Switzerland", "CZ": "Czechia", "DE": "Germany", "DK": "Denmark",
+    "EE": "Estonia", "ES": "Spain", "FI": "Finland", "FR": "France", "GB": "United Kingdom", "GR": "Greece", "HR": "Croatia",
+    "HU": "Hungary", "IE": "Ireland", "IT": "Italy", "LT": "Lithuania", "LU": "Luxembourg", "LV": "Latvia", "NL": "Netherlands",
+    "NO": "Norway", "PL": "Poland", "PT": "Portugal", "RO": "Romania", "SE": "Sweden", "SI": "Slovenia", "SK": "Slovakia",
+    "UK": "United Kingdom",
+}
+
+
+def country_label(c: Column) -> Column:
+    """A code's label; an unknown code as it is, Unknown for none."""
+    k = F.upper(F.trim(filled(c)))
+    labels = F.create_map(*[F.lit(x) for pair in COUNTRY_LABELS.items() for x in pair])
+    return F.when(k == "", "Unknown").otherwise(F.coalesce(F.try_element_at(labels, k), k))
+
+
+def country_list(codes: Column) -> Column:
+    """The labels of an array of codes, or Any."""
+    return F.when(F.coalesce(F.size(codes), F.lit(0)) > 0, F.array_join(F.transform(codes, lambda k: country_label(k)), ", ")).otherwise("Any")
+
+
 def alert_fingerprint(c: Column) -> Column:
     """An alert's text with numbers blotted out, at most 180 characters: what the cooldown compares."""
     return F.substring(F.regexp_replace(c, r"\d+", "#"), 1, 180)

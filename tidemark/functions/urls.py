@@ -47,6 +47,15 @@ def bare_home(c: Column) -> Column:
     return (F.regexp_replace(_part(c, 3), "/+$", "") == "") & (F.length(_part(c, 4)) <= 1)
 
 
+def still_advert(requested: Column, final: Column, aggregators: tuple[str, ...] = (), portals: tuple[str, ...] = ()) -> Column:
+    """Whether a fetch that was redirected to final (null or empty: it wasn't) still shows an advert and not just a home page.
+    Aggregators are always taken for that, portals need a path, others a path or a query; no host, no advert."""
+    u = F.trim(F.coalesce(F.nullif(F.trim(final), F.lit("")), requested, F.lit("")))
+    kind = host_class(u, aggregators, portals)
+    no_path = F.regexp_replace(_part(u, 3), "/+$", "") == ""
+    return F.when(kind == "invalid", False).when(kind == "aggregator", True).when(kind == "portal", ~no_path).otherwise(~bare_home(u))
+
+
 def page_number(c: Column) -> Column:
     n = F.regexp_extract(c, r"[?&]page=(\d+)", 1)
     return F.when(n != "", n.cast("int")).otherwise(1)

@@ -9,14 +9,30 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
+from ..functions.urls import normalize_url
 from ..sources.tables import small_side
 
 
-def validated(raw: DataFrame) -> DataFrame:
-    """Raw adverts (brand, model, price, mileage_km, year, fuel, transmission, url, ...) that are usable, with cleaned
-    fields; what would need a guess stays null."""
+def validated(raw: DataFrame, countries: tuple[str, ...] = ()) -> DataFrame:
+    """Raw adverts (brand, model, price, mileage_km, year, fuel_type, transmission, url, country, ...) that are usable, with
+    cleaned fields where they have them: known fuels and gearboxes by their names, else null; canonical URLs; trimmed
+    names; no power of 0. With countries, only adverts from them. What would need a guess stays null."""
     sane = (F.col("price") > 0) & (F.col("mileage_km") > 0) & (F.col("year") > 0)
-    return raw.where(X.valid_listing(F.col("brand"), F.col("model")) & sane).withColumn("price", N.sanitize_price(F.col("price"))).where("price is not null")
+    if countries:
+        sane = sane & X.country_code(F.col("country")).isin(*countries)
+    fuel, gears = X.fuel_type(F.col("fuel_type")), X.transmission(F.col("transmission"))
+    clean = {
+        "brand": F.trim("brand"),
+        "model": F.trim("model"),
+        "version": F.nullif(F.trim("version"), F.lit("")),
+        "price": N.sanitize_price(F.col("price")),
+        "power_hp": F.when(F.col("power_hp") > 0, F.col("power_hp")),
+        "fuel_type": F.when(fuel != "Unknown", fuel),
+        "transmission": F.when(gears != "Unknown", gears),
+        "url": normalize_url(F.col("url")),
+    }
+    usable = raw.where(X.valid_listing(F.col("brand"), F.col("model")) & sane)
+    return usable.withColumns({c: v for c, v in clean.items() if c in raw.columns}).where("price is not null")
 
 
 def with_norms(rows: DataFrame) -> DataFrame:

@@ -191,3 +191,30 @@ def digest_text(top: DataFrame, badges: DataFrame, copies: DataFrame) -> DataFra
     n = F.count("*")
     header = F.concat(n.cast("string"), F.when(n == 1, " new match").otherwise(" new matches"))
     return cars.groupBy(F.col("a_user_id").alias("user_id")).agg(F.array_join(F.array_prepend(blocks, header), "\n").alias("message"))
+
+
+def alert_digest(alert: DataFrame, lists: dict[str, str]) -> Column:
+    """SHA-256 of what an alert asks, the same however its lists are ordered or spelt: JSON of brand, model, limits and the
+    comma-separated columns named in lists (label -> column), folded and sorted. Null and empty lists are equal."""
+
+    def items(c: str) -> Column:
+        return F.array_sort(F.filter(F.transform(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), ","), lambda x: F.trim(x)), lambda x: x != ""))
+
+    limits = ("brand_norm", "model_norm", "max_price", "min_year", "max_km", "min_power_hp")
+    asks = F.struct(*[F.col(c) for c in limits if c in alert.columns], *[items(c).alias(k) for k, c in lists.items()])
+    return F.sha2(F.to_json(asks, {"ignoreNullFields": "false"}), 256)
+
+
+def eligible(users: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Users (user_id, status, paused) who get digests: subscribed or cancelling but still subscribed, not paused, with an
+    alert. A null pause is none."""
+    return users.where(F.col("status").isin("vip", "cancelling") & ~F.coalesce("paused", F.lit(False))).join(alerts.select("user_id"), "user_id", "left_semi")
+
+
+def scope_hint() -> Column:
+    """What a filter is narrowed to, for people: the facets that are set, in the order in which they are chosen."""
+    def part(label: str, c: str, before: str = "", after: str = "") -> Column:
+        value = F.nullif(F.col(c).cast("string"), F.lit(""))
+        return F.concat(F.lit(f"{label}: {before}"), value, F.lit(after))
+
+    return F.concat_ws(" · ", part("Brand", "brand"), part("Model", "model"), part("Specs", "trims"), part("Motor", "engines"), part("Power", "min_power_hp", "≥", " CV"), part("Fuel", "fuels"), part("Price", "max_price", "≤", "€"), part("Year", "min_year", "≥"), part("Km", "max_km", "≤"), part("Country", "countries"))

@@ -65,13 +65,18 @@ class Scope:
         later = self.ORDER[self.ORDER.index(name) + 1 :]
         return replace(self.without(*later), **{name: value})
 
+    def changed(self, name: str, value) -> Scope:
+        """after, as the menu does it: fuels are ticked one by one, so they only clear the countries and leave price, year and
+        mileage as they are."""
+        return replace(self.without("countries"), fuels=value) if name == "fuels" else self.after(name, value)
+
     def hard(self) -> Column:
         """What the scan can push down: equalities and ranges on stored columns."""
         tests = [F.lit(True)]
         if self.brand:
             tests.append(F.col("brand_norm") == self.brand)
         if self.model:
-            tests.append(X.normalize_model(F.col("model_norm")) == X.normalize_model(F.lit(self.model)))
+            tests.append(F.col("model_norm").isin(*X.model_spellings(F.lit(self.model))))
         if self.countries:
             tests.append(F.upper("country").isin(*[c.upper() for c in self.countries]))
         if self.max_price is not None:

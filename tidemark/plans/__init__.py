@@ -1,6 +1,6 @@
 """All queries of the listing engine."""
 
-from . import engines, ingest, inventory, matching, pages, records, scalars, streams  # noqa: F401  they register themselves
+from . import decorated, engines, ingest, inventory, matching, merges, pages, records, scalars, streams  # noqa: F401  they register themselves
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -115,6 +115,26 @@ def facet_cascade_reset(d: Data):
     return d.listing.where(SCOPE.after("fuels", ("Petrol",)).matches()).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT unnest(['brand', 'model', 'min_power', 'fuels', 'max_price', 'min_year', 'max_km']) AS facet, unnest([count(*) FILTER (brand_norm = 'brand#13'), count(*) FILTER (brand_norm = 'brand#12' AND model_norm = 'promo'),
+  count(*) FILTER (brand_norm = 'brand#12' AND power_hp >= 80), count(*) FILTER (b AND fuel_type = 'Petrol' AND price <= 60000 AND year >= 1993 AND mileage_km <= 40000), count(*) FILTER (b AND f AND price <= 50000),
+  count(*) FILTER (b AND f AND price <= 60000 AND year >= 1995), count(*) FILTER (b AND f AND price <= 60000 AND year >= 1993 AND mileage_km <= 30000)]) AS n FROM (SELECT *, brand_norm = 'brand#12' AND power_hp >= 60 AS b, fuel_type = 'Diesel' AS f FROM listing)""", listings=True)
+def facet_cascade_each(d: Data):
+    """What is left after each facet of a filter is changed, in one pass."""
+    changes = {"brand": "brand#13", "model": "PROMO", "min_power": 80, "fuels": ("Petrol",), "max_price": 50_000.0, "min_year": 1995, "max_km": 30_000}
+    counts = d.listing.agg(*[F.count_if(SCOPE.changed(k, v).matches()).alias(k) for k, v in changes.items()])
+    return counts.unpivot([], list(changes), "facet", "n")
+
+
+@query("""SELECT upper(trim(c)) AS country, count(*) AS n FROM (SELECT CASE WHEN s_nationkey % 5 = 0 THEN n_name WHEN s_nationkey % 5 = 1 THEN ' n' || chr((97 + s_nationkey)::INT) || ' ' ELSE 'N' || chr((65 + s_nationkey)::INT) END AS c
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE regexp_matches(upper(trim(c)), '^[A-Z]{2}$') GROUP BY ALL""")
+def country_facets_iso(d: Data):
+    """Suppliers by country codes in different spellings; a fifth has a name instead, which is no code."""
+    k = F.col("s_nationkey")
+    code = F.when(k % 5 == 0, F.col("n_name")).when(k % 5 == 1, F.concat(F.lit(" n"), F.char(97 + k), F.lit(" "))).otherwise(F.concat(F.lit("N"), F.char(65 + k)))
+    rows = d.table("supplier").join(F.broadcast(d.table("nation")), k == F.col("n_nationkey"))  # 25 rows at any scale
+    return S.group_counts(rows.where(X.iso_country(code).isNotNull()), X.iso_country(code), "country")
+
+
 _PARTS = f"p AS (SELECT brand_norm, model_norm, {_ROLLUP}, {_FUELS}, {_ENGINES} FROM listing GROUP BY ALL)"
 
 
