@@ -27,7 +27,7 @@ def guarded_merge(d: Data):
     return G.guarded_merge(stock, crawl, "seq").actions
 
 
-_PAGES = """x AS (SELECT *, CASE source_portal WHEN 'src2' THEN 'https://dealer.example/' || model_norm || '/' || year || '/' || mileage_km WHEN 'src3' THEN 'https://list.example/' || portal_id ELSE 'https://shop.example/' || portal_id END AS url,
+_PAGES = """x AS (SELECT *, CASE WHEN source_portal = 'src2' AND year % 2 = 0 THEN 'https://dealer.example/' || model_norm || '/' || year || '/' || mileage_km WHEN source_portal = 'src3' THEN 'https://list.example/' || portal_id ELSE 'https://shop.example/' || portal_id END AS url,
   CASE WHEN source_portal = 'src3' THEN 'https://dealer.example/' || model_norm || '/' || year || '/' || mileage_km END AS seller FROM listing),
 p AS (SELECT *, CASE WHEN mileage_km % 5000 = 0 THEN 'dead' WHEN year % 3 = 0 THEN 'soft' WHEN mileage_km % 7000 = 0 THEN 'dead' ELSE 'ok' END AS verdict FROM x WHERE url_verified_at IS NULL),
 r AS (SELECT portal_id, seller FROM p WHERE verdict <> 'ok' AND seller IS NOT NULL AND mileage_km % 2000 <> 0),
@@ -35,11 +35,12 @@ f AS (SELECT min(portal_id) AS portal_id FROM r WHERE seller NOT IN (SELECT url
 
 
 def _probed(d: Data):
-    """Adverts with URLs, and what fetches of their pages said; those of one source only refer to a dealer's page."""
+    """Adverts with URLs, and what fetches of their pages said; those of one source only refer to a dealer's page,
+    which in even years may be another advert's already."""
     dealer = F.concat_ws("/", F.lit("https://dealer.example"), "model_norm", "year", "mileage_km")
     source, k = F.col("source_portal"), F.col("mileage_km")
     host = F.when(source == "src3", "https://list.example/").otherwise("https://shop.example/")
-    rows = d.listing.withColumn("url", F.when(source == "src2", dealer).otherwise(F.concat(host, "portal_id")))
+    rows = d.listing.withColumn("url", F.when((source == "src2") & (F.col("year") % 2 == 0), dealer).otherwise(F.concat(host, "portal_id")))
     code = F.when(k % 5000 == 0, 404).when(F.col("year") % 3 == 0, 503).otherwise(200)
     html = F.rpad(F.when(k % 7000 == 0, "This advert is no longer available.").otherwise("A car."), 300, ".")
     probes = rows.select("portal_id", U.probe_class(code, html, ("no longer available",)).alias("verdict"), F.when(source == "src3", dealer).alias("seller_url"), F.when(k % 2000 != 0, "ok").otherwise("soft").alias("seller_verdict"))
