@@ -87,3 +87,15 @@ def test_details_go_before_cards(spark):
     assert set(got) == {"a", "b"} and got["b"].brand == "Kia" and got["b"].model_from is None
     assert (got["a"].brand, got["a"].model, got["a"].version, got["a"].mileage_km, got["a"].fuel) == ("Seat", "Leon", "FR", 2, "Petrol")
     assert (got["a"].brand_from, got["a"].model_from, got["a"].price_from, got["a"].power_hp_from) == ("card", "detail", "card", None)
+
+
+def test_a_table_may_be_a_folder_of_files(spark, small, tmp_path):
+    import os
+
+    from tidemark.plans import QUERIES
+
+    for t in ("nation.parquet", "region.parquet"):
+        os.symlink(f"{small}/{t}", tmp_path / t)
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for folder in (str(tmp_path), f"file://{tmp_path}/"):
+        assert sorted(map(tuple, QUERIES["folder_files"](spark, folder).collect())) == [("events.parquet", True), ("nation.parquet", True), ("region.parquet", True)]

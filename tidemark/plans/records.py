@@ -53,7 +53,8 @@ _NAMES = ", ".join(f"'{t}.parquet'" for t in "benchmark conversations customer d
 
 @query(f"SELECT unnest([{_NAMES}]) AS name, true AS has_bytes")
 def folder_files(d: Data):
-    return R.files(d.spark, d.sf_dir, "*.parquet").groupBy("name").agg((F.sum("length") > 0).alias("has_bytes"))
+    """A table is a file of the folder, or a folder of files."""
+    return R.files(d.spark, d.sf_dir, "*.parquet").groupBy(F.col("entry").alias("name")).agg((F.sum("length") > 0).alias("has_bytes"))
 
 
 @query("""p AS (SELECT regexp_extract(url, '://[^/]*\\.([a-z]+\\.[a-z]+)/', 1) || '/' || regexp_extract(url, '://[^/]*/([a-z]+)/', 1) AS list_id, page_id // 12 + 1 AS page, CASE WHEN length(html) % 3 = 0 THEN 1 ELSE 0 END AS n_new FROM pages),

@@ -3,6 +3,8 @@ pages that a resumed crawl visits."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,15 +55,18 @@ def answered(text: Column) -> Column:
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """name, path, length, modified of the files under a folder whose names fit a pattern. Only metadata is read."""
+    """name, path, length, modified of the files under a folder whose names fit a pattern, and the entry of the folder (the file
+    itself, or the subfolder that holds it). Only metadata is read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length", F.col("modificationTime").alias("modified"))
+    inside = re.sub("/+", "/", re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", folder)).rstrip("/")
+    entry = F.regexp_extract("path", rf"\Q{inside}\E/+([^/]+)", 1)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length", F.col("modificationTime").alias("modified"), entry.alias("entry"))
 
 
 def restored(spark: SparkSession, folder: str, name: str | None = None) -> DataFrame:
     """A snapshot among those under a folder (one Parquet file or folder of files each): the named one, else the one with the
     newest file; of equally new ones the last by name."""
-    snapshots = files(spark, folder, "*.parquet").withColumn("snapshot", F.regexp_extract("path", rf"{folder.rstrip('/').split(':')[-1]}/([^/]+)", 1))
+    snapshots = files(spark, folder, "*.parquet").withColumnRenamed("entry", "snapshot")
     chosen = name or (last := snapshots.agg(F.max_by("snapshot", F.struct("modified", "snapshot")).alias("s")).first()) and last.s
     if not chosen:
         raise FileNotFoundError(f"no snapshot under {folder}")
