@@ -109,3 +109,28 @@ def test_near_pairs_meet_once(spark):
     rows = list({r[0]: r for r in stock(3, 300, 10**9, 10)}.values())
     got = [(r.a_id, r.b_id) for r in dedup.near_pairs(spark.createDataFrame(rows, CARS)).collect()]
     assert sorted(got) == sorted((min(a[0], b[0]), max(a[0], b[0])) for i, a in enumerate(rows) for b in rows[:i] if near(a, b))
+
+
+def test_counts_and_rounds_write_no_pairs_down(spark, monkeypatch):
+    """Copies of one place, prices under 1, repeated ids, several sources, blocks cut into tiles: against plain loops."""
+    rng = random.Random(5)
+    rows = stock(11, 250, 10**9, 10) + [(f"c{k}", f"src{k % 3}", "b", "m0", 2020, 9_000, 10_000.0, 90, DAY, "") for k in range(60)]
+    rows += [(f"l{k}", rng.choice(["src0", None]), "b", "m0", 2020, 500 * k, rng.choice([0.0, 0.02, 0.96, 0.99, 1.0, 1.04, 3.0, 3.1]), 90, DAY, "") for k in range(40)] + [(f"l{k}", "src1", "b", "m0", 2020, 500 * k + 400, 3.05, 90, DAY, "") for k in range(5)]
+    cars = spark.createDataFrame(rows, CARS)
+    near_ones = [[b for b in rows if b[0] != a[0] and near(a, b)] for a in rows]
+    places, portals = {}, {}
+    for a, found in zip(rows, near_ones, strict=True):
+        places.setdefault(a[2:7] if None not in a[2:7] else a[0], []).append(a[0])
+        n, of = portals.get(a[0], (0, set()))
+        portals[a[0]] = (n + len(found), of | {b[1] for b in found if b[1]})
+    for counted in (10**6, 40, 1):
+        monkeypatch.setattr(dedup, "_near_counts", lambda p, counted=counted, whole=WHOLE: whole(p, counted))
+        got = sorted((r.portal_id, r.class_id, r.n_near) for r in dedup.near_links(cars).collect())
+        assert got == sorted((a[0], min(places[a[2:7] if None not in a[2:7] else a[0]]), len(found)) for a, found in zip(rows, near_ones, strict=True))
+        got = {r.portal_id: (r.n_near, r.n_portals) for r in dedup.near_portals(cars).collect()}
+        assert got == {k: (n, len(of)) for k, (n, of) in portals.items() if n}
+    once = list({r[0]: r for r in rows}.values())
+    assert {r.portal_id: r.kept_id for r in dedup.greedy(spark.createDataFrame(once, CARS)).collect()} == plain_greedy(once)
+
+
+WHOLE = dedup._near_counts
