@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import freetext as T
@@ -16,6 +16,8 @@ from . import fuzzy as Z
 
 #: Half the windows of year and price around hints.
 YEARS, PRICE_SHARE = 2, 0.25
+#: Adverts of an ask that are tried first, and then.
+STEPS = (4, 64)
 
 
 def _ladder(diff: Column, steps: tuple, beyond: float, known: Column) -> tuple[Column, Column]:
@@ -65,21 +67,49 @@ def resolved(requests: DataFrame, models: DataFrame) -> DataFrame:
     return requests.join(names, same, "left").drop("t_brand", "t_model")
 
 
-def search(requests: DataFrame, listings: DataFrame, models: DataFrame, sent: DataFrame) -> DataFrame:
+def search(requests: DataFrame, listings: DataFrame, models: DataFrame, sent: DataFrame, steps: tuple[int, ...] = STEPS) -> DataFrame:
     """request_id, portal_id, score: at most one advert for each request.
 
     requests: request_id, user_id, brand, model (typed), specs (array), price, year, km (hints or null), again (boolean).
     The stock of the resolved brand and model within the window of the hints; where that is empty, the brand's adverts whose
     model means the typed one loosely. Specs must occur in the version. Unless asked for again, what the user has got is left
     out, and so is what is near it. The best by hint_score, then the newest, then the least id.
+
+    Requests that describe the same car are one ask. Its best few adverts (steps) are tried first by those who ask; who has got all
+    of them goes on with more, in the end with all that fit.
     """
-    asked = resolved(requests, models).select("request_id", "user_id", F.col("brand").alias("q_brand"), F.col("model").alias("q_model"), "brand_best", "model_best", "specs", F.col("price").alias("q_price"), F.col("year").alias("q_year"), F.col("km").alias("q_km"), "again")
-    asked = cut(asked)  # requests are few beside the stock
+    given = resolved(requests, models).select("request_id", "user_id", F.col("brand").alias("q_brand"), F.col("model").alias("q_model"), "brand_best", "model_best", "specs", F.col("price").alias("q_price"), F.col("year").alias("q_year"), F.col("km").alias("q_km"), "again")
+    asks = ("q_model", "brand_best", "model_best", "specs", "q_price", "q_year", "q_km")
+    given = cut(given.withColumn("ask", F.md5(F.to_json(F.struct(*asks)))))  # requests are few beside the stock
+    asked = cut(given.groupBy("ask").agg(*[F.first(c).alias(c) for c in asks]))
+    stock = listings.select("portal_id", "brand_norm", "model_norm", "version", "year", "mileage_km", "price", "updated_at")
+    order = F.struct((-F.col("score")).alias("s"), (-F.unix_micros("updated_at")).alias("new"), "portal_id")
+    fit = _fitting(asked, stock).withColumn("o", order).select("ask", "o", "portal_id", *D.BLOCK, "mileage_km", "price")
+    most = max(steps, default=0)
+    first = cut(fit.withColumn("place", F.row_number().over(Window.partitionBy("ask").orderBy("o"))).where(F.col("place") <= most + 1)) if steps else None
+    got = sent.select(F.col("user_id").alias("s_user"), F.col("listing_id").alias("s_listing")).distinct()
+    cars = stock.drop("version", "updated_at")
+    had = got.join(cars, F.col("s_listing") == F.col("portal_id")).select("s_user", F.struct(*cars.columns).alias("old"))
+    had = cut(had.join(given.where("not again").select(F.col("user_id").alias("s_user")), "s_user", "left_semi"))
+    left, out = given.select("ask", "request_id", "user_id", "again"), []
+    for step in (*steps, None):
+        those = (fit.join(small_side(left.select("ask").distinct()), "ask", "left_semi") if step is None else first.where(F.col("place") <= step)).join(left, "ask")
+        same = reduce(lambda a, b: a & b, [F.col(f"car.{c}") == F.col(f"old.{c}") for c in D.BLOCK])
+        gone = those.where("not again").select("request_id", "user_id", F.struct(*cars.columns).alias("car")).join(had, (F.col("user_id") == F.col("s_user")) & same & D.near("car", "old"))
+        free = those.join(gone.select("request_id", F.col("car.portal_id").alias("portal_id")).distinct(), ["request_id", "portal_id"], "left_anti")
+        best = free.groupBy("request_id").agg(F.min("o").alias("best")).select("request_id", "best.portal_id", (-F.col("best.s")).alias("score"))
+        if step is None:
+            return reduce(DataFrame.unionByName, [*out, best])
+        out.append(cut(best))
+        left = cut(left.join(out[-1], "request_id", "left_anti").join(first.where(F.col("place") == step + 1).select("ask"), "ask", "left_semi"))
+
+
+def _fitting(asked: DataFrame, stock: DataFrame) -> DataFrame:
+    """The stock's adverts that fit each ask, with their score."""
     window = (F.col("q_year").isNull() | F.abs(F.col("year") - F.col("q_year")).between(0, YEARS)) & (F.col("q_price").isNull() | F.col("price").between(F.floor(F.col("q_price") * (1 - PRICE_SHARE) + 0.5), F.floor(F.col("q_price") * (1 + PRICE_SHARE) + 0.5)))
     score = hint_score(F.col("price"), F.col("year"), F.col("mileage_km"), F.col("q_price"), F.col("q_year"), F.col("q_km"))
-    stock = listings.select("portal_id", "brand_norm", "model_norm", "version", "year", "mileage_km", "price", "updated_at")
     exact = stock.join(small_side(asked), (F.col("brand_norm") == F.col("brand_best")) & (F.col("model_norm") == F.col("model_best")) & window)
-    none = cut(asked.join(exact.select("request_id").distinct(), "request_id", "left_anti"))
+    none = cut(asked.join(exact.select("ask").distinct(), "ask", "left_anti"))
     # Names are compared once each: spellings asked for against the models that the stock has of the brand.
     names = none.select("q_model", F.col("brand_best").alias("n_brand"), "model_best").distinct()
     held = stock.select(F.col("brand_norm").alias("held_brand"), F.col("model_norm").alias("held_model")).distinct()
@@ -87,11 +117,4 @@ def search(requests: DataFrame, listings: DataFrame, models: DataFrame, sent: Da
     asks = none.join(meant, (F.col("q_model") == F.col("n_model")) & (F.col("brand_best") == F.col("n_brand")) & F.col("model_best").eqNullSafe(F.col("n_best")))
     loose = stock.join(small_side(cut(asks)), (F.col("brand_norm") == F.col("brand_best")) & (F.col("model_norm") == F.col("held_model")) & window).select(*exact.columns)
     specs = F.coalesce("specs", F.array().cast("array<string>"))
-    fit = exact.unionByName(loose).where(F.when(F.size(specs) == 0, True).otherwise(T.has_specs(F.col("version"), specs))).withColumn("score", score).where("score >= 0")
-    got = sent.select(F.col("user_id").alias("s_user"), F.col("listing_id").alias("s_listing")).distinct()
-    had = got.join(stock, F.col("s_listing") == F.col("portal_id")).select("s_user", F.struct(*stock.columns).alias("old"))
-    same = reduce(lambda a, b: a & b, [F.col(f"car.{c}") == F.col(f"old.{c}") for c in D.BLOCK])
-    gone = fit.where("not again").select("request_id", "user_id", F.struct(*stock.columns).alias("car")).join(had, (F.col("user_id") == F.col("s_user")) & same & D.near("car", "old"))
-    left = fit.join(gone.select("request_id", F.col("car.portal_id").alias("portal_id")).distinct(), ["request_id", "portal_id"], "left_anti")
-    order = F.struct((-F.col("score")).alias("s"), (-F.unix_micros("updated_at")).alias("new"), "portal_id")
-    return left.groupBy("request_id").agg(F.min(order).alias("best")).select("request_id", "best.portal_id", (-F.col("best.s")).alias("score"))
+    return exact.unionByName(loose).where(F.when(F.size(specs) == 0, True).otherwise(T.has_specs(F.col("version"), specs))).withColumn("score", score).where("score >= 0")
