@@ -67,4 +67,4 @@ def engine_alerts(d: Data):
     """Alerts for an engine or a least power, over adverts whose engines and typical power come out of the catalog."""
     k = F.col("id")
     alerts = d.alert.where("brand_norm is not null").select("id", "user_id", "brand_norm", F.when(k % 2 == 0, "TSI").alias("engine_csv"), F.when(k % 2 == 1, 120).alias("min_power_hp"))
-    return M.totals(with_engine_texts(d), alerts, engines=part_engines(d)).select("id", "n")
+    return M.totals(with_engine_texts(d), alerts, engines=part_engines(d), least=False).select("id", "n")
