@@ -28,10 +28,27 @@ def window_open(local: Column, days: Column, start: Column, end: Column) -> Colu
 
 
 def next_opening(local: Column, days: Column, start: Column, end: Column) -> Column:
-    """The first full hour from local on at which the window is open, within 14 days; local itself if it is open now."""
-    hour = F.date_trunc("hour", local)
-    later = F.transform(F.sequence(F.lit(1), F.lit(14 * 24)), lambda k: F.timestamp_seconds(F.unix_seconds(hour) + k * 3600))
-    return F.when(window_open(local, days, start, end), local).otherwise(F.array_min(F.filter(later, lambda t: window_open(t, days, start, end))))
+    """The first full hour from local on at which the window is open, within 14 days; local itself if it is open now.
+
+    The rest of today has one first open hour, and all other days have one, so the next day is looked for and not the hour.
+    Only where the zone's clock is changed within those days, hours are tried one by one.
+    """
+    hour, now, today = F.date_trunc("hour", local), F.hour(local), iso_weekday(local)
+    seconds, every = F.unix_seconds(hour), F.size(days) == 0
+
+    def first(least: Column) -> Column:
+        """The first open hour of a day from `least` on."""
+        later = F.greatest(start, least)
+        return F.when(start < end, F.when(later < F.least(end, F.lit(24)), later)).when(start > end, F.when(least < end, least).when(later < 24, later))
+
+    ahead = F.array_min(F.transform(F.filter(days, lambda d: d.between(1, 7)), lambda d: F.pmod(d - today - 1, F.lit(7)) + 1))
+    by_today = F.when(every | F.array_contains(days, today), first(now + 1))
+    by_day = F.when(every, 1).otherwise(ahead) * 24 + first(F.lit(0))
+    by_day = F.timestamp_seconds(seconds + (F.coalesce(by_today, by_day) - now) * 3600)
+    later = F.transform(F.sequence(F.lit(1), F.lit(14 * 24)), lambda k: F.timestamp_seconds(seconds + k * 3600))
+    by_hour = F.array_min(F.filter(later, lambda t: window_open(t, days, start, end)))
+    steady = F.hour(F.timestamp_seconds(seconds + 14 * 86_400)) == now
+    return F.when(window_open(local, days, start, end), local).when(steady, by_day).otherwise(by_hour)
 
 
 def business_hours(local: Column) -> Column:
