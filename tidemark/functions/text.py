@@ -63,9 +63,9 @@ def filled(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """c in lower case without accents and other marks, whether composed or not; ß, ø and ł stay. One pass over the text.
-    Hangul syllables stay composed."""
-    return F.translate(F.lower(c), *_letters())
+    """c in lower case without accents and other marks, whether composed or not; ß, ø and ł stay. One pass over the text, none
+    over one of ASCII alone. Hangul syllables stay composed."""
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(F.lower(c), *_letters()))
 
 
 def squeeze(c: Column) -> Column:

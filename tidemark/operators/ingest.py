@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from ..functions import numeric as N
 from ..functions import text as X
 from ..functions.urls import normalize_url
 from ..sources.tables import small_side
+from .predicate import with_facts
 
 
 def validated(raw: DataFrame, countries: tuple[str, ...] = ()) -> DataFrame:
@@ -36,22 +38,28 @@ def validated(raw: DataFrame, countries: tuple[str, ...] = ()) -> DataFrame:
 
 
 def with_norms(rows: DataFrame) -> DataFrame:
-    """rows with the derived columns that every reader relies on, computed once on the way in."""
-    return rows.withColumns(
+    """rows with the derived columns that every reader relies on, computed once on the way in, and once for each text."""
+    out = with_facts(rows, ["brand", "model"], lambda brand, model: {"_brand": X.normalize_brand(brand), "_model": X.normalize_model(model)})
+    out = with_facts(out, ["version"], lambda v: {"_tokens": X.version_tokens(v), "_engine": X.engine_key(F.coalesce(v, F.lit(""))), "_power": N.power_cv(v)})
+    return out.withColumns(
         {
-            "brand_norm": X.normalize_brand(F.col("brand")),
-            "model_norm": X.normalize_model(F.col("model")),
-            "version_tokens": X.version_tokens(F.col("version")),
-            "engine_norm": X.engine_key(F.coalesce("version", F.lit(""))),
-            "power_hp": F.coalesce(F.when(F.col("power_hp") > 0, F.col("power_hp")), N.power_cv(F.col("version"))),
+            "brand_norm": F.col("_brand"),
+            "model_norm": F.col("_model"),
+            "version_tokens": F.col("_tokens"),
+            "engine_norm": F.col("_engine"),
+            "power_hp": F.coalesce(F.when(F.col("power_hp") > 0, F.col("power_hp")), F.col("_power")),
         }
-    )
+    ).drop("_brand", "_model", "_tokens", "_engine", "_power")
 
 
-def drift(rows: DataFrame, stored: dict[str, Column]) -> DataFrame:
-    """rows whose stored values differ from what the rules give now, with the names of those columns."""
-    names = F.array(*[F.when(~F.col(name).eqNullSafe(fresh), F.lit(name)) for name, fresh in stored.items()])
-    return rows.withColumn("drifted", F.array_join(names, ",")).where("drifted <> ''")
+def drift(rows: DataFrame, stored: dict[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+    """rows whose stored values differ from what the rules give now, with the names of those columns. stored: of each name the
+    column that its rule reads and the rule, which is applied once to each distinct text."""
+    out = rows
+    for name, (source, rule) in stored.items():
+        out = with_facts(out, [source], lambda c, name=name, rule=rule: {f"_now_{name}": rule(c)})
+    names = F.array(*[F.when(~F.col(name).eqNullSafe(F.col(f"_now_{name}")), F.lit(name)) for name in stored])
+    return out.withColumn("drifted", F.array_join(names, ",")).where("drifted <> ''").drop(*[f"_now_{name}" for name in stored])
 
 
 def needs_enrichment() -> Column:

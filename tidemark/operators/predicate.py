@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
+from ..sources.shared import cut
 from ..sources.tables import small_side
 from . import catalog as C
 
@@ -128,8 +129,8 @@ def _text_facts(version: Column, engine: Column) -> dict[str, Column]:
 def with_facts(rows: DataFrame, keys: list[str], facts: Callable[..., dict[str, Column]]) -> DataFrame:
     """rows with facts of some columns. Texts repeat, so the expressions, chains of patterns, are worked out once for each
     distinct combination if there are few enough of them to broadcast, else row by row."""
-    distinct = rows.select(*[F.col(k).alias(f"_of_{k}") for k in keys]).distinct()
-    if distinct.limit(VERSIONS + 1).count() > VERSIONS:
+    distinct = cut(rows.select(*[F.col(k).alias(f"_of_{k}") for k in keys]).distinct().limit(VERSIONS + 1))
+    if distinct.count() > VERSIONS:
         return rows.withColumns(facts(*map(F.col, keys)))
     known = distinct.withColumns(facts(*[F.col(f"_of_{k}") for k in keys]))
     same = _all([F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])

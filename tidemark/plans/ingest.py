@@ -46,7 +46,7 @@ def ingest_derived_columns(d: Data):
 @query("SELECT portal_id, CASE WHEN source_portal = 'src3' THEN 'brand_norm' ELSE '' END || CASE WHEN source_portal = 'src3' AND mileage_km > 40000 THEN ',' ELSE '' END || CASE WHEN mileage_km > 40000 THEN 'model_norm' ELSE '' END AS drifted FROM listing WHERE source_portal = 'src3' OR mileage_km > 40000", listings=True)
 def norm_drift(d: Data):
     stored = d.listing.withColumn("brand_norm", F.when(F.col("source_portal") == "src3", "stale").otherwise(F.col("brand_norm"))).withColumn("model_norm", F.when(F.col("mileage_km") > 40_000, None).otherwise(F.col("model_norm")))
-    return I.drift(stored, {"brand_norm": X.normalize_brand(F.col("brand")), "model_norm": X.normalize_model(F.col("model"))}).select("portal_id", "drifted")
+    return I.drift(stored, {"brand_norm": ("brand", X.normalize_brand), "model_norm": ("model", X.normalize_model)}).select("portal_id", "drifted")
 
 
 @query("SELECT portal_id FROM listing WHERE power_hp IS NULL OR mileage_km % 5000 = 0", listings=True)
