@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import freetext, text, timewin
 from tidemark.operators import dedup, ingest
-from tidemark.sources.shared import cut
+from tidemark.sources.shared import cut, with_known
 
 
 def test_cut_leaves_no_shuffle_files(spark):
@@ -68,3 +68,13 @@ def test_texts_are_worked_out_once(spark):
     drifted = ingest.drift(rows.withColumns({"brand_norm": F.lit("skoda"), "model_norm": F.lit("golf")}), {"brand_norm": ("brand", text.normalize_brand), "model_norm": ("model", text.normalize_model)})
     assert {r.portal_id: r.drifted for r in drifted.collect()} == {"1": "brand_norm", "2": "brand_norm,model_norm", "3": "model_norm"}
     assert "BroadcastHashJoin" in normed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facts_meet_rows_by_a_hash_or_by_their_keys(spark):
+    rows = spark.createDataFrame([(k, [None, "a", "b", ""][k % 4], [None, "b", "a"][k % 3]) for k in range(36)], "n int, x string, y string")
+    known = rows.select("x", "y").distinct().withColumn("fact", F.concat_ws("/", F.coalesce("x", F.lit("-")), F.coalesce("y", F.lit("-"))))
+    by_hash, by_keys = with_known(rows, known, ["x", "y"]), with_known(rows, known, ["x", "y"], most=3)
+    assert "_h" in by_hash._jdf.queryExecution().optimizedPlan().toString() and "<=>" in by_keys._jdf.queryExecution().optimizedPlan().toString()
+    for got in (by_hash, by_keys):
+        assert got.columns == ["n", "x", "y", "fact"] and got.count() == 36
+        assert all(r.fact == f"{'-' if r.x is None else r.x}/{'-' if r.y is None else r.y}" for r in got.collect())

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
+from ..sources.shared import cut, with_known
 from ..sources.tables import small_side
 
 # Engine families beside a displacement.
@@ -139,22 +138,26 @@ def with_engines(listings: DataFrame, catalog: DataFrame) -> DataFrame:
     First the longest alias or name of the model's catalog that the version contains; then, for a bare displacement,
     the catalog's engines of that size: a single one, the nearest in power, or the brand's preferred family; where none
     decides only the power is known. Without such engines the heuristic names it. Texts repeat, so all of this is done
-    once for each distinct model, version and known power, and handed back to the adverts by an equi-join; an alias is
+    once for each distinct model, version and known power, and handed back to the adverts by with_known; an alias is
     looked for only in the versions of its model.
     """
-    c = catalog.select(F.col("brand").alias("c_brand"), F.col("model").alias("c_model"), "ordinal", "engine_norm", "aliases", F.col("power").alias("c_power"))
+    every = F.array_append("aliases", F.col("engine_norm"))
+    names = F.filter(every, lambda a: (F.length(a) >= 2) & ~a.rlike(r"^\d\.\d$"))
+    rank = _family_rank(F.col("brand"), F.col("engine_norm"))
+    c = catalog.select(F.col("brand").alias("c_brand"), F.col("model").alias("c_model"), "ordinal", "engine_norm", every.alias("_every"), names.alias("_names"), rank.alias("_rank"), F.col("power").alias("c_power"))
     keys = ("brand_norm", "model_norm", "version", "_known")
     asked = listings.withColumn("_known", F.when(F.col("power_hp") > 20, F.col("power_hp")))
     version = F.col("version")
-    texts = asked.select("version").distinct().select(version.alias("_of"), X.norm_text(version).alias("hay"), bare_displacement(version).alias("bare"), N.power_cv(version).alias("_said"), engine_heuristic(version).alias("_guess"))
-    base = asked.select(*keys).distinct().join(texts, version.eqNullSafe(F.col("_of"))).drop("_of").withColumn("hint", F.coalesce("_known", "_said"))
+    base = cut(asked.select(*keys).distinct())
+    texts = base.select("version").distinct().select(version.alias("_of"), X.norm_text(version).alias("hay"), bare_displacement(version).alias("bare"), N.power_cv(version).alias("_said"), engine_heuristic(version).alias("_guess"))
+    base = base.join(texts, version.eqNullSafe(F.col("_of"))).drop("_of").withColumn("hint", F.coalesce("_known", "_said"))
+    base = base.repartition(int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but each meets all its model's engines
     rows = base.join(c, (F.col("brand_norm") == F.col("c_brand")) & (F.col("model_norm") == F.col("c_model")), "left")
-    names = F.filter(F.array_append("aliases", F.col("engine_norm")), lambda a: (F.length(a) >= 2) & ~a.rlike(r"^\d\.\d$"))
-    alias = F.array_max(F.transform(F.filter(names, lambda a: F.col("hay").contains(a)), lambda a: F.length(a)))
-    sized = F.exists(F.array_append("aliases", F.col("engine_norm")), lambda a: (a == F.col("bare")) | a.startswith(F.concat(F.col("bare"), F.lit(" "))))
+    alias = F.array_max(F.transform(F.filter("_names", lambda a: F.col("hay").contains(a)), lambda a: F.length(a)))
+    sized = F.exists("_every", lambda a: (a == F.col("bare")) | a.startswith(F.concat(F.col("bare"), F.lit(" "))))
     rows = rows.withColumn("alias_len", alias).withColumn("sized", F.coalesce(sized, F.lit(False)))
     entry = F.struct(F.col("engine_norm").alias("engine"), F.col("c_power").alias("power"))
-    rank = _family_rank(F.col("brand_norm"), F.col("engine_norm"))
+    rank = F.col("_rank")
     best = rows.groupBy(*keys, "hint", "_guess").agg(
         F.max(F.when(F.col("alias_len").isNotNull(), F.struct("alias_len", -F.col("ordinal"), entry.alias("e")))).alias("alias"),
         F.count_if("sized").alias("n_sized"),
@@ -165,13 +168,12 @@ def with_engines(listings: DataFrame, catalog: DataFrame) -> DataFrame:
     found = F.coalesce(F.col("alias.e"), F.when(F.col("n_sized") > 0, by_size))
     guess = F.when(F.col("n_sized") == 0, F.col("_guess"))
     facts = best.select(
-        *[F.col(k).alias(f"_q_{k}") for k in keys],
+        *keys,
         F.coalesce(found["engine"], guess, F.lit("")).alias("found_engine"),
         F.coalesce("hint", found["power"]).alias("found_power"),
         F.when(found.isNotNull(), "catalog").when(guess.isNotNull() | F.col("hint").isNotNull(), "heuristic").alias("found_source"),
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys]
-    return asked.join(facts, reduce(Column.__and__, same), "left").drop("_known", *[f"_q_{k}" for k in keys])
+    return with_known(asked, facts, list(keys)).drop("_known")
 
 
 def resolve_engines(listings: DataFrame, catalog: DataFrame) -> DataFrame:

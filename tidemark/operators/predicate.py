@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
-from ..sources.shared import cut
+from ..sources.shared import with_known
 from ..sources.tables import small_side
 from . import catalog as C
 
-#: Distinct version texts up to which facts about them are broadcast, some hundred bytes each.
-VERSIONS = 100_000
 #: Elements up to which a list is short.
 SHORT = 3
 #: A mileage cap from which on there is none.
@@ -128,13 +126,9 @@ def _text_facts(version: Column, engine: Column) -> dict[str, Column]:
 
 def with_facts(rows: DataFrame, keys: list[str], facts: Callable[..., dict[str, Column]]) -> DataFrame:
     """rows with facts of some columns. Texts repeat, so the expressions, chains of patterns, are worked out once for each
-    distinct combination if there are few enough of them to broadcast, else row by row."""
-    distinct = cut(rows.select(*[F.col(k).alias(f"_of_{k}") for k in keys]).distinct().limit(VERSIONS + 1))
-    if distinct.count() > VERSIONS:
-        return rows.withColumns(facts(*map(F.col, keys)))
-    known = distinct.withColumns(facts(*[F.col(f"_of_{k}") for k in keys]))
-    same = _all([F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
-    return rows.join(F.broadcast(known), same, "left").drop(*[f"_of_{k}" for k in keys])
+    distinct combination and handed back by with_known."""
+    known = rows.select(*keys).distinct()
+    return with_known(rows, known.withColumns(facts(*map(F.col, keys))), keys)
 
 
 def with_soft(listings: DataFrame, trims: DataFrame | None = None, engines: DataFrame | None = None) -> DataFrame:
