@@ -1,12 +1,14 @@
 """Work that grows with distinct texts or days, not with rows or hours, gives what the plain way gives; shuffles go with their cuts."""
 
+import collections
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import freetext, text, timewin
-from tidemark.operators import dedup, ingest
+from tidemark.operators import dedup, ingest, matching, predicate
 from tidemark.sources.shared import cut, with_known
 
 
@@ -78,3 +80,31 @@ def test_facts_meet_rows_by_a_hash_or_by_their_keys(spark):
     for got in (by_hash, by_keys):
         assert got.columns == ["n", "x", "y", "fact"] and got.count() == 36
         assert all(r.fact == f"{'-' if r.x is None else r.x}/{'-' if r.y is None else r.y}" for r in got.collect())
+
+
+@pytest.mark.parametrize("near_km", [None, 2000])
+def test_matches_are_counted_by_classes(spark, near_km):
+    rng = random.Random(7)
+    pick = lambda *xs: rng.choice(xs)
+    cars = [(f"c{k}", pick("audi", "bmw", None), pick("a4", "x1", None), pick("2.0 TDI S line", "1.0 TSI Hot", "v8", None), pick(1999, 2010, 2011, None), pick(0, 900, 2900, 4999, None), float(pick(0, 9, 10, 11, 500)) if k % 9 else None, pick("Diesel", "petrol", "", None), pick(None, 0, 99, 100, 150), pick("ES", "fr", None)) for k in range(150)]
+    cars += [(f"d{k}", *cars[k % 3][1:]) for k in range(200)]
+    kind = "portal_id string, brand_norm string, model_norm string, version string, year int, mileage_km int, price double, fuel_type string, power_hp int, country string"
+    asks = [(k, k % 9, pick("audi", "bmw", "", None), pick("a4", "", None), pick(10.0, 11.0, None), pick(2000, 2010, None), pick(100, 0, None), pick(900, 9_999_999, None), pick("", "Diesel", "diesel,petrol,x,y", None), pick("", "es,FR", None), pick("", "tdi", "1.0 TSI,v8", None), pick("", "", "S line,Base", "hot", None)) for k in range(60)]
+    asked = "id long, user_id long, brand_norm string, model_norm string, max_price double, min_year int, min_power_hp int, max_km int, fuel_csv string, country_csv string, engine_csv string, trim_csv string"
+    stock, alerts = spark.createDataFrame(cars, kind), spark.createDataFrame(asks, asked)
+    given = [(rng.randrange(9), rng.choice(cars)[0]) for _ in range(40)]
+    sent = spark.createDataFrame(given, "user_id long, listing_id string")
+    trims = spark.createDataFrame([("audi", "a4", t) for t in ("Base", "S line", "Hot")], "brand string, model string, trim string")
+    pairs = [(r.a_id, r.a_user_id, r.portal_id, r.price) for r in matching.matches(stock, alerts, trims).select("a_id", "a_user_id", "portal_id", "price").collect()]
+    by_id = {c[0]: c for c in cars}
+
+    def like(a, b):
+        return a[0] == b[0] or near_km is not None and None not in (*a[1:3], *a[4:6]) and (*a[1:3], a[4]) == (*b[1:3], b[4]) and b[5] is not None and abs(a[5] - b[5]) <= near_km
+
+    left = collections.Counter(u for _, u, p, _ in pairs if not any(u == v and like(by_id[p], by_id[q]) for v, q in given))
+    assert {r.user_id: r.n for r in matching.unsent_counts(stock, alerts, sent, trims, near_km).collect()} == dict(left) and 0 < sum(left.values()) < len(pairs)
+    want = {a: (sum(x[0] == a for x in pairs), min(x[2] for x in pairs if x[0] == a), sum(x[3] or 0 for x in pairs if x[0] == a)) for a, *_ in pairs}
+    assert {r.id: (r.n, r.least_id, r.total or 0) for r in matching.totals(stock, alerts, trims).collect()} == want
+    soft, wants = predicate.with_soft(stock, trims), predicate.with_wants(alerts)
+    classes = predicate.with_classes(soft, wants).select("_brand", "_model", "price", "mileage_km", "year", "_power", "_base", *predicate.MET).distinct()
+    assert classes.count() <= 150  # 350 adverts

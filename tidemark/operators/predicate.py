@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
-from ..sources.shared import with_known
+from ..sources.shared import cut, with_known
 from ..sources.tables import small_side
 from . import catalog as C
 
@@ -194,27 +194,84 @@ def has_short_lists() -> Column:
     return _all([F.size(c) <= SHORT for c in ("a_fuels", "a_engines", "a_trims")])
 
 
+#: Distinct bounds up to which numbers are put into bands of them.
+BOUNDS = 64
+
+
+def _bands(wants: DataFrame) -> dict[str, Column]:
+    """For each number that is tested against bounds the bound that stands for it: the least that is not below it, or the largest that is
+    not above it; any bound is met by the one as by the other. With more than BOUNDS of them a number stands for itself."""
+    limits = {"price": ("most_price", True), "mileage_km": ("most_km", True), "year": ("least_year", False), "_power": ("least_power", False)}
+    found = wants.agg(*[F.slice(F.array_sort(F.collect_set(b)), 1, BOUNDS + 1).alias(b) for b, _ in limits.values()]).first()
+    out = {}
+    for name, (bound, most) in limits.items():
+        kind = dict(wants.dtypes)[bound]
+        value, bounds = F.col(name), found[bound]
+        if len(bounds) > BOUNDS:
+            out[name] = value
+            continue
+        end = F.lit(float("inf")) if kind == "double" else F.lit(ANY_KM if most else -1).cast(kind)
+        stands = F.when(value.isNull(), None)
+        for b in bounds if most else bounds[::-1]:
+            stands = stands.when(value <= b if most else value >= b, F.lit(b).cast(kind))
+        out[name] = stands.otherwise(end if most else F.least(end, F.lit(min(bounds, default=0) - 1).cast(kind)))
+    return out
+
+
+#: What a class of adverts is known by: the elements of alerts' lists that they meet, in with_classes.
+MET = ("_met_fuels", "_met_countries", "_met_engines", "_met_trims")
+
+
+def with_classes(soft: DataFrame, wants: DataFrame, *keep: str) -> DataFrame:
+    """with_soft adverts with what tells them apart for some with_wants alerts: bounds in place of numbers (but for keep), and
+    for each kind of list the wanted elements that they meet, comma-separated. Elements are met by distinct values, once each."""
+    lists = {"fuels": F.col("fuels"), "countries": F.col("countries"), "engines": F.col("engines"), "trims": F.transform("trims", lambda t: t["name"])}
+    said = cut(wants.agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(f"_all_{k}") for k, c in lists.items()]))  # one row
+    out = soft.withColumns({k: c for k, c in _bands(wants).items() if k not in keep})
+    tests = {
+        "fuels": (["_fuel"], lambda x: F.coalesce(F.col("_fuel").contains(x), F.lit(False))), "countries": (["_country"], lambda x: F.coalesce(F.col("_country") == x, F.lit(False))),
+        "engines": (["_engine"], lambda x: F.coalesce((F.col("_engine") != "") & (F.col("_engine").contains(x) | x.contains(F.col("_engine"))), F.lit(False))),
+        "trims": (["_hay", "_close", "_alone"], lambda x: F.coalesce(_named(_needle(x)), F.lit(False))),
+    }
+    for name, (keys, test) in tests.items():
+        met = F.array_join(F.filter(f"_all_{name}", test), ",")
+        known = cut(soft.select(*keys).distinct()).crossJoin(F.broadcast(said)).select(*keys, met.alias(f"_met_{name}"))
+        out = with_known(out, known, keys)
+    return out
+
+
+def class_matches() -> Column:
+    """pair_matches for rows of with_classes, whose met elements are arrays by now."""
+    def any_of(names: str, met: str) -> Column:
+        return (F.size(names) == 0) | F.coalesce(F.arrays_overlap(names, met), F.lit(False))
+
+    return _all([*_number_tests(), any_of("a_countries", "_met_countries"), any_of("a_fuels", "_met_fuels"), any_of("a_engines", "_met_engines"), (F.size("a_trims") == 0) | (F.coalesce("a_wants_base", F.lit(False)) & F.col("_base")) | F.coalesce(F.arrays_overlap("a_trim_names", "_met_trims"), F.lit(False))])
+
+
+def _number_tests() -> list[Column]:
+    def bound(limit: str, test: Column) -> Column:
+        return F.col(limit).isNull() | F.coalesce(test, F.lit(False))
+
+    return [
+        bound("a_most_price", F.col("price") <= F.col("a_most_price")), bound("a_least_year", F.col("year") >= F.col("a_least_year")),
+        bound("a_most_km", F.col("mileage_km") <= F.col("a_most_km")), bound("a_least_power", F.col("_power") >= F.col("a_least_power")),
+    ]
+
+
 def pair_matches(short: bool = False) -> Column:
     """The test of a joined pair of an advert (with_soft) and an alert (with_wants, its columns behind a_) whose brand and
     model fit. Numbers first; a bound that is set is not met by null. With short lists elements are tested one by one, which
     stays in generated code; a function over a list's elements would take the whole join out of it."""
-    def bound(limit: str, test: Column) -> Column:
-        return F.col(limit).isNull() | F.coalesce(test, F.lit(False))
-
     def some(names: str, test: Callable[[Column], Column]) -> Column:
         return X.any_of([F.coalesce(test(F.get(names, F.lit(k))), F.lit(False)) for k in range(SHORT)]) if short else F.exists(names, test)
 
     def any_of(names: str, test: Column) -> Column:
         return F.when(F.size(names) == 0, True).otherwise(F.coalesce(test, F.lit(False)))
 
-    numbers = [
-        bound("a_most_price", F.col("price") <= F.col("a_most_price")), bound("a_least_year", F.col("year") >= F.col("a_least_year")),
-        bound("a_most_km", F.col("mileage_km") <= F.col("a_most_km")), bound("a_least_power", F.col("_power") >= F.col("a_least_power")),
-    ]
     lists = [
         any_of("a_countries", F.array_contains("a_countries", F.col("_country"))),
         any_of("a_fuels", some("a_fuels", lambda f: F.col("_fuel").contains(f))),
         any_of("a_engines", (F.col("_engine") != "") & some("a_engines", lambda e: F.col("_engine").contains(e) | e.contains(F.col("_engine")))),
         any_of("a_trims", (F.col("a_wants_base") & F.col("_base")) | some("a_trims", _named)),
     ]
-    return _all(numbers + lists)
+    return _all(_number_tests() + lists)
