@@ -101,3 +101,12 @@ def test_verification(spark):
     done, after = merge.verification(spark.createDataFrame(rows, CARS), spark.createDataFrame(probes, "portal_id string, verdict string, seller_url string, seller_verdict string"), NOW)
     assert {tuple(r) for r in done.collect()} == {("p0", "verified"), ("p1", "deleted"), ("p2", "repaired"), ("p3", "deleted"), ("p4", "deleted"), ("p5", "soft")}
     assert {(r.portal_id, r.url, r.url_verified_at, r.soft_at) for r in after.collect()} == {("p0", "http://h/0", NOW, None), ("p2", "http://s/x", NOW, None), ("p5", "http://h/5", None, NOW), ("p6", "http://h/6", None, None), ("p7", "http://h/7", THEN, None), ("p8", "", None, None)}
+
+
+def test_merge_works_its_input_out_once(spark):
+    rows = [("a", "http://h/1", "b", "m", 2020, 5, 5.0, None, None, THEN)]
+    batch = [("", "http://h/2", "b", "m", 2020, 5, 5.0, None, None, None, 1), (None, "http://h/3", "b", "m", 2020, 5, 5.0, None, None, None, 2), ("c", "http://h/4", "n", "m", 2020, 5, 5.0, None, None, None, 3)]
+    done, after = merge.guarded_merge(spark.createDataFrame(rows, CARS), spark.createDataFrame(batch, CARS + ", seq int"), "seq")
+    for out in (done, after):  # only written steps are read, neither stock nor batch again
+        assert "LogicalRDD" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "LocalRelation" not in plan
+    assert {tuple(r) for r in done.collect()} == {(None, 2, "skipped_id"), ("c", 1, "created")}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -22,7 +23,7 @@ def guarded_merge(d: Data):
     ours = F.col("source_portal").isin("src0", "src1")
     stock = rows.where(ours | (F.col("mileage_km") % 3000 == 0)).withColumn("url", F.concat("url", F.lit("-"), "source_portal"))
     # URLs of a stock are unique: of adverts that share one the first keeps it
-    stock = stock.join(stock.groupBy("url").agg(F.min("portal_id").alias("_first")), "url").withColumn("url", F.when(F.col("_first") == F.col("portal_id"), F.col("url")).otherwise(F.concat("url", F.lit("?"), "portal_id"))).drop("_first")
+    stock = stock.withColumn("_first", F.min("portal_id").over(Window.partitionBy("url"))).withColumn("url", F.when(F.col("_first") == F.col("portal_id"), F.col("url")).otherwise(F.concat("url", F.lit("?"), "portal_id"))).drop("_first")
     crawl = rows.where(~ours).withColumn("price", F.round(F.col("price") * 1.01, 2)).drop("url_verified_at").withColumn("seq", F.unix_seconds("updated_at"))
     return G.guarded_merge(stock, crawl, "seq").actions
 
