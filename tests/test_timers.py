@@ -1,7 +1,9 @@
 """Streams with timers against a plain loop, over several batches and a restart; the sink after a failure."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tidemark.plans.streams import timed_events
 from tidemark.sources.shared import shared_dir
@@ -59,6 +61,50 @@ def test_a_repeated_batch_gives_each_message_once(spark, small):
     assert len(got) == len(set(got)) and set(got) == {x[:3] for x in plain(rows.collect(), T.Turn, max(r.at for r in rows.collect()))}
 
 
+class Store:
+    """A handle and a value of state that count what is asked of them."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(ms)
+
+
+def test_users_of_a_shard_share_calls_and_fire_when_due():
+    store, users = Store(), range(16)
+    p = T._Processor(T.Turn)
+    p.init(store)
+    rows = [(u, 10 * u + k, 100 + 10 * u + k, kind, u) for u in users for k, kind in enumerate(("filter", "match"))]
+    part = pd.DataFrame(rows, columns=["user_id", "event_id", "at", "kind", "value"]).sample(frac=1, random_state=1)
+    assert list(p.handleInputRows((0,), iter([part[:9], part[9:]]), TimerValues(0, 0))) == []
+    assert store.calls == 3 and store.timers == {700_000}  # one value read, one written, one timer for 16 users
+    fired = []
+    for mark in (700_000, 749_999, 750_000, 900_000):  # due are 700, 710, ..., 850
+        while (at := min(store.timers, default=mark + 1)) <= mark:
+            fired += [(r.user_id, r.at) for out in p.handleExpiredTimer((0,), TimerValues(0, mark), ExpiredTimerInfo(at)) for r in out.itertuples()]
+            store.timers.discard(at)  # as Spark does
+        assert sorted(fired) == [(u, 700 + 10 * u) for u in users if 700 + 10 * u <= mark // 1000]
+    assert store.timers == set()
+    late = pd.DataFrame([(3, 999, 20_000, "match", 5)], columns=part.columns)
+    assert list(p.handleInputRows((0,), iter([late]), TimerValues(0, 0))) == [] and store.timers == {(730 + 7_200 * 3) * 1000}  # the next of the cycles of user 3
+
+
 def test_rules_of_a_turn():
     s = T.Turn()
     assert T.fold(s, [(0, "filter", 0), (100, "match", 5), (650, "match", 6)]) == [(600, "first", "5")]

@@ -8,7 +8,9 @@ long as batches come in order of time.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import astuple, dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +24,8 @@ HOUR_S, DAY_S = 3_600, 86_400
 KEEP, WARMUP_S, RETRY_S, WARMUPS = 3, 600, 300, 2
 #: Alerts that a relay keeps, and seconds after the last one when it forgets them.
 RELAY, RELAY_S = 50, DAY_S
+#: Users whose ids differ in these last bits only share a value of state: at most 16.
+SHARD_BITS = 4
 
 
 @dataclass
@@ -113,43 +117,53 @@ def fold(s: Turn | Relay, events: list[tuple[int, str, int]]) -> list[tuple]:
 
 
 class _Processor(StatefulProcessor):
-    """One value of state for each user, and one timer: when it is due next."""
+    """One value of state for a shard of users, and one timer: when the first of them is due next. Calls, values and timers cost far
+    more than events do, so a user has none alone."""
 
     def __init__(self, kind: type) -> None:
         self.kind = kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.kind.STATE)
-
-    def _load(self) -> Turn | Relay:
-        return self.kind(*self.state.get()) if self.state.exists() else self.kind()
-
-    def _save(self, s: Turn | Relay) -> None:
-        self.state.update(tuple(asdict(s).values()))
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if s.due() >= 0:
-            self.handle.registerTimer(s.due() * 1000)
-
-    def _given(self, user: int, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        self.state = handle.getValueState("state", f"timer long, users array<struct<user_id long, {self.kind.STATE}>>")
+
+    def _load(self) -> tuple[int, dict[int, Turn | Relay]]:
+        """The timer that is set, -1 for none, and what is known of each user."""
+        timer, users = self.state.get() or (-1, ())
+        return timer, {user: self.kind(*values) for user, *values in users}
+
+    def _save(self, timer: int, users: dict[int, Turn | Relay]) -> None:
+        due = min((t for s in users.values() if (t := s.due()) >= 0), default=-1)
+        self.state.update((due, [(user, *astuple(s)) for user, s in users.items()]))
+        if due != timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer * 1000)
+            if due >= 0:
+                self.handle.registerTimer(due * 1000)
+
+    def _given(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
         if out:
-            yield pd.DataFrame([(user, *x) for x in out], columns=["user_id", "at", "reason", "items"])
+            yield pd.DataFrame(out, columns=["user_id", "at", "reason", "items"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        s = self._load()
-        events = sorted((int(r.at), int(r.event_id), r.kind, int(r.value)) for part in rows for r in part.itertuples())
-        out = fold(s, [(at, kind, value) for at, _, kind, value in events])
-        self._save(s)
-        yield from self._given(int(key[0]), out)
+        timer, users = self._load()
+        columns = ("user_id", "at", "event_id", "kind", "value")
+        events = sorted((int(user), int(at), int(event), kind, int(value)) for part in rows for user, at, event, kind, value in zip(*(part[c].tolist() for c in columns), strict=True))
+        out = []
+        for user, mine in groupby(events, itemgetter(0)):
+            s = users.setdefault(user, self.kind())
+            out += [(user, *x) for x in fold(s, [(at, kind, value) for _, at, _, kind, value in mine])]
+        self._save(timer, users)
+        yield from self._given(out)
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        s = self._load()
-        passed, out = expiredTimerInfo.getExpiryTimeInMs() // 1000, []
-        while 0 <= s.due() <= passed:
-            out += s.fire(s.due())
-        self._save(s)
-        yield from self._given(int(key[0]), out)
+        _, users = self._load()
+        passed, out = timerValues.getCurrentWatermarkInMs(), []
+        for user, s in users.items():
+            while 0 <= s.due() * 1000 <= passed:  # all whose own timer would fire now
+                out += [(user, *x) for x in s.fire(s.due())]
+        self._save(-1, users)  # Spark removes the timer that has fired
+        yield from self._given(out)
 
     def close(self) -> None:
         pass
@@ -159,8 +173,8 @@ def timed(stream: DataFrame, kind: type = Turn) -> DataFrame:
     """user_id, at, reason, items that a Turn or Relay of each user gives out over a stream (user_id, event_id, at, kind,
     value): what is due goes out when the watermark has passed it, whether or not its user has another event."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # the one that keeps timers
-    events = stream.withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", "0 seconds")
-    return events.groupBy("user_id").transformWithStateInPandas(_Processor(kind), kind.OUT, "append", "EventTime")
+    events = stream.withColumns({"ts": F.timestamp_seconds("at"), "shard": F.shiftright("user_id", SHARD_BITS)}).withWatermark("ts", "0 seconds")
+    return events.groupBy("shard").transformWithStateInPandas(_Processor(kind), kind.OUT, "append", "EventTime")
 
 
 def deliver(stream: DataFrame, folder: str, checkpoint: str, after: Callable[[int], None] | None = None) -> None:
