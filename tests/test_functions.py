@@ -60,3 +60,13 @@ def test_windows(spark):
     assert [r[0] for r in rows.select(F.hour(W.wall_clock(F.col("v")))).collect()] == [1, 3, 2, 2]
     hours = spark.range(24).select(F.collect_list(F.when(W.hour_in(F.col("id"), F.lit(22), F.lit(6)), F.col("id")))).first()[0]
     assert sorted(hours) == [0, 1, 2, 3, 4, 5, 22, 23]
+
+
+def test_a_url_in_normal_form_needs_one_look(spark, monkeypatch):
+    ends = ["", "/", "/a", "/a/", "/a//b", "/a b/c", "/A/É", "/a\n", "/a/\n", "/a\u2028", "/a?b=1", "/a?utm_source=1", "/a#b", "/?", "/a/?", "/a\\b", "/~a|b", "//"]
+    urls = [f"{head}{end}" for head in ("http://h.example:80", "HTTP://h", "http://H", "http://é", "http://É", "x+y://u:p@h", "1http://h", "h", "", "http://", " http://h") for end in ends]
+    rows = spark.createDataFrame([(u,) for u in urls], "u string")
+    got = [r[0] for r in rows.select(U.normalize_url(F.col("u"))).collect()]
+    assert sum(r[0] for r in rows.select(F.col("u").rlike(U._NORMAL)).collect()) > 5
+    monkeypatch.setattr(U, "_NORMAL", r"a\bb")
+    assert got == [r[0] for r in rows.select(U.normalize_url(F.col("u"))).collect()]

@@ -103,6 +103,49 @@ def test_verification(spark):
     assert {(r.portal_id, r.url, r.url_verified_at, r.soft_at) for r in after.collect()} == {("p0", "http://h/0", NOW, None), ("p2", "http://s/x", NOW, None), ("p5", "http://h/5", None, NOW), ("p6", "http://h/6", None, None), ("p7", "http://h/7", THEN, None), ("p8", "", None, None)}
 
 
+def plain_cycle(rows, probes):
+    """What a cycle does with each advert that waits, advert by advert."""
+    norm = lambda u: (u or "").replace("HTTP", "http").replace("//H", "//h").rstrip("/")
+    best = {}
+    for pid, verdict, seller, said in probes:
+        if pid is not None and any(r[0] == pid and r[1] and r[9] is None for r in rows):
+            rank = 0 if verdict == "ok" else 1 if said == "ok" and norm(seller) else 3 if verdict == "dead" else 2
+            best[pid] = min(best.get(pid, (9, "")), (rank, norm(seller) if rank == 1 else ""))
+    free = {}
+    for pid, (rank, to) in best.items():
+        if rank == 1 and not any(norm(r[1]) == to and r[0] != pid for r in rows):
+            free[to] = min(free.get(to, pid), pid)
+    return {p: "verified" if k == 0 else "repaired" if k == 1 and free.get(to) == p else "soft" if k == 2 else "deleted" for p, (k, to) in best.items()}, {p: to for p, (_, to) in best.items()}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_verification_by_plain_loops(spark, monkeypatch, small):
+    if not small:  # as if there were too many repairs to broadcast
+        monkeypatch.setattr(merge, "small_side", lambda df: df)
+    rng = random.Random(3)
+    urls = [None, "", *(x for k in range(12) for x in (f"http://h/{k}", f"HTTP://H/{k}/", f"http://h/{k}/"))]
+    rows = [(f"p{i:03}", rng.choice(urls), "b", "m", 2020, 1, 1.0, None, None, rng.choice([None, None, THEN])) for i in (*range(30), 3, 3, 4, 5, 6, 7)] + [(None, "http://h/3", "b", "m", 2020, 1, 1.0, None, None, None)]
+    probes = [(rng.choice([None, f"p{rng.randrange(35):03}"]) if rng.random() < 0.2 else f"p{rng.randrange(35):03}", rng.choice([None, "ok", "dead", "soft", "dead"]), rng.choice([*urls, *(f"http://s/{k}" for k in range(9))]), rng.choice([None, "ok", "ok", "dead"])) for _ in range(60)]
+    done, after = merge.verification(spark.createDataFrame(rows, CARS), spark.createDataFrame(probes, "portal_id string, verdict string, seller_url string, seller_verdict string"), NOW)
+    log, to = plain_cycle(rows, probes)
+    assert {r.portal_id: r.action for r in done.collect()} == log and done.count() == len(log) and set(log.values()) == {"verified", "repaired", "soft", "deleted"}
+    want = {(r[0], to[r[0]] if log.get(r[0]) == "repaired" else r[1], NOW if log.get(r[0]) in ("verified", "repaired") else r[9], NOW if log.get(r[0]) == "soft" else None) for r in rows if log.get(r[0]) != "deleted"}
+    assert {(r.portal_id, r.url, r.url_verified_at, r.soft_at) for r in after.collect()} == want
+
+
+def test_verification_shuffles_a_table_once(spark):
+    rows = spark.createDataFrame([("p1", "http://h/1", "b", "m", 2020, 1, 1.0, None, None, None), ("p2", "http://h/2", "b", "m", 2020, 1, 1.0, None, None, THEN)], CARS)
+    probes = spark.createDataFrame([("p1", "dead", "http://h/9", "ok")], "portal_id string, verdict string, seller_url string, seller_verdict string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done, after = merge.verification(rows, probes, NOW)
+        assert "hashpartitioning" not in after._jdf.queryExecution().executedPlan().toString()
+        assert done.count() == 1 and {(r.portal_id, r.url) for r in after.collect()} == {("p1", "http://h/9"), ("p2", "http://h/2")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_merge_works_its_input_out_once(spark):
     rows = [("a", "http://h/1", "b", "m", 2020, 5, 5.0, None, None, THEN)]
     batch = [("", "http://h/2", "b", "m", 2020, 5, 5.0, None, None, None, 1), (None, "http://h/3", "b", "m", 2020, 5, 5.0, None, None, None, 2), ("c", "http://h/4", "n", "m", 2020, 5, 5.0, None, None, None, 3)]

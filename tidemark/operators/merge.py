@@ -9,11 +9,12 @@ from datetime import datetime
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import normalize_url
 from ..sources.shared import cut
+from ..sources.tables import small_side
 from .dedup import BLOCK, _cells, close_pairs, near
 
 PLACE = (*BLOCK, "mileage_km", "price")
@@ -150,30 +151,41 @@ def verification(target: DataFrame, probes: DataFrame, now: datetime) -> Merged:
     advert that isn't: repaired, URL and stamp are set; unless another advert had that URL before the cycle, or one with
     a smaller id is repaired to it, then deleted. dead is deleted; soft stays as it is and is tried again (soft_at = now).
     Of several probes of an advert the best counts. Adverts that don't wait, or were not probed, stay.
+
+    Rows that share an id are one advert: it waits if one of them does, and all of them change or go.
+
+    Adverts meet their probes in one join by id and are written with them; only URLs that a repair wants are looked for among
+    all, and what is free goes back to its advert. Both are small as a rule and broadcast then, so the snapshot takes no
+    other shuffle of the table.
     """
-    waiting = target.where(F.col("url_verified_at").isNull() & (F.coalesce("url", F.lit("")) != "")).select("portal_id")
-    seller = normalize_url(F.col("seller_url"))
-    ok, mended = F.col("verdict") == "ok", (F.col("seller_verdict") == "ok") & (seller != "")
-    rank = F.when(ok, 0).when(mended, 1).when(F.col("verdict") == "dead", 3).otherwise(2)
-    best = probes.select("portal_id", F.struct(rank.alias("rank"), F.when(rank == 1, seller).alias("to")).alias("p"))
-    best = cut(best.groupBy("portal_id").agg(F.min("p").alias("p")).select("portal_id", "p.*").join(waiting, "portal_id", "left_semi"))
-    repairs = best.where("rank = 1")
-    owner = target.select(F.col("portal_id").alias("o_id"), normalize_url(F.col("url")).alias("o_url"))
-    clash = repairs.join(owner, (F.col("to") == F.col("o_url")) & (F.col("portal_id") != F.col("o_id")), "left_semi").select("portal_id")
-    free = repairs.join(clash, "portal_id", "left_anti").groupBy("to").agg(F.min("portal_id").alias("portal_id")).select("portal_id", F.lit(True).alias("free"))
-    action = F.when(F.col("rank") == 0, "verified").when(F.col("free"), "repaired").when(F.col("rank") == 2, "soft").otherwise("deleted")
-    done = cut(best.join(free, "portal_id", "left").select("portal_id", action.alias("action"), "to"))
+    ok, usable = F.col("verdict") == "ok", F.col("seller_verdict") == "ok"
+    rank = F.when(F.col("ok"), 0).when(F.col("seller") != "", 1).when(F.col("verdict") == "dead", 3).otherwise(2)
+    best = probes.select("portal_id", "verdict", ok.alias("ok"), F.when(usable & ~F.coalesce(ok, F.lit(False)), normalize_url(F.col("seller_url"))).alias("seller"))
+    best = best.select("portal_id", F.struct(rank.alias("rank"), F.when(rank == 1, F.col("seller")).alias("to")).alias("_p"))
+    # dealt by id before they are grouped: one sort serves groups and join, and there is none before the shuffle
+    best = best.repartition("portal_id").groupBy("portal_id").agg(F.min("_p").alias("_p"))
+    waiting = F.col("url_verified_at").isNull() & (F.coalesce("url", F.lit("")) != "")
+    waits = F.max(waiting).over(Window.partitionBy("portal_id"))  # rows stand by id already
+    met = cut(target.join(best, "portal_id", "left").withColumn("_p", F.when(waits, F.col("_p"))))
+    repairs = met.where("_p.rank = 1").select("portal_id", F.col("_p.to").alias("to"))
+    wanted = small_side(cut(repairs.select("to").distinct()))
+    owner = met.select(F.col("portal_id").alias("o_id"), normalize_url(F.col("url")).alias("to")).join(wanted, "to", "left_semi")
+    owner = small_side(cut(owner.groupBy("to").agg(F.min("o_id").alias("first"), F.max("o_id").alias("last"))))
+    own = F.col("first").isNull() | ((F.col("first") == F.col("portal_id")) & (F.col("last") == F.col("portal_id")))
+    free = repairs.join(owner, "to", "left").where(own).groupBy("to").agg(F.min("portal_id").alias("portal_id"))
+    free = small_side(cut(free.select("portal_id", F.lit(True).alias("_free"))))
+    action = F.when(F.col("_p.rank") == 0, "verified").when(F.col("_free"), "repaired").when(F.col("_p.rank") == 2, "soft").otherwise("deleted")
+    done = met.join(free, "portal_id", "left").withColumn("_action", F.when(F.col("_p").isNotNull(), action))
     stamp = F.lit(now).cast("timestamp")
     soft_at = F.col("soft_at") if "soft_at" in target.columns else F.lit(None).cast("timestamp")
-    after = target.join(done, "portal_id", "left").where("action is null or action <> 'deleted'")
-    after = after.withColumns(
+    after = done.where("_action is null or _action <> 'deleted'").withColumns(
         {
-            "url": F.when(F.col("action") == "repaired", F.col("to")).otherwise(F.col("url")),
-            "url_verified_at": F.when(F.col("action").isin("verified", "repaired"), stamp).otherwise(F.col("url_verified_at")),
-            "soft_at": F.when(F.col("action") == "soft", stamp).when(F.col("action").isNull(), soft_at),
+            "url": F.when(F.col("_action") == "repaired", F.col("_p.to")).otherwise(F.col("url")),
+            "url_verified_at": F.when(F.col("_action").isin("verified", "repaired"), stamp).otherwise(F.col("url_verified_at")),
+            "soft_at": F.when(F.col("_action") == "soft", stamp).when(F.col("_action").isNull(), soft_at),
         }
     )
-    return Merged(done.select("portal_id", "action"), after.drop("action", "to"))
+    return Merged(done.where("_action is not null").select("portal_id", F.col("_action").alias("action")).dropDuplicates(["portal_id"]), after.drop("_p", "_free", "_action"))
 
 
 def updated_where(rows: DataFrame, test: Column, values: dict[str, Column]) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import urls as U
 from ..operators import ingest as I
 from ..operators import matching as M
 from ..operators import merge as G
+from ..sources.shared import cut
 from .registry import Data, query
 
 
@@ -36,16 +37,19 @@ f AS (SELECT min(portal_id) AS portal_id FROM r WHERE seller NOT IN (SELECT url
 
 
 def _probed(d: Data):
-    """Adverts with URLs, and what fetches of their pages said; those of one source only refer to a dealer's page,
+    """Adverts with URLs, and what fetches of the pages of those that wait said; those of one source only refer to a dealer's page,
     which in even years may be another advert's already."""
     dealer = F.concat_ws("/", F.lit("https://dealer.example"), "model_norm", "year", "mileage_km")
     source, k = F.col("source_portal"), F.col("mileage_km")
     host = F.when(source == "src3", "https://list.example/").otherwise("https://shop.example/")
-    rows = d.listing.withColumn("url", F.when((source == "src2") & (F.col("year") % 2 == 0), dealer).otherwise(F.concat(host, "portal_id")))
+    # no more of an advert than is asked for, worked out once for both sides
+    rows = cut(d.listing.select("portal_id", "source_portal", "model_norm", "year", "mileage_km", "url_verified_at"))
+    rows = rows.withColumn("url", F.when((source == "src2") & (F.col("year") % 2 == 0), dealer).otherwise(F.concat(host, "portal_id")))
     code = F.when(k % 5000 == 0, 404).when(F.col("year") % 3 == 0, 503).otherwise(200)
-    html = F.rpad(F.when(k % 7000 == 0, "This advert is no longer available.").otherwise("A car."), 300, ".")
-    probes = rows.select("portal_id", U.probe_class(code, html, ("no longer available",)).alias("verdict"), F.when(source == "src3", dealer).alias("seller_url"), F.when(k % 2000 != 0, "ok").otherwise("soft").alias("seller_verdict"))
-    return rows, probes
+    gone, there = (F.rpad(F.lit(x), 300, ".") for x in ("This advert is no longer available.", "A car."))
+    html = F.when(k % 7000 == 0, gone).otherwise(there)
+    probes = rows.where("url_verified_at is null").select("portal_id", U.probe_class(code, html, ("no longer available",)).alias("verdict"), F.when(source == "src3", dealer).alias("seller_url"), F.when(k % 2000 != 0, "ok").otherwise("soft").alias("seller_verdict"))
+    return rows.select("portal_id", "url", "url_verified_at"), probes
 
 
 @query(f"""{_PAGES} SELECT portal_id, CASE WHEN verdict = 'ok' THEN 'verified' WHEN portal_id IN (SELECT portal_id FROM f) THEN 'repaired' WHEN portal_id IN (SELECT portal_id FROM r) THEN 'deleted'
