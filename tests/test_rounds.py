@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from tidemark.operators import dedup
+from tidemark.plans import QUERIES
 
 CARS = "portal_id string, source_portal string, brand_norm string, model_norm string, year int, mileage_km int, price double, power_hp int, updated_at timestamp, url string"
 DAY = datetime(2024, 1, 1)
@@ -134,3 +135,17 @@ def test_counts_and_rounds_write_no_pairs_down(spark, monkeypatch):
 
 
 WHOLE = dedup._near_counts
+
+
+def test_the_query_of_near_pairs_gives_each_pair(spark, tmp_path):
+    """A row per pair of adverts, not a count of them."""
+    items = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    rows = [(k, 1, 1, 1, q, p, "R", "F", DAY) for k, (q, p) in enumerate([(9.0, 1000.0), (9.0, 1000.0), (10.0, 1040.0), (11.0, 1000.0), (9.0, 1080.0), (30.0, 1000.0)])]
+    tables = {"lineitem": (rows, items), "part": ([(1, "red", "Brand#1", "PROMO", 3)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")}
+    tables |= {"supplier": ([(1, 1)], "s_suppkey long, s_nationkey int"), "nation": ([(1, "NATION_1")], "n_nationkey int, n_name string")}
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    cars = {f"{r[0]}-1-1-1": (r[4], r[5]) for r in rows}
+    like = lambda a, b: abs(a[0] - b[0]) <= 1 and abs(a[1] - b[1]) / ((a[1] + b[1]) / 2) <= 0.05
+    want = sorted((a, b) for a in cars for b in cars if a < b and like(cars[a], cars[b]))
+    assert sorted(map(tuple, QUERIES["near_dup_pairs"](spark, str(tmp_path)).select("a_id", "b_id").collect())) == want and len(want) == 5
