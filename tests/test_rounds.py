@@ -149,3 +149,16 @@ def test_the_query_of_near_pairs_gives_each_pair(spark, tmp_path):
     like = lambda a, b: abs(a[0] - b[0]) <= 1 and abs(a[1] - b[1]) / ((a[1] + b[1]) / 2) <= 0.05
     want = sorted((a, b) for a in cars for b in cars if a < b and like(cars[a], cars[b]))
     assert sorted(map(tuple, QUERIES["near_dup_pairs"](spark, str(tmp_path)).select("a_id", "b_id").collect())) == want and len(want) == 5
+
+
+@pytest.mark.parametrize("whole", [10**6, 150, 20, 1])
+def test_greedy_goes_through_blocks_in_order(spark, whole):
+    """Prices close together, so that each advert waits for a cheaper one: a chain as long as a block, whole and cut into tiles.
+    Prices that are no numbers, and those under 1, are no pitfall."""
+    rng = random.Random(9)
+    rows = [(f"p{k}", "src0", "b", f"m{k % 2}", 2020, rng.choice([0, 900, 1500, 4000]), 5_000.0 * 1.004 ** (k // 2), 90, DAY, "") for k in range(700)]
+    rows += [(f"q{k}", f"src{k % 5}", "b", "m0", 2020, rng.choice([-500, 900, None]), rng.choice([-3.0, 0.0, 0.97, 1.01, 5_000.0, 5_100.0, None]), rng.choice([None, 0, 90]), DAY, "") for k in range(120)]
+    odd = [(f"n{k}", "src0", "b", "m0", 2020, 900, float(x), 90, DAY, "") for k, x in enumerate(["nan", "nan", "inf", "-inf"])]
+    got = dedup.greedy(spark.createDataFrame(rows + odd, CARS), whole).collect()
+    assert {r.portal_id: r.kept_id for r in got} == plain_greedy(rows) | {r[0]: r[0] for r in odd} and len(got) == len(rows) + 4
+    assert len({r.kept_id for r in got}) > 50
