@@ -108,3 +108,12 @@ def test_matches_are_counted_by_classes(spark, near_km):
     soft, wants = predicate.with_soft(stock, trims), predicate.with_wants(alerts)
     classes = predicate.with_classes(soft, wants).select("_brand", "_model", "price", "mileage_km", "year", "_power", "_base", *predicate.MET).distinct()
     assert classes.count() <= 150  # 350 adverts
+
+
+def test_clean_up_takes_no_round_for_each_link_of_a_chain(spark, monkeypatch):
+    rows = [(f"p{k:03}", "b", "m", 2000, 1000, 1000 * 1.03**k, "src0", 90, datetime(2024, 1, 1), f"http://x.example/{k}") for k in range(200)]
+    cars = spark.createDataFrame(rows, "portal_id string, brand_norm string, model_norm string, year int, mileage_km int, price double, source_portal string, power_hp int, updated_at timestamp, url string")
+    cuts = []
+    monkeypatch.setattr(dedup, "cut", lambda df: cuts.append(1) or cut(df))
+    got = {r.portal_id: r.kept_id for r in dedup.clean_up(cars).collect()}
+    assert got == {f"p{k:03}": f"p{k - k % 2:03}" for k in range(200)} and len(cuts) < 10
