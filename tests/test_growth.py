@@ -117,3 +117,20 @@ def test_clean_up_takes_no_round_for_each_link_of_a_chain(spark, monkeypatch):
     monkeypatch.setattr(dedup, "cut", lambda df: cuts.append(1) or cut(df))
     got = {r.portal_id: r.kept_id for r in dedup.clean_up(cars).collect()}
     assert got == {f"p{k:03}": f"p{k - k % 2:03}" for k in range(200)} and len(cuts) < 10
+
+
+def test_a_batch_of_one_block_is_folded_once(spark, monkeypatch):
+    """A block of more than FOLD adverts, where the first of its neighbourhoods are taken over by cheaper ones again and again."""
+    day, km = int(datetime(2024, 1, 1).timestamp()), [7 * k % 9_001 for k in range(21_000)]
+    price = [10_000.0 + (k * 7919) % 3_001 for k in range(21_000)]
+    cars = spark.range(21_000).select(F.format_string("p%06d", "id").alias("portal_id"), F.lit("b").alias("brand_norm"), F.lit("m").alias("model_norm"), F.lit(2000).alias("year"), (7 * F.col("id") % 9_001).cast("int").alias("mileage_km"), (10_000.0 + F.col("id") * 7919 % 3_001).alias("price"), F.timestamp_seconds(day - F.col("id")).alias("updated_at"))
+    kept = []
+    for k in range(21_000):
+        at = next((i for i, j in enumerate(kept) if abs(km[j] - km[k]) <= 1000 and abs(price[j] - price[k]) / ((price[j] + price[k]) / 2) <= 0.05), None)
+        if at is None:
+            kept.append(k)
+        elif price[k] < price[kept[at]]:
+            kept[at] = k
+    cuts = []
+    monkeypatch.setattr(dedup, "cut", lambda df: cuts.append(1) or cut(df))
+    assert sorted(r.portal_id for r in dedup.batch(cars).collect()) == sorted(f"p{k:06}" for k in kept) and len(cuts) < 5
