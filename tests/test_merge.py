@@ -153,3 +153,16 @@ def test_merge_works_its_input_out_once(spark):
     for out in (done, after):  # only written steps are read, neither stock nor batch again
         assert "LogicalRDD" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "LocalRelation" not in plan
     assert {tuple(r) for r in done.collect()} == {(None, 2, "skipped_id"), ("c", 1, "created")}
+
+
+def test_places_near_the_stock_are_counted_not_copied(spark):
+    """Each place goes to one task once, not to the nine cells around its own; unknown and odd numbers are near nothing."""
+    places = "brand_norm string, model_norm string, year int, mileage_km int, price double"
+    stored = [("b", "m", 2020, k, p) for k in (0, 2500, None) for p in (1.0, 100.0, 9_000.0, float("inf"))]
+    fresh = [("b", m, 2020, k, p) for m in ("m", "n", None) for k in (900, 1001, 3500, None) for p in (0.96, 94.0, 95.2, 9_400.0, 9_500.0, float("nan"))]
+
+    def near(a, b):
+        return a[:3] == b[:3] and None not in (*a, *b) and abs(a[3] - b[3]) <= 1000 and abs(a[4] - b[4]) / max((a[4] + b[4]) / 2, 1) <= 0.05
+
+    found = merge._held(spark.createDataFrame(stored, places), spark.createDataFrame(fresh, places))
+    assert sorted(map(tuple, found.collect())) == sorted(f for f in fresh if any(near(f, s) for s in stored))

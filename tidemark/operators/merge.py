@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import normalize_url
 from ..sources.shared import cut
 from ..sources.tables import small_side
-from .dedup import BLOCK, _cells, close_pairs, near
+from .dedup import BLOCK, _near_counts as near_counts, close_pairs
 
 PLACE = (*BLOCK, "mileage_km", "price")
 #: What an update takes over as it is, and what it takes over if the batch knows it.
@@ -80,6 +80,16 @@ def _winners(left: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, won).select("url", "o.portal_id", "o.at")
 
 
+def _held(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The places of fresh (as _<column>) that a stored advert is near. Both are counted in sorted blocks, so no place is copied to the
+    cells around."""
+    places = [F.col(c).cast("double").alias(c) if c == "price" else F.col(c) for c in PLACE]
+    points = stored.select(*places, F.lit("stored").alias("source_portal")).unionByName(fresh.select(*places, F.lit(None).cast("string").alias("source_portal")))
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in PLACE]) & (F.abs("price") < float("inf"))
+    counts = near_counts(points.where(whole).groupBy(*PLACE, "source_portal").agg(F.count("*").alias("n")))
+    return counts.where("source_portal is null and n_portals > 0").select(*[F.col(c).alias(f"_{c}") for c in PLACE])
+
+
 def guarded_merge(target: DataFrame, new: DataFrame, order: str) -> Merged:
     """A batch put into a snapshot of adverts -> what was done with each id of the batch (portal_id, n_rows, action), and the
     new snapshot. The same batch once more changes nothing.
@@ -120,15 +130,9 @@ def guarded_merge(target: DataFrame, new: DataFrame, order: str) -> Merged:
     fresh = given.where("known is null").withColumn("place", _place())
     fresh = cut(fresh.select("portal_id", "url", "at", "place", *PLACE))
     stored = after.join(fresh.select("url"), "url", "left_semi").select("url").distinct()
-    # what is stored may be anywhere around, so all neighbouring cells are looked into
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    probe = _cells(fresh.select("place", *PLACE).distinct(), "place")
-    probe = probe.withColumn("km_cell", F.explode(F.transform(around, lambda d: F.col("km_cell") + d)))
-    probe = probe.withColumn("price_cell", F.explode(F.transform(around, lambda d: F.col("price_cell") + d)))
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*BLOCK, "km_cell", "price_cell")]
-    held = probe.alias("a").join(_cells(after.select(*PLACE).distinct()).alias("b"), [*same, near("a", "b")], "left_semi").select("place").distinct()
-    held = cut(held)
-    won = cut(_winners(fresh.join(stored, "url", "left_anti").join(held, "place", "left_anti")))
+    held = cut(_held(after, fresh))
+    same = [F.col(c) == F.col(f"_{c}") for c in PLACE]
+    won = cut(_winners(fresh.join(stored, "url", "left_anti").join(held, same, "left_anti")))
 
     owners = won.select("url", F.col("portal_id").alias("w_id"), F.col("at").alias("w_at")).unionByName(stored.withColumns({"w_id": F.lit(None).cast("string"), "w_at": F.lit(None).cast(fresh.schema["at"].dataType)}))
     earlier = F.col("w_id").isNull() | (F.struct("w_at", "w_id") < F.struct("at", "portal_id"))
